@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import langid, quality, secrets, simhash
+from siltstone.llm import bytebpe, langid, packing, quality, secrets, simhash, tokenfiles
 from siltstone.session import table
 
 
@@ -15,9 +15,12 @@ def over_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 
 
 QUERIES = {
+    "op1_token_files": over_documents(tokenfiles.op1),
     "op2_simhash_near_dedup": over_documents(simhash.op2),
     "op3_language_id": over_documents(langid.op3),
     "op5_secret_scan": over_documents(secrets.op5),
+    "op8_byte_bpe": over_documents(bytebpe.op8),
+    "op9_best_fit_packing": over_documents(packing.op9),
     "op10_quality_rules": over_documents(quality.op10),
 }
 
