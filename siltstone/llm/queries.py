@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bytebpe, langid, packing, quality, secrets, simhash, tokenfiles
+from siltstone.llm import bytebpe, langid, packing, quality, repeats, secrets, simhash, spotsigs, tokenfiles
 from siltstone.session import table
 
 
@@ -19,6 +19,8 @@ QUERIES = {
     "op2_simhash_near_dedup": over_documents(simhash.op2),
     "op3_language_id": over_documents(langid.op3),
     "op5_secret_scan": over_documents(secrets.op5),
+    "op6_suffix_repeats": over_documents(repeats.op6),
+    "op7_spotsigs": over_documents(spotsigs.op7),
     "op8_byte_bpe": over_documents(bytebpe.op8),
     "op9_best_fit_packing": over_documents(packing.op9),
     "op10_quality_rules": over_documents(quality.op10),
