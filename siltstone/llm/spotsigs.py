@@ -87,25 +87,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return sets.select("_id", "fp", digest(F.col("sigs")).alias("fingerprint")).join(labelled.select("fp", "label").join(groups, "label"), "fp").select(F.col("_id").alias(id_col), "fingerprint", "class_id", "class_size")
 
 
-def next_rows(docs: DataFrame) -> DataFrame:
-    """``(k, n, h, copies, next_k, next_n, next_h)``: each distinct (id, text) and the next one by descending id, the first after the last.
+KEY = ["null_id", "k", "n", "h"]
 
-    Order is by id descending (null last), then length and hash. Rows are range-sorted; only the first row of each range
-    goes into one small window.
+
+def next_rows(rows: DataFrame) -> DataFrame:
+    """Key columns, ``copies`` and the key of the next row: by id descending (null last), length and hash; the first after the last.
+
+    Rows are range-sorted; only the first row of each range goes into one small window.
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = docs.select("k", "n", "h").groupBy("k", "n", "h").agg(F.count(F.lit(1)).alias("copies"))
-    order = [F.col("k").desc_nulls_last(), F.col("n"), F.col("h")]
+    keys = rows.select(*KEY).groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"))
+    order = [F.col("null_id"), F.col("k").desc(), F.col("n"), F.col("h")]
     ranges = materialize(keys.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "spots-order")
-    me = F.struct("k", "n", "h")
-    # least by (id descending with null last, n, h), as a struct that sorts upward
-    upward = F.struct(F.col("k").isNull().alias("z"), (-F.col("k")).alias("m"), F.col("n"), F.col("h"))
+    me, upward = F.struct(*KEY), F.struct(F.col("null_id"), (-F.col("k")).alias("m"), F.col("n"), F.col("h"))
     firsts = ranges.groupBy("part").agg(F.min_by(me, upward).alias("first"))
     bounds = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("after"), F.first("first").over(Window.orderBy("part")).alias("very_first"))
     linked = ranges.withColumn("next", F.lead(me).over(Window.partitionBy("part").orderBy(*order)))
     linked = linked.join(bounds, "part").withColumn("next", F.coalesce("next", "after", "very_first"))
-    return linked.select("k", "n", "h", "copies", *[F.col(f"next.{c}").alias(f"next_{c}") for c in ("k", "n", "h")])
+    return linked.select(*KEY, "copies", *[F.col(f"next.{c}").alias(f"next_{c}") for c in KEY])
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,23 +115,19 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     in id and text count once in that order and get equal results, each its own row. Null texts count as empty; null ids
     come last. The only document of a table is its own next one.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("k"), text.alias("text"))
-    rows = rows.select("k", F.char_length("text").cast("long").alias("n"), F.xxhash64("text").alias("h"), "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select(F.isnull("id").alias("null_id"), F.coalesce("id", F.lit(0)).alias("k"), F.char_length("text").cast("long").alias("n"), F.xxhash64("text").alias("h"), "text")
     links = materialize(next_rows(rows), "spots-next")
-    same = lambda a, b, p="": a["k"].eqNullSafe(b[p + "k"]) & (a["n"] == b[p + "n"]) & (a["h"] == b[p + "h"])
-    # one row for each distinct (id, text), whole texts moved once; both joins below read the same exchange
-    once = rows.withColumn("again", F.row_number().over(Window.partitionBy(F.coalesce("k", F.lit(0)), F.isnull("k"), "n", "h").orderBy("n"))).where("again = 1").drop("again")
-    wanted = links.select(F.col("k").alias("to_k"), F.col("n").alias("to_n"), F.col("h").alias("to_h"), "next_k", "next_n", "next_h")
-    given = once.join(wanted, same(once, wanted, "next_")).select("to_k", "to_n", "to_h", F.expr("substring(text, 1, cast(floor(to_n / 3) as int))").alias("head"), signatures(F.col("text")).alias("next_sigs"))
-    got = once.join(given, same(once, given, "to_")).select("k", "n", "h", "text", "head", "next_sigs")
-    copies = links.select(F.col("k").alias("c_k"), F.col("n").alias("c_n"), F.col("h").alias("c_h"), "copies")
-    got = got.join(copies, same(got, copies, "c_")).select("k", "n", "text", "head", "next_sigs", "copies")
+    # one row for each distinct (id, text); whole texts move once, and both joins below read that exchange
+    once = rows.withColumn("again", F.row_number().over(Window.partitionBy(*KEY).orderBy("n"))).where("again = 1").drop("again")
+    wanted = links.select(*[F.col(f"next_{c}").alias(c) for c in KEY], *[F.col(c).alias(f"to_{c}") for c in KEY])
+    given = once.join(wanted, KEY).select(*[F.col(f"to_{c}").alias(c) for c in KEY], F.expr("substring(text, 1, cast(floor(to_n / 3) as int))").alias("head"), signatures(F.col("text")).alias("next_sigs"))
+    got = once.join(given, KEY).join(links.select(*KEY, "copies"), KEY)
     edited = F.concat(F.expr("substring(text, 1, cast(n - floor(n / 3) as int))"), F.col("head"))
-    got = got.select("k", "n", "copies", "next_sigs", "text", edited.alias("edited"))
-    got = got.select("k", "n", "copies", "next_sigs", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), signatures(F.col("text")).alias("sigs"), signatures(F.col("edited")).alias("edited_sigs"))
+    got = got.select("null_id", "k", "n", "copies", "next_sigs", "text", edited.alias("edited"))
+    got = got.select("null_id", "k", "n", "copies", "next_sigs", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), signatures(F.col("text")).alias("sigs"), signatures(F.col("edited")).alias("edited_sigs"))
     got = got.select(
-        F.col("k").alias(id_col), F.col("n").alias("n_chars"), "edited_sha256", digest(F.col("sigs")).alias("fingerprint"), digest(F.col("edited_sigs")).alias("edited_fingerprint"),
+        F.when(~F.col("null_id"), F.col("k")).alias(id_col), F.col("n").alias("n_chars"), "edited_sha256", digest(F.col("sigs")).alias("fingerprint"), digest(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), F.size("sigs").alias("n_signatures"), "copies",
     )
     return got.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
