@@ -30,17 +30,17 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, make: Callable[[],
     ``make()`` runs once in each task and returns the function from a list of texts to lists by column name. With
     ``multi`` that column holds, for each text, how many output rows it has, and the other lists are as long as their sum.
     """
-    df = df.select(*keep, text_col)
+    df = df.select(*keep, *([] if text_col in keep else [text_col]))
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     schema = T.StructType([f for f in df.schema.fields if f.name in keep] + list(added.fields))
-    n_keep, names = len(keep), [f.name for f in added.fields]
+    n_keep, at, names = len(keep), df.columns.index(text_col), [f.name for f in added.fields]
 
     def run(batches):
         call, out = make(), to_arrow_schema(schema)
         for batch in batches:
-            texts = batch.column(n_keep).to_pylist()
+            texts = batch.column(at).to_pylist()
             for a, b in slices(texts):
                 got = call(texts[a:b])
                 kept = [batch.column(i).slice(a, b - a) for i in range(n_keep)]
