@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bytebpe, langid, packing, quality, repeats, secrets, simhash, spotsigs, tokenfiles
+from siltstone.llm import bytebpe, langid, packing, pseudolm, quality, repeats, secrets, simhash, spotsigs, tokenfiles
 from siltstone.session import table
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op1_token_files": over_documents(tokenfiles.op1),
     "op2_simhash_near_dedup": over_documents(simhash.op2),
     "op3_language_id": over_documents(langid.op3),
+    "op4_pseudo_likelihood": over_documents(pseudolm.op4),
     "op5_secret_scan": over_documents(secrets.op5),
     "op6_suffix_repeats": over_documents(repeats.op6),
     "op7_spotsigs": over_documents(spotsigs.op7),
