@@ -10,11 +10,10 @@ import os
 
 import numpy as np
 
-from siltstone.llm.pieces import CachedEncoder
+from siltstone.llm.pieces import CachedEncoder, ragged
 
 #: A word that stands between others in one call of the library; words that hold it are encoded alone.
 MARK, TOGETHER = "|", 512
-_ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder(CachedEncoder):
@@ -28,24 +27,32 @@ class WordEncoder(CachedEncoder):
         self.mark = mark[0] if len(mark) == 1 else None
 
     def split(self, text: str) -> list:
-        return text.encode().split()
-
-    def _alone(self, word: str) -> np.ndarray:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, np.uint32)
+        raw = text.encode()
+        # the normalizer lower-cases too; doing it before is the same unless an ASCII letter is composed with a mark (U+0300 to U+037F)
+        return (raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
 
     def encode_pieces(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         words = [p.decode() for p in pieces]
-        if self.mark is None:
-            found = [self._alone(w) for w in words]
-        else:
-            found = [self._alone(w) if MARK in w else None for w in words]
-            rest = [i for i, f in enumerate(found) if f is None]
-            for k in range(0, len(rest), TOGETHER):
-                some = rest[k : k + TOGETHER]
-                ids = np.array(self.library.encode(f" {MARK} ".join(words[i] for i in some), add_special_tokens=False).ids, np.uint32)
-                for i, part in zip(some, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True):
-                    found[i] = part[part != self.mark]
-        return np.concatenate(found) if found else np.zeros(0, np.uint32), np.array([len(f) for f in found], np.int64)
+        alone = np.array([self.mark is None or MARK in w for w in words], bool)
+        order, ids, counts = [np.flatnonzero(~alone), np.flatnonzero(alone)], [], []
+        some = [words[i] for i in order[0]]
+        texts = [f" {MARK} ".join(some[k : k + TOGETHER]) for k in range(0, len(some), TOGETHER)]
+        for encoding in self.library.encode_batch_fast(texts, add_special_tokens=False):
+            found = np.array(encoding.ids, np.uint32)
+            marks = np.flatnonzero(found == self.mark)
+            counts.append(np.diff(marks, prepend=-1, append=len(found)) - 1)
+            ids.append(np.delete(found, marks))
+        for i in order[1]:
+            ids.append(np.array(self.library.encode(words[i], add_special_tokens=False).ids, np.uint32))
+            counts.append(np.array([len(ids[-1])]))
+        flat, counts = np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
+        if not len(order[1]):
+            return flat, counts
+        back = np.argsort(np.concatenate(order), kind="stable")
+        return flat[ragged((np.cumsum(counts) - counts)[back], counts[back])], counts[back]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
 def word_encoder(path: str) -> WordEncoder:
