@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltstone.llm.common import map_texts
+from siltstone.llm.pieces import ragged
 from siltstone.session import materialize
 
 LEAST, GRAM = 200, 64
-#: Contexts of one anchor that a task may hold; contexts that one suffix array takes before it is scanned.
-GROUP, BATCH = 2048, 1500
+#: Contexts of one anchor that a task may hold; contexts gathered before they are scanned; suffixes in one array.
+GROUP, BATCH, SUFFIXES = 16384, 4096, 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -36,21 +37,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def power_table(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of BASE and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        size = 1 << n.bit_length()
+        _POWERS[:] = [np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, x, np.uint64)))) for x in (BASE, INVERSE)]
+    return _POWERS
+
+
 class Hashes:
     """64-bit hashes of any substring of some bytes, from one pass of prefix sums."""
 
-    powers = inverses = np.ones(1, np.uint64)
-
     def __init__(self, data: np.ndarray):
-        n = len(data) + 1
-        if len(Hashes.powers) < n:
-            size = 1 << n.bit_length()
-            Hashes.powers = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, BASE, np.uint64))))
-            Hashes.inverses = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, INVERSE, np.uint64))))
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[data] * Hashes.powers[: n - 1])))
+        powers, self.inverses = power_table(len(data) + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[data] * powers[: len(data)])))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * Hashes.inverses[starts])
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverses[starts])
 
 
 def slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -77,99 +83,120 @@ def anchors(data: np.ndarray, least: int = LEAST, gram: int = GRAM):
     return chosen, h[chosen], mix(hashes.of(left, right) + shape * BASE)
 
 
-def suffix_array(codes: np.ndarray, depth: int):
-    """Suffixes in the order of their first ``depth`` codes at least, and the ranks by prefixes of 1, 2, 4, ... codes."""
-    n = len(codes)
-    _, rank = np.unique(codes, return_inverse=True)
-    levels, have = [rank.astype(np.int64)], 1
-    while True:
-        rank = levels[-1]
-        key = rank * (n + 1)
-        key[: max(0, n - have)] += rank[have:] + 1
-        order = np.argsort(key, kind="stable")
-        if have >= depth:
-            return order, levels
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
-        levels.append(new)
-        have *= 2
+class Stack:
+    """Texts side by side, with the starts of all their strings of ``least`` bytes that have a twin by hash.
 
+    Only suffixes with a twin can lie in an interval of common prefixes of ``least`` bytes, so the suffix array is built
+    over these, in buckets of equal hash; the order and all prefix lengths come from the bytes themselves.
+    """
 
-def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """How many codes each suffix in order shares with the one before it (the first: none)."""
-    n = len(order)
-    a, b, out = order[:-1].copy(), order[1:].copy(), np.zeros(n, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        inside = (a < n) & (b < n)
-        same = np.zeros(n - 1, bool)
-        same[inside] = levels[k][a[inside]] == levels[k][b[inside]]
-        step = same * (1 << k)
-        out[1:] += step
-        a, b = a + step, b + step
-    return out
+    def __init__(self, texts: list[bytes], least: int, places: np.ndarray | None = None, many: np.ndarray | None = None):
+        self.least, n = least, len(texts)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.cumsum(lengths) - lengths
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        self.width = int(lengths.max(initial=0))
+        self.owner = np.repeat(np.arange(n), lengths)
+        self.ends = self.starts + lengths
+        self.places = self.starts if places is None else places
+        self.many = np.zeros(n, bool) if many is None else many
+        powers, inverses = power_table(self.width + 1)
+        at = np.arange(len(self.data)) - self.starts[self.owner]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[self.data] * powers[at])))
+        count = np.maximum(lengths - least + 1, 0)
+        begin = ragged(self.starts, count)
+        hashes = mix((sums[begin + least] - sums[begin]) * inverses[at[begin]]) if len(begin) else np.zeros(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])) if len(order) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(order)))
+        twins = size > 1
+        self.bucket_sizes = size[twins]
+        self.suffixes = begin[order[np.repeat(twins, size)]]
+
+    def arrays(self):
+        """Suffix arrays of whole buckets, SUFFIXES or one bucket at a time: suffixes in order, and common prefixes with the one before."""
+        ends = np.cumsum(self.bucket_sizes)
+        at = 0
+        while at < len(self.suffixes):
+            k = max(np.searchsorted(ends, at + SUFFIXES, side="right") - 1, np.searchsorted(ends, at, side="right"))
+            some = self.suffixes[at : ends[k]]
+            at = int(ends[k])
+            length = self.ends[self.owner[some]] - some
+            index = np.minimum(some[:, None] + np.arange(self.width)[None, :], len(self.data) - 1)
+            rows = np.where(np.arange(self.width)[None, :] < length[:, None], self.data[index], 0).astype(np.uint8)
+            order = np.lexsort((length, np.ascontiguousarray(rows).view(f"S{self.width}").ravel()))
+            rows, length, some = rows[order], length[order], some[order]
+            differ = rows[1:] != rows[:-1]
+            shared = np.where(differ.any(axis=1), differ.argmax(axis=1), self.width)
+            yield some, np.concatenate(([0], np.minimum(shared, np.minimum(length[1:], length[:-1]))))
+
+    def intervals(self):
+        """``(suffixes in order, [(length, first, last)])``: the intervals that are maximal repeats.
+
+        A stack scan of the prefix lengths closes an interval where they fall. It is a repeat if its suffixes lie at two
+        places at least (a text that is ``many`` counts as several), and maximal if their left neighbours differ.
+        """
+        for some, shared in self.arrays():
+            owner = self.owner[some]
+            at = some - self.starts[owner]
+            left = np.where(at > 0, self.data[np.maximum(some - 1, 0)].astype(np.int64), -1).tolist()
+            world, several = (self.places[owner] + at).tolist(), self.many[owner].tolist()
+            lcp, found, least = [*shared.tolist(), 0], [], self.least
+            stack: list[tuple] = []
+            for i in range(len(some)):
+                low, mask, a, b, more = i, 1 << (left[i] + 1), world[i], world[i], several[i]
+                diverse, ahead = left[i] < 0, lcp[i + 1]
+                if ahead < least:
+                    ahead = 0
+                while stack and stack[-1][0] >= ahead:
+                    length, first, m, x, y, s, d = stack.pop()
+                    low, mask, a, b, more, diverse = first, mask | m, min(a, x), max(b, y), more or s, diverse or d
+                    if length == ahead:
+                        break
+                    if (a != b or more) and (diverse or mask & (mask - 1)):
+                        found.append((length, low, i))
+                if ahead:
+                    stack.append((ahead, low, mask, a, b, more, diverse))
+            yield some, found
 
 
 def maximal_repeats(texts: list[bytes], least: int, places: np.ndarray | None = None, many: np.ndarray | None = None):
-    """Groups ``(length, members)`` of all maximal repeats of at least ``least`` bytes; members are positions in the joined texts.
+    """Groups ``(length, members)`` of all maximal repeats of at least ``least`` bytes; a member is ``(text, start)``.
 
-    Second result: where each text starts in the joined texts (texts are one code apart). ``places`` says where each text
-    starts in the world: strings that lie at one place there, seen through overlapping texts, are one occurrence;
-    ``many`` marks texts that stand for several places.
+    ``places`` says where each text starts in the world: strings that lie at one place there, seen through overlapping
+    texts, are one occurrence; ``many`` marks texts that stand for several places.
     """
-    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-    total = int(starts[-1]) + len(texts[-1]) + 1 if texts else 0
-    if not total:
-        return [], starts
-    codes, owner = np.zeros(total, np.int64), np.zeros(total, np.int64)
-    for i, (s, t) in enumerate(zip(starts, texts)):
-        codes[s : s + len(t)] = np.frombuffer(t, np.uint8)
-        codes[s + len(t)] = 256 + i  # ends no two texts share
-        owner[s : s + len(t) + 1] = i
-    longest = max(map(len, texts))
-    order, levels = suffix_array(codes, longest)
-    shared = common_prefixes(order, levels)
-    begins = np.concatenate(([True], codes[:-1] > 255))
-    left = np.where(begins, -1, np.concatenate(([0], codes[:-1])))[order].tolist()
-    world = (np.arange(total) - starts[owner] + (places[owner] if places is not None else starts[owner]))[order].tolist()
-    several = (many[owner][order] if many is not None else np.zeros(total, bool)).tolist()
-    lcp, out = [*shared.tolist(), 0], []
-    spots = np.flatnonzero(shared >= least)
-    done = 0
-    for spot in spots.tolist():
-        if spot < done:
-            continue
-        # one stretch of suffixes with common prefixes of at least ``least``: scan it with a stack of open intervals
-        stack, i = [], spot - 1
-        while True:
-            low, mask, a, b, more = i, 1 << (left[i] + 1), world[i], world[i], several[i]
-            diverse = left[i] < 0
-            ahead = lcp[i + 1] if lcp[i + 1] >= least else 0
-            while stack and stack[-1][0] > ahead:
-                length, low, m, x, y, s, d = stack.pop()
-                mask, a, b, more, diverse = mask | m, min(a, x), max(b, y), more or s, diverse or d
-                if (a != b or more) and (diverse or mask & (mask - 1)):
-                    out.append((length, order[low : i + 1]))
-            if not ahead:
-                done = i + 1
-                break
-            if stack and stack[-1][0] == ahead:
-                length, low, m, x, y, s, d = stack.pop()
-                mask, a, b, more, diverse = mask | m, min(a, x), max(b, y), more or s, diverse or d
-            stack.append((ahead, low, mask, a, b, more, diverse))
-            i += 1
-    return out, starts
+    stack = Stack(texts, least, places, many)
+    for some, found in stack.intervals():
+        for length, low, high in found:
+            members = some[low : high + 1]
+            owner = stack.owner[members]
+            yield length, list(zip(owner.tolist(), (members - stack.starts[owner]).tolist()))
 
 
 def covered(texts: list[bytes], least: int, places: np.ndarray, many: np.ndarray) -> list[list[tuple[int, int]]]:
     """Of each text the stretches that lie in a maximal repeat."""
-    groups, starts = maximal_repeats(texts, least, places, many)
-    ends = [np.zeros(len(t) + 1, np.int64) for t in texts]
-    for length, members in groups:
-        for k, p in zip((np.searchsorted(starts, members, side="right") - 1).tolist(), members.tolist()):
-            at = p - starts[k]
-            ends[k][at] = max(ends[k][at], at + length)
-    return [merged(np.flatnonzero(e), e[np.flatnonzero(e)]) for e in ends]
+    stack = Stack(texts, least, places, many)
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    starts, lengths = [], []
+    for some, found in stack.intervals():
+        reach = np.zeros(len(some), np.int64)
+        for length, low, high in found:
+            np.maximum(reach[low : high + 1], length, out=reach[low : high + 1])
+        starts.append(some[reach > 0])
+        lengths.append(reach[reach > 0])
+    if not starts:
+        return out
+    begin, length = np.concatenate(starts), np.concatenate(lengths)
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], (begin + length)[order]
+    owner = stack.owner[begin]
+    cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owner)]):
+        k = owner[a]
+        out[k] = merged(begin[a:b] - stack.starts[k], end[a:b] - stack.starts[k])
+    return out
 
 
 def merged(starts, ends) -> list[tuple[int, int]]:
