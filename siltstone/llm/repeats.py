@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltstone.llm.common import map_texts
 from siltstone.llm.pieces import ragged
-from siltstone.session import materialize
+from siltstone.session import drop_path, fresh_path, materialize
 
 LEAST, GRAM = 200, 64
 #: Contexts of one anchor that a task may hold; contexts gathered before they are scanned; suffixes in one array.
@@ -87,7 +87,8 @@ class Stack:
     """Texts side by side, with the starts of all their strings of ``least`` bytes that have a twin by hash.
 
     Only suffixes with a twin can lie in an interval of common prefixes of ``least`` bytes, so the suffix array is built
-    over these, in buckets of equal hash; the order and all prefix lengths come from the bytes themselves.
+    over these, in buckets of equal hash; the order and all prefix lengths come from the bytes themselves. A bucket whose
+    strings all follow one same byte is left out: the bucket one byte before has all its occurrences.
     """
 
     def __init__(self, texts: list[bytes], least: int, places: np.ndarray | None = None, many: np.ndarray | None = None):
@@ -110,7 +111,10 @@ class Stack:
         new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])) if len(order) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(order)))
-        twins = size > 1
+        # left-extension diversity of whole buckets: where all strings follow one same byte, no suffix starts a maximal repeat
+        before = np.where(at[begin] > 0, self.data[np.maximum(begin - 1, 0)].astype(np.int16), -1)[order] if len(begin) else np.zeros(0, np.int16)
+        low, high = (f.reduceat(before, first) if len(first) else before for f in (np.minimum, np.maximum))
+        twins = (size > 1) & ((low != high) | (low < 0))
         self.bucket_sizes = size[twins]
         self.suffixes = begin[order[np.repeat(twins, size)]]
 
@@ -252,9 +256,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return call
 
-    found = materialize(map_texts(texts, ["_k", "_t"], "_text", find, FOUND, multi="n"), "repeat-anchors")
+    path = fresh_path(spark, "repeat-anchors")
+    found = materialize(map_texts(texts, ["_k", "_t"], "_text", find, FOUND, multi="n"), "repeat-anchors", path)
     again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     places = materialize(found.join(again, "h", "left_semi"), "repeat-places")
+    drop_path(spark, path)  # only anchors that repeat are read from here on
     contexts = materialize(places.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "_t", "pos")).alias("at")), "repeat-contexts")
     # contexts that occur twice are repeats from end to end; their ends are cut to the text later
     sure = places.join(contexts.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("_k", "_t", (F.col("pos") - reach).alias("s"), (F.col("pos") + least).alias("e"))
