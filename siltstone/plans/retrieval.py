@@ -137,17 +137,23 @@ def term_set_sql(text: str) -> str:
 HASHED = "list_transform(range(0, 32), lambda i: (('0x' || substr(sha256(coalesce(text, '')), 2 * i + 1, 2))::INT)::DOUBLE / 255.0)"
 TOP_BY = "row_number() over (partition by item_id order by score desc, doc_id)"
 
-BASE = f"""
-tok as (select doc_id, {TOKENS} t from documents),
-post as (select doc_id, term, count(*) tf, any_value(dl) dl from (select doc_id, len(t) dl, unnest(t) term from tok) group by all),
-st as (select count(*) n, avg(len(t)) avgdl from tok),
-df as (select term, count(*) df from post group by term),
-raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) r from df, st),
-idf as (select term, df, case when r < 0 then {search.EPSILON} * (select avg(r) from raw) else r end idf from raw),
-qt as (select item_id, term, count(*) qtf, any_value(ql) ql from (select item_id, len({TOKENS}) ql, unnest({TOKENS}) term from benchmark) group by all),
-bm as (select item_id, doc_id, round(sum(qtf * idf * tf * {search.K1 + 1} / (tf + {search.K1} * (1 - {search.B} + {search.B} * dl / avgdl))), 6) score
-  from qt join idf using (term) join post using (term), st group by all),
-bm25 as (select * from (select *, {TOP_BY} rank from bm) where rank <= {COARSE}),
+
+def bm25_ctes(docs: str = "documents", key: str = "doc_id", p: str = "", k: int = COARSE) -> str:
+    """The BM25 twin over a table with ``text``; ``p`` prefixes the names of the parts."""
+    return f"""
+{p}tok as (select {key}, {TOKENS} t from {docs}),
+{p}post as (select {key}, term, count(*) tf, any_value(dl) dl from (select {key}, len(t) dl, unnest(t) term from {p}tok) group by all),
+{p}st as (select count(*) n, avg(len(t)) avgdl from {p}tok),
+{p}df as (select term, count(*) df from {p}post group by term),
+{p}raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) r from {p}df, {p}st),
+{p}idf as (select term, df, case when r < 0 then {search.EPSILON} * (select avg(r) from {p}raw) else r end idf from {p}raw),
+{p}qt as (select item_id, term, count(*) qtf, any_value(ql) ql from (select item_id, len({TOKENS}) ql, unnest({TOKENS}) term from benchmark) group by all),
+{p}bm as (select item_id, {key}, round(sum(qtf * idf * tf * {search.K1 + 1} / (tf + {search.K1} * (1 - {search.B} + {search.B} * dl / avgdl))), 6) score
+  from {p}qt join {p}idf using (term) join {p}post using (term), {p}st group by all),
+{p}bm25 as (select * from (select *, row_number() over (partition by item_id order by score desc, {key}) rank from {p}bm) where rank <= {k})"""
+
+
+BASE = f"""{bm25_ctes()},
 sp as (select item_id, doc_id, round(sum((ln(1 + tf) / sqrt(dl)) * (ln(1 + qtf) / sqrt(ql))), 6) score from qt join post using (term) group by all),
 sparse as (select * from (select *, {TOP_BY} rank from sp) where rank <= {COARSE}),
 hd as (select doc_id, {HASHED} v from documents), hq as (select item_id, {HASHED} w from benchmark),
