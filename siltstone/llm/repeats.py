@@ -25,7 +25,7 @@ from siltstone.session import drop_path, fresh_path, materialize
 
 LEAST, GRAM = 200, 64
 #: Contexts of one anchor that a task may hold; contexts gathered before they are scanned; suffixes in one array.
-GROUP, BATCH, SUFFIXES = 16384, 4096, 20_000
+GROUP, BATCH, SUFFIXES = 8192, 1024, 8192
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,7 +97,7 @@ class Stack:
         self.starts = np.cumsum(lengths) - lengths
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.width = int(lengths.max(initial=0))
-        self.owner = np.repeat(np.arange(n), lengths)
+        self.owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
         self.ends = self.starts + lengths
         self.places = self.starts if places is None else places
         self.many = np.zeros(n, bool) if many is None else many
@@ -127,8 +127,9 @@ class Stack:
             some = self.suffixes[at : ends[k]]
             at = int(ends[k])
             length = self.ends[self.owner[some]] - some
-            index = np.minimum(some[:, None] + np.arange(self.width)[None, :], len(self.data) - 1)
-            rows = np.where(np.arange(self.width)[None, :] < length[:, None], self.data[index], 0).astype(np.uint8)
+            reach = np.arange(self.width, dtype=np.int32)[None, :]
+            rows = self.data[np.minimum(some.astype(np.int32)[:, None] + reach, np.int32(len(self.data) - 1))]
+            rows *= reach < length[:, None]
             order = np.lexsort((length, np.ascontiguousarray(rows).view(f"S{self.width}").ravel()))
             rows, length, some = rows[order], length[order], some[order]
             differ = rows[1:] != rows[:-1]
