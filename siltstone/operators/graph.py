@@ -91,7 +91,7 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hop: int, keys: list[str]) -> Data
 
 def overlaps(questions: DataFrame, rows: DataFrame, query_id: str, key: str, terms: Column, question: str = "question") -> DataFrame:
     """``(query, key, score)``: share of the question's distinct terms that a row has, by an equi-join on the term."""
-    asked = questions.select(query_id, F.array_distinct(tx.graph_terms(F.col(question))).alias("q")).select(query_id, F.size("q").alias("n"), F.explode("q").alias("term"))
+    asked = questions.select(query_id, F.array_distinct(tx.graph_terms(F.col(question))).alias("_terms")).select(query_id, F.size("_terms").alias("n"), F.explode("_terms").alias("term"))
     known = rows.select(key, F.explode(F.array_distinct(terms)).alias("term"))
     return asked.join(known, "term").groupBy(query_id, key, "n").agg(F.count(F.lit(1)).alias("c")).select(query_id, key, F.round(F.col("c") / F.col("n"), 6).alias("score"))
 

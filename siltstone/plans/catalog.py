@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from siltstone.plans import chunks, grades, retrieval
+from siltstone.plans import chunks, grades, graphs, migration, retrieval
 
-PARTS = (retrieval, chunks, grades)
+PARTS = (retrieval, chunks, grades, graphs, migration)
 QUERIES: dict = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

@@ -70,11 +70,11 @@ def channel_ablation(spark, sf_dir):
 
 
 def keyword_faithfulness(spark, sf_dir):
-    """Does the answer hold two of the first five distinct terms of its question?"""
+    """Does the answer hold two of the five first distinct terms in order of its question?"""
     ask = asked(spark, sf_dir)
     strips = grading.refine(ask, hits(spark, sf_dir), "item_id").where("place <= 5").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("strip")), " ").alias("answer"))
     rows = ask.join(strips, "item_id", "left")
-    return rows.select("item_id", F.coalesce(grading.keyword_facts(F.col("answer"), F.slice(tx.term_set(F.col("question")), 1, 5), 2), F.lit(False)).alias("faithful"))
+    return rows.select("item_id", F.coalesce(grading.keyword_facts(F.col("answer"), F.slice(F.array_sort(tx.term_set(F.col("question"))), 1, 5), 2), F.lit(False)).alias("faithful"))
 
 
 def self_rag_loop(spark, sf_dir):
@@ -133,5 +133,5 @@ ORACLES = {
     "recall_at_k": f"with {rt.BASE}, {CONTAINED} select * from {recall_sql('bm25')}",
     "channel_ablation": f"with {rt.BASE}, {CONTAINED} " + " union all ".join(f"select *, '{n}' variant from {recall_sql(t)}" for n, t in (("bm25", "bm25"), ("dense", "dense"), ("sparse", "sparse"), ("fused", "best"))),
     "keyword_faithfulness": f"""with {HITS}, {refine_sql('h', 'f')}, a as (select item_id, string_agg(strip, ' ') answer from f where place <= 5 group by item_id)
-        select item_id, coalesce(len(list_filter(list_slice(q, 1, 5), lambda k: contains(upper(answer), upper(k)))) >= 2, false) faithful from q left join a using (item_id)""",
+        select item_id, coalesce(len(list_filter(list_slice(list_sort(q), 1, 5), lambda k: contains(upper(answer), upper(k)))) >= 2, false) faithful from q left join a using (item_id)""",
 }
