@@ -27,4 +27,23 @@ QUERIES = {
     "op10_quality_rules": over_documents(quality.op10),
 }
 
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+OP10 = f"""
+with d as (select row_number() over () r, doc_id, coalesce(source, '') host, coalesce(text, '') t from documents),
+w as (select r, regexp_extract_all(t, '{WORD}') w from d),
+tri as (select r, i, [w[i], w[i + 1], w[i + 2]] g from (select r, w, unnest(range(1, len(w) - 1)) i from w where len(w) > 2)),
+twice as (select r, i from tri qualify count(*) over (partition by r, g) > 1),
+rep as (select r, count(distinct j) n from (select r, unnest([i, i + 1, i + 2]) j from twice) group by r),
+raw as (select r, host, unnest(string_split(t, chr(10))) line from d),
+ln as (select r, host, line, len(regexp_extract_all(line, '{WORD}')) n, regexp_replace(lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))), '[0-9]+', '0', 'g') k from raw where regexp_matches(line, '{WORD}')),
+dup as (select r, count(*) - count(distinct line) n from ln group by r),
+per as (select r, host, k, sum(n) n from ln group by all),
+hosts as (select host, count(*) n from d group by host),
+often as (select host, k from per join hosts using (host) group by host, k, hosts.n having count(*) > {quality.LINE_DOCS} and count(*) > hosts.n * {quality.LINE_SHARE}),
+gone as (select r, count(*) removed_lines, sum(n)::BIGINT removed_words from per join often using (host, k) group by r),
+s as (select doc_id, len(w) n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols, coalesce(dup.n, 0) n_dup_lines, coalesce(rep.n, 0) n_repeat_words,
+  coalesce(removed_lines, 0) removed_lines, coalesce(removed_words, 0) removed_words from d join w using (r) left join dup using (r) left join rep using (r) left join gone using (r)),
+f as (select *, n_words < {quality.LEAST_WORDS} or 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words base_failed from s)
+select *, not base_failed and n_words - removed_words >= n_words * {quality.LEAST_KEPT} kept from f"""
+
+ORACLES: dict[str, str] = {"op10_quality_rules": OP10}
