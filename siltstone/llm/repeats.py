@@ -16,6 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -83,6 +84,16 @@ def anchors(data: np.ndarray, least: int = LEAST, gram: int = GRAM):
     return chosen, h[chosen], mix(hashes.of(left, right) + shape * BASE)
 
 
+def string_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts in the joined texts, places within the text and hashes of all strings of ``least`` bytes of texts side by side."""
+    powers, inverses = power_table(int(lengths.max(initial=0)) + 1)
+    at = np.arange(len(data)) - np.repeat(starts, lengths)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[data] * powers[at])))
+    begin = ragged(starts, np.maximum(lengths - least + 1, 0))
+    place = at[begin]
+    return begin, place, mix((sums[begin + least] - sums[begin]) * inverses[place])
+
+
 class Stack:
     """Texts side by side, with the starts of all their strings of ``least`` bytes that have a twin by hash.
 
@@ -101,18 +112,13 @@ class Stack:
         self.ends = self.starts + lengths
         self.places = self.starts if places is None else places
         self.many = np.zeros(n, bool) if many is None else many
-        powers, inverses = power_table(self.width + 1)
-        at = np.arange(len(self.data)) - self.starts[self.owner]
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[self.data] * powers[at])))
-        count = np.maximum(lengths - least + 1, 0)
-        begin = ragged(self.starts, count)
-        hashes = mix((sums[begin + least] - sums[begin]) * inverses[at[begin]]) if len(begin) else np.zeros(0, np.uint64)
+        begin, at, hashes = string_hashes(self.data, self.starts, lengths, least)
         order = np.argsort(hashes, kind="stable")
         new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])) if len(order) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(order)))
         # left-extension diversity of whole buckets: where all strings follow one same byte, no suffix starts a maximal repeat
-        before = np.where(at[begin] > 0, self.data[np.maximum(begin - 1, 0)].astype(np.int16), -1)[order] if len(begin) else np.zeros(0, np.int16)
+        before = np.where(at > 0, self.data[np.maximum(begin - 1, 0)].astype(np.int16), -1)[order] if len(begin) else np.zeros(0, np.int16)
         low, high = (f.reduceat(before, first) if len(first) else before for f in (np.minimum, np.maximum))
         twins = (size > 1) & ((low != high) | (low < 0))
         self.bucket_sizes = size[twins]
@@ -273,13 +279,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches):
         out = to_arrow_schema(cut_schema)
         for batch in batches:
-            rows = []
-            for r in range(batch.num_rows):
-                raw = (batch.column("_text")[r].as_py() or "").encode()
-                for a in batch.column("asked")[r].as_py():
-                    rows.append({"_k": batch.column("_k")[r].as_py(), "_t": batch.column("_t")[r].as_py(), **a, "text": raw[max(0, a["pos"] - reach) : a["pos"] + least]})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=out)
+            asked = batch.column("asked")
+            if not batch.num_rows:
+                continue
+            owner = pc.list_parent_indices(asked)
+            parts = dict(zip((f.name for f in asked.type.value_type), asked.flatten().flatten()))
+            pos = parts["pos"].to_pylist()
+            raw = [(t or "").encode() for t in batch.column("_text").to_pylist()]
+            parts["text"] = pa.array([raw[i][max(0, p - reach) : p + least] for i, p in zip(owner.to_pylist(), pos)], pa.binary())
+            parts |= {c: batch.column(c).take(owner) for c in ("_k", "_t")}
+            yield pa.RecordBatch.from_arrays([parts[f.name].cast(f.type) for f in out], schema=out)
 
     around = texts.join(asked, same_key(texts, asked)).select(texts["_k"], texts["_t"], "_text", "asked").mapInArrow(cut, cut_schema)
     span_schema = T.StructType([f for f in open_.schema.fields if f.name in ("_k", "_t")] + [T.StructField("s", INT), T.StructField("e", INT)])
@@ -287,21 +296,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def scan(batches):
         """Rows come sorted by anchor; whole anchors are gathered until a suffix array is full."""
         out, held, last = to_arrow_schema(span_schema), [], None
-        number: dict = {}
 
         def close():
-            world = np.array([number.setdefault((r["_k"], r["_t"]), len(number)) * (1 << 40) + max(0, r["pos"] - reach) for r in held], np.int64)
-            spans = covered([r["text"] for r in held], least, world, np.array([r["n"] > 1 for r in held]))
-            rows = [{"_k": r["_k"], "_t": r["_t"], "s": max(0, r["pos"] - reach) + a, "e": max(0, r["pos"] - reach) + b} for r, found in zip(held, spans) if r["n"] == 1 for a, b in found]
-            number.clear()
-            return pa.RecordBatch.from_pylist(rows, schema=out)
+            number: dict = {}
+            first = [max(0, r[3] - reach) for r in held]
+            world = np.array([number.setdefault(r[:2], len(number)) * (1 << 40) + f for r, f in zip(held, first)], np.int64)
+            spans = covered([r[4] for r in held], least, world, np.array([r[2] > 1 for r in held]))
+            rows = [(r[0], r[1], f + a, f + b) for r, f, found in zip(held, first, spans) if r[2] == 1 for a, b in found]
+            columns = list(zip(*rows)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["h"] != last and len(held) >= BATCH:
+            names = ("_k", "_t", "n", "pos", "text")
+            for h, row in zip(batch.column("h").to_pylist(), zip(*(batch.column(c).to_pylist() for c in names))):
+                if h != last and len(held) >= BATCH:
                     yield close()
                     held = []
-                last = row["h"]
+                last = h
                 held.append(row)
         if held:
             yield close()
@@ -314,13 +325,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Every string of ``least`` bytes of a context, by its distance to the anchor and its hash."""
         out = to_arrow_schema(string_schema)
         for batch in batches:
-            for row in batch.to_pylist():
-                raw = np.frombuffer(row["text"], np.uint8)
-                if (m := len(raw) - least + 1) > 0:
-                    at, first = np.arange(m), max(0, row["pos"] - reach)
-                    w = Hashes(raw).of(at, at + least).view(np.int64)
-                    columns = [[row["_k"]] * m, [row["_t"]] * m, [row["h"]] * m, [row["n"]] * m, [row["pos"]] * m, row["pos"] - first - at, w]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+            raw = batch.column("text").to_pylist()
+            lengths = np.array([len(t) for t in raw], np.int64)
+            count = np.maximum(lengths - least + 1, 0)
+            if not count.sum():
+                continue
+            _, place, w = string_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lengths) - lengths, lengths, least)
+            owner = pa.array(np.repeat(np.arange(len(raw)), count))
+            pos = batch.column("pos").to_numpy()
+            d = np.repeat(np.minimum(pos, reach), count) - place
+            columns = {c: batch.column(c).take(owner) for c in ("_k", "_t", "h", "n", "pos")} | {"d": pa.array(d.astype(np.int32)), "w": pa.array(w.view(np.int64))}
+            yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in out], schema=out)
 
     large = around.where(F.col("differing") > GROUP).mapInArrow(strings, string_schema)
     twice = large.groupBy("h", "d", "w").agg(F.sum("n").alias("all")).where("all > 1").select("h", "d", "w")
