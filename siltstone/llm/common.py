@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,6 +26,14 @@ def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system; Python workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_texts(df: DataFrame, keep: list[str], text_col: str, make: Callable[[], Callable[[list], dict]], added: T.StructType, multi: str | None = None) -> DataFrame:
     """Add columns computed from a whole text, one output row for each input row.
 
@@ -50,5 +60,6 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, make: Callable[[],
                 made = [x if isinstance(x, pa.Array) else pa.array(x, out.field(n_keep + i).type) for i, x in enumerate(got[n] for n in names)]
                 if len(made[0]):
                     yield pa.RecordBatch.from_arrays([*kept, *made], schema=out)
+        release()
 
     return df.mapInArrow(run, schema)

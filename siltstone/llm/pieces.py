@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Distinct pieces that one Python worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from siltstone.llm.common import map_texts
+from siltstone.llm.common import map_texts, release
 from siltstone.llm.pieces import ragged
 from siltstone.session import drop_path, fresh_path, materialize
 
@@ -316,6 +316,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 held.append(row)
         if held:
             yield close()
+        held.clear()
+        release()
 
     small = around.where(F.col("differing") <= GROUP).repartition(n_parts, "h").sortWithinPartitions("h")
     by_array = small.mapInArrow(scan, span_schema)
