@@ -8,6 +8,8 @@ fingerprints take part, so copies never meet in a join, and classes come from co
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -18,6 +20,8 @@ from siltstone.session import materialize
 
 #: Two segments and radius 1 find every pair up to 3 bits; a larger distance would need more segments or a wider ball.
 MAX_BITS = 3
+#: Least Jaccard similarity of near copies for the pipeline's stage; one in so many texts is sampled for common shingles.
+LIKE, SAMPLED = 0.8, 16
 
 
 def fingerprints_of(texts: list[str | None], width: int = 3) -> np.ndarray:
@@ -103,6 +107,97 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 
+def shingles_of(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``width`` words, unsigned; a text of fewer words has one run, without words none."""
+    digest, words = xxhash.xxh64_intdigest, (text or "").encode().lower().split()
+    found = {digest(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))} if words else ()
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def common_shingles(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
+    """Shingles of many texts, by a sample of texts. They only order the prefixes of ``alike``: its result is the same for any list."""
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLED)) == 0).select(text_col).distinct()
+
+    def make():
+        return lambda texts: {"sigs": [shingles_of(t, width).view(np.int64) for t in texts]}
+
+    made = map_texts(some, [], text_col, make, T.StructType([T.StructField("sigs", T.ArrayType(T.LongType()))]))
+    counts = made.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.where(F.col("n") > 4 + some.count() // 4000).select("sig").collect()
+    return np.sort(np.array([r["sig"] for r in often], np.int64).view(np.uint64))
+
+
+def alike(docs: DataFrame, text_col: str = "text", width: int = 5, like: float = LIKE) -> tuple[DataFrame, DataFrame]:
+    """``(h, set)`` of each row's text hash, and links ``(a, b)`` between all sets of Jaccard similarity ``like`` or more.
+
+    Exact: two such sets share one of the ``n - ceil(like * n) + 1`` first members of each in any common order (rare
+    shingles first, then by hash). Of the pairs that share some, those go whose shared ones are too few for the likeness
+    even if all members behind the shorter prefix were shared; the others are compared in full. Sets are told apart by 64 bits.
+    """
+    common = common_shingles(docs, text_col, width)
+
+    def prefixes():
+        def call(texts):
+            out = {"set": [], "n": [], "prefix": [], "late": []}
+            for text in texts:
+                sigs = shingles_of(text, width)
+                often = np.isin(sigs, common)
+                n = len(sigs)
+                first = np.concatenate((sigs[~often], sigs[often]))[: n - math.ceil(like * n - 1e-9) + 1]
+                out["set"].append(xxhash.xxh3_64_intdigest(sigs.tobytes()) - (1 << 63))
+                out["n"].append(n)
+                out["prefix"].append(first.view(np.int64))
+                out["late"].append(bool(n) and len(first) > n - int(often.sum()))
+            return out
+
+        return call
+
+    fields = [T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("late", T.BooleanType())]
+    texts = docs.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("_text"))
+    sets = materialize(map_texts(texts, ["h"], "_text", prefixes, T.StructType(fields)), "alike-sets")
+    # the end of a prefix in the common order: late ones (shingles of many texts) after the others, then as unsigned longs
+    end = F.struct(F.col("late"), F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63))).alias("last"))
+    meta = sets.where("n > 0").select("set", "n", F.size("prefix").alias("p"), end.alias("end")).dropDuplicates(["set"])
+    index = sets.where("n > 0").dropDuplicates(["set"]).select("set", F.explode("prefix").alias("sig"))
+    meet = index.groupBy("sig").agg(F.collect_list("set").alias("sets")).where(F.size("sets") > 1)
+    meet = meet.select("sets", F.explode("sets").alias("a")).select("a", F.explode("sets").alias("b")).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    for s in "ab":
+        meet = meet.join(meta.select(F.col("set").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "p", "end")]), s)
+    behind = F.when(F.col("end_a") <= F.col("end_b"), F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
+    needed = (F.col("n_a") + F.col("n_b")) * (like / (1 + like)) - 1e-6
+    pairs = materialize(meet.where((F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * like - 1e-6) & (F.col("shared") + behind >= needed)).select("a", "b"), "alike-pairs")
+
+    def whole():
+        return lambda texts: {"sigs": [shingles_of(t, width).view(np.int64) for t in texts]}
+
+    wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    wanted = sets.select("h", "set").dropDuplicates(["set"]).join(wanted, "set")
+    full = texts.join(wanted, "h").dropDuplicates(["set"])
+    full = materialize(map_texts(full, ["set"], "_text", whole, T.StructType([T.StructField("sigs", T.ArrayType(T.LongType()))])), "alike-full")
+    x, y = (full.select(F.col("set").alias(s), F.col("sigs").alias(f"sigs_{s}")) for s in "ab")
+    both = F.size(F.array_intersect("sigs_a", "sigs_b"))
+    found = pairs.join(x, "a").join(y, "b").withColumn("both", both).where(F.col("both") >= (F.size("sigs_a") + F.size("sigs_b") - F.col("both")) * like - 1e-6)
+    return sets.select("h", "set"), found.select("a", "b")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, like: float = LIKE) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each class of texts linked by a Jaccard similarity of ``like`` or more.
+
+    The row with the smallest id stays (null last), of several the one with the smallest text hash. Texts without words
+    are one class.
+    """
+    key = [F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_h")]
+    sets, links_of = alike(docs, text_col, width, like)
+    classes = connected_components(links_of, "a", "b").withColumnRenamed("node", "set")
+    labelled = sets.distinct().join(classes, "set", "left").select("h", F.coalesce("component", "set").alias("label"))
+    rows = docs.select(*key).distinct().join(labelled, F.col("_h") == F.col("h"))
+    heads = rows.groupBy("label").agg(F.min(F.struct(F.isnull("_id").alias("none"), "_id", "_h")).alias("r"))
+    heads = materialize(heads.select(F.col("r._id").alias("_id"), F.col("r._h").alias("_h")), "alike-heads")
+    mine = docs.withColumn("_h", key[1])
+    kept = mine.join(heads.withColumnRenamed("_h", "_head"), (mine["_h"] == F.col("_head")) & mine[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates([id_col, "_h"]).drop("_h")
+
+
 def op2(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")

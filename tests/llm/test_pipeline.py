@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 from collections import Counter
 
@@ -114,3 +115,29 @@ def test_pipeline_stages(spark, sf_dir):
     before, after = steps["best-fit packing"]
     n, tokens = check([(r.doc_id, r.text) for r in before], after)
     assert n <= tokens / 2048 + 2
+
+
+def test_near_dedup_finds_all_pairs_of_five_word_jaccard(spark):
+    rnd = random.Random(4)
+    fixed = " ".join(f"f{i}" for i in range(40))
+    base = [" ".join(f"w{rnd.randint(0, 3000)}" for _ in range(rnd.choice([6, 20, 90, 300]))) for _ in range(50)]
+    texts = list(base)
+    for t in base * 3:
+        words, n = t.split(), rnd.choice([0, 1, 2, 4])
+        for _ in range(min(n, len(words) // 12)):
+            words[rnd.randrange(len(words))] = "changed"
+        texts.append(" ".join(words))
+    texts += [f"{fixed} {t}" for t in base[:30]] + ["", None, " ", "one", "one two", "ONE"]
+    rnd.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    label = list(range(len(texts)))
+    wide = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            x, y = (int(f) for f in simhash.fingerprints_of([texts[i], texts[j]]))
+            wide += (x ^ y).bit_count() > simhash.MAX_BITS
+            a, b = sorted((label[i], label[j]))
+            label = [a if k == b else k for k in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert wide > 50 and {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(label)
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").collect() == []
