@@ -1,23 +1,27 @@
 """Masked pseudo-likelihood scores.
 
 A small network predicts every token of a text from a window on both sides with the token itself left out; a document's
-score is the sum of the conditional log-probabilities of all its tokens. Words are counted over all documents for the
+score is the sum of the conditional log-probabilities of all its tokens. A rare word has the probability of its bucket
+times its share of the bucket's counts, so every distinct word has its own. Words are counted over all documents for the
 vocabulary; the network is trained in numpy inside Spark tasks on every STRIDE-th token of every document, each task from the
 shared weights, and the tasks' weights are averaged after each round, so what is learned from grows with the corpus.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltstone.llm.common import map_texts
+from siltstone.session import materialize
 
 #: Output layer of CLASSES x CLASSES tokens: the most frequent words, and OTHER buckets for all other words by their hash.
 CLASSES, OTHER = 32, 64
@@ -148,8 +152,8 @@ def positions(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(SIDE * np.arange(1, len(counts) + 1), counts)
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
-    """The most frequent words of all documents, ties in byte order; tasks count before the shuffle, only the list reaches the driver."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(word, n)`` of all words of all documents; tasks count before the shuffle."""
     schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
 
     def count(batches):
@@ -162,8 +166,16 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
                     counts = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=out)
 
-    totals = docs.select(text_col).mapInArrow(count, schema).groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in totals.orderBy(F.desc("n"), "word").limit(VOCABULARY - OTHER).collect()]
+    return docs.select(text_col).mapInArrow(count, schema).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame) -> list[bytes]:
+    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - OTHER).collect()]
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
+    """The most frequent words of all documents, ties in byte order; only the list reaches the driver."""
+    return most_frequent(word_counts(docs, text_col))
 
 
 def fit(docs: DataFrame, words: list[bytes], text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
@@ -239,6 +251,56 @@ def score(docs: DataFrame, net: Network, words: list[bytes], keep: list[str], te
     return map_texts(docs, keep, text_col, make, added)
 
 
+def score_words(docs: DataFrame, net: Network, words: list[bytes], counts: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """As ``score``, with every word's own probability: that of its class, times for words in a bucket their share of it.
+
+    A bucket's shares are the counts of its words in ``counts``, and one for all unseen words together. The counts stay a
+    table; each document's words in buckets are joined to it by 64 bits of hash. Words counted once, and unseen ones, add
+    log 1 and need no partner.
+    """
+    spark = docs.sparkSession
+    frequent = spark.createDataFrame([(w,) for w in words], "word binary")
+    others = counts.join(F.broadcast(frequent), "word", "left_anti")
+    sizes = np.zeros(OTHER)
+    for r in others.groupBy((F.crc32("word") % OTHER).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        sizes[r["bucket"]] = r["n"]
+    weights, less = net.pack(), np.concatenate((np.zeros(VOCABULARY - OTHER), np.log(sizes + 1)))
+
+    def make():
+        local, ids, digest, rare_type = Network.unpack(weights), Ids(words), xxhash.xxh64_intdigest, to_arrow_schema(added).field("rare").type
+
+        def call(texts):
+            tokens, lengths = ids.of(texts)
+            at = positions(lengths)
+            sums = np.concatenate(([0.0], np.cumsum(local.log_probabilities(tokens, at) - less[tokens[at]])))
+            ends = np.cumsum(lengths)
+            hashes, times, cuts = [], [], [0]
+            for text, end, n in zip(texts, ends.tolist(), lengths.tolist()):
+                own = tokens[at[end - n : end]] >= VOCABULARY - OTHER
+                found = Counter(itertools.compress(words_of(text), own.tolist()))
+                hashes += [digest(w, 42) for w in found]
+                times += found.values()
+                cuts.append(len(hashes))
+            items = pa.StructArray.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(times, pa.int32())], fields=list(rare_type.value_type))
+            rare = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), items, type=rare_type)
+            return {"n_tokens": lengths, "base": sums[ends] - sums[ends - lengths], "rare": rare}
+
+        return call
+
+    pair = T.StructType([T.StructField("w", T.LongType()), T.StructField("k", T.IntegerType())])
+    added = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("rare", T.ArrayType(pair))])
+    rows = map_texts(docs.select(*keep, text_col).withColumn("_row", F.monotonically_increasing_id()), ["_row", *keep], text_col, make, added)
+    # one row for the document itself, dealt by a hash of its own and with no word, and one for each of its words in buckets
+    rows = rows.select("_row", F.struct(*keep, "n_tokens", "base").alias("own"), F.explode(F.concat(F.array(F.struct(F.xxhash64("_row").alias("w"), F.lit(0).alias("k"))), "rare")).alias("r"))
+    rows = rows.select("_row", F.when(F.col("r.k") == 0, F.col("own")).alias("own"), F.col("r.w").alias("w"), F.col("r.k").alias("k"))
+    logs = others.where("n > 1").groupBy(F.xxhash64("word").alias("w")).agg(F.log(F.sum("n").cast("double")).alias("log_n"))
+    both = rows.join(logs, "w", "left").groupBy("_row").agg(F.first("own", ignorenulls=True).alias("own"), F.sum(F.col("k") * F.coalesce("log_n", F.lit(0.0))).alias("more"))
+    total = F.round(F.col("own.base") + F.col("more"), 9)  # sums of shuffled rows differ in their last bits
+    mean = F.when(F.col("own.n_tokens") > 0, total / F.col("own.n_tokens"))
+    return both.select(*[F.col(f"own.{c}").alias(c) for c in keep], F.col("own.n_tokens").alias("n_tokens"), total.alias("log_likelihood"), mean.alias("mean_log_likelihood"))
+
+
 def op4(docs: DataFrame) -> DataFrame:
-    words = vocabulary(docs)
-    return score(docs.select("doc_id", "text"), fit(docs, words), words, ["doc_id"])
+    counts = materialize(word_counts(docs), "lm-words")
+    words = most_frequent(counts)
+    return score_words(docs.select("doc_id", "text"), fit(docs, words), words, counts, ["doc_id"])

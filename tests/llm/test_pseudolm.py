@@ -88,3 +88,31 @@ def test_odd_tables(spark):
     assert sorted(r.n_tokens for r in got) == [0, 0, 60_000, 60_000] and len({r.log_likelihood for r in got if r.n_tokens}) == 1
     assert lm.op4(docs.limit(0)).collect() == []
     assert [r.n_tokens for r in lm.op4(docs.limit(1)).collect()] == [0]
+
+
+def test_every_word_has_its_own_probability(spark):
+    texts = ["the cat the dog the", "the dog rare", "", None, "dog dog cat odd odd odd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = Counter(w for t in texts for w in (t or "").encode().split())
+    words, net = [b"the"], lm.Network.fresh(3)
+    new = spark.createDataFrame([*enumerate(texts), (9, "the never dog"), (9, "the never dog")], "doc_id long, text string")
+    base = {r.doc_id: r.log_likelihood for r in lm.score(new, net, words, ["doc_id"]).collect()}
+    got = lm.score_words(new, net, words, lm.word_counts(docs), ["doc_id"]).collect()
+    sizes = Counter()
+    for w, n in counts.items():
+        sizes[zlib.crc32(w) % lm.OTHER] += n * (w not in words)
+    share = lambda w: 0 if w in words else math.log(counts.get(w, 1)) - math.log(sizes[zlib.crc32(w) % lm.OTHER] + 1)
+    assert len(got) == 7 and sum(r.doc_id == 9 for r in got) == 2
+    for r in got:
+        text = dict(enumerate(texts)).get(r.doc_id, "the never dog") or ""
+        assert r.log_likelihood == pytest.approx(base[r.doc_id] + sum(share(w) for w in text.encode().split()), abs=1e-6)
+        assert r.n_tokens == len(text.split()) and (r.mean_log_likelihood is None) == (not text)
+
+
+def test_junk_scores_below_known_words(spark):
+    rnd = random.Random(5)
+    known = [f"word{i}" for i in range(3000)]
+    texts = [" ".join(rnd.choices(known, k=100)) for _ in range(300)] + [" ".join(f"{rnd.getrandbits(60):x}" for _ in range(100)) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.mean_log_likelihood for r in lm.op4(docs).collect()}
+    assert max(got[i] for i in range(300, 303)) < min(got[i] for i in range(300)) - 1
