@@ -3,8 +3,8 @@
 A small network predicts every token of a text from a window on both sides with the token itself left out; a document's
 score is the sum of the conditional log-probabilities of all its tokens. A rare word has the probability of its bucket
 times its share of the bucket's counts, so every distinct word has its own. Words are counted over all documents for the
-vocabulary; the network is trained in numpy inside Spark tasks on every STRIDE-th token of every document, each task from the
-shared weights, and the tasks' weights are averaged after each round, so what is learned from grows with the corpus.
+vocabulary; the network is trained in numpy inside Spark tasks on every token of every document, in ROUNDS random
+parts, each task from the shared weights, and the tasks' weights are averaged after each round, so what is learned from grows with the corpus.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ from siltstone.session import materialize
 CLASSES, OTHER = 32, 64
 SIDE, WIDTH = 2, 32
 VOCABULARY = CLASSES * CLASSES
-#: Rounds, tokens between two that are trained on, tokens of a step, learning rate; sums of weights that reach the driver.
-ROUNDS, STRIDE, STEP, RATE, SUMS = 2, 8, 1024, 0.1, 8
+#: Rounds, random parts of the tokens (one a round, as many as rounds, so all tokens are trained on), tokens of a
+#: step, learning rate; sums of weights that reach the driver.
+ROUNDS, STRIDE, STEP, RATE, SUMS = 2, 2, 2048, 0.1, 8
 #: Words that a task counts before it hands them on; known words of a task; tokens scored at once.
 COUNTED, KNOWN, AT_ONCE = 200_000, 400_000, 1 << 15
 
@@ -136,10 +137,13 @@ class Network:
             dh[rows] += e @ w["member"][c]
         dz = dh * (1 - h * h)
         g["bias"] = dz.sum(axis=0)
-        for k, o in enumerate(OFFSETS):
-            seen = tokens[at + o]
-            g["place"][k] = (dz * w["embed"][seen]).sum(axis=0)
-            np.add.at(g["embed"], seen, dz * w["place"][k])
+        seen = np.concatenate([tokens[at + o] for o in OFFSETS])
+        for k in range(len(OFFSETS)):
+            g["place"][k] = (dz * w["embed"][seen[k * n : (k + 1) * n]]).sum(axis=0)
+        order = np.argsort(seen.astype(np.uint16), kind="stable")
+        first = np.flatnonzero(np.diff(seen[order], prepend=-1))
+        moved = (dz[None] * w["place"][:, None]).reshape(len(seen), -1)
+        g["embed"][seen[order[first]]] = np.add.reduceat(moved[order], first, axis=0)
         for name in w:
             step = g[name] / n
             squares[name] += step * step
@@ -193,7 +197,7 @@ def fit(docs: DataFrame, words: list[bytes], text_col: str = "text", rounds: int
                 for text in batch.column(0).to_pylist():
                     held.append(text)
                     size += len(text or "")
-                    if size >= 64 * STEP:  # about a step's worth of trained tokens
+                    if size >= 64 * STEP:  # a few steps' worth of trained tokens
                         trained += step(local, ids, held, turn, squares)
                         held, size = [], 0
             trained += step(local, ids, held, turn, squares)
@@ -202,8 +206,8 @@ def fit(docs: DataFrame, words: list[bytes], text_col: str = "text", rounds: int
 
         def step(local, ids, texts, turn, squares):
             tokens, counts = ids.of(texts)
-            at = positions(counts)[turn % stride :: stride]
-            at = np.random.default_rng(len(at)).permutation(at)
+            at = positions(counts)
+            at = np.random.default_rng(len(at)).permutation(at)[turn % stride :: stride]  # the same order in every round, so the parts make up all
             for k in range(0, len(at), STEP):
                 local.train(tokens, at[k : k + STEP], squares)
             return len(at)

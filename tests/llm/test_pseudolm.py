@@ -116,3 +116,22 @@ def test_junk_scores_below_known_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.mean_log_likelihood for r in lm.op4(docs).collect()}
     assert max(got[i] for i in range(300, 303)) < min(got[i] for i in range(300)) - 1
+
+
+def test_every_token_is_a_target(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"{c}{i % 5}" for c in "abcdefgh")) for i in range(8000)], "doc_id long, text string")
+    words = lm.vocabulary(docs)
+    net, ids = lm.fit(docs, words), lm.Ids(words)
+    tokens, counts = ids.of([" ".join(f"{c}{k}" for c in "abcdefgh") for k in range(5)])
+    got = net.log_probabilities(tokens, lm.positions(counts)).reshape(5, 8).mean(axis=0)
+    assert got.min() > math.log(1 / 40) + 1
+
+
+def test_production_parameters_beat_word_frequencies_on_held_out_texts(spark):
+    rnd = random.Random(1)
+    text = lambda: " ".join(f"a{k} b{k} c{k}" for k in (rnd.randint(0, 30) for _ in range(200)))
+    docs = spark.createDataFrame([(i, text()) for i in range(600)], "doc_id long, text string")
+    words = lm.vocabulary(docs)
+    held = spark.createDataFrame([(0, text()), (1, " ".join(sorted(text().split())))], "doc_id long, text string")
+    good, shuffled = (r.mean_log_likelihood for r in lm.score(held, lm.fit(docs, words), words, ["doc_id"]).orderBy("doc_id").collect())
+    assert good > math.log(1 / 93) + 1 and good > shuffled + 1
