@@ -1,7 +1,7 @@
 """SpotSigs document fingerprints, in DataFrame functions only.
 
 A signature is a spot: a run of common words (anchors) and the chain of content words behind it. The first word of a text
-counts as a spot too, so every text has a signature. The set of a text's signatures is its fingerprint; likeness is the
+counts as a spot too, so every text has a signature; in a text without anchors every word counts as one. The set of a text's signatures is its fingerprint; likeness is the
 Jaccard similarity of two sets. Near copies are found within partitions by set length: sets can only be alike if their
 lengths are, so a set meets its own partition and the next, through the rarest of its signatures, and the pairs left are
 compared in full.
@@ -25,7 +25,7 @@ ANCHORS = (
 ).split()
 #: Content words in a chain, least likeness of near copies.
 CHAIN, LIKE = 2, 0.8
-JOINER = "\u0001"
+JOINER, MOST = "\u0001", 2**31 - 1
 
 
 def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAIN) -> Column:
@@ -41,6 +41,9 @@ def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAI
     if chain != 2:
         content = F.transform(spots, lambda x: F.substring_index(x, JOINER, -1))
         parts = F.transform(spots, lambda x, i: F.when(F.contains(x, F.lit(JOINER)), F.xxhash64(x, F.array_join(F.slice(content, i + 2, chain - 1), " "))))
+    # without an anchor every word is a spot; the first of them has its mark already
+    every = F.transform(F.filter(F.sequence(F.lit(1), F.size(spots)), lambda i: i < F.size(spots)), lambda i: F.xxhash64(F.array_join(F.slice(spots, i, chain), " ")))
+    parts = F.when(F.contains(F.substring(marked, 2, MOST), F.lit(JOINER)) | (F.size(spots) < 2), parts).otherwise(F.concat(parts, every))
     return F.array_sort(F.array_distinct(F.array_compact(parts)))
 
 

@@ -97,3 +97,13 @@ def test_equal_sets_have_equal_fingerprints(spark):
     docs = spark.createDataFrame([(1, "The cat sat on the mat"), (2, "The cat sat on the mat"), (3, "A dog")], "doc_id long, text string")
     got = {r.doc_id: r.f for r in docs.select("doc_id", spotsigs.digest(spotsigs.signatures(F.col("text"))).alias("f")).collect()}
     assert got[1] == got[2] != got[3]
+
+
+def test_texts_without_anchors_are_compared_whole(spark):
+    words = [f"слово{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:2] + [f"другое{i}" for i in range(58)]), " ".join(words[:30] + ["новое"] + words[31:]), "x = y", "x = z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: set(r.s) for r in docs.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect()}
+    assert len(got[0]) == 60 and jaccard(got[0], got[1]) < 0.1 and 0.9 < jaccard(got[0], got[2]) < 1 and got[3] != got[4]
+    classes = {r.doc_id: r.class_id for r in spotsigs.near_copies(docs).collect()}
+    assert classes == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
