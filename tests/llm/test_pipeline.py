@@ -141,3 +141,11 @@ def test_near_dedup_finds_all_pairs_of_five_word_jaccard(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert wide > 50 and {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(label)
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").collect() == []
+
+
+def test_near_dedup_with_repeated_and_null_ids(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, one), (1, two), (1, two), (None, one), (None, "c d e f g h"), (None, "c d e f g h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in simhash.one_of_each(docs).collect())
+    assert got == Counter([(1, one), (1, two), (None, "c d e f g h")])
