@@ -41,9 +41,9 @@ def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAI
     if chain != 2:
         content = F.transform(spots, lambda x: F.substring_index(x, JOINER, -1))
         parts = F.transform(spots, lambda x, i: F.when(F.contains(x, F.lit(JOINER)), F.xxhash64(x, F.array_join(F.slice(content, i + 2, chain - 1), " "))))
-    # without an anchor every word is a spot; the first of them has its mark already
-    every = F.transform(F.filter(F.sequence(F.lit(1), F.size(spots)), lambda i: i < F.size(spots)), lambda i: F.xxhash64(F.array_join(F.slice(spots, i, chain), " ")))
-    parts = F.when(F.contains(F.substring(marked, 2, MOST), F.lit(JOINER)) | (F.size(spots) < 2), parts).otherwise(F.concat(parts, every))
+    # without an anchor every word is a spot, with the word behind it
+    every = F.zip_with(spots, F.slice(spots, F.lit(2), F.greatest(F.size(spots), F.lit(1))), lambda x, y: F.xxhash64(x, y))
+    parts = F.when(F.contains(F.substring(marked, 2, MOST), F.lit(JOINER)) | (F.size(spots) < 2), parts).otherwise(every)
     return F.array_sort(F.array_distinct(F.array_compact(parts)))
 
 
