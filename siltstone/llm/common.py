@@ -39,7 +39,10 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, make: Callable[[],
 
     ``make()`` runs once in each task and returns the function from a list of texts to lists by column name. With
     ``multi`` that column holds, for each text, how many output rows it has, and the other lists are as long as their sum.
+    A kept column with the name of an added one gives way to it.
     """
+    made_names = {f.name.lower() for f in added.fields}
+    keep = [c for c in keep if c.lower() not in made_names]
     df = df.select(*keep, *([] if text_col in keep else [text_col]))
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

@@ -1,13 +1,17 @@
 """Secret scans: base patterns, and an assignment-aware lexer that reads name-literal pairs and scores them by the name.
 
 The lexer walks every ``=`` and ``:`` (also ``:=``, ``=>``) and every ``<name>text</name>``, reads the name before it and the
-expression behind it (string literals, bare configuration values, names, joined by ``+`` or ``.``). Names assigned before
-are propagated, so ``KEY = "..."`` and a later ``password = KEY`` mark the literal of KEY.
+expression behind it (string literals, bare configuration values, names, joined by ``+`` or ``.``), and goes on behind that
+expression, so a text is read once, whatever its length. A bare value ends at blanks, quotes, brackets, ``, ; & ?``. Names
+assigned before are propagated, so ``KEY = "..."`` and a later ``password = KEY`` mark the literal of KEY; what a name
+stands for is kept by reference, so chains of concatenations do not grow.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -32,7 +36,7 @@ SUBWORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 STRING = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`')
 PREFIX = re.compile(r"(?:[rRbBuUfF]{1,2})(?=[\"'])")
 WORD = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*")
-BARE = re.compile(r"[^\s\"'`,;<>(){}\[\]]+")
+BARE = re.compile(r"[^\s\"'`,;&?<>(){}\[\]]+")
 ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*)>([^<>\n]+)</\1>")
 NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-$")
 
@@ -47,7 +51,7 @@ def name_score(name: str) -> float:
 def literal_score(value: str, quoted: bool) -> float:
     """How much a literal looks like a secret: 0 for placeholders and references, less for plain words, least for bare ones."""
     low = value.lower()
-    if len(value) < LEAST_LENGTH or low in PLACEHOLDERS or len(set(value)) < 3 or re.search(r"\$\{|\{\{|<[^>]*>|%\(", value) or low.startswith(("your", "http://", "https://", "/")):
+    if len(value) < LEAST_LENGTH or low in PLACEHOLDERS or len(set(value)) < 3 or re.search(r"\$\{|\{\{|%\(", value) or -1 < value.find("<") < value.rfind(">") or low.startswith(("your", "http://", "https://", "/")):
         return 0.0
     if " " in value.strip():
         return 0.4 if quoted else 0.0
@@ -70,7 +74,7 @@ def name_before(text: str, at: int) -> tuple[str, int]:
 
 
 def expression(text: str, at: int):
-    """The parts from ``at``: ``(value, start, end, quoted, is name)``, joined by ``+`` or ``.``; a bare value ends it."""
+    """The parts from ``at``: ``(value, start, end, quoted, is name)``, joined by ``+`` or ``.``; a bare value ends it; and where it ends."""
     parts, n = [], len(text)
     while True:
         while at < n and text[at] in " \t":
@@ -81,29 +85,36 @@ def expression(text: str, at: int):
             g = next(k for k in (1, 2, 3) if m.group(k) is not None)
             parts.append((m.group(g), m.start(g), m.end(g), True, False))
         elif m := BARE.match(text, at):
-            value = m.group().rstrip(".,:!?")
             if text[m.end() : m.end() + 1] == "(":  # a call, not a literal
-                return parts
+                return parts, m.end()
+            value = m.group().rstrip(".,:!?")
             parts.append((value, m.start(), m.start() + len(value), False, WORD.fullmatch(value) is not None))
         else:
-            return parts
-        at = m.end()
+            return parts, at
+        at = end = m.end()
         while at < n and text[at] in " \t":
             at += 1
         if at < n and text[at] in "+." and at + 1 < n:
             at += 1
         else:
-            return parts
+            return parts, end
 
 
-def lexed(text: str) -> list[tuple[int, int, str, float]]:
-    """``(start, end, name, score)`` of the literals that sensitive names get, by assignment or through other names."""
-    found: dict[tuple[int, int], tuple[str, float]] = {}
-    known: dict[str, list[tuple[str, int, int, bool]]] = {}
+class Value:
+    """What a name stands for: its own literals, and the values of the names it was put together from."""
+
+    __slots__ = ("literals", "parts", "seen")
+
+    def __init__(self):
+        self.literals, self.parts, self.seen = [], [], 0.0
+
+
+def assignments(text: str):
+    """``(name, parts)`` of all assignments in a text, in order; each character is read once."""
     events = []
     for m in OPERATOR.finditer(text):
         i = m.start()
-        if text[i - 1 : i] in ("=", "!", "<", ">", ":") and i or text[i + 1 : i + 2] == "=" and text[i] == "=" or text.startswith("://", i):
+        if i and text[i - 1] in "=!<>:" or text[i] == "=" and text.startswith("=", i + 1) or text.startswith("://", i):
             continue
         after = i + 1
         if text[after : after + 1] in ("=", ">") and (text[i] == ":" or text[after] == ">"):
@@ -112,27 +123,44 @@ def lexed(text: str) -> list[tuple[int, int, str, float]]:
     if "</" in text:
         events += [(m.start(), m.start(2), m) for m in ELEMENT.finditer(text)]
         events.sort(key=lambda e: e[0])
+    read = 0
     for i, after, m in events:
         if m is not None:
-            name, parts = m.group(1), [(m.group(2), m.start(2), m.end(2), True, False)]
-        else:
+            yield m.group(1), [(m.group(2), m.start(2), m.end(2), True, False)]
+        elif i >= read:
             name, _ = name_before(text, i)
-            if not name or not WORD.match(name.lstrip("-.")):
-                continue
-            parts = expression(text, after)
-        name = name.lstrip("-.")
-        literals = []
+            if name and WORD.match(name.lstrip("-.")):
+                parts, read = expression(text, after)
+                yield name.lstrip("-."), parts
+
+
+def lexed(text: str) -> list[tuple[int, int, str, float]]:
+    """``(start, end, name, score)`` of the literals that sensitive names get, by assignment or through other names.
+
+    Of several names the one with the highest score counts, of equal ones the first.
+    """
+    found: dict[tuple[int, int], tuple[str, float]] = {}
+    known: dict[str, Value] = {}
+    for name, parts in assignments(text):
+        made = Value()
         for value, a, b, quoted, is_name in parts:
-            if not quoted and is_name and (value in known):
-                literals += known[value]
+            if is_name and not quoted and value in known:
+                made.parts.append(known[value])
             else:
-                literals.append((value, a, b, quoted))
-        known[name] = literals
-        if (by_name := name_score(name)) > 0:
-            for value, a, b, quoted in literals:
+                made.literals.append((value, a, b, quoted))
+        known[name] = made
+        by_name = name_score(name)
+        stack = [made]
+        while stack:
+            some = stack.pop()
+            if some.seen >= by_name:  # a name that speaks as strongly has marked all of this
+                continue
+            some.seen = by_name
+            for value, a, b, quoted in some.literals:
                 score = by_name * literal_score(value, quoted)
                 if score >= LEAST_SCORE and score > found.get((a, b), ("", 0.0))[1]:
                     found[a, b] = (name, score)
+            stack += some.parts
     return sorted((a, b, name, score) for (a, b), (name, score) in found.items())
 
 
@@ -150,8 +178,12 @@ def scan(text: str | None) -> list[tuple[int, int, str, int, int, str, float]]:
         out += [(*m.span(), "access", *m.span(), "", 1.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(*m.span(), "hex", *m.span(), "", 1.0) for m in HEX.finditer(text)]
     if "=" in text or ":" in text or "</" in text:
-        base = [(s[0], s[1]) for s in out]
-        out += [(a, b, "lexed", a, b, name, score) for a, b, name, score in lexed(text) if not any(x <= a and b <= y for x, y in base)]
+        base = sorted((s[0], s[1]) for s in out)
+        starts, reach = [a for a, _ in base], list(itertools.accumulate((b for _, b in base), max))
+        for a, b, name, score in lexed(text):
+            before = bisect.bisect_right(starts, a)
+            if not before or reach[before - 1] < b:
+                out.append((a, b, "lexed", a, b, name, score))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -165,9 +197,11 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
             merged[-1][1] = max(b, merged[-1][1])
         else:
             merged.append([a, b])
-    for a, b in reversed(merged):
-        text = text[:a] + mark + text[b:]
-    return text
+    out, at = [], 0
+    for a, b in merged:
+        out += [text[at:a], mark]
+        at = b
+    return "".join([*out, text[at:]])
 
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("value_start", T.LongType()), T.StructField("value_end", T.LongType()), T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -176,7 +210,9 @@ SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end",
 def find_secrets(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """Add ``found``: an array of spans with kind, value span, target name and score, in code points, ends exclusive.
 
-    Null and empty texts have no span. Whole texts of any length are read; repeated rows have equal results.
+    Null and empty texts have no span. Whole texts of any length are read, in time in proportion to it; repeated rows have
+    equal results; spans of one start come in the order of their kinds. An empty table gives an empty result. A kept column
+    named ``found`` gives way.
     """
 
     def make():
@@ -187,17 +223,16 @@ def find_secrets(docs: DataFrame, keep: list[str], text_col: str = "text") -> Da
 
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """``docs`` with secrets replaced in the text; the length column follows. Rows are never dropped."""
-    names = docs.columns
-    keep = [c for c in names if c != text_col]
+    """``docs`` with secrets replaced in the text; the length column follows. Rows are never dropped.
 
-    def make():
-        return lambda texts: {"_redacted": [redact(t) for t in texts]}
-
-    out = map_texts(docs, keep, text_col, make, T.StructType([T.StructField("_redacted", T.StringType())])).withColumnRenamed("_redacted", text_col)
-    if length_col in names:
-        out = out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
-    return out.select(*names)
+    Null texts stay null, empty ones empty; repeated rows get equal texts; an empty table gives an empty result. All other
+    columns stay as they are, whatever their names.
+    """
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
+    rows = docs.select(row, F.col(f"`{text_col}`").alias("text"))
+    out = map_texts(rows, ["row"], "text", lambda: lambda texts: {"left": [redact(t) for t in texts]}, T.StructType([T.StructField("left", T.StringType())]))
+    fresh = {text_col: F.col("left"), length_col: F.char_length("left")}
+    return out.select(*[fresh[c].cast(docs.schema[c].dataType).alias(c) if c in fresh else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5(docs: DataFrame) -> DataFrame:
