@@ -24,28 +24,55 @@ def one_by_one(lengths, size):
     return sorted(gaps)
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_plan_is_best_fit(seed):
-    rnd = random.Random(seed)
-    size = rnd.choice([10, 64, 100])
-    lengths = [min(size, max(1, int(rnd.gammavariate(1.2, size / 4)))) for _ in range(rnd.choice([1, 50, 700]))]
-    counts = defaultdict(int)
-    for n in lengths:
-        counts[n] += 1
-    seqs, seen = defaultdict(list), defaultdict(set)
-    for length, rank, n, each, first, offset in packing.plan(dict(counts), size):
-        for k in range(n):
-            assert rank + k not in seen[length]
-            seen[length].add(rank + k)
-            seqs[first + k // each].append((offset + k % each * length, length))
-    assert {k: len(v) for k, v in seen.items()} == dict(counts)
+def layout(got, size):
+    seqs = defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append((r.offset, r.length))
     for parts in seqs.values():
         at = 0
         for offset, n in sorted(parts):
             assert offset == at
             at += n
         assert at <= size
-    assert sorted(size - sum(n for _, n in p) for p in seqs.values()) == one_by_one(lengths, size)
+    return seqs
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_one_range_is_best_fit(seed):
+    rnd = random.Random(seed)
+    size = rnd.choice([10, 64, 100])
+    lengths = sorted((min(size, max(1, int(rnd.gammavariate(1.2, size / 4)))) for _ in range(rnd.choice([1, 50, 700]))), reverse=True)
+    placed, free, ready = packing.sweep(lengths, [None] * len(lengths), size, 0)
+    assert sorted(g for g, _, _ in free) == [g for g in one_by_one(lengths, size) if g]
+    assert all(gap >= n for n, (_, gap) in zip(lengths, placed)) and all(g >= lengths[-1] for g, _, _ in free[:ready])
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_brackets_give_each_piece_its_own_gap_from_above(seed):
+    rnd = random.Random(seed)
+    ranges = [(p, rnd.randint(0, 5), rnd.randint(0, 5)) for p in range(rnd.randint(1, 9))]
+    runs, taken = packing.brackets(ranges)
+    assert sum(r[2] for r in runs) == sum(r[1] for r in ranges)
+    used = [(q, b + k) for _, _, n, q, b in runs if q >= 0 for k in range(n)]
+    assert len(used) == len(set(used)) and all(k < taken[q] <= dict((p, g) for p, _, g in ranges)[q] for q, k in used)
+    assert all(q < p for p, _, _, q, _ in runs)
+    open_, without = 0, 0
+    for _, pieces, gaps in ranges:
+        without += max(0, pieces - open_)
+        open_ = max(0, open_ - pieces) + gaps
+    assert sum(r[2] for r in runs if r[3] < 0) == without
+
+
+@pytest.mark.parametrize(("kind", "size"), [("mixed", 2048), ("short", 2048), ("equal", 100), ("thirds", 90), ("large", 50), ("ones", 64)])
+def test_rounds_pack_about_as_well_as_one_by_one(spark, kind, size, monkeypatch):
+    monkeypatch.setattr(packing, "LAST", 60)
+    rnd = random.Random(kind)
+    make = {"mixed": lambda: min(size, max(1, int(rnd.lognormvariate(6, 1.5)))), "short": lambda: rnd.randint(1, 30), "equal": lambda: 10, "thirds": lambda: rnd.randint(26, 34), "large": lambda: rnd.randint(26, 50), "ones": lambda: rnd.choice([1, 64])}[kind]
+    lengths = [make() for _ in range(3000)]
+    cut = spark.createDataFrame([(i, n, i) for i, n in enumerate(lengths)], "id long, length long, offset long")
+    got = packing.pack(cut, ["id"], size).collect()
+    assert sorted((r.id, r.length) for r in got) == list(enumerate(lengths))
+    assert len(layout(got, size)) <= len(one_by_one(lengths, size)) * 1.01 + 2
 
 
 def check(rows, got, size=2048):
@@ -55,18 +82,11 @@ def check(rows, got, size=2048):
         for p, s in enumerate(range(0, len(ids), size)):
             part = np.array(ids[s : s + size], "<u4")
             want[doc_id, p, s, len(part), zlib.crc32(part.tobytes())] += 1
-    have, seqs = defaultdict(int), defaultdict(list)
+    have = defaultdict(int)
     for r in got:
         have[r.doc_id, r.piece, r.start, r.length, r.ids_crc32] += 1
-        seqs[r.sequence_id].append((r.offset, r.length))
     assert have == want
-    for parts in seqs.values():
-        at = 0
-        for offset, n in sorted(parts):
-            assert offset == at
-            at += n
-        assert at <= size
-    return len(seqs), sum(r.length for r in got)
+    return len(layout(got, size)), sum(r.length for r in got)
 
 
 def test_query_matches_brute_force(spark, sf_dir):
