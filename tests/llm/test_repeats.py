@@ -19,34 +19,37 @@ def brute_covered(texts, least):
     return out
 
 
-def brute_maximal(texts, least):
-    """Every maximal repeat with all its occurrences, by trying all strings."""
-    found = {}
-    for t in texts:
-        for i in range(len(t)):
-            for j in range(i + least, len(t) + 1):
-                found.setdefault(t[i:j], None)
-    out = set()
-    for s in found:
-        at = [(k, i) for k, t in enumerate(texts) for i in range(len(t) - len(s) + 1) if t[i : i + len(s)] == s]
-        if len(at) < 2:
-            continue
-        before = {texts[k][i - 1] if i else (k, "start") for k, i in at}
-        after = {texts[k][i + len(s)] if i + len(s) < len(texts[k]) else (k, "end") for k, i in at}
-        if len(before) > 1 and len(after) > 1:
-            out.add((len(s), tuple(sorted(at))))
-    return out
-
-
-@pytest.mark.parametrize("seed", range(20))
-def test_maximal_repeats(seed):
+def contexts_of_one_anchor(seed):
+    """Contexts that differ, all around the same anchor bytes."""
     rnd = random.Random(seed)
-    texts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 14))) for _ in range(rnd.randint(1, 5))]
-    got = {(length, tuple(sorted(at))) for length, at in repeats.maximal_repeats(texts, 2)}
-    # a repeat at the start of one text only has nothing before it there, which counts as one more left neighbour
-    assert brute_maximal(texts, 2) <= got
-    for length, at in got:
-        assert len({texts[k][i : i + length] for k, i in at}) == 1 and len(at) > 1
+    some = lambda n: bytes(rnd.choice(b"ab\0") for _ in range(rnd.randint(0, n)))
+    return sorted({(some(4), b"xyx" + some(5)) for _ in range(rnd.randint(1, 40))})
+
+
+def shared(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_reach_and_maximal_repeats_match_all_pairs(seed):
+    contexts, least = contexts_of_one_anchor(seed), 5
+    lefts, rights = [a for a, _ in contexts], [b for _, b in contexts]
+    want, groups = [(0, 0)] * len(contexts), set()
+    for i in range(len(contexts)):
+        for j in range(len(contexts)):
+            l, r = shared(lefts[i][::-1], lefts[j][::-1]), shared(rights[i], rights[j])
+            if i != j and l + r >= least:
+                want[i] = (max(want[i][0], l), max(want[i][1], r))
+                groups.add((l, r, tuple(k for k in range(len(contexts)) if lefts[k].endswith(lefts[i][len(lefts[i]) - l :]) and rights[k].startswith(rights[i][:r]))))
+    assert repeats.reach(lefts, rights, least) == want
+    got = {(l, r, tuple(m)) for l, r, m in repeats.maximal(lefts, rights, least, [1] * len(contexts))}
+    # every longest repeat of a context is among the groups, every group is a maximal repeat with all its occurrences
+    assert got <= groups
+    for i, (l, r) in enumerate(want):
+        assert not r or max(g[0] for g in got if i in g[2]) == l and max(g[1] for g in got if i in g[2]) == r
 
 
 def corpus(seed):
@@ -83,6 +86,34 @@ def test_query_matches_brute_force(spark, group, monkeypatch):
     assert sum(r[2] > 0 for r in want) > 20
 
 
+@pytest.mark.parametrize("group", [repeats.GROUP, 5])
+def test_groups_list_all_occurrences(spark, group, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    texts = [t for t in dict.fromkeys(corpus(2)) if t]
+    rows = repeats.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    raw, groups = [t.encode() for t in texts], {}
+    for r in rows:
+        groups.setdefault((r.anchor, r.string, r.length), set()).add((r.doc_id, r.start))
+    marks = [bytearray(len(t)) for t in raw]
+    for (_, _, length), places in groups.items():
+        strings = {raw[i][a : a + length] for i, a in places}
+        assert len(strings) == 1 and length >= 200 and len(places) > 1
+        s = strings.pop()
+        assert places == {(i, a) for i, t in enumerate(raw) for a in range(len(t) - length + 1) if t.startswith(s, a)}
+        for i, a in places:
+            marks[i][a : a + length] = b"\1" * length
+    assert marks == brute_covered(raw, 200)
+
+
+def test_hot_keys_repeated_rows_and_clashing_names(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(400))
+    rows = [(None, text, 1, 2, 3, "x")] * 40 + [(1, text, 1, 2, 3, "y"), (2, text[:260] + "!" * 30, 4, 5, 6, "z"), (3, "short", 7, 8, 9, None), (4, None, 0, 0, 0, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int, t int, row int, spans string")
+    got = repeats.remove_repeats(docs)
+    assert got.columns == docs.columns and got.count() == len(rows)
+    assert {(r.doc_id, r.k, r.t, r.row, r.spans): r.text for r in got.collect()} == {(None, 1, 2, 3, "x"): "", (1, 1, 2, 3, "y"): "", (2, 4, 5, 6, "z"): "!" * 30, (3, 7, 8, 9, None): "short", (4, 0, 0, 0, "n"): None}
+
+
 def test_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.collect()
