@@ -1,15 +1,20 @@
 """Masked pseudo-likelihood scores.
 
 A small network predicts every token of a text from a window on both sides with the token itself left out; a document's
-score is the sum of the conditional log-probabilities of all its tokens. A rare word has the probability of its bucket
-times its share of the bucket's counts, so every distinct word has its own. Words are counted over all documents for the
-vocabulary; the network is trained in numpy inside Spark tasks on every token of every document, in ROUNDS random
-parts, each task from the shared weights, and the tasks' weights are averaged after each round, so what is learned from grows with the corpus.
+score is the sum of the conditional log-probabilities of all its tokens. The network's softmax is over classes of words of
+like frequency, with a class of its own for each of the most frequent; a word has its class's probability times its share
+of the class's count. Every distinct word of the corpus has its own share: those of up to KNOWN frequent words are a list,
+all others a Spark table that grows with the corpus. Such a rare word may also be remembered: where it stands elsewhere in
+the corpus between the same two neighbours, these other places predict it.
+
+The network is trained in numpy inside Spark tasks, once on every token of every document: a hash of the text deals
+documents to rounds, and a hash of id and text to parts of about PART tokens. Each part starts from the shared weights; a
+tree of sums averages them after each round. The number of parts depends on the corpus alone, so what is learned does not
+depend on the cluster.
 """
 
 from __future__ import annotations
 
-import itertools
 import zlib
 from collections import Counter
 
@@ -20,40 +25,66 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from siltstone.llm.common import map_texts
+from siltstone.llm.common import map_texts, release
 from siltstone.session import materialize
 
-#: Output layer of CLASSES x CLASSES tokens: the most frequent words, and OTHER buckets for all other words by their hash.
-CLASSES, OTHER = 32, 64
-SIDE, WIDTH = 2, 32
-VOCABULARY = CLASSES * CLASSES
-#: Rounds, random parts of the tokens (one a round, as many as rounds, so all tokens are trained on), tokens of a
-#: step, learning rate; sums of weights that reach the driver.
-ROUNDS, STRIDE, STEP, RATE, SUMS = 2, 2, 2048, 0.1, 8
-#: Words that a task counts before it hands them on; known words of a task; tokens scored at once.
-COUNTED, KNOWN, AT_ONCE = 200_000, 400_000, 1 << 15
+#: Words with a number of their own at most; classes of one word, of several known words, and of all other words by their hash.
+KNOWN, SINGLE, BINS, OTHER = 1 << 18, 24, 32, 8
+CLASSES = SINGLE + BINS + OTHER
+#: Window to each side, width of the vectors, and how many vectors there are: words beyond share them.
+SIDE, WIDTH, VECTORS = 2, 16, 1 << 15
+#: Where the rounds end, as shares of all documents: short ones first, so that the parts agree early. Tokens of a part and of a step, learning rate.
+ROUNDS, PART, STEP, RATE = (1 / 16, 1 / 4, 1), 4_000_000, 8192, 0.1
+#: Blocks that weights are cut into on their way, and how many sums become one in a step of the tree.
+BLOCKS, FAN = 8, 64
+#: Words that a task counts before it hands them on; other words it remembers; tokens scored at once.
+COUNTED, REMEMBERED, AT_ONCE = 200_000, 200_000, 1 << 14
+#: What other places with the same neighbours count for in the probability of a rare word.
+MEMORY = 0.25
+#: Log-probabilities are added as whole numbers of this size, so that sums do not depend on the order of rows.
+UNIT = 2.0**-24
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+class Vocabulary:
+    """The known words by falling count, with their counts, and the counts of the classes of all other words."""
+
+    def __init__(self, words: list[bytes], counts: list[int], others: list[int]):
+        self.words, self.n = b"\n".join(words), len(words)
+        wide = max(0, self.n - SINGLE)
+        # bins grow with the rank, so that a bin of frequent words has few
+        edges = SINGLE + np.unique(np.rint((1 + wide) ** (np.arange(1, BINS) / BINS) - 1).astype(np.int64))
+        rank = np.arange(self.n)
+        self.class_of = np.concatenate((np.where(rank < SINGLE, rank, SINGLE + np.searchsorted(edges, rank, side="right")), SINGLE + BINS + np.arange(OTHER), [0])).astype(np.int64)
+        self.vector_of = np.concatenate((np.where(rank < VECTORS - 4096, rank, VECTORS - 4096 + rank % 4087), VECTORS - 9 + np.arange(OTHER), [VECTORS - 1])).astype(np.uint16)
+        known = np.array(counts, np.float64).reshape(-1)
+        sizes = np.bincount(self.class_of[: self.n], known, CLASSES)
+        self.share = np.concatenate((np.log(known) - np.log(sizes[self.class_of[: self.n]]), -np.log(np.array(others) + 1.0), [0.0]))
+        self.blank = self.n + OTHER
+
+    def ids(self) -> "Ids":
+        return Ids(self.words.split(b"\n") if self.n else [], self.n)
+
+
 class Ids(dict):
-    """Number of a word: its rank in the vocabulary, or one of the buckets for others."""
+    """Number of a word: its rank, or behind all ranks the class of others it falls into by its hash."""
 
-    def __init__(self, vocabulary: list[bytes]):
-        super().__init__({w: i for i, w in enumerate(vocabulary)})
-        self.first = len(vocabulary)
+    def __init__(self, words: list[bytes], n: int):
+        super().__init__({w: i for i, w in enumerate(words)})
+        self.n, self.room = n, n + REMEMBERED
 
     def __missing__(self, word):
-        n = VOCABULARY - OTHER + zlib.crc32(word) % OTHER
-        if len(self) < KNOWN:
-            self[word] = n
-        return n
+        i = self.n + zlib.crc32(word) % OTHER
+        if len(self) < self.room:
+            self[word] = i
+        return i
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all texts with SIDE blanks around each text, and the number of tokens of each."""
-        parts, counts, blank = [], [], np.full(SIDE, VOCABULARY, np.int64)
+        parts, counts, blank = [], [], np.full(SIDE, self.n + OTHER, np.int64)
         for text in texts:
             words = words_of(text)
             parts += [blank, np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
@@ -62,11 +93,22 @@ class Ids(dict):
 
 
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
-SHAPES = {"embed": (VOCABULARY + 1, WIDTH), "place": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "group": (CLASSES, WIDTH), "group_bias": (CLASSES,), "member": (CLASSES, CLASSES, WIDTH), "member_bias": (CLASSES, CLASSES)}
+SHAPES = {"embed": (VECTORS, WIDTH), "place": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "out": (CLASSES, WIDTH), "out_bias": (CLASSES,)}
+
+
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+def sharp(x: np.ndarray) -> np.ndarray:
+    """x in steps of 2**-20, so that products of two such arrays and sums of 32 of these are exact in 64 bits, whatever their order."""
+    return np.rint(x.astype(np.float64) * 2**20) * 2.0**-20
 
 
 class Network:
-    """Window vectors weighted by place, one tanh layer, then a softmax over groups and one over the members of a group."""
+    """Window vectors weighted by place, one tanh layer, and a softmax over the classes."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
@@ -76,78 +118,68 @@ class Network:
         rng = np.random.default_rng(seed)
         w = {n: (rng.standard_normal(s) * (0.3 if n == "embed" else 0.1)).astype(np.float32) for n, s in SHAPES.items()}
         w["place"] += 0.5
-        for n in ("bias", "group_bias", "member_bias"):
+        for n in ("bias", "out_bias"):
             w[n][:] = 0
         return Network(w)
 
-    def pack(self) -> bytes:
-        return b"".join(np.ascontiguousarray(self.w[n], np.float32).tobytes() for n in SHAPES)
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.w[n].ravel() for n in SHAPES])
 
     @staticmethod
-    def unpack(data: bytes | np.ndarray) -> "Network":
-        flat, at, w = np.frombuffer(data, np.float32) if isinstance(data, bytes) else data.astype(np.float32), 0, {}
+    def of(flat: np.ndarray) -> "Network":
+        at, w = 0, {}
         for n, s in SHAPES.items():
             size = int(np.prod(s))
-            w[n] = flat[at : at + size].reshape(s).copy()
+            w[n] = flat[at : at + size].reshape(s).astype(np.float32)
             at += size
         return Network(w)
 
-    def hidden(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def hidden(self, vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
         total = np.tile(self.w["bias"], (len(at), 1))
         for k, o in enumerate(OFFSETS):
-            total += self.w["embed"][tokens[at + o]] * self.w["place"][k]
-        return np.tanh(total)
+            total += self.w["embed"][vectors[at + o]] * self.w["place"][k]
+        return np.tanh(total, out=total)
 
-    @staticmethod
-    def log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    def log_probabilities(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log p(token | both sides) at the given positions; no position sees its own token."""
-        out = np.zeros(len(at), np.float64)
+    def log_probabilities(self, vectors: np.ndarray, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log p(class | both sides) at the given positions; no position sees its own token."""
+        got, out = np.zeros(len(at), np.float64), sharp(self.w["out"]).T
         for k in range(0, len(at), AT_ONCE):
             some = at[k : k + AT_ONCE]
-            h, target = self.hidden(tokens, some), tokens[some]
-            group, member = target // CLASSES, target % CLASSES
-            got = self.log_softmax(h @ self.w["group"].T + self.w["group_bias"])[np.arange(len(some)), group].astype(np.float64)
-            order = np.argsort(group, kind="stable")
-            ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
-            for g in range(CLASSES):
-                rows = order[ends[g] : ends[g + 1]]
-                if len(rows):
-                    z = self.log_softmax(h[rows] @ self.w["member"][g].T + self.w["member_bias"][g])
-                    got[rows] += z[np.arange(len(rows)), member[rows]]
-            out[k : k + AT_ONCE] = got
-        return out
-
-    def train(self, tokens: np.ndarray, at: np.ndarray, squares: dict[str, np.ndarray]) -> None:
-        """One Adagrad step on the given positions."""
-        w, n, g = self.w, len(at), {name: np.zeros_like(x) for name, x in self.w.items()}
-        h, target = self.hidden(tokens, at), tokens[at]
-        group, member = target // CLASSES, target % CLASSES
-        d = np.exp(self.log_softmax(h @ w["group"].T + w["group_bias"]))
-        d[np.arange(n), group] -= 1
-        g["group"], g["group_bias"], dh = d.T @ h, d.sum(axis=0), d @ w["group"]
-        for c in np.unique(group):
-            rows = np.flatnonzero(group == c)
-            e = np.exp(self.log_softmax(h[rows] @ w["member"][c].T + w["member_bias"][c]))
-            e[np.arange(len(rows)), member[rows]] -= 1
-            g["member"][c], g["member_bias"][c] = e.T @ h[rows], e.sum(axis=0)
-            dh[rows] += e @ w["member"][c]
-        dz = dh * (1 - h * h)
-        g["bias"] = dz.sum(axis=0)
-        seen = np.concatenate([tokens[at + o] for o in OFFSETS])
-        for k in range(len(OFFSETS)):
-            g["place"][k] = (dz * w["embed"][seen[k * n : (k + 1) * n]]).sum(axis=0)
-        order = np.argsort(seen.astype(np.uint16), kind="stable")
-        first = np.flatnonzero(np.diff(seen[order], prepend=-1))
-        moved = (dz[None] * w["place"][:, None]).reshape(len(seen), -1)
-        g["embed"][seen[order[first]]] = np.add.reduceat(moved[order], first, axis=0)
-        for name in w:
-            step = g[name] / n
-            squares[name] += step * step
-            w[name] -= RATE * step / (np.sqrt(squares[name]) + 1e-6)
+            z = (sharp(self.hidden(vectors, some)) @ out).astype(np.float32)  # a row's result does not depend on the rows around it
+            got[k : k + AT_ONCE] = log_softmax(z + self.w["out_bias"])[np.arange(len(some)), classes[some]]
+        return got
+
+    def train(self, vectors: np.ndarray, classes: np.ndarray, at: np.ndarray, squares: dict[str, np.ndarray]) -> None:
+        """One Adagrad step on the given positions; only vectors that had a part in it are touched."""
+        w, n = self.w, len(at)
+
+        def move(name, where, g):
+            s = squares[name][where] + g * g
+            squares[name][where] = s
+            w[name][where] -= RATE * g / (np.sqrt(s) + 1e-6)
+
+        h = self.hidden(vectors, at)
+        d = h @ w["out"].T
+        d += w["out_bias"]
+        d -= d.max(axis=1, keepdims=True)
+        np.exp(d, out=d)
+        d /= d.sum(axis=1, keepdims=True)
+        d[np.arange(n), classes[at]] -= 1
+        d *= np.float32(1 / n)
+        dh = d @ w["out"]
+        move("out", slice(None), d.T @ h)
+        move("out_bias", slice(None), d.sum(axis=0))
+        dh *= 1 - h * h
+        seen = np.concatenate([vectors[at + o] for o in OFFSETS])
+        place = np.stack([np.einsum("ij,ij->j", dh, w["embed"][seen[k * n : (k + 1) * n]]) for k in range(len(OFFSETS))])
+        touched = np.flatnonzero(np.bincount(seen, minlength=VECTORS))
+        number = np.zeros(VECTORS, np.int64)
+        number[touched] = np.arange(len(touched))
+        number, turned = number[seen], np.ascontiguousarray(dh.T)
+        g = np.stack([np.bincount(number, np.outer(w["place"][:, j], turned[j]).ravel(), len(touched)) for j in range(WIDTH)], axis=1)
+        move("embed", touched, g.astype(dh.dtype))
+        move("place", slice(None), place)
+        move("bias", slice(None), dh.sum(axis=0))
 
 
 def positions(counts: np.ndarray) -> np.ndarray:
@@ -156,6 +188,14 @@ def positions(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(SIDE * np.arange(1, len(counts) + 1), counts)
 
 
+def sums_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sum of each text's values, each text on its own."""
+    out, full = np.zeros(len(counts), values.dtype), np.flatnonzero(counts)
+    if len(full):
+        out[full] = np.add.reduceat(values, (np.cumsum(counts) - counts)[full])
+    return out
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(word, n)`` of all words of all documents; tasks count before the shuffle."""
     schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
@@ -173,138 +213,187 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(count, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame) -> list[bytes]:
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - OTHER).collect()]
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The words from some count on, so that they are KNOWN at most; only this list, of a bounded length, reaches the driver."""
+    # counts from 1,000 on in steps of three digits, so that there are few
+    digits = F.pow(F.lit(10), F.greatest(F.lit(0), F.length(F.col("n").cast("string")) - 3)).cast("long")
+    sizes, room, least = counts.groupBy((F.floor(F.col("n") / digits) * digits).alias("step")).count().collect(), KNOWN, None
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["step"]
+    is_known = F.lit(False) if least is None else F.col("n") >= least
+    known = sorted(((-r["n"], bytes(r["word"])) for r in counts.where(is_known).collect()))
+    others = [0] * OTHER
+    for r in counts.where(~is_known).groupBy((F.crc32("word") % OTHER).alias("k")).agg(F.sum("n").alias("n")).collect():
+        others[r["k"]] = r["n"]
+    return Vocabulary([w for _, w in known], [-n for n, _ in known], others)
+
+
+def averaged(local: DataFrame, parts: int) -> np.ndarray | None:
+    """Mean of all parts' weights by tokens, in steps of FAN sums, each block on its own; only the last sums reach the driver."""
+    schema = local.schema
 
+    def add(batches):
+        def row():
+            return pa.RecordBatch.from_pylist([{"block": key[0], "part": key[1], "n": n, "weights": total.tobytes()}], schema=to_arrow_schema(schema))
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
-    """The most frequent words of all documents, ties in byte order; only the list reaches the driver."""
-    return most_frequent(word_counts(docs, text_col))
+        key, total, n = None, None, 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                # sums, of 64 bits, have a negative count; weights of one part, of 32 bits, a positive one
+                x = np.frombuffer(r["weights"], np.float64) if r["n"] < 0 else np.frombuffer(r["weights"], np.float32).astype(np.float64) * r["n"]
+                if key != (r["block"], r["part"] // FAN):
+                    if key:
+                        yield row()
+                    key, total, n = (r["block"], r["part"] // FAN), 0.0, 0
+                total, n = total + x, n - abs(r["n"])
+        if key:
+            yield row()
+
+    while True:
+        parts = -(-parts // FAN)
+        local = local.repartition(min(BLOCKS * parts, 4096), "block", F.floor(F.col("part") / FAN)).sortWithinPartitions("block", "part").mapInArrow(add, schema)
+        if parts == 1:
+            break
+    rows = sorted(local.collect(), key=lambda r: r["block"])
+    return np.concatenate([np.frombuffer(bytes(r["weights"]), np.float64) / -r["n"] for r in rows]) if rows else None
 
 
-def fit(docs: DataFrame, words: list[bytes], text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
-    """Rounds of local training and averaging; averages weigh tasks by the tokens they trained on. No text: fresh weights."""
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("weights", T.BinaryType())])
-    net = Network.fresh()
-    for turn in range(rounds):
-        start = net.pack()
+def fit(docs: DataFrame, words: Vocabulary, tokens: int, id_col: str = "doc_id", text_col: str = "text", rounds: tuple = ROUNDS, part: int = PART) -> Network:
+    """Train on every token once; ``tokens`` is how many there are. No text: fresh weights.
 
-        def learn(batches, start=start, turn=turn):
-            local, ids, trained = Network.unpack(start), Ids(words), 0
+    Copies of a text are in one round, and lie in several parts as their ids differ.
+    """
+    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("weights", T.BinaryType())])
+    text, net, before = F.col(text_col), Network.fresh(), 0.0
+    dice = F.pmod(F.xxhash64(text, F.lit(1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    for end in rounds:
+        start = net.flat()
+
+        def learn(batches, start=start):
+            local, ids, trained = Network.of(start), words.ids(), 0
             squares = {n: np.full(s, 1e-4, np.float32) for n, s in SHAPES.items()}
             held, size = [], 0
             for batch in batches:
                 for text in batch.column(0).to_pylist():
                     held.append(text)
                     size += len(text or "")
-                    if size >= 64 * STEP:  # a few steps' worth of trained tokens
-                        trained += step(local, ids, held, turn, squares)
+                    if size >= 32 * STEP:  # a few steps' worth of tokens
+                        trained += step(local, ids, held, squares, trained)
                         held, size = [], 0
-            trained += step(local, ids, held, turn, squares)
+            trained += step(local, ids, held, squares, trained)
             if trained:
-                yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "n": trained, "weights": local.pack()}], schema=to_arrow_schema(schema))
+                for k, block in enumerate(np.array_split(local.flat(), BLOCKS)):
+                    yield pa.RecordBatch.from_pylist([{"block": k, "part": TaskContext.get().partitionId(), "n": trained, "weights": block.tobytes()}], schema=to_arrow_schema(schema))
+            squares.clear()
+            release()
 
-        def step(local, ids, texts, turn, squares):
+        def step(local, ids, texts, squares, before):
             tokens, counts = ids.of(texts)
-            at = positions(counts)
-            at = np.random.default_rng(len(at)).permutation(at)[turn % stride :: stride]  # the same order in every round, so the parts make up all
-            for k in range(0, len(at), STEP):
-                local.train(tokens, at[k : k + STEP], squares)
+            vectors, classes = words.vector_of[tokens], words.class_of[tokens]
+            at = np.random.default_rng(len(tokens)).permutation(positions(counts))
+            for some in np.array_split(at, -(-len(at) // min(STEP, max(STEP // 16, before // 16)))) if len(at) else ():  # steps grow with what is known
+                local.train(vectors, classes, some, squares)
             return len(at)
 
-        def add(batches):
-            total, n, part = None, 0, -1
-            for batch in batches:
-                for row in batch.to_pylist():
-                    x = np.frombuffer(row["weights"], np.float32).astype(np.float64) * row["n"]
-                    total, n, part = x if total is None else total + x, n + row["n"], row["part"]
-            if n:
-                yield pa.RecordBatch.from_pylist([{"part": part, "n": n, "weights": total.tobytes()}], schema=to_arrow_schema(schema))
-
-        local = docs.select(text_col).mapInArrow(learn, schema)
-        sums = local.repartition(SUMS, F.col("part") % SUMS).sortWithinPartitions("part").mapInArrow(add, schema).collect()
-        if not sums:
-            break
-        sums = sorted(sums, key=lambda r: r["part"])
-        mean = sum(np.frombuffer(bytes(r["weights"]), np.float64) for r in sums) / sum(r["n"] for r in sums)
-        net = Network.unpack(mean)
+        some = docs.where(text.isNotNull() & (dice >= before) & (dice < end)).select(text, F.xxhash64(F.col(id_col).cast("string"), text).alias("_order"))
+        parts = max(1, round(tokens * (end - before) / part))
+        dealt = some.repartition(parts, "_order").sortWithinPartitions("_order").select(text_col)
+        mean = averaged(dealt.mapInArrow(learn, schema), parts)
+        net, before = net if mean is None else Network.of(mean), end
     return net
 
 
-def score(docs: DataFrame, net: Network, words: list[bytes], keep: list[str], text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, net: Network, words: Vocabulary, counts: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """Add ``n_tokens``, ``log_likelihood`` (sum over all tokens) and ``mean_log_likelihood`` (null without tokens).
 
-    Null, empty and blank texts have no token and a sum of 0. Whole texts of any length are scored; repeated rows get
-    equal scores.
-    """
-    weights = net.pack()
-
-    def make():
-        local, ids = Network.unpack(weights), Ids(words)
-
-        def call(texts):
-            tokens, counts = ids.of(texts)
-            sums = np.concatenate(([0.0], np.cumsum(local.log_probabilities(tokens, positions(counts)))))
-            ends = np.cumsum(counts)
-            total = sums[ends] - sums[ends - counts]
-            return {"n_tokens": counts, "log_likelihood": total, "mean_log_likelihood": [t / n if n else None for t, n in zip(total.tolist(), counts.tolist())]}
+    A known word has its class's probability times its share of it. For any other word the share is its count in ``counts``,
+    one for all unseen words together; where it stands c times in ``docs`` between the same two words, the other places
+    predict it with MEMORY * (c - 1) / C instead, C being all such repeated places of these two neighbours. Both are joined
+    by 64 bits of hash. Words counted once, and unseen ones, add log 1 and need no partner.
 
-        return call
-
-    added = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())])
-    return map_texts(docs, keep, text_col, make, added)
-
-
-def score_words(docs: DataFrame, net: Network, words: list[bytes], counts: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """As ``score``, with every word's own probability: that of its class, times for words in a bucket their share of it.
-
-    A bucket's shares are the counts of its words in ``counts``, and one for all unseen words together. The counts stay a
-    table; each document's words in buckets are joined to it by 64 bits of hash. Words counted once, and unseen ones, add
-    log 1 and need no partner.
+    Null, empty and blank texts have no token and a sum of 0. Whole texts of any length are scored; each text is summed on
+    its own, so repeated rows get equal scores. An empty table gives an empty result. A kept column with the name of an
+    added one gives way to it.
     """
-    spark = docs.sparkSession
-    frequent = spark.createDataFrame([(w,) for w in words], "word binary")
-    others = counts.join(F.broadcast(frequent), "word", "left_anti")
-    sizes = np.zeros(OTHER)
-    for r in others.groupBy((F.crc32("word") % OTHER).alias("bucket")).agg(F.sum("n").alias("n")).collect():
-        sizes[r["bucket"]] = r["n"]
-    weights, less = net.pack(), np.concatenate((np.zeros(VOCABULARY - OTHER), np.log(sizes + 1)))
+    long, weights = T.LongType(), net.flat()
+    word_type = T.ArrayType(T.StructType([T.StructField("w", long), T.StructField("k", T.IntegerType())]))
+    place_type = T.ArrayType(T.StructType([T.StructField("p", long), T.StructField("pair", long), T.StructField("w", long), T.StructField("b", long)]))
+    added = T.StructType([T.StructField("n_tokens", long), T.StructField("base", long), T.StructField("rare", word_type), T.StructField("at", place_type)])
 
     def make():
-        local, ids, digest, rare_type = Network.unpack(weights), Ids(words), xxhash.xxh64_intdigest, to_arrow_schema(added).field("rare").type
+        local, ids, digest = Network.of(weights), words.ids(), xxhash.xxh64_intdigest
+        types = {f.name: f.type for f in to_arrow_schema(added)}
+
+        def lists(name, cuts, *columns):
+            items = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types[name].value_type)], fields=list(types[name].value_type))
+            return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), items, type=types[name])
 
         def call(texts):
             tokens, lengths = ids.of(texts)
             at = positions(lengths)
-            sums = np.concatenate(([0.0], np.cumsum(local.log_probabilities(tokens, at) - less[tokens[at]])))
+            logs = np.rint((local.log_probabilities(words.vector_of[tokens], words.class_of[tokens], at) + words.share[tokens[at]]) / UNIT).astype(np.int64)
             ends = np.cumsum(lengths)
-            hashes, times, cuts = [], [], [0]
+            rare, place, cuts, place_cuts = ([], []), ([], [], [], []), [0], [0]
             for text, end, n in zip(texts, ends.tolist(), lengths.tolist()):
-                own = tokens[at[end - n : end]] >= VOCABULARY - OTHER
-                found = Counter(itertools.compress(words_of(text), own.tolist()))
-                hashes += [digest(w, 42) for w in found]
-                times += found.values()
-                cuts.append(len(hashes))
-            items = pa.StructArray.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(times, pa.int32())], fields=list(rare_type.value_type))
-            rare = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), items, type=rare_type)
-            return {"n_tokens": lengths, "base": sums[ends] - sums[ends - lengths], "rare": rare}
+                mine = np.flatnonzero(tokens[at[end - n : end]] >= words.n)
+                if len(mine):
+                    all_words, keys = [b"", *words_of(text), b""], {}
+                    for i, log in zip(mine.tolist(), logs[end - n + mine].tolist()):
+                        left, word, right = all_words[i : i + 3]
+                        if (w := keys.get(word)) is None:
+                            w = keys[word] = digest(word, 42) - (1 << 63)
+                        pair = digest(left + b" " + right, 43)
+                        for column, x in zip(place, (digest(word, pair) - (1 << 63), pair - (1 << 63), w, log)):
+                            column.append(x)
+                    found = Counter(place[2][place_cuts[-1] :])
+                    rare[0].extend(found)
+                    rare[1].extend(found.values())
+                cuts.append(len(rare[0]))
+                place_cuts.append(len(place[0]))
+            return {"n_tokens": lengths, "base": sums_of(logs, lengths), "rare": lists("rare", cuts, *rare), "at": lists("at", place_cuts, *place)}
 
         return call
 
-    pair = T.StructType([T.StructField("w", T.LongType()), T.StructField("k", T.IntegerType())])
-    added = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("rare", T.ArrayType(pair))])
-    rows = map_texts(docs.select(*keep, text_col).withColumn("_row", F.monotonically_increasing_id()), ["_row", *keep], text_col, make, added)
-    # one row for the document itself, dealt by a hash of its own and with no word, and one for each of its words in buckets
-    rows = rows.select("_row", F.struct(*keep, "n_tokens", "base").alias("own"), F.explode(F.concat(F.array(F.struct(F.xxhash64("_row").alias("w"), F.lit(0).alias("k"))), "rare")).alias("r"))
-    rows = rows.select("_row", F.when(F.col("r.k") == 0, F.col("own")).alias("own"), F.col("r.w").alias("w"), F.col("r.k").alias("k"))
-    logs = others.where("n > 1").groupBy(F.xxhash64("word").alias("w")).agg(F.log(F.sum("n").cast("double")).alias("log_n"))
-    both = rows.join(logs, "w", "left").groupBy("_row").agg(F.first("own", ignorenulls=True).alias("own"), F.sum(F.col("k") * F.coalesce("log_n", F.lit(0.0))).alias("more"))
-    total = F.round(F.col("own.base") + F.col("more"), 9)  # sums of shuffled rows differ in their last bits
-    mean = F.when(F.col("own.n_tokens") > 0, total / F.col("own.n_tokens"))
-    return both.select(*[F.col(f"own.{c}").alias(c) for c in keep], F.col("own.n_tokens").alias("n_tokens"), total.alias("log_likelihood"), mean.alias("mean_log_likelihood"))
+    kept = [c for c in keep if c.lower() not in ("n_tokens", "log_likelihood", "mean_log_likelihood")]
+    own = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("own")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), own, F.col(f"`{text_col}`").alias("text"))
+    rows = materialize(map_texts(rows, ["row", "own"], "text", make, added), "lm-rows")
+    whole = lambda x: F.round(x / F.lit(UNIT)).cast("long")
+    logs = materialize(rare_counts(counts, words), "lm-logs")
+    places = rows.select("row", F.explode("at").alias("a")).select("row", "a.*")
+    often = materialize(places.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.first("pair").alias("pair"), F.first("w").alias("w")).where("c > 1"), "lm-places")
+    around = materialize(often.groupBy("pair").agg(F.sum("c").alias("all")), "lm-pairs")
+    told = often.join(around, "pair").join(logs, "w", "left")
+    told = told.select(F.col("p").alias("key"), (whole(F.log(F.lit(MEMORY) * (F.col("c") - 1) / F.col("all"))) - F.coalesce("log_n", F.lit(0)) - whole(F.log(F.lit(1 - MEMORY)))).alias("log"))
+    values = materialize(logs.where("log_n > 0").select(F.col("w").alias("key"), F.col("log_n").alias("log")).unionByName(told), "lm-values")
+    # each rare token asks for its word's count, and for its place; what a place adds replaces what the word had
+    asks = rows.select("row", F.explode("rare").alias("r")).select("row", F.col("r.w").alias("key"), F.col("r.k").cast("long").alias("k"), F.lit(0).cast("long").alias("less"))
+    asks = asks.unionByName(places.select("row", F.col("p").alias("key"), F.lit(1).cast("long").alias("k"), F.col("b").alias("less")))
+    more = asks.join(values, "key").groupBy("row").agg(F.sum(F.col("k") * F.col("log") - F.col("less")).alias("more"))
+    more = materialize(more, "lm-more")
+    forgotten = F.size("at") * whole(F.log(F.lit(1 - MEMORY)))
+    total = (F.col("base") + forgotten + F.coalesce("more", F.lit(0))) * F.lit(UNIT)
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return rows.join(more, "row", "left").select(*[F.col(f"own.`{c}`").alias(c) for c in kept], "n_tokens", total.alias("log_likelihood"), mean.alias("mean_log_likelihood"))
+
+
+def rare_counts(counts: DataFrame, words: Vocabulary) -> DataFrame:
+    """``(w, log_n)``: hashes of the words that are not known and log of their counts, in units."""
+    schema = T.StructType([T.StructField("w", T.LongType()), T.StructField("log_n", T.LongType())])
+
+    def run(batches):
+        out, known = to_arrow_schema(schema), set(words.words.split(b"\n"))
+        for batch in batches:
+            pairs = [(xxhash.xxh64_intdigest(w, 42) - (1 << 63), n) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()) if w not in known]
+            logs = np.rint(np.log(np.array([n for _, n in pairs], np.float64)) / UNIT).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.int64()), pa.array(logs)], schema=out)
+
+    return counts.where("n > 1").mapInArrow(run, schema)
 
 
 def op4(docs: DataFrame) -> DataFrame:
     counts = materialize(word_counts(docs), "lm-words")
-    words = most_frequent(counts)
-    return score_words(docs.select("doc_id", "text"), fit(docs, words), words, counts, ["doc_id"])
+    words, tokens = vocabulary(counts), counts.agg(F.sum("n")).first()[0] or 0
+    return score(docs.select("doc_id", "text"), fit(docs, words, tokens), words, counts, ["doc_id"])
