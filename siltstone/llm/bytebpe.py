@@ -2,7 +2,10 @@
 
 Distinct pieces of the split pattern are put into buckets by length, one row of a matrix for each piece. In every round each
 row merges its leftmost pair of least rank: pairs are looked up in an open-addressed hash table of all token pairs, the rest
-of the row moves left by one, and rows without a pair left are written out and dropped from the matrix.
+of the row moves left by one, and rows without a pair left are written out and dropped from the matrix. A piece too long to
+share a matrix is a row of its own. There a round merges all pairs of the least rank from left to right, up to one whose new
+token forms a pair of lower rank, which gives the same ids; places are found by rank and linked to their neighbours, so a
+round costs what it merges, and the row is compacted at the end.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, types as T
 from siltstone.llm.common import map_texts
 from siltstone.llm.pieces import CachedEncoder, ragged
 
-#: Widest matrix row; longer pieces are merged in the same order on a linked list with a heap. Rows that are merged at once.
+#: Widest row of a matrix with other rows; a longer piece is a matrix of its own. Rows that are merged at once.
 WIDEST, ROWS = 512, 1 << 16
 NONE = np.int32(np.iinfo(np.int32).max)
 EMPTY, FACTOR = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
@@ -122,27 +125,57 @@ class ByteBpe(CachedEncoder):
             best[each[left], at[left] - 1] = self.table.find(rows[each[left], at[left] - 1], rows[each[left], at[left]])
         return done[cols[None, :] < counts[:, None]], counts
 
-    def merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges, least rank and leftmost first, for a piece too long for a matrix row."""
-        ids = self.of_byte[np.frombuffer(piece, np.uint8)].tolist()
+    def merge_alone(self, piece: bytes) -> np.ndarray:
+        """A row of its own: in a round all pairs of least rank merge, leftmost first."""
+        ids = self.of_byte[np.frombuffer(piece, np.uint8)]
         n = len(ids)
-        after, before, pairs = [*range(1, n), -1], list(range(-1, n - 1)), self.pairs
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := pairs.get((a, b))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
+        after, before = np.append(np.arange(1, n), -1), np.arange(-1, n - 1)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Remember the pairs that start at these places, by rank."""
+            at = at[after[at] >= 0]
+            rank = self.table.find(ids[at], ids[after[at]])
+            at, rank = at[rank != NONE], rank[rank != NONE]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            first = np.flatnonzero(np.diff(rank, prepend=-1))
+            for r, part in zip(rank[first].tolist(), np.split(at, first[1:])):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(part)
+
+        note(np.arange(n - 1))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(rank)))
+            at = at[(ids[at] >= 0) & (after[at] >= 0)]
+            at = at[self.table.find(ids[at], ids[after[at]]) == rank]
+            if not len(at):
                 continue
-            ids[i], ids[j] = rank, -1
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                if (r := pairs.get((rank, ids[k]))) is not None:
-                    heapq.heappush(heap, (r, i, rank, ids[k]))
-            if (h := before[i]) >= 0 and (r := pairs.get((ids[h], rank))) is not None:
-                heapq.heappush(heap, (r, h, ids[h], rank))
-        return np.array([x for x in ids if x >= 0], np.int32)
+            # of pairs that overlap every other one merges
+            chain = np.append(True, at[1:] != after[at[:-1]])
+            place = np.arange(len(at)) - np.maximum.accumulate(np.where(chain, np.arange(len(at)), 0))
+            at = at[place % 2 == 0]
+            # what a merge meets on its left, where the one before may have just merged, and on its right
+            left, gone = before[at], after[at]
+            right = np.where(gone >= 0, after[gone], -1)
+            beside = np.append(False, left[1:] == gone[:-1])
+            low = np.where(left >= 0, self.table.find(np.where(beside, rank, ids[left]), np.full(len(at), rank)), NONE)
+            low = np.minimum(low, np.where(right >= 0, self.table.find(np.full(len(at), rank), ids[right]), NONE))
+            lower = np.flatnonzero(low < rank)
+            if len(lower) and lower[0] + 1 < len(at):
+                k = lower[0] + 1
+                places[rank] = [at[k:]]
+                heapq.heappush(ranks, rank)
+                at, gone, right = at[:k], gone[:k], right[:k]
+            ids[at], ids[gone], after[at] = rank, -1, right
+            before[right[right >= 0]] = at[right >= 0]
+            left = before[at]
+            note(np.unique(np.concatenate((left[left >= 0], at))))
+        return ids[ids >= 0]
 
     def encode_pieces(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         raw = [p.encode() for p in pieces]
@@ -164,7 +197,7 @@ class ByteBpe(CachedEncoder):
                 found.append((some, ids))
             width *= 2
         for i in np.flatnonzero((whole < 0) & (lengths > WIDEST)):
-            ids = self.merge_long(raw[i])
+            ids = self.merge_alone(raw[i])
             counts[i] = len(ids)
             found.append((np.array([i]), ids))
         out, starts = np.zeros(int(counts.sum()), np.uint32), np.cumsum(counts) - counts
@@ -185,14 +218,18 @@ def coder(path: str, pattern: str) -> ByteBpe:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Add ``ids`` of each whole text. Null and empty texts have none; repeated rows have equal ids."""
+    """Add ``ids`` of each whole text, as the tokens of its pieces in order.
+
+    Null and empty texts have none; texts and pieces of any length count whole; repeated rows have equal ids; of pairs of
+    equal rank the leftmost merges first; an empty table gives an empty result. A kept column named ``ids`` gives way.
+    """
 
     def make():
         bpe = coder(path, pattern)
 
         def call(texts):
             ids, counts = bpe.encode(texts)
-            return {"ids": [p.astype(np.int32) for p in np.split(ids, np.cumsum(counts)[:-1])]}
+            return {"ids": [p.astype(np.int32) for p in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []}
 
         return call
 
@@ -200,7 +237,10 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text_col:
 
 
 def digests(docs: DataFrame, path: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Encode and decode each whole text; add the number of ids and the SHA-256 of the ids and of the decoded bytes."""
+    """Encode and decode each whole text; add the number of ids and the SHA-256 of the ids and of the decoded bytes.
+
+    Null and empty texts have no ids and the digest of no bytes; all else as in ``encode``.
+    """
 
     def make():
         bpe = coder(path, pattern)

@@ -20,7 +20,7 @@ def test_random_texts(library):
     rnd = random.Random(3)
     alphabet = ["a", "the", "ing", "B", "é", "ß", " ", "  ", "\n", "\t", "'s", "'re", "0", "12", "½", "中文", "\U0001f600", "...", "!?", "_", " ", "\x00", "zq", "tion"]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(1500)]
-    texts += [None, "", "a" * 511, "ab" * 256, "ab" * 257, "abcde" * 3000, "é" * 2000, " " * 5000, "=" * 700]
+    texts += [None, "", "a" * 511, "ab" * 256, "ab" * 257, "abcde" * 3000, "é" * 2000, " " * 5000, "=" * 700, "q" * 40_001, "".join(rnd.choice("abcdehilnorstu") for _ in range(30_000)), "xyzzy" * 9000 + "a"]
     bpe = bytebpe.coder(PATH, P.PATTERN)
     ids, counts = bpe.encode(texts)
     for text, part in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
@@ -42,3 +42,20 @@ def test_odd_rows(spark):
     got = bytebpe.encode(docs, PATH, P.PATTERN, ["doc_id"]).collect()
     assert sorted((r.doc_id or 0, len(r.ids)) for r in got) == [(0, 0), (1, 0), (2, 2), (2, 2)]
     assert bytebpe.op8(docs.limit(0)).collect() == []
+    assert bytebpe.encode(docs, PATH, P.PATTERN, ["doc_id", "ids"]).columns == ["doc_id", "ids"]
+
+
+def test_long_documents_through_spark(spark, library):
+    texts = ["the quick brown fox " * 40_000, "abc" * 60_000, "é" * 50_000]
+    want = {i: hashlib.sha256(np.array(library.encode_ordinary(t), "<u4").tobytes()).hexdigest() for i, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.ids_sha256 for r in bytebpe.op8(docs).collect()} == want
+
+
+def test_pairs_of_a_row_of_its_own_merge_in_the_same_order(library):
+    bpe, rnd = bytebpe.coder(PATH, P.PATTERN), random.Random(8)
+    for _ in range(400):
+        piece = "".join(rnd.choice(rnd.choice(["ab", "the", "aeionst", "0 =é"])) for _ in range(rnd.randint(2, 80))).encode()
+        ids = bpe.of_byte[np.frombuffer(piece, np.uint8)]
+        rows, counts = bpe.merge_rows(ids[None].copy(), np.array([len(piece)]))
+        assert bpe.merge_alone(piece).tolist() == rows.tolist()
