@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltstone.llm.common import map_texts, release
-from siltstone.session import materialize
+from siltstone.session import drop_path, fresh_path, materialize
 
 #: Words with a number of their own at most; classes of one word, of several known words, and of all other words by their hash.
 KNOWN, SINGLE, BINS, OTHER = 1 << 18, 24, 32, 8
@@ -34,11 +34,11 @@ CLASSES = SINGLE + BINS + OTHER
 #: Window to each side, width of the vectors, and how many vectors there are: words beyond share them.
 SIDE, WIDTH, VECTORS = 2, 16, 1 << 15
 #: Where the rounds end, as shares of all documents: short ones first, so that the parts agree early. Tokens of a part and of a step, learning rate.
-ROUNDS, PART, STEP, RATE = (1 / 16, 1 / 4, 1), 4_000_000, 8192, 0.1
+ROUNDS, PART, STEP, RATE = (1 / 8, 1), 4_000_000, 1 << 14, 0.1
 #: Blocks that weights are cut into on their way, and how many sums become one in a step of the tree.
 BLOCKS, FAN = 8, 64
 #: Words that a task counts before it hands them on; other words it remembers; tokens scored at once.
-COUNTED, REMEMBERED, AT_ONCE = 200_000, 200_000, 1 << 14
+COUNTED, REMEMBERED, AT_ONCE = 200_000, 200_000, 1 << 13
 #: What other places with the same neighbours count for in the probability of a rare word.
 MEMORY = 0.25
 #: Log-probabilities are added as whole numbers of this size, so that sums do not depend on the order of rows.
@@ -82,11 +82,10 @@ class Ids(dict):
             self[word] = i
         return i
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all texts with SIDE blanks around each text, and the number of tokens of each."""
+    def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts, given as words, with SIDE blanks around each text, and the number of tokens of each."""
         parts, counts, blank = [], [], np.full(SIDE, self.n + OTHER, np.int64)
-        for text in texts:
-            words = words_of(text)
+        for words in texts:
             parts += [blank, np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
             counts.append(len(words))
         return np.concatenate([*parts, blank]), np.array(counts, np.int64)
@@ -96,12 +95,6 @@ OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 SHAPES = {"embed": (VECTORS, WIDTH), "place": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "out": (CLASSES, WIDTH), "out_bias": (CLASSES,)}
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
 def sharp(x: np.ndarray) -> np.ndarray:
     """x in steps of 2**-20, so that products of two such arrays and sums of 32 of these are exact in 64 bits, whatever their order."""
     return np.rint(x.astype(np.float64) * 2**20) * 2.0**-20
@@ -111,7 +104,7 @@ class Network:
     """Window vectors weighted by place, one tanh layer, and a softmax over the classes."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = weights
+        self.w, self.placed = weights, None
 
     @staticmethod
     def fresh(seed: int = 11) -> "Network":
@@ -143,10 +136,17 @@ class Network:
     def log_probabilities(self, vectors: np.ndarray, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log p(class | both sides) at the given positions; no position sees its own token."""
         got, out = np.zeros(len(at), np.float64), sharp(self.w["out"]).T
+        if self.placed is None:
+            self.placed = [self.w["embed"] * place for place in self.w["place"]]
         for k in range(0, len(at), AT_ONCE):
             some = at[k : k + AT_ONCE]
-            z = (sharp(self.hidden(vectors, some)) @ out).astype(np.float32)  # a row's result does not depend on the rows around it
-            got[k : k + AT_ONCE] = log_softmax(z + self.w["out_bias"])[np.arange(len(some)), classes[some]]
+            total, more = np.tile(self.w["bias"], (len(some), 1)), np.empty((len(some), WIDTH), np.float32)
+            for table, o in zip(self.placed, OFFSETS):
+                total += np.take(table, vectors[some + o], axis=0, out=more, mode="clip")
+            z = (sharp(np.tanh(total, out=total)) @ out).astype(np.float32)  # a row's result does not depend on the rows around it
+            z += self.w["out_bias"]
+            right = z[np.arange(len(some)), classes[some]]
+            got[k : k + AT_ONCE] = right - np.log(np.exp(np.minimum(z, 80, out=z), out=z).sum(axis=1))
         return got
 
     def train(self, vectors: np.ndarray, classes: np.ndarray, at: np.ndarray, squares: dict[str, np.ndarray]) -> None:
@@ -161,8 +161,7 @@ class Network:
         h = self.hidden(vectors, at)
         d = h @ w["out"].T
         d += w["out_bias"]
-        d -= d.max(axis=1, keepdims=True)
-        np.exp(d, out=d)
+        np.exp(np.minimum(d, 80, out=d), out=d)
         d /= d.sum(axis=1, keepdims=True)
         d[np.arange(n), classes[at]] -= 1
         d *= np.float32(1 / n)
@@ -267,7 +266,8 @@ def fit(docs: DataFrame, words: Vocabulary, tokens: int, id_col: str = "doc_id",
     """
     schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("weights", T.BinaryType())])
     text, net, before = F.col(text_col), Network.fresh(), 0.0
-    dice = F.pmod(F.xxhash64(text, F.lit(1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    rows = docs.where(text.isNotNull()).select(text, F.xxhash64(text).alias("_h"), F.col(id_col).cast("string").alias("_id"))
+    dice = F.pmod("_h", F.lit(1 << 20)) / F.lit(float(1 << 20))
     for end in rounds:
         start = net.flat()
 
@@ -279,7 +279,7 @@ def fit(docs: DataFrame, words: Vocabulary, tokens: int, id_col: str = "doc_id",
                 for text in batch.column(0).to_pylist():
                     held.append(text)
                     size += len(text or "")
-                    if size >= 32 * STEP:  # a few steps' worth of tokens
+                    if size >= 16 * STEP:  # a few steps' worth of tokens
                         trained += step(local, ids, held, squares, trained)
                         held, size = [], 0
             trained += step(local, ids, held, squares, trained)
@@ -290,16 +290,16 @@ def fit(docs: DataFrame, words: Vocabulary, tokens: int, id_col: str = "doc_id",
             release()
 
         def step(local, ids, texts, squares, before):
-            tokens, counts = ids.of(texts)
+            tokens, counts = ids.of([words_of(t) for t in texts])
             vectors, classes = words.vector_of[tokens], words.class_of[tokens]
             at = np.random.default_rng(len(tokens)).permutation(positions(counts))
             for some in np.array_split(at, -(-len(at) // min(STEP, max(STEP // 16, before // 16)))) if len(at) else ():  # steps grow with what is known
                 local.train(vectors, classes, some, squares)
             return len(at)
 
-        some = docs.where(text.isNotNull() & (dice >= before) & (dice < end)).select(text, F.xxhash64(F.col(id_col).cast("string"), text).alias("_order"))
         parts = max(1, round(tokens * (end - before) / part))
-        dealt = some.repartition(parts, "_order").sortWithinPartitions("_order").select(text_col)
+        dealt = rows.where((dice >= before) & (dice < end)).select(text, F.xxhash64("_id", "_h").alias("_order"))
+        dealt = dealt.repartitionById(parts, F.pmod("_order", F.lit(parts)).cast("int")).sortWithinPartitions("_order").select(text_col)
         mean = averaged(dealt.mapInArrow(learn, schema), parts)
         net, before = net if mean is None else Network.of(mean), end
     return net
@@ -331,15 +331,16 @@ def score(docs: DataFrame, net: Network, words: Vocabulary, counts: DataFrame, k
             return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), items, type=types[name])
 
         def call(texts):
-            tokens, lengths = ids.of(texts)
+            words_in = [words_of(t) for t in texts]
+            tokens, lengths = ids.of(words_in)
             at = positions(lengths)
             logs = np.rint((local.log_probabilities(words.vector_of[tokens], words.class_of[tokens], at) + words.share[tokens[at]]) / UNIT).astype(np.int64)
             ends = np.cumsum(lengths)
             rare, place, cuts, place_cuts = ([], []), ([], [], [], []), [0], [0]
-            for text, end, n in zip(texts, ends.tolist(), lengths.tolist()):
+            for own_words, end, n in zip(words_in, ends.tolist(), lengths.tolist()):
                 mine = np.flatnonzero(tokens[at[end - n : end]] >= words.n)
                 if len(mine):
-                    all_words, keys = [b"", *words_of(text), b""], {}
+                    all_words, keys = [b"", *own_words, b""], {}
                     for i, log in zip(mine.tolist(), logs[end - n + mine].tolist()):
                         left, word, right = all_words[i : i + 3]
                         if (w := keys.get(word)) is None:
@@ -360,19 +361,27 @@ def score(docs: DataFrame, net: Network, words: Vocabulary, counts: DataFrame, k
     own = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("own")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), own, F.col(f"`{text_col}`").alias("text"))
     rows = materialize(map_texts(rows, ["row", "own"], "text", make, added), "lm-rows")
+    spark, paths = docs.sparkSession, []
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        paths.append(fresh_path(spark, name))
+        return materialize(df, name, paths[-1])
+
     whole = lambda x: F.round(x / F.lit(UNIT)).cast("long")
-    logs = materialize(rare_counts(counts, words), "lm-logs")
+    logs = write(rare_counts(counts, words), "lm-logs")
     places = rows.select("row", F.explode("at").alias("a")).select("row", "a.*")
-    often = materialize(places.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.first("pair").alias("pair"), F.first("w").alias("w")).where("c > 1"), "lm-places")
-    around = materialize(often.groupBy("pair").agg(F.sum("c").alias("all")), "lm-pairs")
+    often = write(places.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.first("pair").alias("pair"), F.first("w").alias("w")).where("c > 1"), "lm-places")
+    around = write(often.groupBy("pair").agg(F.sum("c").alias("all")), "lm-pairs")
     told = often.join(around, "pair").join(logs, "w", "left")
     told = told.select(F.col("p").alias("key"), (whole(F.log(F.lit(MEMORY) * (F.col("c") - 1) / F.col("all"))) - F.coalesce("log_n", F.lit(0)) - whole(F.log(F.lit(1 - MEMORY)))).alias("log"))
-    values = materialize(logs.where("log_n > 0").select(F.col("w").alias("key"), F.col("log_n").alias("log")).unionByName(told), "lm-values")
+    values = write(logs.where("log_n > 0").select(F.col("w").alias("key"), F.col("log_n").alias("log")).unionByName(told), "lm-values")
     # each rare token asks for its word's count, and for its place; what a place adds replaces what the word had
     asks = rows.select("row", F.explode("rare").alias("r")).select("row", F.col("r.w").alias("key"), F.col("r.k").cast("long").alias("k"), F.lit(0).cast("long").alias("less"))
     asks = asks.unionByName(places.select("row", F.col("p").alias("key"), F.lit(1).cast("long").alias("k"), F.col("b").alias("less")))
     more = asks.join(values, "key").groupBy("row").agg(F.sum(F.col("k") * F.col("log") - F.col("less")).alias("more"))
     more = materialize(more, "lm-more")
+    for path in paths:
+        drop_path(spark, path)
     forgotten = F.size("at") * whole(F.log(F.lit(1 - MEMORY)))
     total = (F.col("base") + forgotten + F.coalesce("more", F.lit(0))) * F.lit(UNIT)
     mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
@@ -394,6 +403,9 @@ def rare_counts(counts: DataFrame, words: Vocabulary) -> DataFrame:
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    counts = materialize(word_counts(docs), "lm-words")
+    path = fresh_path(docs.sparkSession, "lm-words")
+    counts = materialize(word_counts(docs), "lm-words", path)
     words, tokens = vocabulary(counts), counts.agg(F.sum("n")).first()[0] or 0
-    return score(docs.select("doc_id", "text"), fit(docs, words, tokens), words, counts, ["doc_id"])
+    out = score(docs.select("doc_id", "text"), fit(docs, words, tokens), words, counts, ["doc_id"])
+    drop_path(docs.sparkSession, path)  # what the scores still read is written
+    return out
