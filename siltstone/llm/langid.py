@@ -17,6 +17,8 @@ from siltstone.llm.common import map_texts
 
 #: Hashed n-gram space, longest n-gram, labelled rows of one language that training may take (the bound of the sample).
 SPACE, LONGEST, ROWS_PER_LANG = 2048, 3, 600
+#: Languages that are learned (the most frequent labels), and labelled rows in all: two more bounds of the sample.
+LANGS, ROWS = 100, 12_000
 #: Longest exhaustive code; beyond it columns are drawn at random. Steps and rate of the training.
 EXHAUSTIVE, RANDOM_BITS, STEPS, RATE, DECAY = 5, 31, 150, 0.5, 1e-5
 #: A winner whose probability is below this is ambiguous.
@@ -102,16 +104,20 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
     return Model(langs, codes, w.astype(np.float32), b.astype(np.float32))
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> Model:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG, langs: int = LANGS, rows_in_all: int = ROWS) -> Model:
     """Fit on at most ``rows_per_lang`` rows of each language, chosen by a hash of the text; rows without text or label are left out.
 
-    Features are computed in Spark; the driver gets at most ``rows_per_lang`` short vectors for each language.
+    Of many labels the ``langs`` most frequent are learned, ties in their order, each from its share of ``rows_in_all``
+    rows at most. Features are computed in Spark; the driver gets one short vector of each chosen row. No labelled row
+    gives a model without languages. Equal texts are taken as often as they stand there.
     """
-    rows = labelled.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where("_text is not null and _lang is not null")
-    sizes = rows.groupBy("_lang").count()
+    rows = labelled.select(F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").alias("_lang")).where("_text is not null and _lang is not null")
+    sizes = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(langs).collect()
+    per_lang = min(rows_per_lang, rows_in_all // max(1, len(sizes)))
+    known = labelled.sparkSession.createDataFrame([(r["_lang"], r["count"]) for r in sizes], T.StructType([rows.schema["_lang"], T.StructField("count", T.LongType())]))
     dice = F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    near = rows.join(F.broadcast(sizes), "_lang").where(dice < F.lit(2.0 * rows_per_lang) / F.col("count")).withColumn("_dice", F.xxhash64("_text"))
-    chosen = near.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_dice", "_text"))).where(F.col("_rank") <= rows_per_lang)
+    near = rows.join(F.broadcast(known), "_lang").where(dice < F.lit(2.0 * per_lang) / F.col("count")).withColumn("_dice", F.xxhash64("_text"))  # ``langs`` rows at most
+    chosen = near.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_dice", "_text"))).where(F.col("_rank") <= per_lang)
 
     def make():
         return lambda texts: {"x": [v.astype(np.float16).tobytes() for v in features(texts)]}
@@ -126,7 +132,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     """Add ``lang_pred``, ``score`` and ``ambiguous``. Only the text is an input of the prediction.
 
     Null texts and texts without a letter are ``und`` with score 0 and ambiguous. If nothing was learned all are. Texts of
-    any length count whole; repeated rows get equal results; an empty table gives an empty result.
+    any length count whole; repeated rows get equal results; languages that are equally near go to the first in order; an
+    empty table gives an empty result. A kept column with the name of an added one gives way to it.
     """
     added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     return map_texts(docs, keep, text_col, lambda: model.decode, added)

@@ -96,15 +96,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return known.join(of_fp, "fp").select(F.col("_id").alias(id_col), "fp", "component_id", "class_size")
 
 
+def rows_with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, h, text, row)``: id and text hash tell rows apart; ``row`` holds all columns, whatever their names."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def only(docs: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key ``(id, h)`` is in ``heads``; of rows with equal id and text one."""
+    heads = heads.select(F.col("id").alias("head"), F.col("h").alias("head_h"))
+    kept = rows.join(heads, (rows["h"] == F.col("head_h")) & rows["id"].eqNullSafe(F.col("head")), "left_semi").dropDuplicates(["id", "h"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the rows with its smallest id; of repeated rows with that id, one.
+    """The rows of ``docs`` that stay: of each class of near fingerprints the row with the smallest id (null last).
 
-    Rows with a null id are not told apart by id, so they all stay.
+    Of several rows with that id the one with the smallest text hash stays, if they are of one class; rows with one id and
+    other texts are other rows. Nulls, empty texts and an empty table as in ``near_duplicates``; other columns stay as they
+    are, whatever their names.
     """
-    classes = near_duplicates(docs, id_col, text_col)
-    heads = classes.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_head")).distinct()
-    kept = docs.join(heads, docs[id_col] == F.col("_head"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = rows_with_key(docs, id_col, text_col)
+    key = F.struct(F.isnull("id").alias("none"), "id", "h").alias("key")
+    classes = near_duplicates(rows.select(key, "text"), "key", "text")
+    heads = materialize(classes.where(F.col("key") == F.col("component_id")).select("key.id", "key.h").distinct(), "simhash-heads")
+    return only(docs, rows, heads)
 
 
 def shingles_of(text: str | None, width: int = 5) -> np.ndarray:
@@ -183,19 +199,17 @@ def alike(docs: DataFrame, text_col: str = "text", width: int = 5, like: float =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, like: float = LIKE) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class of texts linked by a Jaccard similarity of ``like`` or more.
 
-    The row with the smallest id stays (null last), of several the one with the smallest text hash. Texts without words
-    are one class.
+    The row with the smallest id stays (null last), of several the one with the smallest text hash. Null, empty and blank
+    texts have no words and are one class; texts of any length count whole; of repeated rows one stays; an empty table
+    gives an empty result. Other columns stay as they are, whatever their names.
     """
-    key = [F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_h")]
-    sets, links_of = alike(docs, text_col, width, like)
+    rows = rows_with_key(docs, id_col, text_col)
+    sets, links_of = alike(rows.select("text"), "text", width, like)
     classes = connected_components(links_of, "a", "b").withColumnRenamed("node", "set")
     labelled = sets.distinct().join(classes, "set", "left").select("h", F.coalesce("component", "set").alias("label"))
-    rows = docs.select(*key).distinct().join(labelled, F.col("_h") == F.col("h"))
-    heads = rows.groupBy("label").agg(F.min(F.struct(F.isnull("_id").alias("none"), "_id", "_h")).alias("r"))
-    heads = materialize(heads.select(F.col("r._id").alias("_id"), F.col("r._h").alias("_h")), "alike-heads")
-    mine = docs.withColumn("_h", key[1])
-    kept = mine.join(heads.withColumnRenamed("_h", "_head"), (mine["_h"] == F.col("_head")) & mine[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "_h"]).drop("_h")
+    labelled = rows.select("id", "h").distinct().join(labelled, "h")
+    heads = labelled.groupBy("label").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "h")).alias("r"))
+    return only(docs, rows, materialize(heads.select("r.id", "r.h"), "alike-heads"))
 
 
 def op2(docs: DataFrame) -> DataFrame:
