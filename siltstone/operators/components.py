@@ -1,4 +1,4 @@
-"""Connected components by contraction: every round hooks each node to its smallest neighbour and shrinks the edges."""
+"""Connected components by contraction: every round hooks each node to a neighbour of least random rank and shrinks the edges."""
 
 from __future__ import annotations
 
@@ -10,25 +10,31 @@ from siltstone.session import materialize
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for every node that has an edge; component is the smallest node of the component.
 
-    Nulls and self-loops are ignored, repeated edges count once. Each round replaces both ends of the remaining edges
-    by the smallest node in their neighbourhood, so the edge table shrinks by a factor and rounds grow with the
-    logarithm of the longest chain. Only a row count reaches the driver.
+    Nulls and self-loops are ignored, repeated edges count once; no edge, no row. Ranks are hashes that change with the
+    round, so that on a chain too only about every third node is the least of its neighbourhood; all others hook to one
+    that is, or near it, and are replaced by it. So the edges shrink by a factor each round, whatever the shape of the
+    graph, and rounds grow with the logarithm of the number of nodes. What was hooked where is written and put together
+    from the last round back, each step a larger table. Only the answer whether edges are left reaches the driver.
     """
     left = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
     left = materialize(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
-    labels = None
+    hooks: list[DataFrame] = []
     while not left.isEmpty():
+        rank = lambda c, salt=len(hooks): F.struct(F.xxhash64(c, F.lit(salt)).alias("r"), F.col(c).alias("n"))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up"))
+        hook = both.groupBy("a").agg(F.min(rank("b")).alias("least")).select(F.col("a").alias("node"), F.least("least", rank("a"))["n"].alias("up"))
+        hook = materialize(hook, "cc-near")
         top = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
         hook = materialize(hook.join(top, "up").select("node", F.col("top").alias("up")), "cc-hook")
-        if labels is None:
-            labels = hook.select("node", F.col("up").alias("component"))
-        else:
-            labels = labels.join(hook.select(F.col("node").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+        hooks.append(hook)
         left = left.join(hook.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(hook.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
         left = left.where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
         left = materialize(left, "cc-edges")
-    if labels is None:
+    if not hooks:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
+    roots = hooks.pop()
+    while hooks:
+        above = roots.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        roots = materialize(hooks.pop().join(above, "up", "left").select("node", F.coalesce("root", "up").alias("up")), "cc-roots")
+    names = roots.groupBy("up").agg(F.min("node").alias("component"))
+    return materialize(roots.join(materialize(names, "cc-names"), "up").select("node", "component"), "cc-components")

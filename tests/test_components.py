@@ -10,3 +10,19 @@ def test_components(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def test_rounds_on_a_long_chain(spark, monkeypatch):
+    from siltstone.operators import components
+
+    written, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: written.append(name) or write(df, name))
+    got = connected_components(spark.range(9_999).selectExpr("id src", "id + 1 dst"))
+    assert got.where("component = 0").count() == got.count() == 10_000
+    assert written.count("cc-hook") <= 20
+
+
+def test_star_and_ties(spark):
+    edges = spark.range(1, 3_000).selectExpr("'hub' src", "cast(id as string) dst").unionByName(spark.createDataFrame([("x", "y"), ("y", "x")], "src string, dst string"))
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert len(got) == 3_002 and {c for n, c in got.items() if n not in "xy"} == {"1"} and got["x"] == got["y"] == "x"
