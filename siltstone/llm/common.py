@@ -7,21 +7,22 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that one Arrow batch may hold, and characters that one call of a text function gets (one text at least).
 BATCH_ROWS, SLICE_CHARS = 1000, 2_000_000
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Cut a batch where its texts reach SLICE_CHARS, so that a task's scratch memory has a bound."""
+def slices(texts: list[str | int | None]) -> Iterator[tuple[int, int]]:
+    """Cut a batch where its texts, or their lengths, reach SLICE_CHARS, so that a task's scratch memory has a bound."""
     start = size = 0
     for i, text in enumerate(texts):
-        if i > start and size + len(text or "") > SLICE_CHARS:
+        n = text if isinstance(text, int) else len(text or "")
+        if i > start and size + n > SLICE_CHARS:
             yield start, i
             start, size = i, 0
-        size += len(text or "")
+        size += n
     if start < len(texts):
         yield start, len(texts)
 
@@ -34,6 +35,12 @@ def release() -> None:
         trim(0)
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most in this session: what a Python worker holds at once has a bound."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def map_texts(df: DataFrame, keep: list[str], text_col: str, make: Callable[[], Callable[[list], dict]], added: T.StructType, multi: str | None = None) -> DataFrame:
     """Add columns computed from a whole text, one output row for each input row.
 
@@ -44,9 +51,7 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, make: Callable[[],
     made_names = {f.name.lower() for f in added.fields}
     keep = [c for c in keep if c.lower() not in made_names]
     df = df.select(*keep, *([] if text_col in keep else [text_col]))
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    limit_batches(df.sparkSession)
     schema = T.StructType([f for f in df.schema.fields if f.name in keep] + list(added.fields))
     n_keep, at, names = len(keep), df.columns.index(text_col), [f.name for f in added.fields]
 

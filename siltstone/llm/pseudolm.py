@@ -20,12 +20,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from siltstone.llm.common import map_texts, release
+from siltstone.llm.common import limit_batches, release, slices
 from siltstone.session import drop_path, fresh_path, materialize
 
 #: Words with a number of their own at most; classes of one word, of several known words, and of all other words by their hash.
@@ -37,58 +38,56 @@ SIDE, WIDTH, VECTORS = 2, 16, 1 << 15
 ROUNDS, PART, STEP, RATE = (1 / 8, 1), 4_000_000, 1 << 14, 0.1
 #: Blocks that weights are cut into on their way, and how many sums become one in a step of the tree.
 BLOCKS, FAN = 8, 64
-#: Words that a task counts before it hands them on; other words it remembers; tokens scored at once.
-COUNTED, REMEMBERED, AT_ONCE = 200_000, 200_000, 1 << 13
+#: Words that a task counts before it hands them on; tokens scored at once.
+COUNTED, AT_ONCE = 200_000, 1 << 13
 #: What other places with the same neighbours count for in the probability of a rare word.
 MEMORY = 0.25
 #: Log-probabilities are added as whole numbers of this size, so that sums do not depend on the order of rows.
 UNIT = 2.0**-24
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def words_in(texts: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """Words of all texts one after the other, split at ASCII white space and lower-cased in ASCII, and how many each text has."""
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lists = pc.ascii_split_whitespace(plain)
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts[pc.equal(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False)] = 0
+    flat = lists.flatten()
+    return flat.filter(pc.greater(pc.binary_length(flat), 0)).cast(pa.binary()), counts
 
 
 class Vocabulary:
     """The known words by falling count, with their counts, and the counts of the classes of all other words."""
 
     def __init__(self, words: list[bytes], counts: list[int], others: list[int]):
-        self.words, self.n = b"\n".join(words), len(words)
+        self.words, self.n = pa.array(words, pa.binary()), len(words)
         wide = max(0, self.n - SINGLE)
         # bins grow with the rank, so that a bin of frequent words has few
         edges = SINGLE + np.unique(np.rint((1 + wide) ** (np.arange(1, BINS) / BINS) - 1).astype(np.int64))
         rank = np.arange(self.n)
-        self.class_of = np.concatenate((np.where(rank < SINGLE, rank, SINGLE + np.searchsorted(edges, rank, side="right")), SINGLE + BINS + np.arange(OTHER), [0])).astype(np.int64)
+        self.class_of = np.concatenate((np.where(rank < SINGLE, rank, SINGLE + np.searchsorted(edges, rank, side="right")), SINGLE + BINS + np.arange(OTHER), [0])).astype(np.int32)
         self.vector_of = np.concatenate((np.where(rank < VECTORS - 4096, rank, VECTORS - 4096 + rank % 4087), VECTORS - 9 + np.arange(OTHER), [VECTORS - 1])).astype(np.uint16)
         known = np.array(counts, np.float64).reshape(-1)
         sizes = np.bincount(self.class_of[: self.n], known, CLASSES)
         self.share = np.concatenate((np.log(known) - np.log(sizes[self.class_of[: self.n]]), -np.log(np.array(others) + 1.0), [0.0]))
         self.blank = self.n + OTHER
 
-    def ids(self) -> "Ids":
-        return Ids(self.words.split(b"\n") if self.n else [], self.n)
+    def tokens(self, words: pa.BinaryArray) -> np.ndarray:
+        """Number of each word: its rank, or behind all ranks the class of others it falls into by its hash."""
+        found = pc.index_in(words, value_set=self.words)
+        out = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int32)
+        other = np.flatnonzero(out < 0)
+        if len(other):
+            rare = words.filter(pc.is_null(found)).dictionary_encode()
+            classes = np.array([zlib.crc32(w) % OTHER for w in rare.dictionary.to_pylist()], np.int32)
+            out[other] = self.n + classes[rare.indices.to_numpy()]
+        return out
 
-
-class Ids(dict):
-    """Number of a word: its rank, or behind all ranks the class of others it falls into by its hash."""
-
-    def __init__(self, words: list[bytes], n: int):
-        super().__init__({w: i for i, w in enumerate(words)})
-        self.n, self.room = n, n + REMEMBERED
-
-    def __missing__(self, word):
-        i = self.n + zlib.crc32(word) % OTHER
-        if len(self) < self.room:
-            self[word] = i
-        return i
-
-    def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all texts, given as words, with SIDE blanks around each text, and the number of tokens of each."""
-        parts, counts, blank = [], [], np.full(SIDE, self.n + OTHER, np.int64)
-        for words in texts:
-            parts += [blank, np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
-            counts.append(len(words))
-        return np.concatenate([*parts, blank]), np.array(counts, np.int64)
+    def padded(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens with SIDE blanks around each text, and where each token stands then."""
+        out, at = np.full(len(tokens) + SIDE * (len(counts) + 1), self.blank, np.int32), positions(counts)
+        out[at] = tokens
+        return out, at
 
 
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
@@ -201,14 +200,19 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def count(batches):
         out, counts = to_arrow_schema(schema), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words_of(text))
-                if len(counts) > COUNTED:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=out)
-                    counts = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=out)
 
+        def hand_on():
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=out)
+
+        for batch in batches:
+            found = words_in(batch.column(0))[0].value_counts()
+            counts.update(dict(zip(found.field("values").to_pylist(), found.field("counts").to_pylist())))
+            if len(counts) > COUNTED:
+                yield hand_on()
+                counts = Counter()
+        yield hand_on()
+
+    limit_batches(docs.sparkSession)
     return docs.select(text_col).mapInArrow(count, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -266,37 +270,30 @@ def fit(docs: DataFrame, words: Vocabulary, tokens: int, id_col: str = "doc_id",
     """
     schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("weights", T.BinaryType())])
     text, net, before = F.col(text_col), Network.fresh(), 0.0
+    limit_batches(docs.sparkSession)
     rows = docs.where(text.isNotNull()).select(text, F.xxhash64(text).alias("_h"), F.col(id_col).cast("string").alias("_id"))
     dice = F.pmod("_h", F.lit(1 << 20)) / F.lit(float(1 << 20))
     for end in rounds:
         start = net.flat()
 
         def learn(batches, start=start):
-            local, ids, trained = Network.of(start), words.ids(), 0
+            local, trained = Network.of(start), 0
             squares = {n: np.full(s, 1e-4, np.float32) for n, s in SHAPES.items()}
-            held, size = [], 0
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    held.append(text)
-                    size += len(text or "")
-                    if size >= 16 * STEP:  # a few steps' worth of tokens
-                        trained += step(local, ids, held, squares, trained)
-                        held, size = [], 0
-            trained += step(local, ids, held, squares, trained)
+                found, counts = words_in(batch.column(0))
+                tokens, at = words.padded(words.tokens(found), counts)
+                vectors, classes = words.vector_of[tokens], words.class_of[tokens]
+                at = np.random.default_rng(len(at)).permutation(at)
+                while len(at):
+                    n = min(STEP, max(STEP // 16, trained // 16))  # steps grow with what is known
+                    local.train(vectors, classes, at[:n], squares)
+                    trained, at = trained + len(at[:n]), at[n:]
             if trained:
                 for k, block in enumerate(np.array_split(local.flat(), BLOCKS)):
                     yield pa.RecordBatch.from_pylist([{"block": k, "part": TaskContext.get().partitionId(), "n": trained, "weights": block.tobytes()}], schema=to_arrow_schema(schema))
             squares.clear()
             release()
 
-        def step(local, ids, texts, squares, before):
-            tokens, counts = ids.of([words_of(t) for t in texts])
-            vectors, classes = words.vector_of[tokens], words.class_of[tokens]
-            at = np.random.default_rng(len(tokens)).permutation(positions(counts))
-            for some in np.array_split(at, -(-len(at) // min(STEP, max(STEP // 16, before // 16)))) if len(at) else ():  # steps grow with what is known
-                local.train(vectors, classes, some, squares)
-            return len(at)
-
         parts = max(1, round(tokens * (end - before) / part))
         dealt = rows.where((dice >= before) & (dice < end)).select(text, F.xxhash64("_id", "_h").alias("_order"))
         dealt = dealt.repartitionById(parts, F.pmod("_order", F.lit(parts)).cast("int")).sortWithinPartitions("_order").select(text_col)
@@ -318,49 +315,40 @@ def score(docs: DataFrame, net: Network, words: Vocabulary, counts: DataFrame, k
     added one gives way to it.
     """
     long, weights = T.LongType(), net.flat()
-    word_type = T.ArrayType(T.StructType([T.StructField("w", long), T.StructField("k", T.IntegerType())]))
-    place_type = T.ArrayType(T.StructType([T.StructField("p", long), T.StructField("pair", long), T.StructField("w", long), T.StructField("b", long)]))
-    added = T.StructType([T.StructField("n_tokens", long), T.StructField("base", long), T.StructField("rare", word_type), T.StructField("at", place_type)])
-
-    def make():
-        local, ids, digest = Network.of(weights), words.ids(), xxhash.xxh64_intdigest
-        types = {f.name: f.type for f in to_arrow_schema(added)}
-
-        def lists(name, cuts, *columns):
-            items = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types[name].value_type)], fields=list(types[name].value_type))
-            return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), items, type=types[name])
-
-        def call(texts):
-            words_in = [words_of(t) for t in texts]
-            tokens, lengths = ids.of(words_in)
-            at = positions(lengths)
-            logs = np.rint((local.log_probabilities(words.vector_of[tokens], words.class_of[tokens], at) + words.share[tokens[at]]) / UNIT).astype(np.int64)
-            ends = np.cumsum(lengths)
-            rare, place, cuts, place_cuts = ([], []), ([], [], [], []), [0], [0]
-            for own_words, end, n in zip(words_in, ends.tolist(), lengths.tolist()):
-                mine = np.flatnonzero(tokens[at[end - n : end]] >= words.n)
-                if len(mine):
-                    all_words, keys = [b"", *own_words, b""], {}
-                    for i, log in zip(mine.tolist(), logs[end - n + mine].tolist()):
-                        left, word, right = all_words[i : i + 3]
-                        if (w := keys.get(word)) is None:
-                            w = keys[word] = digest(word, 42) - (1 << 63)
-                        pair = digest(left + b" " + right, 43)
-                        for column, x in zip(place, (digest(word, pair) - (1 << 63), pair - (1 << 63), w, log)):
-                            column.append(x)
-                    found = Counter(place[2][place_cuts[-1] :])
-                    rare[0].extend(found)
-                    rare[1].extend(found.values())
-                cuts.append(len(rare[0]))
-                place_cuts.append(len(place[0]))
-            return {"n_tokens": lengths, "base": sums_of(logs, lengths), "rare": lists("rare", cuts, *rare), "at": lists("at", place_cuts, *place)}
-
-        return call
-
     kept = [c for c in keep if c.lower() not in ("n_tokens", "log_likelihood", "mean_log_likelihood")]
     own = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("own")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), own, F.col(f"`{text_col}`").alias("text"))
-    rows = materialize(map_texts(rows, ["row", "own"], "text", make, added), "lm-rows")
+    place_type = T.ArrayType(T.StructType([T.StructField("p", long), T.StructField("pair", long), T.StructField("w", long), T.StructField("b", long)]))
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("n_tokens", long), T.StructField("base", long), T.StructField("at", place_type)])
+
+    def run(batches):
+        local, out, digest = Network.of(weights), to_arrow_schema(schema), xxhash.xxh64_intdigest
+        item = out.field("at").type.value_type
+        for batch in batches:
+            for a, b in slices(pc.utf8_length(batch.column(2)).to_pylist()):
+                found, counts = words_in(batch.column(2).slice(a, b - a))
+                tokens, at = words.padded(words.tokens(found), counts)
+                logs = np.rint((local.log_probabilities(words.vector_of[tokens], words.class_of[tokens], at) + words.share[tokens[at]]) / UNIT).astype(np.int64)
+                mine = np.flatnonzero(tokens[at] >= words.n)
+                # neighbours within the text; none is an empty word
+                ends = np.cumsum(counts)
+                owner = np.searchsorted(ends, mine, side="right")
+                near = [pa.array(np.where(there, mine + step, -1), mask=~there) for step, there in ((-1, mine > (ends - counts)[owner]), (1, mine + 1 < ends[owner]))]
+                left, right = (pc.fill_null(found.take(x), b"").to_pylist() for x in near)
+                rare = found.take(pa.array(mine)).dictionary_encode()
+                names = rare.dictionary.to_pylist()
+                hashes = np.array([digest(w, 42) for w in names], np.uint64)
+                pairs = [digest(x + b" " + y, 43) for x, y in zip(left, right)]
+                spots = [digest(names[i], pair) for i, pair in zip(rare.indices.to_pylist(), pairs)]
+                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                items = pa.StructArray.from_arrays([signed(spots), signed(pairs), signed(hashes[rare.indices.to_numpy()]), pa.array(logs[mine])], fields=list(item))
+                cuts = pa.array(np.searchsorted(mine, np.concatenate(([0], ends))).astype(np.int32))
+                made = [pa.array(counts), pa.array(sums_of(logs, counts)), pa.ListArray.from_arrays(cuts, items, type=out.field("at").type)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), *made], schema=out)
+        release()
+
+    limit_batches(docs.sparkSession)
+    rows = materialize(rows.mapInArrow(run, schema), "lm-rows")
     spark, paths = docs.sparkSession, []
 
     def write(df: DataFrame, name: str) -> DataFrame:
@@ -376,7 +364,7 @@ def score(docs: DataFrame, net: Network, words: Vocabulary, counts: DataFrame, k
     told = told.select(F.col("p").alias("key"), (whole(F.log(F.lit(MEMORY) * (F.col("c") - 1) / F.col("all"))) - F.coalesce("log_n", F.lit(0)) - whole(F.log(F.lit(1 - MEMORY)))).alias("log"))
     values = write(logs.where("log_n > 0").select(F.col("w").alias("key"), F.col("log_n").alias("log")).unionByName(told), "lm-values")
     # each rare token asks for its word's count, and for its place; what a place adds replaces what the word had
-    asks = rows.select("row", F.explode("rare").alias("r")).select("row", F.col("r.w").alias("key"), F.col("r.k").cast("long").alias("k"), F.lit(0).cast("long").alias("less"))
+    asks = places.select("row", F.col("w").alias("key"), F.lit(1).cast("long").alias("k"), F.lit(0).cast("long").alias("less"))
     asks = asks.unionByName(places.select("row", F.col("p").alias("key"), F.lit(1).cast("long").alias("k"), F.col("b").alias("less")))
     more = asks.join(values, "key").groupBy("row").agg(F.sum(F.col("k") * F.col("log") - F.col("less")).alias("more"))
     more = materialize(more, "lm-more")
@@ -393,11 +381,12 @@ def rare_counts(counts: DataFrame, words: Vocabulary) -> DataFrame:
     schema = T.StructType([T.StructField("w", T.LongType()), T.StructField("log_n", T.LongType())])
 
     def run(batches):
-        out, known = to_arrow_schema(schema), set(words.words.split(b"\n"))
+        out = to_arrow_schema(schema)
         for batch in batches:
-            pairs = [(xxhash.xxh64_intdigest(w, 42) - (1 << 63), n) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()) if w not in known]
-            logs = np.rint(np.log(np.array([n for _, n in pairs], np.float64)) / UNIT).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.int64()), pa.array(logs)], schema=out)
+            batch = batch.filter(pc.invert(pc.is_in(batch.column("word"), value_set=words.words)))
+            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in batch.column("word").to_pylist()], np.uint64).view(np.int64)
+            logs = np.rint(np.log(batch.column("n").to_numpy().astype(np.float64)) / UNIT).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(logs)], schema=out)
 
     return counts.where("n > 1").mapInArrow(run, schema)
 

@@ -63,12 +63,12 @@ def test_brackets_give_each_piece_its_own_gap_from_above(seed):
     assert sum(r[2] for r in runs if r[3] < 0) == without
 
 
-@pytest.mark.parametrize(("kind", "size"), [("mixed", 2048), ("short", 2048), ("equal", 100), ("thirds", 90), ("large", 50), ("ones", 64)])
+@pytest.mark.parametrize(("kind", "size"), [("mixed", 2048), ("short", 2048), ("thirds", 90), ("ones", 64)])
 def test_rounds_pack_about_as_well_as_one_by_one(spark, kind, size, monkeypatch):
     monkeypatch.setattr(packing, "LAST", 60)
     rnd = random.Random(kind)
     make = {"mixed": lambda: min(size, max(1, int(rnd.lognormvariate(6, 1.5)))), "short": lambda: rnd.randint(1, 30), "equal": lambda: 10, "thirds": lambda: rnd.randint(26, 34), "large": lambda: rnd.randint(26, 50), "ones": lambda: rnd.choice([1, 64])}[kind]
-    lengths = [make() for _ in range(3000)]
+    lengths = [make() for _ in range(2000)]
     cut = spark.createDataFrame([(i, n, i) for i, n in enumerate(lengths)], "id long, length long, offset long")
     got = packing.pack(cut, ["id"], size).collect()
     assert sorted((r.id, r.length) for r in got) == list(enumerate(lengths))

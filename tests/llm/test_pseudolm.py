@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import pseudolm as lm
@@ -23,7 +24,7 @@ def a_vocabulary(texts, known):
 
 def brute_score(text, net, words, counts, places):
     """Sum of log p of all tokens: classes by the network, shares by counts, repeated places by all their other places."""
-    known, w, total = words.words.split(b"\n") if words.n else [], net.w, 0.0
+    known, w, total = words.words.to_pylist(), net.w, 0.0
     tokens = (text or "").encode().lower().split()
     number = [known.index(t) if t in known else words.n + zlib.crc32(t) % lm.OTHER for t in tokens]
     for i, token in enumerate(tokens):
@@ -96,10 +97,11 @@ def test_vocabulary_counts_all(spark, sf_dir, monkeypatch, known):
     counts = counted([r.text for r in docs.collect()])
     got = lm.vocabulary(lm.word_counts(docs))
     want = sorted(counts, key=lambda w: (-counts[w], w))
-    words = got.words.split(b"\n") if got.n else []
+    words = got.words.to_pylist()
+    known_words = set(words)
     assert words == want[: got.n] and got.n <= known and (got.n == len(want)) == (known > len(want))
     for k in range(lm.OTHER):
-        assert got.share[got.n + k] == pytest.approx(-math.log(1 + sum(n for w, n in counts.items() if w not in words and zlib.crc32(w) % lm.OTHER == k)))
+        assert got.share[got.n + k] == pytest.approx(-math.log(1 + sum(n for w, n in counts.items() if w not in known_words and zlib.crc32(w) % lm.OTHER == k)))
 
 
 def test_odd_tables(spark):
@@ -123,9 +125,10 @@ def test_every_token_is_a_target(spark):
     docs = spark.createDataFrame([(i, " ".join(f"{c}{i % 5}" for c in "abcdefgh")) for i in range(8000)], "doc_id long, text string")
     counts = lm.word_counts(docs)
     words = lm.vocabulary(counts)
-    net, ids = lm.fit(docs, words, 64_000), words.ids()
-    tokens, counts = ids.of([[f"{c}{k}".encode() for c in "abcdefgh"] for k in range(5)])
-    got = (net.log_probabilities(words.vector_of[tokens], words.class_of[tokens], lm.positions(counts)) + words.share[tokens[lm.positions(counts)]]).reshape(5, 8).mean(axis=0)
+    net = lm.fit(docs, words, 64_000)
+    found, counts = lm.words_in(pa.array([" ".join(f"{c}{k}" for c in "abcdefgh") for k in range(5)]))
+    tokens, at = words.padded(words.tokens(found), counts)
+    got = (net.log_probabilities(words.vector_of[tokens], words.class_of[tokens], at) + words.share[tokens[at]]).reshape(5, 8).mean(axis=0)
     assert got.min() > math.log(1 / 40) + 1
 
 
@@ -177,3 +180,11 @@ def test_documents_that_occur_twice_score_apart(spark):
     got = {r.doc_id: r.mean_log_likelihood for r in lm.score(docs, lm.fit(docs, words, 50_000), words, counts, ["doc_id"]).collect()}
     once = sorted(got[i] for i in range(40, 600))
     assert sum(got[i] > once[504] for i in range(40)) >= 36
+
+
+def test_words_are_those_of_bytes():
+    texts = ["", None, "  ", " a  B\tc\x0bd\x0ce\rf\ng ", "É é\u00a0x\u2003y ÀB", "\x1c\x1d a\x85b", "one", "a" * 5000 + " " + "b" * 70_000]
+    found, counts = lm.words_in(pa.array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and found.to_pylist() == [w for ws in want for w in ws]
+    assert lm.words_in(pa.array([], pa.string()))[1].tolist() == []
