@@ -35,6 +35,16 @@ def json_extract(doc: Column, path: str) -> Column:
     return F.get_json_object(doc, path)
 
 
+def json_unquote(value: Column) -> Column:
+    """A JSON string without its quotes and escapes; what is no JSON string stays."""
+    quoted = F.startswith(value, F.lit('"')) & F.endswith(value, F.lit('"')) & (F.char_length(value) > 1)
+    return F.when(quoted, F.coalesce(F.get_json_object(F.concat(F.lit("["), value, F.lit("]")), "$[0]"), value)).otherwise(value)
+
+
+def curdate() -> Column:
+    return F.current_date()
+
+
 def from_unixtime(seconds: Column) -> Column:
     return F.timestamp_seconds(seconds)
 

@@ -8,8 +8,10 @@ from pyspark.sql import Column, functions as F
 SEPARATORS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000},.;:!?()\[\]{}<>=#'\"\x{3002}\x{ff0c}\x{ff1b}\x{ff1a}\x{ff01}\x{ff1f}\x{3001}]+"
 #: A word or one CJK character; words that graph queries leave out.
 TERM = r"[A-Za-z_][A-Za-z0-9_]*|[\x{4e00}-\x{9fff}]"
+#: Stop words of graph queries, and where sentences end.
 STOPS = ["the", "and", "or", "of", "to", "in", "for", "on", "is", "a", "an", "的", "是", "了", "和"]
 SENTENCE_END = r"([\x{3002}\x{ff01}\x{ff1f}\x{ff1b}]|[.!?;](?=\s|$)|\n{2,})"
+#: Stands between parts while they are worked out; one in a text is taken for a blank.
 MARK = "\u0001"
 
 
@@ -39,7 +41,7 @@ def overlap(question: Column, other: Column) -> Column:
 
 def sentences(text: Column, min_chars: int = 6) -> Column:
     """Sentences with their end marks: CJK end marks, ASCII ones before white space, blank lines; short ones join the sentence before."""
-    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), SENTENCE_END, "$1" + MARK), MARK)
+    cut = F.split(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARK, " "), SENTENCE_END, "$1" + MARK), MARK)
     clean = F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
     return glue_short(clean, min_chars)
 
@@ -52,15 +54,16 @@ def glue_short(parts: Column, min_chars: int) -> Column:
 
 def strips(text: Column) -> Column:
     """Sentences for refinement: cut behind any of the six end marks, white space collapsed."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    flat = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARK, " "), r"\s+", " "))
     cut = F.split(F.regexp_replace(flat, r"([\x{3002}\x{ff01}\x{ff1f}.!?]) *", "$1" + MARK), MARK)
     return F.filter(F.transform(cut, F.trim), lambda s: s != "")
 
 
 def hash_vector(text: Column) -> Column:
     """32 numbers from 0 to 1 from the bytes of SHA-256; a repeated tiling has the same cosines."""
-    digest = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
-    return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0)
+    # the digest is an array of one, so that it is worked out once and not for each of its bytes
+    byte = lambda d, i: F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0
+    return F.transform(F.array(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: byte(d, i)))[0]
 
 
 def point_id(key: Column) -> Column:

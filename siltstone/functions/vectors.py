@@ -50,12 +50,16 @@ def blocks(df: DataFrame, id_col: str, vector: str, size: int, prefix: str) -> D
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, vector_id: str, query_vector: str = "embedding", vector: str = "embedding", digits: int = 6, metric: str = "cosine") -> DataFrame:
     """``(query id, vector id, score, rank)``: the ``k`` best of all vectors for every query, exactly.
 
-    Blocks of queries meet blocks of vectors of the same width, each pair is one matrix product, and only the best k of a
-    block go on. Scores are rounded before ranking, ties go to the smaller id. metric: cosine, or l2 for the negative
+    Every block of vectors falls into one of as many buckets as there are shuffle partitions, and blocks of queries, the few,
+    go to each bucket (or are broadcast, if Spark finds them small enough); blocks of the same width meet, each pair is one
+    matrix product, and only the best k of a block go on. Scores are rounded before ranking, ties go to the smaller id. metric: cosine, or l2 for the negative
     squared distance.
     """
     asked, known = blocks(queries, query_id, query_vector, QUERIES, "q"), blocks(vectors, vector_id, vector, BLOCK, "v")
-    pairs = known.join(asked, F.col("v_width") == F.col("q_width"))
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = known.withColumn("v_bucket", F.pmod(F.xxhash64("v_ids"), F.lit(n)))
+    asked = asked.withColumn("q_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    pairs = known.join(asked, (F.col("v_bucket") == F.col("q_bucket")) & (F.col("v_width") == F.col("q_width")))
     schema = T.StructType([T.StructField(query_id, T.LongType()), T.StructField(vector_id, T.LongType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):

@@ -40,6 +40,20 @@ def pooled_chunks(docs: DataFrame, id_col: str, n_chars: Column, token_vectors:
     return part.select(id_col, F.col("w.index").alias("chunk_index"), F.size("p").alias("n_tokens"), F.array(*means).alias("embedding"))
 
 
+def by_strategy(docs: DataFrame, id_col: str, text_col: str, strategy: str | None, embed: Callable[[Column], Column] = tx.hash_vector) -> DataFrame:
+    """``(id, chunk_id, text)`` by strategy: late windows, none (whole documents), or semantic chunks, also for any other name.
+
+    Late and semantic leave out documents without text; with none every document is a chunk.
+    """
+    name = (strategy or "").lower()
+    if name == "late":
+        return late_chunks(docs, id_col, text_col).select(id_col, "chunk_id", "text")
+    if name == "none":
+        return docs.select(id_col, F.col(id_col).cast("string").alias("chunk_id"), F.col(text_col).alias("text"))
+    chunks = semantic_chunks(docs, id_col, text_col, embed)
+    return chunks.select(id_col, F.concat_ws("::sc-", F.col(id_col).cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text")
+
+
 def semantic_chunks(docs: DataFrame, id_col: str, text_col: str, embed: Callable[[Column], Column] = tx.hash_vector, max_chars: int = MAX_CHARS, same: float = SAME_TOPIC, least: int = LEAST_CHARS) -> DataFrame:
     """``(id, chunk_index, n_sentences, sim_to_next, text)``.
 

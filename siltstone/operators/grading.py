@@ -50,7 +50,8 @@ def refine(questions: DataFrame, hits: DataFrame, query_id: str, question: str =
     known = asked.join(hits.select(query_id, rank, text), query_id)
     cut = known.where(F.size("_q") > 0).select(query_id, "_q", rank, F.posexplode(tx.strips(F.col(text))).alias("_at", "strip"))
     cut = cut.where(F.char_length("strip") >= STRIP_CHARS).withColumn("_o", tx.overlap(F.col("_q"), tx.term_set(F.col("strip")))).where(F.col("_o") >= STRIP_OVERLAP)
-    plain = known.where((F.size("_q") == 0) & (F.col(rank) <= 5)).select(query_id, rank, F.lit(0).alias("_at"), F.lit(0.0).alias("_o"), F.substring(text, 1, 500).alias("strip"))
+    first = F.row_number().over(Window.partitionBy(query_id).orderBy(rank))
+    plain = known.where(F.size("_q") == 0).withColumn("_n", first).where("_n <= 5").select(query_id, rank, F.lit(0).alias("_at"), F.lit(0.0).alias("_o"), F.substring(text, 1, 500).alias("strip"))
     every = cut.select(query_id, rank, "_at", "_o", "strip").unionByName(plain)
     best = Window.partitionBy(query_id).orderBy(F.desc("_o"), rank, "_at")
     return every.withColumn("place", F.row_number().over(best)).where(F.col("place") <= STRIPS).select(query_id, "place", F.round("_o", 6).alias("overlap"), "strip")
@@ -63,16 +64,19 @@ def answers(questions: DataFrame, strips: DataFrame, query_id: str, question: st
     return questions.join(some, query_id, "left").select(query_id, F.coalesce(text, F.lit("Nothing conclusive in the context.")).alias("answer"))
 
 
-def corrective(questions: DataFrame, local: DataFrame, web: DataFrame, query_id: str) -> DataFrame:
+def corrective(questions: DataFrame, local: DataFrame, web: DataFrame | None, query_id: str) -> DataFrame:
     """One row a question: confidence, route, number of strips and answer.
 
     Found pages join the local hits wherever the route is not correct; local hits stay in any case. ``local`` and ``web``
-    have ``rank`` and ``text``.
+    have ``rank`` and ``text``; without ``web`` none is allowed, and local hits are all there is.
     """
     graded = confidence(questions, local, query_id).withColumn("route", route(F.col("confidence")))
+    graded = materialize(graded, "graded")
+    web = local.limit(0) if web is None else web
     extra = web.join(graded.where("route <> 'correct'").select(query_id), query_id, "left_semi")
-    last = 1_000_000  # pages come behind all local hits
-    strips = refine(questions, local.select(query_id, "rank", "text").unionByName(extra.select(query_id, (F.col("rank") + last).alias("rank"), "text")), query_id)
+    # pages come behind all local hits
+    place = lambda part: F.struct(F.lit(part).alias("part"), F.col("rank").cast("long").alias("rank")).alias("rank")
+    strips = materialize(refine(questions, local.select(query_id, place(0), "text").unionByName(extra.select(query_id, place(1), "text")), query_id), "strips")
     counts = strips.groupBy(query_id).agg(F.count(F.lit(1)).alias("n_strips"))
     return graded.join(counts, query_id, "left").join(answers(questions, strips, query_id), query_id).select(query_id, "confidence", "route", F.coalesce("n_strips", F.lit(0)).alias("n_strips"), "answer")
 
@@ -104,3 +108,23 @@ def self_correct(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame
         done = stop if done is None else done.unionByName(stop)
         left = graded.where("not sufficient").select(query_id, rewrite(F.col("question")).alias("question"))
     return done
+
+
+def self_rag(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], rerank: Callable[[DataFrame], DataFrame], rewrite: Callable[[Column], Column], query_id: str, loops: int = 2, least: float = CORRECT) -> DataFrame:
+    """``(query, loop, question, score, sufficient, last, fallback, chunks)``: the history of every question, a row a pass.
+
+    A pass takes many candidates (``retrieve``), keeps the few that ``rerank`` puts first (with ``rank`` and ``text``, and an
+    ``id``), grades those, and rewrites the question if they do not suffice. ``last`` marks the row with the answer's chunks,
+    ids in order of rank; ``fallback`` those that never sufficed.
+    """
+    left, done = questions, None
+    for loop in range(loops + 1):
+        top = materialize(rerank(retrieve(left)), "self-rag-top")
+        chunks = top.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("c")).select(query_id, F.transform("c", lambda x: x["id"]).alias("chunks"))
+        graded = left.join(confidence(left, top, query_id), query_id).join(chunks, query_id, "left").withColumn("sufficient", F.col("confidence") >= least)
+        last = F.col("sufficient") | F.lit(loop == loops)
+        graded = graded.select(query_id, F.lit(loop).alias("loop"), "question", F.col("confidence").alias("score"), "sufficient", last.alias("last"), (last & ~F.col("sufficient")).alias("fallback"), F.coalesce("chunks", F.array().cast("array<long>")).alias("chunks"))
+        graded = materialize(graded, "self-rag")
+        done = graded if done is None else done.unionByName(graded)
+        left = graded.where("not sufficient").select(query_id, rewrite(F.col("question")).alias("question"))
+    return done

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltstone.functions import text as tx
 from siltstone.operators.components import connected_components
+from siltstone.session import materialize
 
 LARGEST, KEYWORDS, SUMMARY_WORDS, SUMMARY_LABELS = 50, 12, 10, 8
 ENTITIES, REPORTS, HIT_CHARS, NEAR_CHARS = 3, 3, 200, 120
@@ -79,12 +80,12 @@ def stats(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hop: int, keys: list[str]) -> DataFrame:
     """``(*keys, id, distance)``: what ``hop`` steps over undirected edges reach from the seeds ``(*keys, id)``, seeds included."""
-    both = undirected(edges)
+    both = materialize(undirected(edges), "hop-edges")
     visited = seeds.select(*keys, "id").distinct().withColumn("distance", F.lit(0))
     frontier = visited
     for step in range(1, hop + 1):
         near = frontier.select(*keys, F.col("id").alias("src")).join(both, "src").select(*keys, F.col("dst").alias("id")).distinct()
-        frontier = near.join(visited.select(*keys, "id"), [*keys, "id"], "left_anti").withColumn("distance", F.lit(step))
+        frontier = materialize(near.join(visited.select(*keys, "id"), [*keys, "id"], "left_anti").withColumn("distance", F.lit(step)), "hop")
         visited = visited.unionByName(frontier)
     return visited
 
@@ -122,14 +123,20 @@ def neighbours(edges: DataFrame, relation: str | None = None) -> DataFrame:
     return edges.where(F.col("type") == relation if relation else F.lit(True)).select("src", "dst", "type")
 
 
-def migration_order(tables: DataFrame, references: DataFrame, most: int = 100) -> DataFrame:
-    """``(table, layer)``: tables nobody left refers to come first; ``references`` has ``(child, parent)``. A cycle ends it."""
-    left, out, layer = tables.select("table").distinct(), None, 0
-    while layer < most and not left.isEmpty():
-        held = references.join(left.withColumnRenamed("table", "child"), "child", "left_semi").where("child <> parent").select(F.col("parent").alias("table")).distinct()
-        free = left.join(held, "table", "left_anti").withColumn("layer", F.lit(layer))
+def migration_order(tables: DataFrame, references: DataFrame) -> DataFrame:
+    """``(table, layer)``: tables nobody left refers to come first; ``references`` has ``(child, parent)``.
+
+    A round a layer, as many as the longest chain has. Tables of a cycle, and those that only they refer to, have no place
+    in such an order: their layer is null.
+    """
+    left, out, layer = materialize(tables.select("table").distinct(), "order-left"), None, 0
+    references = references.where("child <> parent")
+    while not left.isEmpty():
+        held = references.join(left.withColumnRenamed("table", "child"), "child", "left_semi").select(F.col("parent").alias("table")).distinct()
+        free = materialize(left.join(held, "table", "left_anti").withColumn("layer", F.lit(layer)), "order-layer")
         if free.isEmpty():
             break
         out = free if out is None else out.unionByName(free)
-        left, layer = left.join(free.select("table"), "table", "left_anti"), layer + 1
-    return out if out is not None else left.withColumn("layer", F.lit(0))
+        left, layer = materialize(left.join(free.select("table"), "table", "left_anti"), "order-left"), layer + 1
+    rest = left.withColumn("layer", F.lit(None).cast("int"))
+    return rest if out is None else out.unionByName(rest)

@@ -38,11 +38,13 @@ def difference(source: DataFrame, target: DataFrame, key: str, tolerance: float
 
 
 def schema_diff(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Columns of both sides with their types; null where a side lacks one."""
+    """Columns of both sides with their types; null where a side lacks one. Decimals have precision and scale of their own too."""
     spark = source.sparkSession
     catalog = lambda df, name: spark.createDataFrame(df.dtypes, f"column_name string, {name} string")
     both = catalog(source, "source_type").join(catalog(target, "target_type"), "column_name", "full")
-    return both.withColumn("same", F.col("source_type").eqNullSafe(F.col("target_type")))
+    part = lambda side, g: F.nullif(F.regexp_extract(f"{side}_type", r"^decimal\((\d+),(\d+)\)", g), F.lit("")).cast("int")
+    parts = {f"{side}_{name}": part(side, g) for side in ("source", "target") for g, name in ((1, "precision"), (2, "scale"))}
+    return both.withColumn("same", F.col("source_type").eqNullSafe(F.col("target_type"))).withColumns(parts)
 
 
 #: Type of the target for a type of the source.
@@ -66,12 +68,17 @@ def latest(changes: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def merge(target: DataFrame, changes: DataFrame, key: str, seq: str, deleted: str) -> DataFrame:
-    """Apply changes by key: the latest of each key wins if it is newer than the row, deletions take the row out.
+    """Apply changes by key: the latest of each key wins if it is newer than what the target knows of the key.
 
-    New columns of the changes are added to the target. The sequence stays with each row and deletions leave no row, so a
-    replayed batch changes nothing but may bring back a row deleted later; the sink stores its last batch for that.
+    The target keeps ``deleted`` and the sequence with each row, so a deleted key stays known and neither a replayed batch
+    nor an older change that comes late brings it back; ``present`` hides such rows. A key without a sequence counts as
+    oldest. New columns of the changes are added to the target.
     """
-    new = latest(changes, key, seq)
-    keep = target.join(new.select(key, F.col(seq).alias("_new")), key, "left").where(F.col("_new").isNull() | (F.col(seq) >= F.col("_new"))).drop("_new")
-    fresh = new.join(target.select(key, F.col(seq).alias("_old")), key, "left").where((F.col("_old").isNull() | (F.col(seq) > F.col("_old"))) & ~F.col(deleted)).drop("_old", deleted)
-    return keep.unionByName(fresh, allowMissingColumns=True)
+    both = target.withColumn("_of", F.lit(1)).unionByName(changes.withColumn("_of", F.lit(0)), allowMissingColumns=True)
+    last = Window.partitionBy(key).orderBy(F.desc_nulls_last(seq), F.desc("_of"))
+    return both.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_of")
+
+
+def present(rows: DataFrame, deleted: str = "deleted") -> DataFrame:
+    """The rows that are not deleted, without the mark."""
+    return rows.where(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted)

@@ -3,21 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltstone.functions import text as tx
+from siltstone.session import materialize
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, term, tf, dl)`` with the number of tokens of the document."""
-    words = docs.select(id_col, tx.tokens(F.col(text_col)).alias("t")).select(id_col, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    """``(id, term, tf, dl)`` with the number of tokens of the document.
+
+    Texts are dealt by id, so the terms of a text are counted where they are: postings, far more than texts, never move.
+    """
+    words = docs.select(id_col, text_col).repartition(id_col).select(id_col, tx.tokens(F.col(text_col)).alias("t")).select(id_col, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
     return words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
+@dataclass
+class Index:
+    """A written inverted index: ``postings`` as above, ``df`` by term, and one row of ``stats``. Texts are read once."""
+
+    postings: DataFrame
+    df: DataFrame
+    stats: DataFrame
+
+    @staticmethod
+    def of(docs: DataFrame, id_col: str, text_col: str = "text", path: str | None = None) -> "Index":
+        """Ids must be unique. ``path`` keeps the index; documents without tokens count in the statistics."""
+        rows = materialize(postings(docs, id_col, text_col), "postings", path)
+        tokens = rows.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+        stats = docs.agg(F.count(F.lit(1)).alias("n_docs")).join(F.broadcast(tokens), how="cross")  # one row each
+        return Index(rows, rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats.select("n_docs", (F.col("tokens") / F.col("n_docs")).alias("avgdl")))
+
+
 def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
     """One row: documents, mean length; documents without tokens count."""
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tx.tokens(F.col(text_col)))).alias("avgdl"))
@@ -40,24 +62,42 @@ def ranked(scores: DataFrame, query_id: str, doc_id: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, query_id: str, doc_text: str = "text", query_text: str = "text", digits: int = 6) -> DataFrame:
+def bm25(docs: DataFrame | Index, queries: DataFrame, k: int, doc_id: str, query_id: str, doc_text: str = "text", query_text: str = "text", digits: int = 6) -> DataFrame:
     """``(query, doc, score, rank)``. A query's repeated terms count each time; documents without a query term are not listed.
 
-    Only postings of query terms are scored: the query terms, far fewer than the postings, filter them first.
+    ``docs`` is a table of texts, which is indexed first, or an index. Only postings of query terms are scored: the weighed
+    query terms, far fewer than the postings, are the small side of the join, and scores are summed before they move.
     """
+    known = docs if isinstance(docs, Index) else Index.of(docs, doc_id, doc_text)
     asked = queries.select(query_id, F.explode(tx.tokens(F.col(query_text))).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    idf = inverse_frequency(document_frequency(docs, doc_text), corpus_stats(docs, doc_text))
-    weighed = asked.join(idf, "term").select(query_id, "term", "qtf", "idf", "avgdl")
-    hits = postings(docs, doc_id, doc_text).join(weighed, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weighed = asked.join(inverse_frequency(known.df, known.stats), "term").select(query_id, "term", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl")
+    hits = known.postings.join(materialize(weighed, "query-terms"), "term")
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy(query_id, doc_id).agg(F.round(F.sum(part), digits).alias("score"))
     return ranked(scores, query_id, doc_id, k)
 
 
-def sparse(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, query_id: str, doc_text: str = "text", query_text: str = "text", digits: int = 6) -> DataFrame:
-    """Dot product of sparse vectors whose weight of a term is ln(1 + tf) / sqrt(dl)."""
-    weight = lambda df, key, col, name: postings(df, key, col).select(key, "term", (F.log1p("tf") / F.sqrt("dl")).alias(name))
-    hits = weight(docs, doc_id, doc_text, "wd").join(weight(queries, query_id, query_text, "wq"), "term")
+def bm25_with_zero(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, query_id: str, doc_text: str = "text", query_text: str = "text", digits: int = 6) -> DataFrame:
+    """As ``bm25``, but where fewer than ``k`` documents have a query term others follow with a score of 0, by id.
+
+    Of negative scores, which only arise where most terms are very common, those come behind the zeros. Enough zeros are
+    among the first documents by id: ``k`` and as many as a query can have hits before them.
+    """
+    scored = bm25(docs, queries, 2**31 - 1, doc_id, query_id, doc_text, query_text, digits).select(query_id, doc_id, "score")
+    missing = queries.select(query_id).join(scored.where("score >= 0").groupBy(query_id).agg(F.count(F.lit(1)).alias("n")), query_id, "left").select(query_id, F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
+    hits = scored.join(missing.select(query_id), query_id, "left_semi").groupBy(query_id).agg(F.count(F.lit(1)).alias("had"))
+    wanted = missing.join(hits, query_id, "left").select(query_id, (F.coalesce("had", F.lit(0)) + k).alias("look"))
+    most = wanted.agg(F.max("look")).first()[0] or 0
+    first = docs.select(doc_id).orderBy(doc_id).limit(most).withColumn("at", F.row_number().over(Window.orderBy(doc_id)))  # ``most`` rows, few: hits of a query with fewer than k
+    zeros = wanted.join(F.broadcast(first), F.col("at") <= F.col("look")).select(query_id, doc_id).join(scored.select(query_id, doc_id), [query_id, doc_id], "left_anti")
+    return ranked(scored.unionByName(zeros.withColumn("score", F.lit(0.0))), query_id, doc_id, k)
+
+
+def sparse(docs: DataFrame | Index, queries: DataFrame, k: int, doc_id: str, query_id: str, doc_text: str = "text", query_text: str = "text", digits: int = 6) -> DataFrame:
+    """Dot product of sparse vectors whose weight of a term is ln(1 + tf) / sqrt(dl); ``docs`` is a table of texts or an index."""
+    weight = lambda rows, key, name: rows.select(key, "term", (F.log1p("tf") / F.sqrt("dl")).alias(name))
+    known = docs.postings if isinstance(docs, Index) else postings(docs, doc_id, doc_text)
+    hits = weight(known, doc_id, "wd").join(weight(postings(queries, query_id, query_text), query_id, "wq"), "term")
     scores = hits.groupBy(query_id, doc_id).agg(F.round(F.sum(F.col("wd") * F.col("wq")), digits).alias("score"))
     return ranked(scores, query_id, doc_id, k)
 

@@ -2,11 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 STAGES = 6
 
 
+@dataclass
+class Handler:
+    """Makes patches of one kind of unit. All but the name are columns over the unit's row; ``error`` is null where nothing is wrong."""
+
+    name: str
+    can_handle: Column
+    patched: Column
+    rationale: Column
+    confidence: Column
+    needs_review: Column
+    error: Column
+
+
+def dispatch(units: DataFrame, handlers: list[Handler], keep: list[str]) -> DataFrame:
+    """``(*keep, handler, patched, rationale, confidence, needs_review)``: each unit goes to the first handler that takes it.
+
+    A unit that no handler takes gives no row (see ``unhandled``). Where a handler meets an error the row has no patch,
+    confidence 0, needs review and says so.
+    """
+
+    def first(pick: Callable[[Handler], Column]) -> Column:
+        return F.coalesce(*[F.when(h.can_handle, F.struct(pick(h).alias("v"))) for h in handlers])["v"]
+
+    wrong = first(lambda h: h.error.cast("string"))
+    rows = units.where(reduce(lambda a, b: a | b, [F.coalesce(h.can_handle, F.lit(False)) for h in handlers], F.lit(False)))
+    return rows.select(
+        *keep, first(lambda h: F.lit(h.name)).alias("handler"), F.when(wrong.isNull(), first(lambda h: h.patched)).alias("patched"), F.when(wrong.isNull(), first(lambda h: h.rationale)).otherwise(F.concat(F.lit("handler error: "), wrong)).alias("rationale"),
+        F.when(wrong.isNull(), first(lambda h: h.confidence)).otherwise(0.0).alias("confidence"), F.when(wrong.isNull(), first(lambda h: h.needs_review)).otherwise(True).alias("needs_review"),
+    )
+
+
+def unhandled(units: DataFrame, handlers: list[Handler]) -> DataFrame:
+    """The units that no handler takes."""
+    return units.where(~reduce(lambda a, b: a | b, [F.coalesce(h.can_handle, F.lit(False)) for h in handlers], F.lit(False)))
+
+
 def patch_set(patches: DataFrame, keys: list[str]) -> DataFrame:
     """Count, mean confidence (0 without patches) and how many need review."""
     return patches.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.round(F.avg("confidence"), 6), F.lit(0.0)).alias("mean_confidence"), F.count_if(F.col("needs_review")).alias("review"))

@@ -75,18 +75,41 @@ def ingest_counts(spark, sf_dir):
     return chunks.agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("chunks"), F.countDistinct("key").alias("new_chunks"))
 
 
+def ingest_strategies(spark, sf_dir):
+    """Documents, chunks, and chunks new to the index, for every strategy; an unknown one is semantic."""
+    out = None
+    for name in ("late", "semantic", "none", "other"):
+        chunks = chunking.by_strategy(documents(spark, sf_dir), "doc_id", "text", name).select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"))
+        row = chunks.agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("chunks"), F.countDistinct("key").alias("new_chunks")).withColumn("strategy", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def label_centroids(spark, sf_dir):
     means = vec.mean_vector(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
     return means.select("label", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
 
 
-QUERIES = {f.__name__: f for f in (ingest_defaults, late_chunks, late_hash_vectors, late_pooling, hash_embed, point_ids, sentence_count, strip_count, semantic_chunks, ingest_dedup, vector_upsert, ingest_counts, label_centroids)}
+QUERIES = {f.__name__: f for f in (ingest_defaults, late_chunks, late_hash_vectors, late_pooling, hash_embed, point_ids, sentence_count, strip_count, semantic_chunks, ingest_dedup, vector_upsert, ingest_counts, ingest_strategies, label_centroids)}
 
 SEP = tx.SEPARATORS.replace("'", "''")
 WINDOWS = """w as (select doc_id, text, length(text) n, unnest(range(0, case when length(text) <= 600 then 1 else ceil((length(text) - 600) / 520.0)::INT + 1 end)) i from documents where length(text) > 0),
 c as (select doc_id, i::INT chunk_index, (i * 520)::INT char_start, least(i * 520 + 600, n)::INT char_end, doc_id || '::lc-' || i chunk_id, substr(text, i * 520 + 1, least(i * 520 + 600, n) - i * 520) text from w)"""
 BYTE = lambda i: f"(('0x' || substr(sha256(coalesce(text, '')), {2 * i + 1}, 2))::INT)::DOUBLE / 255.0"
 STRIPS = "list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(coalesce({}, ''), '[\\t-\\r ]+', ' ', 'g')), '([\\x{{3002}}\\x{{ff01}}\\x{{ff1f}}.!?]) *', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+#: Sentences with their marks, short ones behind the sentence before; then chunks, sentence by sentence.
+SENTENCES = """cut as (select doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([\\x{3002}\\x{ff01}\\x{ff1f}\\x{ff1b}])', '\\1' || chr(1), 'g'), '(\n{2,})', '\\1' || chr(1), 'g'), '([.!?;])([\\t-\\r \\x01]|$)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) p from documents),
+part as (select doc_id, unnest(p) x, generate_subscripts(p, 1) i from cut), flat as (select doc_id, i, trim(regexp_replace(x, '[\\t-\\r ]+', ' ', 'g')) x from part),
+numbered as (select doc_id, i, x, row_number() over (partition by doc_id order by i) r from flat where x <> ''), grouped as (select doc_id, i, x, count(*) filter (r = 1 or length(x) >= 6) over (partition by doc_id order by i) g from numbered),
+glued as (select doc_id, g, string_agg(x, ' ' order by i) x from grouped group by doc_id, g), sentences as (select doc_id, list(x order by g) s from glued group by doc_id)"""
+SEMANTIC = f"""{SENTENCES}, sent as (select doc_id, g::INT i, x, list_transform(range(0, 32), lambda k: (('0x' || substr(sha256(x), 2 * k + 1, 2))::INT)::DOUBLE / 255.0) v from glued),
+sims as (select a.doc_id, a.i, a.x, list_cosine_similarity(a.v, b.v) sim from sent a left join sent b on a.doc_id = b.doc_id and b.i = a.i - 1),
+cutting as (select doc_id from documents join sentences using (doc_id) where len(s) > 1 and length(text) > {chunking.MAX_CHARS}),
+fold(doc_id, i, n, start) as (select doc_id, i, length(x), 1 from sims where i = 1 union all
+  select f.doc_id, t.i, case when brk then length(t.x) else f.n + length(t.x) end, case when brk then t.i else f.start end from fold f join (select s.*, doc_id in (from cutting) may from sims s) t on t.doc_id = f.doc_id and t.i = f.i + 1,
+  lateral (select t.may and (f.n + length(t.x) > {chunking.MAX_CHARS} or t.sim < {chunking.SAME_TOPIC}) and f.n >= {chunking.LEAST_CHARS} brk)),
+semantic as (select doc_id, (row_number() over (partition by doc_id order by start) - 1)::INT chunk_index, n_sentences, round(after, 6) sim_to_next, text from (
+  select f.doc_id, f.start, count(*)::INT n_sentences, string_agg(x, ' ' order by f.i) as text, (select n.sim from sims n where n.doc_id = f.doc_id and n.i = max(f.i) + 1) after from fold f join sims using (doc_id, i) group by f.doc_id, f.start))"""
 ORACLES = {
     "ingest_defaults": "select coalesce(doc_id::VARCHAR, '') id, coalesce(source, 'manual') source, length(text) n_chars, lang from documents",
     "late_chunks": f"with {WINDOWS} select doc_id, chunk_index, char_start, char_end, chunk_id, md5(text) text_md5 from c",
@@ -97,6 +120,10 @@ ORACLES = {
         select doc_id, chunk_index, len(p)::INT n_tokens, round(list_avg(list_transform(p, lambda x: length(x)::DOUBLE)), 6) e0, round(list_avg(list_transform(p, lambda x: ord(x)::DOUBLE)), 6) e1 from p""",
     "hash_embed": f"select doc_id, list_transform(range(0, 32), lambda i: (('0x' || substr(sha256(coalesce(text, '')), 2 * i + 1, 2))::INT)::DOUBLE / 255.0) embedding from documents",
     "point_ids": "select doc_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12)) point_id from (select doc_id, md5(doc_id::VARCHAR) h from documents)",
+    "sentence_count": f"with {SENTENCES} select doc_id, coalesce(len(s), 0)::INT n_sentences from documents left join sentences using (doc_id)",
+    "semantic_chunks": f"with recursive {SEMANTIC} select doc_id, chunk_index, n_sentences, sim_to_next, text from semantic",
+    "ingest_strategies": f"""with recursive {WINDOWS}, {SEMANTIC}, every as (select 'late' strategy, doc_id, text from c union all select 'none', doc_id, coalesce(text, '') from documents
+        union all select unnest(['semantic', 'other']), doc_id, text from semantic) select strategy, count(distinct doc_id) documents, count(*) chunks, count(distinct md5(text)) new_chunks from every group by strategy""",
     "strip_count": f"select doc_id, len({STRIPS.format('text')}) n_strips from documents",
     "ingest_dedup": "with d as (select doc_id, lang, md5(text) key from documents) select min(doc_id) doc_id, key from d where lang = 'en' and key not in (select key from d where lang <> 'en') group by key",
     "vector_upsert": "with n as (select vec_id, (-label)::INT label from embeddings where label > 4 union all select -vec_id - 1, label from embeddings) select * from n union all select vec_id, label from embeddings where vec_id not in (select vec_id from n)",

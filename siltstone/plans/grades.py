@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as tx
 from siltstone.operators import grading, search
 from siltstone.plans import retrieval as rt
-from siltstone.session import table
+from siltstone.session import materialize, table
 
 TOP, PAGES = 5, 3
 
 
 def hits(spark, sf_dir):
-    return rt.bm25_channel(spark, sf_dir, TOP).join(rt.corpus(spark, sf_dir), "doc_id")
+    """The hits with their texts, written once: grading, refining and answers all read them."""
+    return materialize(rt.bm25_channel(spark, sf_dir, TOP).join(rt.corpus(spark, sf_dir), "doc_id"), "hits")
 
 
 def asked(spark, sf_dir):
@@ -55,6 +56,11 @@ def truth(spark, sf_dir):
     return search.postings(docs, "doc_id", "text").select("doc_id", "term").join(rare, "term").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
 
 
+def crag_local_only(spark, sf_dir):
+    """The same where found pages are not allowed."""
+    return grading.corrective(asked(spark, sf_dir), hits(spark, sf_dir), None, "item_id")
+
+
 def recall_at_k(spark, sf_dir):
     return grading.recall(rt.bm25_channel(spark, sf_dir, TOP), truth(spark, sf_dir), "item_id", "doc_id", TOP)
 
@@ -78,15 +84,34 @@ def keyword_faithfulness(spark, sf_dir):
 
 
 def self_rag_loop(spark, sf_dir):
+    known = rt.index(spark, sf_dir)
+
     def retrieve(ask):
         docs = rt.corpus(spark, sf_dir)
-        return search.bm25(docs, ask, TOP, "doc_id", "item_id", query_text="question").join(docs, "doc_id").select("item_id", "rank", "text")
+        return search.bm25(known, ask, TOP, "doc_id", "item_id", query_text="question").join(docs, "doc_id").select("item_id", "rank", "text")
 
     rewrite = lambda q: F.regexp_replace(q, r"^\S+\s+", "")  # noqa: E731  leaves out the first word
     return grading.self_correct(asked(spark, sf_dir), retrieve, rewrite, "item_id", least=0.9)
 
 
-QUERIES = {f.__name__: f for f in (critique, crag_confidence, crag_route, refine_strips, crag_answer, recall_at_k, channel_ablation, keyword_faithfulness, self_rag_loop)}
+def self_rag_history(spark, sf_dir):
+    """All passes: 50 candidates by BM25 from one index, 5 by term overlap, questions that lose their first word."""
+    docs, known = rt.corpus(spark, sf_dir).select("doc_id", "text"), rt.index(spark, sf_dir)
+
+    def retrieve(ask):
+        return search.bm25(known, ask, 50, "doc_id", "item_id", query_text="question").join(ask, "item_id").join(docs, "doc_id")
+
+    def rerank(hits):
+        scored = hits.withColumn("rerank_score", F.round(tx.overlap(tx.term_set(F.col("question")), tx.term_set(F.col("text"))), 6))
+        best = search.rerank(scored, "item_id", scorer=lambda h: h, top_n=TOP)
+        return best.select("item_id", F.col("doc_id").alias("id"), F.col("rerank_rank").alias("rank"), "text")
+
+    rewrite = lambda q: F.regexp_replace(q, r"^\S+\s+", "")
+    found = grading.self_rag(asked(spark, sf_dir), retrieve, rerank, rewrite, "item_id", least=0.9)
+    return found.select("item_id", "loop", "score", "sufficient", "last", "fallback", F.array_join("chunks", ",").alias("chunks"))
+
+
+QUERIES = {f.__name__: f for f in (critique, crag_confidence, crag_route, refine_strips, crag_answer, crag_local_only, recall_at_k, channel_ablation, keyword_faithfulness, self_rag_loop, self_rag_history)}
 
 
 SET = rt.term_set_sql
@@ -130,6 +155,9 @@ ORACLES = {
     "crag_answer": f"""with {PAGED}, {refine_sql('src', 'f')}, a as (select item_id, count(*) n, string_agg(strip, chr(10) || '- ' order by place) filter (place <= 5) s from f group by item_id)
         select item_id, confidence, route, coalesce(n, 0) n_strips, coalesce('Points found for ''' || coalesce(question, '') || ''':' || chr(10) || '- ' || s, 'Nothing conclusive in the context.') answer
         from routed join q using (item_id) left join a using (item_id)""",
+    "crag_local_only": f"""with {HITS}, {refine_sql('h', 'f')}, a as (select item_id, count(*) n, string_agg(strip, chr(10) || '- ' order by place) filter (place <= 5) s from f group by item_id)
+        select item_id, confidence, route, coalesce(n, 0) n_strips, coalesce('Points found for ''' || coalesce(question, '') || ''':' || chr(10) || '- ' || s, 'Nothing conclusive in the context.') answer
+        from routed join q using (item_id) left join a using (item_id)""",
     "recall_at_k": f"with {rt.BASE}, {CONTAINED} select * from {recall_sql('bm25')}",
     "channel_ablation": f"with {rt.BASE}, {CONTAINED} " + " union all ".join(f"select *, '{n}' variant from {recall_sql(t)}" for n, t in (("bm25", "bm25"), ("dense", "dense"), ("sparse", "sparse"), ("fused", "best"))),
     "keyword_faithfulness": f"""with {HITS}, {refine_sql('h', 'f')}, a as (select item_id, string_agg(strip, ' ') answer from f where place <= 5 group by item_id)

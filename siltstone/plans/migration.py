@@ -57,7 +57,11 @@ def table_copy(spark, sf_dir):
     path = fresh_path(spark, "table-copy")
     table(spark, sf_dir, "lineitem").repartitionByRange(8, "l_orderkey").write.option("maxRecordsPerFile", 50_000).parquet(path)
     copy = spark.read.parquet(path)
-    return copy.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+    whole = reconcile.row_parity(table(spark, sf_dir, "lineitem"), copy).agg((F.min("n") == F.max("n")).alias("complete"))
+    sums = copy.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.sum(F.col("l_orderkey") * 7 + F.col("l_partkey") * 5 + F.col("l_suppkey") * 3 + F.col("l_linenumber")).alias("keys"), F.min(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("first_shipped"),
+    )
+    return sums.join(F.broadcast(whole), how="cross")  # one row
 
 
 def changes(spark, sf_dir):
@@ -71,7 +75,7 @@ def cdc_latest(spark, sf_dir):
 def cdc_merge(spark, sf_dir):
     """A snapshot of all customers as of sequence -1, then all events as changes with a new column."""
     start = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit(-1).cast("long").alias("seq"), F.col("c_acctbal").alias("value"))
-    return reconcile.merge(start, changes(spark, sf_dir), "id", "seq", "deleted").select("id", "seq", "event_type", "value")
+    return reconcile.present(reconcile.merge(start, changes(spark, sf_dir), "id", "seq", "deleted")).select("id", "seq", "event_type", "value")
 
 
 QUERIES = {f.__name__: f for f in (row_parity, except_diff, range_profile, recon_report, schema_diff, type_cast_copy, table_copy, cdc_latest, cdc_merge)}
@@ -88,9 +92,9 @@ ORACLES = {
         (select count(*) from s join t using (o_orderkey) where s.o_totalprice <> t.o_totalprice) changed)
         select *, round(abs(source_rows - target_rows) / source_rows, 6) row_delta, abs(source_rows - target_rows) / source_rows < 0.05 as "within" from r""",
     "schema_diff": f"""with {S}, k as (select * from (values ('o_orderkey', 'bigint', 'bigint'), ('o_custkey', 'bigint', null), ('o_orderstatus', 'string', 'string'), ('o_totalprice', 'double', 'decimal(20,4)'), ('o_orderpriority', 'string', 'string')) v(column_name, source_type, target_type))
-        select *, source_type is not distinct from target_type same, (select count(*) from s) source_rows, (select count(*) from t) target_rows from k""",
+        select *, source_type is not distinct from target_type same, null::INT source_precision, null::INT source_scale, case when target_type like 'decimal%' then 20 end::INT target_precision, case when target_type like 'decimal%' then 4 end::INT target_scale, (select count(*) from s) source_rows, (select count(*) from t) target_rows from k""",
     "type_cast_copy": "select o_orderkey, case when o_orderpriority <> '5-LOW' then strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') end ordered, o_orderstatus = 'F' done, case when o_orderstatus <> 'P' then round(o_totalprice, 2) end price from orders",
-    "table_copy": "select l_returnflag, l_linestatus, count(*) n, round(sum(l_extendedprice), 2) price from lineitem group by all",
+    "table_copy": "select l_returnflag, l_linestatus, count(*) n, round(sum(l_extendedprice), 2) price, sum(l_orderkey * 7 + l_partkey * 5 + l_suppkey * 3 + l_linenumber)::BIGINT keys, strftime(min(l_shipdate), '%Y-%m-%d') first_shipped, true complete from lineitem group by all",
     "cdc_latest": f"with {LATEST} from c",
     "cdc_merge": f"with {LATEST} select c_custkey id, -1::BIGINT seq, null::VARCHAR event_type, c_acctbal as value from customer where c_custkey not in (select id from c) union all select id, seq, event_type, value from c where not deleted",
 }

@@ -30,12 +30,16 @@ def term_df(spark, sf_dir):
     return idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def bm25_channel(spark, sf_dir, k=COARSE):
-    return search.bm25(corpus(spark, sf_dir), questions(spark, sf_dir), k, "doc_id", "item_id")
+def index(spark: SparkSession, sf_dir: str) -> search.Index:
+    return search.Index.of(corpus(spark, sf_dir), "doc_id")
 
 
-def sparse_channel(spark, sf_dir, k=COARSE):
-    return search.sparse(corpus(spark, sf_dir), questions(spark, sf_dir), k, "doc_id", "item_id")
+def bm25_channel(spark, sf_dir, k=COARSE, known=None):
+    return search.bm25(known or index(spark, sf_dir), questions(spark, sf_dir), k, "doc_id", "item_id")
+
+
+def sparse_channel(spark, sf_dir, k=COARSE, known=None):
+    return search.sparse(known or index(spark, sf_dir), questions(spark, sf_dir), k, "doc_id", "item_id")
 
 
 def dense_channel(spark, sf_dir, k=COARSE, metric="cosine"):
@@ -60,7 +64,15 @@ def dense_topk(spark, sf_dir):
 
 
 def channels(spark, sf_dir):
-    return {"bm25": bm25_channel(spark, sf_dir), "dense": dense_channel(spark, sf_dir), "sparse": sparse_channel(spark, sf_dir)}
+    known = index(spark, sf_dir)  # both channels of terms read the same postings
+    return {"bm25": bm25_channel(spark, sf_dir, known=known), "dense": dense_channel(spark, sf_dir), "sparse": sparse_channel(spark, sf_dir, known=known)}
+
+
+def bm25_zero_scores(spark, sf_dir):
+    """The short documents as a corpus: where few have a question's terms, others fill the list with scores of 0."""
+    docs = corpus(spark, sf_dir).where("char_length(text) < 60")
+    asked = questions(spark, sf_dir).select("item_id", F.regexp_extract("text", r"(\S+\s+\S+)\s*$", 1).alias("text"))
+    return search.bm25_with_zero(docs, asked, TOP, "doc_id", "item_id")
 
 
 def rrf_fusion(spark, sf_dir):
@@ -123,7 +135,7 @@ def web_union(spark, sf_dir):
     return local.unionByName(found).select("id", "source", "score", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (corpus_stats, term_df, bm25_topk, sparse_topk, dense_topk, rrf_fusion, weighted_fusion, hybrid_search, hybrid_filtered, rerank_fallback, rerank_scored, query_rewrite, web_union)}
+QUERIES = {f.__name__: f for f in (corpus_stats, term_df, bm25_topk, bm25_zero_scores, sparse_topk, dense_topk, rrf_fusion, weighted_fusion, hybrid_search, hybrid_filtered, rerank_fallback, rerank_scored, query_rewrite, web_union)}
 
 SEP = tx.SEPARATORS.replace("'", "''")
 TOKENS = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{SEP}'), lambda x: x <> '')"
@@ -168,7 +180,11 @@ PREVIEW = "case when length(text) > 200 then substr(text, 1, 200) || '...' else
 
 ORACLES = {
     "corpus_stats": f"with {BASE} select n n_docs, round(avgdl, 6) avgdl from st",
-    "term_df": f"with {BASE} select term, df, round(idf, 6) idf from idf",
+    "term_df": f"""with tok as (select {TOKENS} t from documents), st as (select count(*) n from tok), df as (select term, count(*) df from (select unnest(list_distinct(t)) term from tok) group by term),
+        raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) r from df, st), mean as (select avg(r) m from raw) select term, df, round(case when r < 0 then {search.EPSILON} * m else r end, 6) idf from raw, mean""",
+    "bm25_zero_scores": f"""with sd as (select doc_id, text from documents where length(text) < 60), benchmark as (select item_id, regexp_extract(text, '(\\S+\\s+\\S+)\\s*$', 1) text from benchmark), {bm25_ctes("sd", "doc_id", "", 1000000000)},
+        every as (select item_id, doc_id, coalesce(score, 0.0) score from benchmark cross join sd left join bm using (item_id, doc_id))
+        select item_id, doc_id, score, rank::INT rank from (select *, {TOP_BY} rank from every) where rank <= {TOP}""",
     "bm25_topk": f"with {BASE} select item_id, doc_id, score, rank::INT rank from bm25",
     "sparse_topk": f"with {BASE} select item_id, doc_id, score, rank::INT rank from sparse",
     "dense_topk": f"""select query_id, vec_id, score, rank::INT rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from (

@@ -106,6 +106,41 @@ def patch_generate(spark, sf_dir):
     return tasks.patch_set(sql.unionByName(deps).unionByName(imports), ["category"])
 
 
+def units(spark, sf_dir):
+    """Risk units of five categories; every 50th statement has lost its text, and nobody handles events."""
+    row = lambda df, category, key, text, ref: df.select(F.lit(category).alias("category"), F.concat(F.lit(category + "-"), key.cast("string")).alias("unit"), text.alias("text"), ref.alias("ref"))
+    text = F.when(F.col("n") % 50 != 0, F.col("text"))
+    out = row(statements(spark, sf_dir), "SQL_DIALECT", F.col("n"), text, F.lit(None).cast("string"))
+    out = out.unionByName(row(config(spark, sf_dir), "CONFIG", F.concat_ws("/", "file", "key"), F.col("value"), F.col("key")))
+    out = out.unionByName(row(dependencies(spark, sf_dir), "DEPENDENCY", F.col("p_partkey"), F.col("version"), F.col("ga")))
+    out = out.unionByName(row(sources(spark, sf_dir), "API_RENAME", F.col("id"), F.col("source"), F.lit(None).cast("string")))
+    return out.unionByName(row(table(spark, sf_dir, "events"), "EVENT", F.col("event_id"), F.col("event_type"), F.lit(None).cast("string")))
+
+
+def handlers():
+    text, ref = F.col("text"), F.col("ref")
+    of, missing = (lambda c: F.col("category") == c), F.when(text.isNull(), F.lit("no code fragment"))
+    renamed, changed = projects.rename_imports(text)
+    sql, reasons = projects.rewrite_sql(text)
+    setting, notes = projects.rewrite_config(ref, text, projects.sensitive(ref))
+    target = F.try_element_at(F.create_map(*[F.lit(x) for pair in projects.REPLACEMENTS.items() for x in pair]), ref)
+    return [
+        tasks.Handler("api_rename", of("API_RENAME"), renamed, F.concat(F.lit("imports renamed: "), changed.cast("string")), F.when(changed > 0, 0.95).otherwise(0.0), changed == 0, missing),
+        tasks.Handler("config", of("CONFIG"), setting, notes, F.lit(0.93), F.lit(False), missing),
+        tasks.Handler("dependency", of("DEPENDENCY"), target, F.coalesce(F.concat(F.lit("replaced by "), target), F.concat(F.lit("no replacement for "), ref)), F.when(target.isNull(), 0.0).otherwise(0.9), target.isNull(), F.lit(None).cast("string")),
+        tasks.Handler("sql_dialect", of("SQL_DIALECT"), sql, reasons, F.when(reasons != "", 0.92).otherwise(0.55), reasons == "", missing),
+    ]
+
+
+def patch_dispatch(spark, sf_dir):
+    found = tasks.dispatch(units(spark, sf_dir), handlers(), ["unit", "category"])
+    return found.select("unit", "category", "handler", F.md5(F.col("patched").cast("binary")).alias("patched_md5"), "rationale", "confidence", "needs_review")
+
+
+def patch_unhandled(spark, sf_dir):
+    return tasks.unhandled(units(spark, sf_dir), handlers()).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
 def record_check(spark, sf_dir):
     """Events as structured records: known kinds, values within bounds, a payload with its field."""
     payload = F.from_json("props", "k int")
@@ -139,6 +174,7 @@ def mysql_functions(spark, sf_dir):
         "event_id", mysql.date_format(ts, "%Y-%m-%d %H:%i:%s").alias("formatted"), mysql.ifnull(F.nullif("event_type", F.lit("error")), F.lit("none")).alias("kind"), mysql.isnull(F.nullif("event_type", F.lit("error"))).alias("missing"),
         mysql.json_extract(F.col("props"), "$.k").alias("k"), mysql.unix_timestamp(ts).alias("epoch"), mysql.date_format(mysql.from_unixtime(mysql.unix_timestamp(ts)), "%H:%i").alias("clock"),
         mysql.datediff(ts, F.lit("2024-01-01").cast("date")).alias("days"), mysql.timestampdiff_minutes(F.lit("2024-01-01").cast("timestamp"), ts).alias("minutes"),
+        mysql.json_unquote(F.concat(F.lit('"a\\"'), "event_type", F.lit('"'))).alias("unquoted"), mysql.date_format(mysql.convert_tz(ts.cast("timestamp_ntz"), "UTC", "Asia/Shanghai"), "%Y-%m-%d %H:%i").alias("zoned"), (mysql.curdate() >= F.to_date(F.lit("2024-01-01"))).alias("past"),
     )
 
 
@@ -146,7 +182,7 @@ def group_concat(spark, sf_dir):
     return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(mysql.group_concat(F.col("n_name"), F.col("n_nationkey")).alias("names"))
 
 
-QUERIES = {f.__name__: f for f in (dialect_features, dialect_alias, mysql_notes, oracle_rewrite, config_flags, config_rewrite, import_rename, unified_diff, risk_dependency, dependency_replacement, code_graph, project_profile, patch_generate, record_check, payload_check, payload_strip, text_preview, mysql_functions, group_concat)}
+QUERIES = {f.__name__: f for f in (dialect_features, dialect_alias, mysql_notes, oracle_rewrite, config_flags, config_rewrite, import_rename, unified_diff, risk_dependency, dependency_replacement, code_graph, project_profile, patch_generate, patch_dispatch, patch_unhandled, record_check, payload_check, payload_strip, text_preview, mysql_functions, group_concat)}
 
 S = f"s as (select o_orderkey n, {STATEMENT} text, 'src/T' || o_custkey || '.java' origin from orders)"
 C = """k as (select s_suppkey, s_acctbal, unnest(['spring.datasource.url', 'spring.datasource.password', 'spring.datasource.driver-class-name']) key from supplier),
@@ -189,6 +225,14 @@ ORACLES = {
         (select count(*) from s where {DIALECT} = 'ORACLE') oracle_statements, (select count(distinct ga) from d where {RISK}) risky_dependencies, (select count(*) from c where starts_with(value, 'ENC(')) encrypted_keys""",
     "patch_generate": f"""with {S}, {D}, {I}, p as (select 'sql_dialect' category, case when {WHY} <> '' then 0.92 else 0.55 end confidence, {WHY} = '' needs_review from s
         union all select 'dependency', case when {REPL} is null then 0.0 else 0.9 end, {REPL} is null from d union all select 'api_rename', 0.95, false from i) select category, count(*) total, round(avg(confidence::DOUBLE), 6) mean_confidence, count(*) filter (needs_review) review from p group by category""",
+    "patch_dispatch": f"""with {S}, {C}, {D}, {I}, l as (select n, case when n % 50 <> 0 then text end text from s), p as (
+        select 'SQL_DIALECT-' || n unit, 'SQL_DIALECT' category, 'sql_dialect' as "handler", {NEW} patched, case when text is null then 'handler error: no code fragment' else {WHY} end rationale, case when text is null then 0.0 when {WHY} <> '' then 0.92 else 0.55 end confidence, text is null or {WHY} = '' needs_review from l
+        union all select 'CONFIG-' || file || '/' || key, 'CONFIG', 'config', case when key like '%url' then regexp_replace(value, 'jdbc:mysql://([^?]+).*', 'jdbc:dm://\\1') when key like '%password' then regexp_replace(value, '(password\\s*:\\s*)[^\\s#]+', '\\1${{DB_PASSWORD}}') else replace(value, 'com.mysql.cj.jdbc.Driver', 'dm.jdbc.driver.DmDriver') end,
+          case when key like '%url' then 'jdbc url' when key like '%password' then 'placeholder for plain text' else 'driver class' end, 0.93, false from c
+        union all select 'DEPENDENCY-' || p_partkey, 'DEPENDENCY', 'dependency', {REPL}, coalesce('replaced by ' || {REPL}, 'no replacement for ' || ga), case when {REPL} is null then 0.0 else 0.9 end, {REPL} is null from d
+        union all select 'API_RENAME-' || id, 'API_RENAME', 'api_rename', replace(replace(source, 'javax.servlet', 'jakarta.servlet'), 'javax.validation', 'jakarta.validation'), 'imports renamed: ' || n, 0.95, false from i)
+        select unit, category, "handler", md5(patched) patched_md5, rationale, confidence::DOUBLE confidence, needs_review from p""",
+    "patch_unhandled": "select 'EVENT' category, count(*) n from events",
     "record_check": """with e as (select event_id, concat_ws(',', case when event_type not in ('view', 'click', 'purchase', 'signup') then 'event_type' end, case when not (value between 0 and 100) then 'value' end, case when (props->>'$.k') is null then 'payload' end) errors from events)
         select event_id, errors, errors = '' valid from e""",
     "payload_check": """with r as (select c_custkey, count(o_orderkey) n, count(*) filter (o_orderkey is not null and o_orderpriority = '5-LOW') bad from customer left join orders on c_custkey = o_custkey group by c_custkey)
@@ -196,6 +240,7 @@ ORACLES = {
     "payload_strip": "select event_id, 'user' keys, user_id::VARCHAR \"user\" from events",
     "text_preview": "select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end preview from documents",
     "mysql_functions": """select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') formatted, coalesce(nullif(event_type, 'error'), 'none') kind, event_type = 'error' missing, props->>'$.k' k, floor(epoch(ts))::BIGINT epoch, strftime(ts, '%H:%M') clock,
-        datediff('day', DATE '2024-01-01', ts::DATE)::INT as "days", (floor(epoch(ts - TIMESTAMP '2024-01-01') / 60))::BIGINT as "minutes" from events""",
+        datediff('day', DATE '2024-01-01', ts::DATE)::INT as "days", (floor(epoch(ts - TIMESTAMP '2024-01-01') / 60))::BIGINT as "minutes",
+        'a"' || event_type unquoted, strftime(ts + interval 8 hour, '%Y-%m-%d %H:%M') zoned, true past from events""",
     "group_concat": "select n_regionkey, string_agg(n_name, ',' order by n_nationkey) as names from nation group by n_regionkey",
 }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from siltstone.session import materialize
+
 GOLDEN = "id string, kind string, question string, input_sql string, source string, target string, expected_tokens array<string>, forbidden_tokens array<string>, top_k int, expected_doc_ids array<string>, expected_keywords array<string>, min_facts int"
 
 
@@ -26,33 +28,35 @@ def properties(files: DataFrame) -> DataFrame:
     return lines.select("file", cut(1).alias("key"), cut(2).alias("value"))
 
 
-def flat_json(df: DataFrame, keys: list[str], column: str, depth: int = 6) -> DataFrame:
+def flat_json(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """``(*keys, path, value)``: leaves of JSON documents under dotted paths, ``[i]`` for list items, null as empty text.
 
-    One step a level, ``depth`` at most; what is nested deeper stays as JSON text.
+    One step a level, as many as the deepest document has; what looks nested but can't be parsed is a leaf. Empty objects
+    and lists have no leaf. Each level is written before the next one is taken apart.
     """
     left = df.select(*keys, F.lit("").alias("path"), F.col(column).alias("j"))
     out = None
-    for level in range(depth + 1):
-        is_map, is_list = F.startswith(F.ltrim("j"), F.lit("{")), F.startswith(F.ltrim("j"), F.lit("["))
-        nested = (is_map | is_list) & F.lit(level < depth)
-        leaf = left.where(F.col("j").isNull() | ~nested).select(*keys, "path", F.coalesce("j", F.lit("")).alias("value"))
+    while True:
+        start = F.substring(F.ltrim("j"), 1, 1)
+        as_map, as_list = F.when(start == "{", F.from_json("j", "map<string,string>")), F.when(start == "[", F.from_json("j", "array<string>"))
+        left = materialize(left.withColumn("m", as_map).withColumn("l", as_list), "json-level")
+        leaf = left.where("m is null and l is null").select(*keys, "path", F.coalesce("j", F.lit("")).alias("value"))
         out = leaf if out is None else out.unionByName(leaf)
-        if level == depth:
-            break
+        nested = left.where("m is not null or l is not null")
+        if nested.isEmpty():
+            return out
         dot = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(".")))
-        of_map = F.transform(F.map_entries(F.from_json("j", "map<string,string>")), lambda e: F.struct(F.concat(dot, e["key"]).alias("path"), e["value"].alias("j")))
-        of_list = F.transform(F.from_json("j", "array<string>"), lambda x, i: F.struct(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("j")))
-        left = left.where(is_map | is_list).select(*keys, F.explode(F.when(is_map, of_map).otherwise(of_list)).alias("e")).select(*keys, "e.path", "e.j")
-    return out
+        of_map = F.transform(F.map_entries("m"), lambda e: F.struct(F.concat(dot, e["key"]).alias("path"), e["value"].alias("j")))
+        of_list = F.transform("l", lambda x, i: F.struct(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("j")))
+        left = nested.select(*keys, F.explode(F.coalesce(of_map, of_list)).alias("e")).select(*keys, "e.path", "e.j")
 
 
 DEPENDENCY = T.StructType([T.StructField(n, T.StringType()) for n in ("groupId", "artifactId", "version")])
 
 
-def dependencies(spark: SparkSession, path: str) -> DataFrame:
-    """``(ga, version)`` of every dependency in the pom.xml files below a folder."""
-    rows = spark.read.format("xml").option("rowTag", "dependency").option("recursiveFileLookup", True).option("pathGlobFilter", "pom.xml").schema(DEPENDENCY).load(path)
+def dependencies(spark: SparkSession, path: str, pattern: str = "pom.xml") -> DataFrame:
+    """``(ga, version)`` of every dependency in the pom.xml files, or others by pattern, below a folder."""
+    rows = spark.read.format("xml").option("rowTag", "dependency").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).schema(DEPENDENCY).load(path)
     return rows.select(F.concat_ws(":", "groupId", "artifactId").alias("ga"), "version")
 
 
@@ -74,9 +78,9 @@ def annotation_sql(files: DataFrame) -> DataFrame:
     return found.select("file", F.col("s.kind").alias("kind"), F.regexp_extract(F.col("s.body"), r'(?s)"(.*)"', 1).alias("text"))
 
 
-def patch_sets(spark: SparkSession, path: str) -> DataFrame:
-    """Results of JSON patch sets, one row each, with the task they belong to."""
-    return spark.read.option("multiLine", True).json(path).select("taskId", F.explode("results").alias("r")).select("taskId", "r.*")
+def patch_sets(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Results of JSON patch sets, one row each, with the task they belong to; a file is one set, or each of its lines is."""
+    return spark.read.option("multiLine", multi_line).json(path).select("taskId", F.explode("results").alias("r")).select("taskId", "r.*")
 
 
 def jdbc_ranges(spark: SparkSession, url: str, name: str, column: str, low: int, high: int, rows: int = 50_000, readers: int = 8, **options: str) -> DataFrame:

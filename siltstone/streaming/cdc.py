@@ -6,7 +6,7 @@ batch, so a replayed batch overwrites its own version and nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltstone.operators import reconcile, tasks
 from siltstone.session import drop_path
@@ -37,11 +37,18 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(p.getName()[2:]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
-def snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last snapshot as it is stored, with deleted keys."""
     known = versions(spark, path)
     return spark.read.parquet(f"{path}/v={known[-1]}") if known else None
 
 
+def snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of the last snapshot that are there."""
+    rows = stored(spark, path)
+    return reconcile.present(rows) if rows is not None and "deleted" in rows.columns else rows
+
+
 def apply_stream(stream: DataFrame, path: str, dead: str, checkpoint: str, key: str = "id", seq: str = "seq", keep: int = 2):
     """Start a query that merges every batch into the sink at ``path``; unreadable lines go to ``dead``. Runs what is there and ends.
 
@@ -49,17 +56,54 @@ def apply_stream(stream: DataFrame, path: str, dead: str, checkpoint: str, key:
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
         rows.where("_bad is not null").select("_bad").write.mode("overwrite").parquet(f"{dead}/batch={number}")
-        good = rows.where("_bad is null").drop("_bad")
-        known = [v for v in versions(spark, path) if v < number]
-        if known:
-            merged = reconcile.merge(spark.read.parquet(f"{path}/v={known[-1]}"), good, key, seq, "deleted")
-        else:
-            merged = reconcile.latest(good, key, seq).where(~F.col("deleted")).drop("deleted")
-        merged.write.mode("overwrite").parquet(f"{path}/v={number}")
-        for old in known[: -(keep - 1) or None]:
-            drop_path(spark, f"{path}/v={old}")
+        put(rows.where("_bad is null").drop("_bad"), path, number, key, seq, keep)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def put(changes: DataFrame, path: str, number: int, key: str, seq: str, keep: int) -> None:
+    """Merge a batch into the last snapshot below ``path``; deleted keys stay known, so late changes do not bring them back."""
+    spark = changes.sparkSession
+    known = [v for v in versions(spark, path) if v < number]
+    last = spark.read.parquet(f"{path}/v={known[-1]}") if known else changes.limit(0)
+    reconcile.merge(last, changes, key, seq, "deleted").write.mode("overwrite").parquet(f"{path}/v={number}")
+    for old in known[: -(keep - 1) or None]:
+        drop_path(spark, f"{path}/v={old}")
+
+
+def table_of(topic: Column, pattern: str) -> Column:
+    """The table that a topic goes to: what the first group of the pattern matches, or null for other topics."""
+    name = F.regexp_extract(topic, pattern, 1)
+    return F.when(name != "", name)
+
+
+def apply_topics(stream: DataFrame, path: str, dead: str, checkpoint: str, pattern: str, key: str = "id", seq: str = "seq", keep: int = 2):
+    """Merge changes of several tables, ``(topic, line)`` with a JSON object a line, each into a sink of its own below ``path``.
+
+    The table is the topic without its prefix (see ``table_of``). Columns are what the objects of a batch hold, as text but
+    for key, sequence and mark of deletion; a column that is new is added to the table, one that is missing is null. Lines
+    without key or sequence, and topics that do not match, go to ``dead``. Tables and columns of a batch reach the driver
+    by name.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        fields = F.from_json("line", "map<string,string>")
+        parsed = rows.select("topic", "line", table_of(F.col("topic"), pattern).alias("to"), fields.alias("f"))
+        parsed = parsed.withColumn("ok", F.coalesce(F.col("to").isNotNull() & F.col("f")[key].isNotNull() & F.col("f")[seq].try_cast("long").isNotNull(), F.lit(False)))
+        path_now = f"{dead}/parsed={number}"
+        parsed.write.mode("overwrite").parquet(path_now)
+        parsed = spark.read.parquet(path_now)
+        parsed.where("not ok").select("topic", "line").write.mode("overwrite").parquet(f"{dead}/batch={number}")
+        names: dict[str, list[str]] = {}
+        for r in parsed.where("ok").select("to", F.explode(F.map_keys("f")).alias("c")).distinct().orderBy("to", "c").collect():
+            names.setdefault(r["to"], []).append(r["c"])
+        for to, columns in names.items():
+            own = [F.col("f")[c].alias(c) for c in columns if c not in (key, seq, "deleted")]
+            mine = parsed.where(F.col("ok") & (F.col("to") == to)).select(F.col("f")[key].alias(key), F.col("f")[seq].cast("long").alias(seq), F.coalesce(F.col("f")["deleted"].try_cast("boolean"), F.lit(False)).alias("deleted"), *own)
+            put(mine, f"{path}/{to}", number, key, seq, keep)
+        drop_path(spark, path_now)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -71,8 +115,8 @@ def ingest_stream(stream: DataFrame, path: str, checkpoint: str, key: str):
         spark = rows.sparkSession
         first = rows.dropDuplicates([key])
         known = [v for v in versions(spark, path) if v < number]
-        for v in known:
-            first = first.join(spark.read.parquet(f"{path}/v={v}").select(key), key, "left_anti")
+        if known:  # all earlier batches as one table
+            first = first.join(spark.read.parquet(*[f"{path}/v={v}" for v in known]).select(key), key, "left_anti")
         first.write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -99,8 +99,8 @@ def test_merge_is_idempotent(spark):
     start = spark.createDataFrame([(1, 0, "a"), (2, 0, "b")], "id int, seq int, v string")
     change = spark.createDataFrame([(1, 1, "A", False, 5), (2, 2, None, True, None), (3, 3, "c", False, 6), (3, 2, "x", False, 7)], "id int, seq int, v string, deleted boolean, extra int")
     once = reconcile.merge(start, change, "id", "seq", "deleted")
-    assert sorted(map(tuple, once.collect())) == [(1, 1, "A", 5), (3, 3, "c", 6)]
-    assert sorted(map(tuple, reconcile.merge(once, change, "id", "seq", "deleted").collect())) == [(1, 1, "A", 5), (3, 3, "c", 6)]
+    assert sorted(map(tuple, reconcile.present(once).collect())) == [(1, 1, "A", 5), (3, 3, "c", 6)]
+    assert sorted(map(str, reconcile.merge(once, change, "id", "seq", "deleted").collect())) == sorted(map(str, once.collect()))
 
 
 def test_files(spark, tmp_path):
@@ -114,3 +114,71 @@ def test_files(spark, tmp_path):
     assert [r.id for r in files.json_lines(spark, str(tmp_path / "g.jsonl"), kind="qa").collect()] == ["q1"]
     (tmp_path / "set.json").write_text('{"taskId": 4, "results": [{"unitId": "u1", "confidence": 0.8}, {"unitId": "u2", "confidence": 0.9}]}')
     assert files.patch_sets(spark, str(tmp_path / "set.json")).count() == 2
+
+
+def test_dispatch_takes_the_first_handler_and_reports_errors(spark):
+    col = F.col
+    handlers = [
+        tasks.Handler("a", col("n") > 5, F.upper("t"), F.lit("big"), F.lit(0.9), F.lit(False), F.when(col("t").isNull(), F.lit("no text"))),
+        tasks.Handler("b", col("n") > 2, col("t"), F.lit("small"), F.lit(0.5), F.lit(True), F.lit(None).cast("string")),
+    ]
+    units = spark.createDataFrame([(1, "x"), (3, "x"), (3, None), (6, "y"), (7, None), (None, "z")], "n int, t string")
+    got = sorted((r.n, r.handler, r.patched or "", r.rationale, r.confidence, r.needs_review) for r in tasks.dispatch(units, handlers, ["n"]).collect())
+    assert got == [(3, "b", "", "small", 0.5, True), (3, "b", "x", "small", 0.5, True), (6, "a", "Y", "big", 0.9, False), (7, "a", "", "handler error: no text", 0.0, True)]
+    assert sorted(str(r.n) for r in tasks.unhandled(units, handlers).collect()) == ["1", "None"]
+
+
+def test_a_late_change_does_not_bring_a_deleted_row_back(spark):
+    rows = lambda *x: spark.createDataFrame(x, "id long, seq long, deleted boolean, v string")
+    one = reconcile.merge(rows().limit(0), rows((1, 1, False, "a"), (2, 1, False, "b")), "id", "seq", "deleted")
+    two = reconcile.merge(one, rows((1, 5, True, None)), "id", "seq", "deleted")
+    three = reconcile.merge(two, rows((1, 3, False, "late"), (2, 1, False, "again")).withColumn("w", F.lit(7)), "id", "seq", "deleted")
+    assert [tuple(r) for r in reconcile.present(three).collect()] == [(2, 1, "b", None)]
+    assert [r.v for r in reconcile.present(reconcile.merge(three, rows((1, 6, False, "new")), "id", "seq", "deleted")).orderBy("id").collect()] == ["new", "b"]
+
+
+def test_zero_scores_fill_up(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["red fox", "blue fox", "green hat", "old tree", "tall tree"])], "d long, text string")
+    ask = spark.createDataFrame([(1, "red"), (2, "nothing"), (3, "")], "q long, text string")
+    got = [(r.q, r.d, r.score > 0) for r in search.bm25_with_zero(docs, ask, 3, "d", "q").orderBy("q", "rank").collect()]
+    assert got == [(1, 0, True), (1, 1, False), (1, 2, False), (2, 0, False), (2, 1, False), (2, 2, False), (3, 0, False), (3, 1, False), (3, 2, False)]
+
+
+def test_json_leaves(spark):
+    doc = '{"a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": 1}}}}}}}, "p": "{cipher}x", "q": "[x] y", "r": [], "s": null, "t": "plain"}'
+    got = {r.path: r.value for r in files.flat_json(spark.createDataFrame([(1, doc), (2, None), (3, "{")], "i int, j string"), ["i"], "j").collect() if r.i == 1}
+    assert got == {"a.b.c.d.e.f.g.h": "1", "p": "{cipher}x", "q": "[x] y", "s": "", "t": "plain"}
+
+
+def test_marks_in_texts_are_blanks(spark):
+    row = spark.createDataFrame([("One sentence here\u0001 goes on. Another one there.",)], "t string").select(tx.sentences(F.col("t")).alias("s"), tx.strips(F.col("t")).alias("p")).first()
+    assert row.s == row.p == ["One sentence here goes on.", "Another one there."]
+
+
+def test_migration_order_marks_cycles(spark):
+    tables = spark.createDataFrame([(t,) for t in "abcdxy"], "table string")
+    refs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "c"), ("x", "y"), ("y", "x"), ("x", "d")], "child string, parent string")
+    assert {r.table: r.layer for r in graph.migration_order(tables, refs).collect()} == {"a": 0, "b": 1, "c": 2, "d": None, "x": None, "y": None}
+
+
+def test_self_rag_history(spark):
+    ask = spark.createDataFrame([(1, "red fox"), (2, "zz blue hat"), (3, "zz yy xx")], "q long, question string")
+    docs = spark.createDataFrame([(10, "the red fox runs"), (11, "a blue hat"), (12, "old tree")], "d long, text string")
+
+    def retrieve(left):
+        return search.bm25(docs, left, 50, "d", "q", query_text="question").join(docs, "d")
+
+    rerank = lambda hits: search.rerank(hits, "q", top_n=1).select("q", F.col("d").alias("id"), F.col("rerank_rank").alias("rank"), "text")
+    rewrite = lambda q: F.regexp_replace(q, r"^\S+\s+", "")
+    got = [(r.q, r.loop, r.question, r.sufficient, r.last, r.fallback, r.chunks) for r in grading.self_rag(ask, retrieve, rerank, rewrite, "q", least=0.9).orderBy("q", "loop").collect()]
+    assert got == [
+        (1, 0, "red fox", True, True, False, [10]), (2, 0, "zz blue hat", False, False, False, [11]), (2, 1, "blue hat", True, True, False, [11]),
+        (3, 0, "zz yy xx", False, False, False, []), (3, 1, "yy xx", False, False, False, []), (3, 2, "xx", False, True, True, []),
+    ]
+
+
+def test_strategies(spark):
+    docs = spark.createDataFrame([(1, "Short text."), (2, "x" * 700), (3, None)], "d long, text string")
+    count = lambda name: chunking.by_strategy(docs, "d", "text", name).groupBy("d").count().orderBy("d").collect()
+    assert [tuple(r) for r in count("late")] == [(1, 1), (2, 2)] and [tuple(r) for r in count("none")] == [(1, 1), (2, 1), (3, 1)]
+    assert count("Semantic") == count("unknown") == count(None) == count("")
