@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from siltstone.llm.common import map_texts
 from siltstone.operators.components import connected_components
@@ -22,6 +22,8 @@ from siltstone.session import materialize
 MAX_BITS = 3
 #: Least Jaccard similarity of near copies for the pipeline's stage; one in so many texts is sampled for common shingles.
 LIKE, SAMPLED = 0.8, 16
+#: Rounds that link the members of large groups to neighbours in random orders, shingles that each member is ordered by, members of one order.
+RINGS, ORDERS, RING = 3, 4, 1024
 
 
 def fingerprints_of(texts: list[str | None], width: int = 3) -> np.ndarray:
@@ -149,12 +151,16 @@ def alike(docs: DataFrame, text_col: str = "text", width: int = 5, like: float =
     Exact: two such sets share one of the ``n - ceil(like * n) + 1`` first members of each in any common order (rare
     shingles first, then by hash). Of the pairs that share some, those go whose shared ones are too few for the likeness
     even if all members behind the shorter prefix were shared; the others are compared in full. Sets are told apart by 64 bits.
+
+    Links between sets that are linked through others already are left out: the members of a shingle of many texts first
+    meet their neighbours in a few random orders (see ``rings``), and then only those of other components, so a large group
+    of copies does not meet in all its pairs.
     """
     common = common_shingles(docs, text_col, width)
 
     def prefixes():
         def call(texts):
-            out = {"set": [], "n": [], "prefix": [], "late": []}
+            out = {"set": [], "n": [], "prefix": [], "late": [], "rare": [], "whole": []}
             for text in texts:
                 sigs = shingles_of(text, width)
                 often = np.isin(sigs, common)
@@ -163,20 +169,30 @@ def alike(docs: DataFrame, text_col: str = "text", width: int = 5, like: float =
                 out["set"].append(xxhash.xxh3_64_intdigest(sigs.tobytes()) - (1 << 63))
                 out["n"].append(n)
                 out["prefix"].append(first.view(np.int64))
-                out["late"].append(bool(n) and len(first) > n - int(often.sum()))
+                rare = min(len(first), n - int(often.sum()))
+                out["late"].append(len(first) > rare)
+                out["rare"].append(rare)
+                out["whole"].append(sigs.view(np.int64) if len(first) > rare else None)
             return out
 
         return call
 
-    fields = [T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("late", T.BooleanType())]
+    fields = [T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("late", T.BooleanType()), T.StructField("rare", T.IntegerType()), T.StructField("whole", T.ArrayType(T.LongType()))]
     texts = docs.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("_text"))
     sets = materialize(map_texts(texts, ["h"], "_text", prefixes, T.StructType(fields)), "alike-sets")
     # the end of a prefix in the common order: late ones (shingles of many texts) after the others, then as unsigned longs
     end = F.struct(F.col("late"), F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63))).alias("last"))
     meta = sets.where("n > 0").select("set", "n", F.size("prefix").alias("p"), end.alias("end")).dropDuplicates(["set"])
-    index = sets.where("n > 0").dropDuplicates(["set"]).select("set", F.explode("prefix").alias("sig"))
+    late = materialize(sets.where("late").dropDuplicates(["set"]).select("set", F.slice("prefix", F.col("rare") + 1, F.size("prefix")).alias("often"), "whole"), "alike-late")
+    linked, member = rings(late, like)
+    # shingles of few texts: all pairs of their texts; of many: pairs of different components only
+    index = sets.where("rare > 0").dropDuplicates(["set"]).select("set", F.explode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("sig"))
+    side = lambda s: member.select("sig", F.col("comp").alias(f"comp_{s}"), F.col("set").alias(f"set_{s}"))
+    apart = [member.select("sig", F.col("comp").alias(f"comp_{s}")).distinct() for s in "xy"]
+    apart = materialize(apart[0].join(apart[1], "sig").where("comp_x < comp_y"), "alike-apart")
+    across = apart.join(side("x"), ["sig", "comp_x"]).join(side("y"), ["sig", "comp_y"]).select(F.least("set_x", "set_y").alias("a"), F.greatest("set_x", "set_y").alias("b"))
     meet = index.groupBy("sig").agg(F.collect_list("set").alias("sets")).where(F.size("sets") > 1)
-    meet = meet.select("sets", F.explode("sets").alias("a")).select("a", F.explode("sets").alias("b")).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    meet = meet.select("sets", F.explode("sets").alias("a")).select("a", F.explode("sets").alias("b")).where("a < b").unionByName(across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     for s in "ab":
         meet = meet.join(meta.select(F.col("set").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "p", "end")]), s)
     behind = F.when(F.col("end_a") <= F.col("end_b"), F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
@@ -190,10 +206,42 @@ def alike(docs: DataFrame, text_col: str = "text", width: int = 5, like: float =
     wanted = sets.select("h", "set").dropDuplicates(["set"]).join(wanted, "set")
     full = texts.join(wanted, "h").dropDuplicates(["set"])
     full = materialize(map_texts(full, ["set"], "_text", whole, T.StructType([T.StructField("sigs", T.ArrayType(T.LongType()))])), "alike-full")
+    found = alike_pairs(pairs, full, like)
+    return sets.select("h", "set"), found if linked is None else found.unionByName(linked)
+
+
+def alike_pairs(pairs: DataFrame, full: DataFrame, like: float) -> DataFrame:
+    """Of pairs ``(a, b)`` of sets those of likeness ``like`` or more; ``full`` has ``(set, sigs)``."""
     x, y = (full.select(F.col("set").alias(s), F.col("sigs").alias(f"sigs_{s}")) for s in "ab")
     both = F.size(F.array_intersect("sigs_a", "sigs_b"))
-    found = pairs.join(x, "a").join(y, "b").withColumn("both", both).where(F.col("both") >= (F.size("sigs_a") + F.size("sigs_b") - F.col("both")) * like - 1e-6)
-    return sets.select("h", "set"), found.select("a", "b")
+    met = pairs.join(x, "a").join(y, "b").where(F.least(F.size("sigs_a"), F.size("sigs_b")) >= F.greatest(F.size("sigs_a"), F.size("sigs_b")) * like - 1e-6)
+    return met.withColumn("both", both).where(F.col("both") >= (F.size("sigs_a") + F.size("sigs_b") - F.col("both")) * like - 1e-6).select("a", "b")
+
+
+def rings(late: DataFrame, like: float) -> tuple[DataFrame | None, DataFrame]:
+    """Links found between neighbours, and ``(sig, set, comp)``: the members of shingles of many texts with their component so far.
+
+    In every round the members of a shingle, in parts of about RING, stand in an order of their own; each is compared with
+    the next, if that is of another component. In a group of near copies, where most pairs are alike, few orders make one
+    component; what is left apart is compared in full later, so nothing depends on luck but the number of pairs.
+    """
+    whole = late.select("set", F.col("whole").alias("sigs"))
+    every = materialize(late.select("set", F.explode("often").alias("sig")), "alike-often")
+    sizes = every.groupBy("sig").agg(F.count(F.lit(1)).alias("k"))
+    some = materialize(late.select("set", F.explode(F.slice("often", 1, ORDERS)).alias("sig")).join(sizes.where("k > 1"), "sig"), "alike-rings")
+    comp, linked = late.select("set", F.col("set").alias("comp")), None
+    for turn in range(RINGS):
+        dice = some.join(comp, "set").withColumn("x", F.xxhash64("set", "sig", F.lit(turn))).withColumn("part", F.pmod("x", F.ceil(F.col("k") / RING)))
+        order = Window.partitionBy("sig", "part").orderBy("x", "set")
+        pairs = dice.select("set", "comp", F.lead("set").over(order).alias("next"), F.lead("comp").over(order).alias("next_comp")).where("comp <> next_comp")
+        pairs = pairs.select(F.least("set", "next").alias("a"), F.greatest("set", "next").alias("b")).distinct()
+        found = materialize(alike_pairs(pairs, whole, like), "alike-links")
+        if found.isEmpty():
+            break
+        linked = found if linked is None else linked.unionByName(found)
+        classes = connected_components(linked, "a", "b").withColumnRenamed("node", "set")
+        comp = materialize(late.select("set").join(classes, "set", "left").select("set", F.coalesce("component", "set").alias("comp")), "alike-comp")
+    return linked, materialize(every.join(comp, "set"), "alike-member")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, like: float = LIKE) -> DataFrame:

@@ -256,3 +256,27 @@ def test_near_dedup_with_repeated_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r.doc_id, r.text) for r in simhash.one_of_each(docs).collect())
     assert got == Counter([(1, one), (1, two), (None, "c d e f g h")])
+
+
+def test_near_dedup_of_a_large_group_of_copies(spark, monkeypatch):
+    """Shingles of many texts: all classes as by all pairs, without all pairs."""
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    monkeypatch.setattr(simhash, "RING", 16)
+    rnd, texts = random.Random(9), []
+    for c, copies in (("a", 150), ("b", 60), ("c", 40)):
+        base = [f"{c}{rnd.randint(0, 9999)}" for _ in range(120)]
+        for _ in range(copies):
+            words = list(base)
+            for _ in range(rnd.choice([0, 1, 2, 3, 9])):
+                words[rnd.randrange(len(words))] = f"new{rnd.randint(0, 99999)}"
+            texts.append(" ".join(words))
+    passage = [f"p{i}" for i in range(100)]
+    texts += [" ".join(passage + [f"own{i}x{j}" for j in range(rnd.choice([5, 15, 30]))]) for i in range(50)]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, kept = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: pairs.append((name, (out := kept(df, name)).count())) or out)
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert got == brute_heads(rows)
+    assert dict(pairs)["alike-pairs"] < 150 * 149 / 4
