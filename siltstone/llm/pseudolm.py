@@ -157,7 +157,12 @@ class Network:
             squares[name][where] = s
             w[name][where] -= RATE * g / (np.sqrt(s) + 1e-6)
 
-        h = self.hidden(vectors, at)
+        seen = [vectors[at + o] for o in OFFSETS]
+        side = [np.take(w["embed"], v, axis=0, mode="clip") for v in seen]
+        h = np.tile(w["bias"], (n, 1))
+        for x, place in zip(side, w["place"]):
+            h += x * place
+        np.tanh(h, out=h)
         d = h @ w["out"].T
         d += w["out_bias"]
         np.exp(np.minimum(d, 80, out=d), out=d)
@@ -168,14 +173,19 @@ class Network:
         move("out", slice(None), d.T @ h)
         move("out_bias", slice(None), d.sum(axis=0))
         dh *= 1 - h * h
-        seen = np.concatenate([vectors[at + o] for o in OFFSETS])
-        place = np.stack([np.einsum("ij,ij->j", dh, w["embed"][seen[k * n : (k + 1) * n]]) for k in range(len(OFFSETS))])
-        touched = np.flatnonzero(np.bincount(seen, minlength=VECTORS))
+        place = np.stack([np.einsum("ij,ij->j", dh, x) for x in side])
+        there = np.zeros(VECTORS, bool)
+        for v in seen:
+            there[v] = True
+        touched = np.flatnonzero(there)
         number = np.zeros(VECTORS, np.int64)
         number[touched] = np.arange(len(touched))
-        number, turned = number[seen], np.ascontiguousarray(dh.T)
-        g = np.stack([np.bincount(number, np.outer(w["place"][:, j], turned[j]).ravel(), len(touched)) for j in range(WIDTH)], axis=1)
-        move("embed", touched, g.astype(dh.dtype))
+        turned, g = np.ascontiguousarray(dh.T, np.float64), np.zeros((WIDTH, len(touched)))
+        for v, weight in zip(seen, w["place"]):
+            rows = number[v]
+            for j in range(WIDTH):
+                g[j] += np.bincount(rows, turned[j], len(touched)) * weight[j]
+        move("embed", touched, g.T.astype(dh.dtype))
         move("place", slice(None), place)
         move("bias", slice(None), dh.sum(axis=0))
 
@@ -381,12 +391,11 @@ def rare_counts(counts: DataFrame, words: Vocabulary) -> DataFrame:
     schema = T.StructType([T.StructField("w", T.LongType()), T.StructField("log_n", T.LongType())])
 
     def run(batches):
-        out = to_arrow_schema(schema)
+        out, known = to_arrow_schema(schema), set(words.words.to_pylist())
         for batch in batches:
-            batch = batch.filter(pc.invert(pc.is_in(batch.column("word"), value_set=words.words)))
-            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in batch.column("word").to_pylist()], np.uint64).view(np.int64)
-            logs = np.rint(np.log(batch.column("n").to_numpy().astype(np.float64)) / UNIT).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(logs)], schema=out)
+            pairs = [(xxhash.xxh64_intdigest(w, 42), n) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()) if w not in known]
+            hashes, logs = np.array([w for w, _ in pairs], np.uint64).view(np.int64), np.log(np.array([n for _, n in pairs], np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.rint(logs / UNIT).astype(np.int64))], schema=out)
 
     return counts.where("n > 1").mapInArrow(run, schema)
 
