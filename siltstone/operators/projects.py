@@ -135,3 +135,10 @@ def profile(nodes: DataFrame) -> DataFrame:
 def errors(**rules: Column) -> Column:
     """Messages of the rules that fail; a null counts as failed."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+
+
+def payload_errors(task_id: Column, suggestions: Column) -> Column:
+    """What is wrong with a request, in order: its task id, its list of suggestions, and each of them by its place from 0."""
+    of_list = F.transform(suggestions, lambda s, i: F.when(s["category"].isNull() | s["target"].isNull(), F.concat(F.lit("suggestions["), i.cast("string"), F.lit("] misses category or target"))))
+    whole = F.array(F.when(task_id.try_cast("int").isNull(), F.lit("task_id must be an int")), F.when(F.coalesce(F.size(suggestions), F.lit(0)) < 1, F.lit("suggestions must be a non-empty list")))
+    return F.array_compact(F.concat(whole, F.coalesce(of_list, F.array().cast("array<string>"))))

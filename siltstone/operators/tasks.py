@@ -47,13 +47,20 @@ def unhandled(units: DataFrame, handlers: list[Handler]) -> DataFrame:
     return units.where(~reduce(lambda a, b: a | b, [F.coalesce(h.can_handle, F.lit(False)) for h in handlers], F.lit(False)))
 
 
+def lookup(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """A row for each wanted key, with ``error`` where there is none."""
+    found = rows.withColumn("_there", F.lit(True))
+    return wanted.join(found, key, "left").withColumn("error", F.when(F.col("_there").isNull(), "not found")).drop("_there")
+
+
 def patch_set(patches: DataFrame, keys: list[str]) -> DataFrame:
     """Count, mean confidence (0 without patches) and how many need review."""
     return patches.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.round(F.avg("confidence"), 6), F.lit(0.0)).alias("mean_confidence"), F.count_if(F.col("needs_review")).alias("review"))
 
 
 def stage_metrics(steps: DataFrame, by: str) -> DataFrame:
-    return steps.groupBy(by).agg(F.count(F.lit(1)).alias("steps"), F.round(F.avg("elapsed"), 6).alias("mean_elapsed"), F.max("elapsed").alias("max_elapsed"), F.count_if(F.col("status") == "FAIL").alias("failed"))
+    """Steps, times, failures, tokens and mean confidence of each stage."""
+    return steps.groupBy(by).agg(F.sum("tokens").alias("tokens"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.count(F.lit(1)).alias("steps"), F.round(F.avg("elapsed"), 6).alias("mean_elapsed"), F.max("elapsed").alias("max_elapsed"), F.count_if(F.col("status") == "FAIL").alias("failed"))
 
 
 def outcomes(steps: DataFrame, task: str) -> DataFrame:

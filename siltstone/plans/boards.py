@@ -20,7 +20,7 @@ def suggestions(spark, sf_dir):
 
 
 def steps(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("task_id"), F.col("event_type").alias("stage"), F.col("value").alias("elapsed"), F.when(F.col("event_type") == "error", "FAIL").otherwise("OK").alias("status"), "ts")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("task_id"), F.col("event_type").alias("stage"), F.col("value").alias("elapsed"), F.when(F.col("event_type") == "error", "FAIL").otherwise("OK").alias("status"), (F.col("event_id") % 1000).alias("tokens"), F.round(F.col("event_id") % 11 / 10.0, 1).alias("confidence"), "ts")
 
 
 def task_list(spark, sf_dir):
@@ -33,6 +33,12 @@ def task_by_key(spark, sf_dir):
     return rows.join(rows.agg(F.max("id").alias("id")), "id")
 
 
+def task_lookup(spark, sf_dir):
+    """Lookups of the tasks that orders name, and of one that is not there for each nation."""
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct().unionByName(table(spark, sf_dir, "nation").select((-F.col("n_nationkey") - 1).cast("long").alias("id")))
+    return tasks.lookup(task_rows(spark, sf_dir), wanted, "id")
+
+
 def tasks_of_project(spark, sf_dir):
     rows = task_rows(spark, sf_dir).where("project_id = 7")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("id"))))
@@ -61,7 +67,7 @@ def batch_summary(spark, sf_dir):
 def report_stats(spark, sf_dir):
     high = F.col("risk_level").isin("1-URGENT", "2-HIGH")
     return suggestions(spark, sf_dir).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(~F.col("needs_review")).alias("success"), F.count_if(F.col("needs_review")).alias("manual"), F.count_if(high).alias("high_risk"), F.countDistinct("task_id").alias("tasks"),
+        F.count(F.lit(1)).alias("total"), F.count_if(~F.col("needs_review")).alias("success"), F.count_if(F.col("needs_review")).alias("manual"), F.count_if(high).alias("high_risk"), F.countDistinct("task_id").alias("tables"), F.count_if(F.col("category") == "P").alias("indexes_changed"),
     )
 
 
@@ -109,28 +115,29 @@ def risk_rollup(spark, sf_dir):
     return rows.withColumn("worst_in_category", F.min("risk_level").over(Window.partitionBy("category")))
 
 
-QUERIES = {f.__name__: f for f in (task_list, task_by_key, tasks_of_project, suggestions_of_task, recent_tasks, patch_aggregate, by_category, batch_summary, report_stats, dashboard_kpis, risk_distribution, daily_trend, week_delta, stage_metrics, workflow_outcome, fail_stop, step_progress, risk_rollup)}
+QUERIES = {f.__name__: f for f in (task_list, task_by_key, task_lookup, tasks_of_project, suggestions_of_task, recent_tasks, patch_aggregate, by_category, batch_summary, report_stats, dashboard_kpis, risk_distribution, daily_trend, week_delta, stage_metrics, workflow_outcome, fail_stop, step_progress, risk_rollup)}
 
 T = "t as (select c_custkey id, c_nationkey project_id, c_name as name, c_mktsegment status from customer)"
 G = "g as (select o_orderkey id, o_custkey task_id, o_orderstatus category, o_orderpriority risk_level, least(1.0, o_totalprice / 500000) confidence, o_totalprice < 100000 needs_review, o_orderdate created_at from orders)"
-P = "p as (select event_id id, user_id task_id, event_type stage, value elapsed, case when event_type = 'error' then 'FAIL' else 'OK' end status, ts from events)"
+P = "p as (select event_id id, user_id task_id, event_type stage, value elapsed, case when event_type = 'error' then 'FAIL' else 'OK' end status, event_id % 1000 tokens, event_id % 11 / 10.0 confidence, ts from events)"
 SET = "count(*) total, round(avg(confidence), 6) mean_confidence, count(*) filter (needs_review) review"
 ORACLES = {
     "task_list": f"with {T} from t",
     "task_by_key": f"with {T} select * from t where id = (select max(id) from t)",
+    "task_lookup": f"with {T}, w as (select distinct o_custkey id from orders union all select -n_nationkey - 1 from nation) select w.id, project_id, name, status, case when t.id is null then 'not found' end error from w left join t using (id)",
     "tasks_of_project": f"with {T} select *, (row_number() over (order by id desc))::INT place from t where project_id = 7",
     "suggestions_of_task": f"with {G} select task_id, id, (row_number() over (partition by task_id order by id))::INT place from g",
     "recent_tasks": f"with {T} select * from t order by id desc limit 5",
     "patch_aggregate": f"with {G} select task_id, {SET} from g group by task_id",
     "by_category": f"with {G} select category, risk_level, {SET} from g group by all",
     "batch_summary": f"with {P} select count(*) total, count(*) filter (status = 'OK') ok, count(*) filter (status = 'FAIL') fail from p",
-    "report_stats": f"with {G} select count(*) total, count(*) filter (not needs_review) success, count(*) filter (needs_review) manual, count(*) filter (risk_level in ('1-URGENT', '2-HIGH')) high_risk, count(distinct task_id) tasks from g",
+    "report_stats": f"with {G} select count(*) total, count(*) filter (not needs_review) success, count(*) filter (needs_review) manual, count(*) filter (risk_level in ('1-URGENT', '2-HIGH')) high_risk, count(distinct task_id) tables, count(*) filter (category = 'P') indexes_changed from g",
     "dashboard_kpis": f"with {G} select count(*) suggestions, count(*) filter (created_at::DATE = (select max(created_at)::DATE from g)) today, count(distinct task_id) active_tasks, round(avg(confidence), 6) mean_confidence from g",
     "risk_distribution": f"with {G} select risk_level, count(*) n, round(count(*) / sum(count(*)) over (), 6) share from g group by risk_level",
     "daily_trend": f"""with {G}, d as (select created_at::DATE d, count(*) n from g group by 1), s as (select unnest(generate_series((select min(d) from d), (select max(d) from d), interval 1 day))::DATE d)
         select strftime(s.d, '%Y-%m-%d') as day, coalesce(n, 0) suggestions from s left join d using (d)""",
     "week_delta": f"with {P}, w as (select strftime(date_trunc('week', ts), '%Y-%m-%d') as \"week\", count(*) n from p group by 1) select week as \"week\", n, n - lag(n) over (order by week) change from w",
-    "stage_metrics": f"with {P} select stage, count(*) steps, round(avg(elapsed), 6) mean_elapsed, max(elapsed) max_elapsed, count(*) filter (status = 'FAIL') failed from p group by stage",
+    "stage_metrics": f"with {P} select stage, count(*) steps, round(avg(elapsed), 6) mean_elapsed, max(elapsed) max_elapsed, count(*) filter (status = 'FAIL') failed, sum(tokens)::BIGINT tokens, round(avg(confidence), 6) mean_confidence from p group by stage",
     "workflow_outcome": f"with {P} select task_id, count(*) steps, case when bool_and(status = 'OK') then 'success' else 'partial' end outcome from p group by task_id",
     "fail_stop": f"with {P} select task_id, id, stage, status from p qualify coalesce(count(*) filter (status = 'FAIL') over (partition by task_id order by ts, id rows between unbounded preceding and 1 preceding), 0) = 0",
     "step_progress": f"with {P}, r as (select task_id, id, (row_number() over (partition by task_id order by ts, id))::INT n from p) select task_id, id, n, least(100, floor(n * 100 / 6 + 0.5))::INT percent from r",

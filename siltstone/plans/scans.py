@@ -157,6 +157,16 @@ def payload_check(spark, sf_dir):
     return sums.select("c_custkey", found.alias("errors"))
 
 
+def payload_errors(spark, sf_dir):
+    """The same requests with their suggestions as lists; every tenth task id is no number."""
+    one = F.struct("o_orderkey", F.col("o_orderstatus").alias("category"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("target"))
+    lists = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(one)).alias("s"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey").join(lists, "c_custkey", "left")
+    task = F.concat(F.when(F.col("c_custkey") % 10 == 0, "t").otherwise(""), F.col("c_custkey").cast("string"))
+    found = projects.payload_errors(task, F.col("s"))
+    return rows.select("c_custkey", F.array_join(found, "; ").alias("errors"), (F.size(found) == 0).alias("valid"))
+
+
 def payload_strip(spark, sf_dir):
     both = F.create_map(F.lit("_event"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"), F.lit("_k"), F.get_json_object("props", "$.k"))
     kept = F.map_filter(both, lambda k, v: ~F.startswith(k, F.lit("_")))
@@ -182,7 +192,7 @@ def group_concat(spark, sf_dir):
     return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(mysql.group_concat(F.col("n_name"), F.col("n_nationkey")).alias("names"))
 
 
-QUERIES = {f.__name__: f for f in (dialect_features, dialect_alias, mysql_notes, oracle_rewrite, config_flags, config_rewrite, import_rename, unified_diff, risk_dependency, dependency_replacement, code_graph, project_profile, patch_generate, patch_dispatch, patch_unhandled, record_check, payload_check, payload_strip, text_preview, mysql_functions, group_concat)}
+QUERIES = {f.__name__: f for f in (dialect_features, dialect_alias, mysql_notes, oracle_rewrite, config_flags, config_rewrite, import_rename, unified_diff, risk_dependency, dependency_replacement, code_graph, project_profile, patch_generate, patch_dispatch, patch_unhandled, record_check, payload_check, payload_errors, payload_strip, text_preview, mysql_functions, group_concat)}
 
 S = f"s as (select o_orderkey n, {STATEMENT} text, 'src/T' || o_custkey || '.java' origin from orders)"
 C = """k as (select s_suppkey, s_acctbal, unnest(['spring.datasource.url', 'spring.datasource.password', 'spring.datasource.driver-class-name']) key from supplier),
@@ -237,6 +247,10 @@ ORACLES = {
         select event_id, errors, errors = '' valid from e""",
     "payload_check": """with r as (select c_custkey, count(o_orderkey) n, count(*) filter (o_orderkey is not null and o_orderpriority = '5-LOW') bad from customer left join orders on c_custkey = o_custkey group by c_custkey)
         select c_custkey, concat_ws('; ', case when n = 0 then 'suggestions must be a non-empty list' end, case when bad > 0 then bad || ' suggestions miss category or target' end) errors from r""",
+    "payload_errors": """with o as (select o_custkey c_custkey, o_orderpriority p, row_number() over (partition by o_custkey order by o_orderkey) - 1 i from orders),
+        e as (select c_custkey, -2 i, 'task_id must be an int' e from customer where c_custkey % 10 = 0 union all select c_custkey, -1, 'suggestions must be a non-empty list' from customer where c_custkey not in (select o_custkey from orders)
+        union all select c_custkey, i, 'suggestions[' || i || '] misses category or target' from o where p = '5-LOW')
+        select c_custkey, coalesce(string_agg(e, '; ' order by i), '') errors, count(e) = 0 as "valid" from customer left join e using (c_custkey) group by c_custkey""",
     "payload_strip": "select event_id, 'user' keys, user_id::VARCHAR \"user\" from events",
     "text_preview": "select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end preview from documents",
     "mysql_functions": """select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') formatted, coalesce(nullif(event_type, 'error'), 'none') kind, event_type = 'error' missing, props->>'$.k' k, floor(epoch(ts))::BIGINT epoch, strftime(ts, '%H:%M') clock,
