@@ -65,9 +65,10 @@ def semantic_chunks(docs: DataFrame, id_col: str, text_col: str, embed: Callable
     cut = (F.size("s") > 1) & (F.col("n") > max_chars)
     rows = rows.withColumn("v", F.when(cut, F.transform("s", embed)))
     rows = rows.withColumn("sim", F.when(cut, F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: vec.cosine(F.get("v", i - 1), F.get("v", i)))))
-    fold = """aggregate(sequence(1, size(s) - 1), named_struct('len', char_length(s[0]), 'at', array(0)),
-        (a, i) -> if((a.len + char_length(s[i]) > {m} or sim[i - 1] < {t}) and a.len >= {k},
-            named_struct('len', char_length(s[i]), 'at', concat(a.at, array(i))), named_struct('len', a.len + char_length(s[i]), 'at', a.at)), a -> a.at)"""
+    # similarities and lengths are arrays of one, so that they are worked out once and not for every sentence
+    fold = """transform(array(named_struct('sim', sim, 'n', transform(s, x -> char_length(x)))), q -> aggregate(sequence(1, size(s) - 1), named_struct('len', q.n[0], 'at', array(0)),
+        (a, i) -> if((a.len + q.n[i] > {m} or q.sim[i - 1] < {t}) and a.len >= {k},
+            named_struct('len', q.n[i], 'at', concat(a.at, array(i))), named_struct('len', a.len + q.n[i], 'at', a.at)), a -> a.at))[0]"""
     rows = rows.withColumn("at", F.when(cut, F.expr(fold.format(m=max_chars, t=same, k=least))).otherwise(F.array(F.lit(0))))
     rows = rows.select(id_col, "s", "sim", "at", F.posexplode_outer("at").alias("chunk_index", "first"))  # outer: no filter on the fold is inferred and pushed below it
     end = F.coalesce(F.get("at", F.col("chunk_index") + 1), F.size("s"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx, vectors as vec
 from siltstone.operators import chunking, search
-from siltstone.session import table
+from siltstone.session import materialize, table
 
 
 def documents(spark, sf_dir):
@@ -79,7 +79,8 @@ def ingest_strategies(spark, sf_dir):
     """Documents, chunks, and chunks new to the index, for every strategy; an unknown one is semantic."""
     out = None
     for name in ("late", "semantic", "none", "other"):
-        chunks = chunking.by_strategy(documents(spark, sf_dir), "doc_id", "text", name).select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"))
+        chunks = materialize(chunking.by_strategy(documents(spark, sf_dir), "doc_id", "text", name), f"chunks-{name}")  # once for all its counts
+        chunks = chunks.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"))
         row = chunks.agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("chunks"), F.countDistinct("key").alias("new_chunks")).withColumn("strategy", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
