@@ -99,8 +99,14 @@ def sharp(x: np.ndarray) -> np.ndarray:
     return np.rint(x.astype(np.float64) * 2**20) * 2.0**-20
 
 
+def squash(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place."""
+    x /= 1 + np.abs(x)
+    return x
+
+
 class Network:
-    """Window vectors weighted by place, one tanh layer, and a softmax over the classes."""
+    """Window vectors weighted by place, one layer squashed to -1 .. 1, and a softmax over the classes."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w, self.placed = weights, None
@@ -130,7 +136,7 @@ class Network:
         total = np.tile(self.w["bias"], (len(at), 1))
         for k, o in enumerate(OFFSETS):
             total += self.w["embed"][vectors[at + o]] * self.w["place"][k]
-        return np.tanh(total, out=total)
+        return squash(total)
 
     def log_probabilities(self, vectors: np.ndarray, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log p(class | both sides) at the given positions; no position sees its own token."""
@@ -142,7 +148,7 @@ class Network:
             total, more = np.tile(self.w["bias"], (len(some), 1)), np.empty((len(some), WIDTH), np.float32)
             for table, o in zip(self.placed, OFFSETS):
                 total += np.take(table, vectors[some + o], axis=0, out=more, mode="clip")
-            z = (sharp(np.tanh(total, out=total)) @ out).astype(np.float32)  # a row's result does not depend on the rows around it
+            z = (sharp(squash(total)) @ out).astype(np.float32)  # a row's result does not depend on the rows around it
             z += self.w["out_bias"]
             right = z[np.arange(len(some)), classes[some]]
             got[k : k + AT_ONCE] = right - np.log(np.exp(np.minimum(z, 80, out=z), out=z).sum(axis=1))
@@ -162,7 +168,7 @@ class Network:
         h = np.tile(w["bias"], (n, 1))
         for x, place in zip(side, w["place"]):
             h += x * place
-        np.tanh(h, out=h)
+        squash(h)
         d = h @ w["out"].T
         d += w["out_bias"]
         np.exp(np.minimum(d, 80, out=d), out=d)
@@ -172,7 +178,7 @@ class Network:
         dh = d @ w["out"]
         move("out", slice(None), d.T @ h)
         move("out_bias", slice(None), d.sum(axis=0))
-        dh *= 1 - h * h
+        dh *= (1 - np.abs(h)) ** 2
         place = np.stack([np.einsum("ij,ij->j", dh, x) for x in side])
         there = np.zeros(VECTORS, bool)
         for v in seen:

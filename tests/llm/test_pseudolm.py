@@ -32,7 +32,7 @@ def brute_score(text, net, words, counts, places):
         for k, o in enumerate(lm.OFFSETS):
             j = number[i + o] if 0 <= i + o < len(tokens) else words.blank
             x += w["embed"][words.vector_of[j]] * w["place"][k]
-        p = np.exp(w["out"] @ np.tanh(x) + w["out_bias"])
+        p = np.exp(w["out"] @ (x / (1 + abs(x))) + w["out_bias"])
         log_p = math.log(p[words.class_of[number[i]]] / p.sum())
         if token in known:
             mates = [v for v in range(words.n) if words.class_of[v] == words.class_of[number[i]]]
