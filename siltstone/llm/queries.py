@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bytebpe, langid, packing, pseudolm, quality, repeats, secrets, simhash, spotsigs, tokenfiles
+from siltstone.llm import bytebpe, langid, packing, pseudolm, quality, repeats, secrets, simhash, spotsigs, tokenfiles, whitening
 from siltstone.session import table
 
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_byte_bpe": over_documents(bytebpe.op8),
     "op9_best_fit_packing": over_documents(packing.op9),
     "op10_quality_rules": over_documents(quality.op10),
+    "op11_embedding_whitening": lambda spark, sf_dir: whitening.op11(table(spark, sf_dir, "embeddings")),
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
