@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bytebpe, langid, packing, pseudolm, quality, repeats, secrets, simhash, spotsigs, tokenfiles, whitening
+from siltstone.llm import bytebpe, langid, linededup, packing, pseudolm, quality, repeats, secrets, simhash, spotsigs, tokenfiles, whitening
 from siltstone.session import table
 
 
@@ -26,6 +26,7 @@ QUERIES = {
     "op9_best_fit_packing": over_documents(packing.op9),
     "op10_quality_rules": over_documents(quality.op10),
     "op11_embedding_whitening": lambda spark, sf_dir: whitening.op11(table(spark, sf_dir, "embeddings")),
+    "op12_line_dedup": over_documents(linededup.op12),
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,4 +48,11 @@ s as (select doc_id, len(w) n_words, length(regexp_replace(t, '[\x20\x09-\x0D]',
 f as (select *, n_words < {quality.LEAST_WORDS} or 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words base_failed from s)
 select *, not base_failed and n_words - removed_words >= n_words * {quality.LEAST_KEPT} kept from f"""
 
-ORACLES: dict[str, str] = {"op10_quality_rules": OP10}
+OP12 = f"""
+with d as (select row_number() over () r, doc_id, string_split(coalesce(text, ''), chr(10)) l from documents),
+s as (select r, doc_id, unnest(l) line, unnest(range(len(l))) i from d),
+k as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key from s),
+o as (select *, length(key) >= {linededup.LEAST_CHARS} and doc_id > min(doc_id) over (partition by key) gone from k)
+select doc_id, count(*) n_lines, count(*) filter (where gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) kept_sha256 from o group by r, doc_id"""
+
+ORACLES: dict[str, str] = {"op10_quality_rules": OP10, "op12_line_dedup": OP12}
