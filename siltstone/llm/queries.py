@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bytebpe, langid, linededup, packing, pseudolm, quality, repeats, secrets, simhash, spotsigs, tokenfiles, whitening
+from siltstone.llm import bytebpe, langid, linededup, merkle, packing, pseudolm, quality, repeats, secrets, simhash, spotsigs, tokenfiles, whitening
 from siltstone.session import table
 
 
@@ -27,6 +27,7 @@ QUERIES = {
     "op10_quality_rules": over_documents(quality.op10),
     "op11_embedding_whitening": lambda spark, sf_dir: whitening.op11(table(spark, sf_dir, "embeddings")),
     "op12_line_dedup": over_documents(linededup.op12),
+    "op13_merkle_manifest": over_documents(merkle.op13),
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,4 +56,33 @@ k as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D
 o as (select *, length(key) >= {linededup.LEAST_CHARS} and doc_id > min(doc_id) over (partition by key) gone from k)
 select doc_id, count(*) n_lines, count(*) filter (where gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) kept_sha256 from o group by r, doc_id"""
 
-ORACLES: dict[str, str] = {"op10_quality_rules": OP10, "op12_line_dedup": OP12}
+
+
+def _field(x: str) -> str:
+    return f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+
+
+def _up(name: str) -> str:
+    """The levels above those that a recursive relation starts with."""
+    return f"select tree, level + 1, idx // 8, sha256(string_agg(digest, '' order by idx)), max((n + 7) // 8) from {name} where n > 1 group by tree, level, idx // 8"
+
+
+def _walk(name: str, nodes: str) -> str:
+    """One level up for every row: its digest with that of its siblings, and theirs behind those seen before."""
+    return f"""select w.r, w.tree, w.level + 1, w.pos // 8, sha256(string_agg(case when s.idx = w.pos then w.cur else s.digest end, '' order by s.idx)), w.sib || coalesce(string_agg(s.digest, '' order by s.idx) filter (where s.idx <> w.pos), ''), (w.n + 7) // 8
+  from {name} w join {nodes} s on s.tree = w.tree and s.level = w.level and s.idx // 8 = w.pos // 8 where w.n > 1 group by w.r, w.tree, w.level, w.pos, w.cur, w.sib, w.n"""
+
+
+CRC = "xor(4294967295, list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))))"
+OP13 = f"""
+with recursive d as (select row_number() over () r, *, {" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))} head, translate(text, '{merkle.UPPER}', '{merkle.LOWER}') low from documents),
+h as (select r, doc_id, lang, sha256(head || {_field("text")}) leaf, case when doc_id is not null and {CRC} % 3 = 0 then sha256(head || {_field("low")}) else sha256(head || {_field("text")}) end tampered from d),
+lf as (select *, dense_rank() over (order by lang nulls first) - 1 tree, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 idx, count(*) over (partition by lang) n from h),
+nd(tree, level, idx, digest, n) as (select tree, 0, idx, leaf, n from lf union all {_up("nd")}),
+sub as (select tree, digest subroot, count(*) over () n_trees from nd where n = 1),
+tp(tree, level, idx, digest, n) as (select -1, 0, tree, subroot, n_trees from sub union all {_up("tp")}),
+w1(r, tree, level, pos, cur, sib, n) as (select r, tree, 0, idx, tampered, '', n from lf union all {_walk("w1", "nd")}),
+w2(r, tree, level, pos, cur, sib, n) as (select r, -1, 0, w1.tree, cur, sib, n_trees from w1 join sub using (tree) where n = 1 union all {_walk("w2", "tp")})
+select doc_id, leaf, subroot, t.digest root, sha256(sib) proof_sha256, cur folded_root, cur = t.digest verified from lf join sub using (tree) join w2 on w2.r = lf.r and w2.n = 1 join tp t on t.n = 1"""
+
+ORACLES: dict[str, str] = {"op10_quality_rules": OP10, "op12_line_dedup": OP12, "op13_merkle_manifest": OP13}
