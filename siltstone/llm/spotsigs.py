@@ -1,8 +1,9 @@
 """SpotSigs document fingerprints, in DataFrame functions only.
 
 A signature is a spot: a run of common words (anchors) and the chain of content words behind it. The first word of a text
-counts as a spot too, so every text has a signature; in a text without anchors every word counts as one. The set of a text's signatures is its fingerprint; likeness is the
-Jaccard similarity of two sets. Near copies are found within partitions by set length: sets can only be alike if their
+counts as a spot too, so every text has a signature, and so does every word that has no anchor among the last few words: a text
+in which anchors are rare or missing is told by all its words, one with many by its spots, and an anchor changes no more than
+the words around it. The set of a text's signatures is its fingerprint; likeness is the Jaccard similarity of two sets. Near copies are found within partitions by set length: sets can only be alike if their
 lengths are, so a set meets its own partition and the next, through the rarest of its signatures, and the pairs left are
 compared in full.
 """
@@ -23,8 +24,8 @@ ANCHORS = (
     "der die das und ist von den mit ein eine im für auf nicht als "
     "el los las y en es por con para del al no se"
 ).split()
-#: Content words in a chain, least likeness of near copies.
-CHAIN, LIKE = 2, 0.8
+#: Content words in a chain, least likeness of near copies, content words without an anchor after which each is a spot.
+CHAIN, LIKE, ALONE = 2, 0.8, 8
 JOINER, MOST = "\u0001", 2**31 - 1
 
 
@@ -37,13 +38,14 @@ def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAI
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     marked = F.concat(F.lit(JOINER), F.regexp_replace(plain, f"(?<![^ ])({words}) ", f"$1{JOINER}"))
     spots = F.split(marked, " ")  # each element: a run of anchors, then one content word
-    parts = F.zip_with(spots, F.slice(F.transform(spots, lambda x: F.substring_index(x, JOINER, -1)), F.lit(2), F.greatest(F.size(spots), F.lit(1))), lambda x, y: F.when(F.contains(x, F.lit(JOINER)), F.xxhash64(x, y)))
-    if chain != 2:
-        content = F.transform(spots, lambda x: F.substring_index(x, JOINER, -1))
-        parts = F.transform(spots, lambda x, i: F.when(F.contains(x, F.lit(JOINER)), F.xxhash64(x, F.array_join(F.slice(content, i + 2, chain - 1), " "))))
-    # without an anchor every word is a spot, with the word behind it
-    every = F.zip_with(spots, F.slice(spots, F.lit(2), F.greatest(F.size(spots), F.lit(1))), lambda x, y: F.xxhash64(x, y))
-    parts = F.when(F.contains(F.substring(marked, 2, MOST), F.lit(JOINER)) | (F.size(spots) < 2), parts).otherwise(every)
+    content = F.transform(spots, lambda x: F.substring_index(x, JOINER, -1))
+    if chain == 2:
+        parts = F.zip_with(spots, F.slice(content, F.lit(2), F.greatest(F.size(spots), F.lit(1))), lambda x, y: F.xxhash64(x, y))
+    else:
+        parts = F.transform(spots, lambda x, i: F.xxhash64(x, F.array_join(F.slice(content, i + 2, chain - 1), " ")))
+    behind = F.array_join(F.transform(spots, lambda x: F.when(F.contains(x, F.lit(JOINER)), "1").otherwise("0")), "")
+    marks = F.split(F.regexp_replace(behind, f"(?<=0{{{ALONE - 1}}})0", "2"), "")  # 0: an anchor is near, but not here
+    parts = F.zip_with(parts, marks, lambda h, m: F.when(m != "0", h))
     return F.array_sort(F.array_distinct(F.array_compact(parts)))
 
 
