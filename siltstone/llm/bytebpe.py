@@ -155,7 +155,8 @@ class ByteBpe(CachedEncoder):
             at = at[self.table.find(ids[at], ids[after[at]]) == rank]
             if not len(at):
                 continue
-            # of pairs that overlap every other one merges
+            # of pairs that overlap every other one merges; the others too are kept, as a pair of lower rank may come between
+            all_at = at
             chain = np.append(True, at[1:] != after[at[:-1]])
             place = np.arange(len(at)) - np.maximum.accumulate(np.where(chain, np.arange(len(at)), 0))
             at = at[place % 2 == 0]
@@ -168,7 +169,7 @@ class ByteBpe(CachedEncoder):
             lower = np.flatnonzero(low < rank)
             if len(lower) and lower[0] + 1 < len(at):
                 k = lower[0] + 1
-                places[rank] = [at[k:]]
+                places[rank] = [all_at[all_at > at[k - 1]]]
                 heapq.heappush(ranks, rank)
                 at, gone, right = at[:k], gone[:k], right[:k]
             ids[at], ids[gone], after[at] = rank, -1, right

@@ -59,3 +59,40 @@ def test_pairs_of_a_row_of_its_own_merge_in_the_same_order(library):
         ids = bpe.of_byte[np.frombuffer(piece, np.uint8)]
         rows, counts = bpe.merge_rows(ids[None].copy(), np.array([len(piece)]))
         assert bpe.merge_alone(piece).tolist() == rows.tolist()
+
+
+def small_ranks(rnd, orderly):
+    """Ranks of single bytes and of a few dozen merges over two or three letters, in the order of merging or any."""
+    known = [bytes([b]) for b in range(256)]
+    letters = [bytes([c]) for c in b"abc"[: rnd.randint(2, 3)]]
+    while len(known) < 256 + rnd.randint(4, 40):
+        token = rnd.choice(letters + known[256:]) + rnd.choice(letters + known[256:])
+        if token not in known and len(token) < 20:
+            known.append(token)
+    more = known[256:]
+    if not orderly:
+        rnd.shuffle(more)
+    return {t: i for i, t in enumerate(known[:256] + more)}
+
+
+@pytest.mark.parametrize("orderly", [True, False])
+def test_any_ranks_file_merges_as_in_the_library(orderly):
+    rnd = random.Random(11 + orderly)
+    for _ in range(90):
+        ranks = small_ranks(rnd, orderly)
+        own = tiktoken.Encoding("x", pat_str="[a-z]+", mergeable_ranks=ranks, special_tokens={})
+        bpe = bytebpe.ByteBpe(ranks, "[a-z]+")
+        for _ in range(12):
+            piece = "".join(rnd.choice(rnd.choice(["ab", "aab", "abc", "b"])) for _ in range(rnd.randint(2, 120))).encode()
+            want = own.encode_ordinary(piece.decode())
+            ids = bpe.of_byte[np.frombuffer(piece, np.uint8)]
+            assert bpe.merge_rows(ids[None].copy(), np.array([len(piece)]))[0].tolist() == want or piece in ranks
+            assert bpe.merge_alone(piece).tolist() == want or piece in ranks
+
+
+def test_odd_runs_keep_their_last_pair():
+    more = "bb bbb bbbbbb abb abbbbbbbb abbabbbbbbbb abbbbbbbbbbb bbbb abbabbbbbbbbbbb abbb abbabbbbbbbbbbbbbb bbbbbbbbbb bbbbbbbbbbbb aa abbbb abbbbb abbbbbbbbabbbb".split()
+    ranks = {bytes([b]): b for b in range(256)} | {t.encode(): 256 + i for i, t in enumerate(more)}
+    piece = b"bbbbbbbbbbaaaaaaababaaabaaaabbaaaaabaababbbabbab"
+    own = tiktoken.Encoding("x", pat_str="[a-z]+", mergeable_ranks=ranks, special_tokens={})
+    assert bytebpe.ByteBpe(ranks, "[a-z]+").merge_alone(piece).tolist() == own.encode_ordinary(piece.decode())
