@@ -188,13 +188,17 @@ FOUND = T.StructType([T.StructField("h", LONG), T.StructField("c", LONG), T.Stru
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(k, t, text, row)``: ``k`` and ``t``, the id and a hash of the text, tell rows apart; ``row`` holds the other columns and the id, whatever their names.
+    """``(k, t, text, row)``: ``k`` and ``t`` tell rows apart; ``row`` holds the other columns and the id, whatever their names.
 
-    Repeated rows have one key and equal results.
+    ``t`` is 64 bits of hash of the text, ``k`` the id; of a null id, or one that is no whole number, 64 bits of another hash of
+    the id and the text. Repeated rows have one key and equal results.
     """
+    number = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    other = F.xxhash64(F.lit(11), f"`{text_col}`", f"`{id_col}`")
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), other) if number else other
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
     text = F.col(f"`{text_col}`")
-    return docs.select(F.col(f"`{id_col}`").alias("k"), F.hash(text, F.isnull(f"`{id_col}`")).alias("t"), text.alias("text"), row)
+    return docs.select(key.alias("k"), F.xxhash64(text, F.isnull(f"`{id_col}`")).alias("t"), text.alias("text"), row)
 
 
 def same_key(a: DataFrame, b: DataFrame):
@@ -427,7 +431,8 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if strings is not None:
         whole = whole.unionByName(strings.select("h", "c", F.col("g").alias("string"), F.col("d").alias("l"), F.lit(least).alias("length")))
     whole = materialize(whole.distinct(), "repeat-groups")
-    return found.places.join(whole, ["h", "c"]).select(F.col("h").alias("anchor"), "string", "length", F.col("k").alias(id_col), (F.col("pos") - F.col("l")).alias("start"))
+    ids = keyed(docs.select(id_col, text_col), id_col, text_col).select("k", "t", F.col(f"row.`{id_col}`").alias("_id")).distinct()
+    return found.places.join(whole, ["h", "c"]).join(ids, ["k", "t"]).select(F.col("h").alias("anchor"), "string", "length", F.col("_id").alias(id_col), (F.col("pos") - F.col("l")).alias("start"))
 
 
 def cut_out(raw: bytes, spans: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
