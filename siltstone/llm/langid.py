@@ -104,19 +104,24 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
     return Model(langs, codes, w.astype(np.float32), b.astype(np.float32))
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG, langs: int = LANGS, rows_in_all: int = ROWS) -> Model:
-    """Fit on at most ``rows_per_lang`` rows of each language, chosen by a hash of the text; rows without text or label are left out.
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG, langs: int = LANGS, rows_in_all: int = ROWS, id_col: str = "doc_id") -> Model:
+    """Fit on at most ``rows_per_lang`` rows of each language, chosen by a hash of text and id; rows without text or label are left out.
+
+    The row with the least hash of each language is always among those looked at, so a language is learned whatever its rows,
+    even if they all are the same one. ``id_col`` may be missing.
 
     Of many labels the ``langs`` most frequent are learned, ties in their order, each from its share of ``rows_in_all``
     rows at most. Features are computed in Spark; the driver gets one short vector of each chosen row. No labelled row
     gives a model without languages. Equal texts are taken as often as they stand there.
     """
-    rows = labelled.select(F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").alias("_lang")).where("_text is not null and _lang is not null")
-    sizes = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(langs).collect()
+    of_row = [F.col(f"`{text_col}`"), *([F.col(f"`{id_col}`")] if id_col in labelled.columns else [])]
+    rows = labelled.select(F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").alias("_lang"), F.xxhash64(*of_row).alias("_dice")).where("_text is not null and _lang is not null")
+    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("count"), F.min("_dice").alias("least")).orderBy(F.desc("count"), "_lang").limit(langs).collect()
     per_lang = min(rows_per_lang, rows_in_all // max(1, len(sizes)))
-    known = labelled.sparkSession.createDataFrame([(r["_lang"], r["count"]) for r in sizes], T.StructType([rows.schema["_lang"], T.StructField("count", T.LongType())]))
-    dice = F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    near = rows.join(F.broadcast(known), "_lang").where(dice < F.lit(2.0 * per_lang) / F.col("count")).withColumn("_dice", F.xxhash64("_text"))  # ``langs`` rows at most
+    fields = [rows.schema["_lang"], T.StructField("count", T.LongType()), T.StructField("least", T.LongType())]
+    known = labelled.sparkSession.createDataFrame([tuple(r) for r in sizes], T.StructType(fields))
+    share = F.pmod("_dice", F.lit(1 << 20)) / F.lit(float(1 << 20))
+    near = rows.join(F.broadcast(known), "_lang").where((share < F.lit(2.0 * per_lang) / F.col("count")) | (F.col("_dice") == F.col("least")))  # ``langs`` rows at most
     chosen = near.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_dice", "_text"))).where(F.col("_rank") <= per_lang)
 
     def make():

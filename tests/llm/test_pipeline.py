@@ -120,6 +120,17 @@ def test_decoding_matches_brute_force():
             assert got["ambiguous"][i] == (score < langid.CLEAR and wrong > radius or score < langid.CLEAR / 1.5)
 
 
+@pytest.mark.parametrize("ids", [True, False])
+def test_a_language_of_one_text_is_learned(spark, ids):
+    rows = [(i if ids else None, f"the cat and the dog of house {i}", "en") for i in range(3000)]
+    for lang, text in (("zz", "qorvo zumpel drakti wenno"), ("yy", "bixu ylmo parrasta"), ("xx", "unde quor sestima")):
+        rows += [(10_000 + i if ids else None, text, lang) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == ["en", "xx", "yy", "zz"]
+    assert model.decode(["qorvo zumpel drakti wenno", "bixu ylmo parrasta", "the dog and the cat"])["lang_pred"] == ["zz", "yy", "en"]
+
+
 def test_many_labels_are_bounded(spark):
     docs = spark.createDataFrame([(i, f"words of label {i % 150} " * 3, f"l{i % 150:03}") for i in range(600)] + [(9000 + i, "more words here", "l149") for i in range(5)], "doc_id long, text string, lang string")
     model = langid.train(docs, langs=7, rows_in_all=21)
