@@ -8,7 +8,7 @@ from siltstone.operators import projects
 from siltstone.plans import migration, scans
 from siltstone.session import fresh_path, table
 from siltstone.sources import files
-from siltstone.streaming import cdc
+from siltstone.streaming import buckets, cdc
 
 
 def change_files(spark, sf_dir):
@@ -49,7 +49,7 @@ def cdc_tables(spark, sf_dir):
     stream = spark.readStream.schema("topic string, line string").option("maxFilesPerTrigger", 1).json(path)
     cdc.apply_topics(stream, out, dead, fresh_path(spark, "topics-log"), r"^app\.src\.db\.(.*)$").awaitTermination()
     one, two = (cdc.snapshot(spark, f"{out}/{name}") for name in ("events", "orders"))
-    found = one.select(F.lit("events").alias("table"), "id", "seq", F.col("event_type").alias("value"), "again").unionByName(two.select(F.lit("orders").alias("table"), "id", "seq", F.col("priority").alias("value"), F.lit(None).cast("string").alias("again")))
+    found = one.select(F.lit("events").alias("table"), F.col("id").cast("string").alias("id"), "seq", F.col("event_type").alias("value"), "again").unionByName(two.select(F.lit("orders").alias("table"), F.col("id").cast("string").alias("id"), "seq", F.col("priority").alias("value"), F.lit(None).cast("string").alias("again")))
     lost = spark.read.parquet(dead).select(F.lit("dead").alias("table"), F.get_json_object("line", "$.id").alias("id"), F.lit(None).cast("long").alias("seq"), F.col("topic").alias("value"), F.lit(None).cast("string").alias("again"))
     return found.unionByName(lost)
 
@@ -99,7 +99,7 @@ def task_progress(spark, sf_dir):
         rows.write.mode("overwrite").parquet(f"{out}/v={number}")
 
     stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", fresh_path(spark, "progress-log")).trigger(availableNow=True).start().awaitTermination()
-    return cdc.snapshot(spark, out).select("id", "n", "percent", "last")
+    return spark.read.parquet(f"{out}/v={buckets.versions(spark, out)[-1]}").select("id", "n", "percent", "last")
 
 
 def stream_ingest(spark, sf_dir):

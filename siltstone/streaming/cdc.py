@@ -1,15 +1,17 @@
 """Change data capture and task progress as Structured Streaming jobs.
 
-Sinks are versioned: a batch is merged into the last snapshot and written as a new one below the same folder, named by the
-batch, so a replayed batch overwrites its own version and nothing else.
+Sinks are keyed tables in hash buckets (see ``buckets``): a batch writes deltas of the buckets it touches, named by the batch, so
+a replayed batch overwrites its own files and nothing else.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siltstone.operators import reconcile, tasks
+from siltstone.functions.evolution import json_schemas
+from siltstone.operators import tasks
 from siltstone.session import drop_path
+from siltstone.streaming.buckets import Buckets, versions
 
 CHANGE = "id long, seq long, deleted boolean, event_type string, value double"
 
@@ -27,82 +29,53 @@ def kafka_changes(spark: SparkSession, servers: str, topics: str, schema: str =
     return raw.select("topic", F.from_json(F.col("value").cast("string"), schema).alias("r")).select("topic", "r.*")
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete snapshots of a sink."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(base):
-        return []
-    found = [s.getPath() for s in fs.listStatus(base) if s.getPath().getName().startswith("v=")]
-    return sorted(int(p.getName()[2:]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The last snapshot as it is stored, with deleted keys."""
-    known = versions(spark, path)
-    return spark.read.parquet(f"{path}/v={known[-1]}") if known else None
-
-
 def snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """The rows of the last snapshot that are there."""
-    rows = stored(spark, path)
-    return reconcile.present(rows) if rows is not None and "deleted" in rows.columns else rows
+    """The rows of a sink that are there."""
+    return Buckets(spark, path).read()
 
 
-def apply_stream(stream: DataFrame, path: str, dead: str, checkpoint: str, key: str = "id", seq: str = "seq", keep: int = 2):
+def apply_stream(stream: DataFrame, path: str, dead: str, checkpoint: str, key: str = "id", seq: str = "seq"):
     """Start a query that merges every batch into the sink at ``path``; unreadable lines go to ``dead``. Runs what is there and ends.
 
     Columns that are new in a batch are added to the sink.
     """
+    table = Buckets(stream.sparkSession, path, key, seq)
 
     def batch(rows: DataFrame, number: int) -> None:
         rows.where("_bad is not null").select("_bad").write.mode("overwrite").parquet(f"{dead}/batch={number}")
-        put(rows.where("_bad is null").drop("_bad"), path, number, key, seq, keep)
+        table.put(rows.where("_bad is null").drop("_bad"), number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def put(changes: DataFrame, path: str, number: int, key: str, seq: str, keep: int) -> None:
-    """Merge a batch into the last snapshot below ``path``; deleted keys stay known, so late changes do not bring them back."""
-    spark = changes.sparkSession
-    known = [v for v in versions(spark, path) if v < number]
-    last = spark.read.parquet(f"{path}/v={known[-1]}") if known else changes.limit(0)
-    reconcile.merge(last, changes, key, seq, "deleted").write.mode("overwrite").parquet(f"{path}/v={number}")
-    for old in known[: -(keep - 1) or None]:
-        drop_path(spark, f"{path}/v={old}")
-
-
 def table_of(topic: Column, pattern: str) -> Column:
     """The table that a topic goes to: what the first group of the pattern matches, or null for other topics."""
     name = F.regexp_extract(topic, pattern, 1)
     return F.when(name != "", name)
 
 
-def apply_topics(stream: DataFrame, path: str, dead: str, checkpoint: str, pattern: str, key: str = "id", seq: str = "seq", keep: int = 2):
+def apply_topics(stream: DataFrame, path: str, dead: str, checkpoint: str, pattern: str, key: str = "id", seq: str = "seq"):
     """Merge changes of several tables, ``(topic, line)`` with a JSON object a line, each into a sink of its own below ``path``.
 
-    The table is the topic without its prefix (see ``table_of``). Columns are what the objects of a batch hold, as text but
-    for key, sequence and mark of deletion; a column that is new is added to the table, one that is missing is null. Lines
-    without key or sequence, and topics that do not match, go to ``dead``. Tables and columns of a batch reach the driver
-    by name.
+    The table is the topic without its prefix (see ``table_of``). Columns and their types are what the objects of a batch
+    hold, nested ones too: whole numbers are long, others double, and a type that changes gets one that holds both; a column
+    that is new is added to the table, one that is missing is null. Lines without key or sequence, and topics that do not
+    match, go to ``dead``. Tables and schemas of a batch reach the driver.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        fields = F.from_json("line", "map<string,string>")
+        fields = F.from_json("line", f"`{key}` string, `{seq}` string")
         parsed = rows.select("topic", "line", table_of(F.col("topic"), pattern).alias("to"), fields.alias("f"))
-        parsed = parsed.withColumn("ok", F.coalesce(F.col("to").isNotNull() & F.col("f")[key].isNotNull() & F.col("f")[seq].try_cast("long").isNotNull(), F.lit(False)))
+        parsed = parsed.withColumn("ok", F.coalesce(F.col("to").isNotNull() & F.col("f")[key].isNotNull() & F.col("f")[seq].try_cast("long").isNotNull(), F.lit(False))).drop("f")
         path_now = f"{dead}/parsed={number}"
-        parsed.write.mode("overwrite").parquet(path_now)
-        parsed = spark.read.parquet(path_now)
+        parsed.write.mode("overwrite").partitionBy("to").parquet(path_now)  # each table reads its own lines only
+        parsed = spark.read.schema(parsed.schema).parquet(path_now)
         parsed.where("not ok").select("topic", "line").write.mode("overwrite").parquet(f"{dead}/batch={number}")
-        names: dict[str, list[str]] = {}
-        for r in parsed.where("ok").select("to", F.explode(F.map_keys("f")).alias("c")).distinct().orderBy("to", "c").collect():
-            names.setdefault(r["to"], []).append(r["c"])
-        for to, columns in names.items():
-            own = [F.col("f")[c].alias(c) for c in columns if c not in (key, seq, "deleted")]
-            mine = parsed.where(F.col("ok") & (F.col("to") == to)).select(F.col("f")[key].alias(key), F.col("f")[seq].cast("long").alias(seq), F.coalesce(F.col("f")["deleted"].try_cast("boolean"), F.lit(False)).alias("deleted"), *own)
-            put(mine, f"{path}/{to}", number, key, seq, keep)
+        for to, schema in json_schemas(parsed.where("ok"), "line", "to").items():
+            own = [c for c in schema.names if c not in (seq, "deleted")]
+            mine = parsed.where(F.col("ok") & (F.col("to") == to)).select(F.from_json("line", schema).alias("r"), F.get_json_object("line", f"$.{seq}").cast("long").alias(seq), F.coalesce(F.get_json_object("line", "$.deleted").try_cast("boolean"), F.lit(False)).alias("deleted"))
+            Buckets(spark, f"{path}/{to}", key, seq).put(mine.select(*[F.col("r")[c].alias(c) for c in own], seq, "deleted"), number)
         drop_path(spark, path_now)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
