@@ -1,7 +1,7 @@
 """SpotSigs document fingerprints, in DataFrame functions only.
 
 A signature is a spot: a run of common words (anchors) and the chain of content words behind it. The first word of a text
-counts as a spot too, so every text has a signature, and so does every word that has no anchor among the last few words: a text
+counts as a spot too, so every text has a signature, and so does every word with a few words and no anchor before it: a text
 in which anchors are rare or missing is told by all its words, one with many by its spots, and an anchor changes no more than
 the words around it. The set of a text's signatures is its fingerprint; likeness is the Jaccard similarity of two sets. Near copies are found within partitions by set length: sets can only be alike if their
 lengths are, so a set meets its own partition and the next, through the rarest of its signatures, and the pairs left are
@@ -24,29 +24,46 @@ ANCHORS = (
     "der die das und ist von den mit ein eine im für auf nicht als "
     "el los las y en es por con para del al no se"
 ).split()
-#: Content words in a chain, least likeness of near copies, content words without an anchor after which each is a spot.
+#: Content words in a chain, least likeness of near copies, content words behind an anchor after which each is a spot.
 CHAIN, LIKE, ALONE = 2, 0.8, 8
-JOINER, MOST = "\u0001", 2**31 - 1
+BEFORE, AFTER = "\u0001", "\u0002"
 
 
-def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAIN) -> Column:
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it: functions of arrays evaluate their arguments each for itself."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def signatures(text: Column, anchors: list[str] | None = None) -> Column:
     """Sorted distinct hashes of the spots of a text; null counts as empty, and texts without words share one signature.
 
-    Words are runs of letters and digits in lower case.
+    Words are runs of letters and digits in lower case. The text is cut in front of every run of anchors, and functions of
+    arrays go over these few pieces; only words far from any anchor are taken one by one.
     """
     words = "|".join(sorted(set(anchors or ANCHORS)))
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    marked = F.concat(F.lit(JOINER), F.regexp_replace(plain, f"(?<![^ ])({words}) ", f"$1{JOINER}"))
-    spots = F.split(marked, " ")  # each element: a run of anchors, then one content word
-    content = F.transform(spots, lambda x: F.substring_index(x, JOINER, -1))
-    if chain == 2:
-        parts = F.zip_with(spots, F.slice(content, F.lit(2), F.greatest(F.size(spots), F.lit(1))), lambda x, y: F.xxhash64(x, y))
-    else:
-        parts = F.transform(spots, lambda x, i: F.xxhash64(x, F.array_join(F.slice(content, i + 2, chain - 1), " ")))
-    behind = F.array_join(F.transform(spots, lambda x: F.when(F.contains(x, F.lit(JOINER)), "1").otherwise("0")), "")
-    marks = F.split(F.regexp_replace(behind, f"(?<=0{{{ALONE - 1}}})0", "2"), "")  # 0: an anchor is near, but not here
-    parts = F.zip_with(parts, marks, lambda h, m: F.when(m != "0", h))
-    return F.array_sort(F.array_distinct(F.array_compact(parts)))
+    each = F.regexp_replace(plain, f"(?<![^ ])({words}) (?=[^ ])", f"{BEFORE}$1 {AFTER}")
+    marked = F.concat(F.lit(AFTER), F.replace(each, F.lit(AFTER + BEFORE), F.lit("")))  # anchors in a row are one run
+    def spot(x: Column, y: Column) -> Column:
+        """The run with the two content words behind it; the second may stand behind the next run."""
+        two = F.substring_index(F.substring_index(x, AFTER, -1), " ", CHAIN)
+        follower = F.coalesce(F.substring_index(F.substring_index(y, AFTER, -1), " ", 1), F.lit(""))
+        whole = F.contains(F.rtrim(two), F.lit(" "))
+        return F.xxhash64(F.substring_index(x, AFTER, 1), F.when(whole, two).otherwise(F.concat(F.rtrim(two), F.lit(" "), follower)))
+
+    def spots(pieces: Column) -> Column:
+        return F.zip_with(pieces, F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1))), spot)
+
+    def pairs(lone: Column) -> Column:
+        return F.zip_with(lone, F.slice(lone, F.lit(2), F.greatest(F.size(lone), F.lit(1))), lambda x, y: F.when((x != BEFORE) & (x != "") & F.coalesce(y != BEFORE, F.lit(False)), F.xxhash64(x, y)))
+
+    def both(pieces: Column) -> Column:
+        # of pieces with more than ALONE words those behind, with a mark between pieces
+        far = F.filter(F.transform(pieces, lambda x: F.rtrim(F.regexp_extract(x, f"{AFTER}(?:[^ ]++ ){{{ALONE}}}(.+)", 1))), lambda x: x != "")
+        return F.concat(spots(pieces), F.array_compact(let(F.split(F.array_join(far, f" {BEFORE} "), " "), pairs)))
+
+    # each piece: a run of anchors (none in the first), then content words up to the next run
+    return F.array_sort(F.array_distinct(let(F.split(marked, BEFORE), both)))
 
 
 def digest(sigs: Column) -> Column:
