@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltstone.functions import text as tx
 from siltstone.operators.components import connected_components
+from siltstone.operators.cycles import strong_components
 from siltstone.session import materialize
 
 LARGEST, KEYWORDS, SUMMARY_WORDS, SUMMARY_LABELS = 50, 12, 10, 8
@@ -126,17 +127,19 @@ def neighbours(edges: DataFrame, relation: str | None = None) -> DataFrame:
 def migration_order(tables: DataFrame, references: DataFrame) -> DataFrame:
     """``(table, layer)``: tables nobody left refers to come first; ``references`` has ``(child, parent)``.
 
-    A round a layer, as many as the longest chain has. Tables of a cycle, and those that only they refer to, have no place
-    in such an order: their layer is null.
+    Tables that refer to each other in a cycle are one step and share its layer: they have to move together. References from
+    or to other tables than the given ones do not count. A round a layer, as many as the longest chain has.
     """
-    left, out, layer = materialize(tables.select("table").distinct(), "order-left"), None, 0
-    references = references.where("child <> parent")
+    names = tables.select("table").distinct()
+    known = references.select("child", "parent").join(names.withColumnRenamed("table", "child"), "child", "left_semi").join(names.withColumnRenamed("table", "parent"), "parent", "left_semi")
+    step = strong_components(known, "child", "parent").withColumnRenamed("node", "table")
+    member = materialize(names.join(step, "table", "left").select("table", F.coalesce("component", "table").alias("step")), "order-steps")
+    of = lambda c: member.select(F.col("table").alias(c), F.col("step").alias(f"{c}_step"))
+    refs = known.join(of("child"), "child").join(of("parent"), "parent").where("child_step <> parent_step").select("child_step", "parent_step").distinct()
+    refs, left, out, layer = materialize(refs, "order-references"), materialize(member.select("step").distinct(), "order-left"), None, 0
     while not left.isEmpty():
-        held = references.join(left.withColumnRenamed("table", "child"), "child", "left_semi").select(F.col("parent").alias("table")).distinct()
-        free = materialize(left.join(held, "table", "left_anti").withColumn("layer", F.lit(layer)), "order-layer")
-        if free.isEmpty():
-            break
+        held = refs.join(left.withColumnRenamed("step", "child_step"), "child_step", "left_semi").select(F.col("parent_step").alias("step")).distinct()
+        free = materialize(left.join(held, "step", "left_anti").withColumn("layer", F.lit(layer)), "order-layer")
         out = free if out is None else out.unionByName(free)
-        left, layer = materialize(left.join(free.select("table"), "table", "left_anti"), "order-left"), layer + 1
-    rest = left.withColumn("layer", F.lit(None).cast("int"))
-    return rest if out is None else out.unionByName(rest)
+        left, layer = materialize(left.join(free.select("step"), "step", "left_anti"), "order-left"), layer + 1
+    return member.withColumn("layer", F.lit(None).cast("int")).select("table", "layer") if out is None else member.join(out, "step").select("table", "layer")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import graph
+from siltstone.operators import cycles, graph
 from siltstone.session import materialize, table
 
 
@@ -119,7 +119,26 @@ def migration_order(spark, sf_dir):
     return graph.migration_order(nodes(spark, sf_dir).select(F.col("type").alias("table")), materialize(refs, "references"))
 
 
-QUERIES = {f.__name__: f for f in (edge_validity, undirected_edges, components, community_split, community_reports, graph_stats, kind_histogram, nodes_of_kind, k_hop, local_query, global_query, subgraph_filter, neighbours, migration_order)}
+def table_references(spark, sf_dir):
+    """Customers as tables: the tables of a group of five refer to each other in a ring, the first of a group to one of the group at half its number; some also to themselves or to nobody known."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    group = F.floor(F.col("k") / 5)
+    ring = rows.select(F.col("k").alias("child"), (group * 5 + F.pmod(F.col("k") + 1, F.lit(5))).alias("parent"))
+    up = rows.where("k % 5 = 0 and k >= 5").select(F.col("k").alias("child"), (F.floor(group / 2) * 5 + 2).alias("parent"))
+    odd = rows.where("k % 7 = 0").select(F.col("k").alias("child"), F.explode(F.array(F.col("k"), -F.col("k") - 1)).alias("parent"))
+    return ring.unionByName(up).unionByName(odd).select(*[F.col(c).cast("long").alias(c) for c in ("child", "parent")])
+
+
+def strong_components(spark, sf_dir):
+    return cycles.strong_components(table_references(spark, sf_dir).where("parent >= 0"), "child", "parent").withColumnRenamed("node", "id")
+
+
+def cyclic_order(spark, sf_dir):
+    """The order of tables that refer to each other in rings."""
+    return graph.migration_order(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("table")), materialize(table_references(spark, sf_dir), "references"))
+
+
+QUERIES = {f.__name__: f for f in (strong_components, cyclic_order, edge_validity, undirected_edges, components, community_split, community_reports, graph_stats, kind_histogram, nodes_of_kind, k_hop, local_query, global_query, subgraph_filter, neighbours, migration_order)}
 
 N = """n as (select 'nation:' || n_nationkey id, 'nation' type, n_name label, 'region ' || n_regionkey text, n_nationkey nk from nation
  union all select 'customer:' || c_custkey, 'customer', c_name, c_mktsegment, c_nationkey from customer
@@ -139,7 +158,16 @@ lb as (select community, label, row_number() over (partition by community order
 l as (select community, list(label order by r) labels from lb where r <= 8 group by community),
 rep as (select community, n_nodes, main_type, main_count, types, coalesce(keywords, []) keywords, labels from per left join k using (community) join l using (community))"""
 QUESTIONS = f"qq as (select n_nationkey q, unnest(list_distinct({WORDS.format(chr(39) + 'what is the region of ' + chr(39) + ' || n_name')})) term, len(list_distinct({WORDS.format(chr(39) + 'what is the region of ' + chr(39) + ' || n_name')})) n from nation)"
+REACH = """with recursive c as (select c_custkey k, c_custkey // 5 g from customer),
+r as (select k child, g * 5 + (k + 1) % 5 parent from c union select k, g // 2 * 5 + 2 from c where k % 5 = 0 and k >= 5),
+n as (select child k from r union select parent from r),
+reach(a, b) as (select k, k from n union select a, parent from reach join r on child = b),
+scc as (select x.a id, min(x.b) component from reach x join reach y on x.a = y.b and x.b = y.a group by x.a)"""
 ORACLES = {
+    "strong_components": f"{REACH} select id, component from scc",
+    "cyclic_order": f"""{REACH}, ce as (select distinct s.component child, t.component parent from r join scc s on s.id = child join scc t on t.id = parent where s.component <> t.component),
+        deep(c, d) as (select component, 0 from scc where component not in (select parent from ce) union select parent, d + 1 from deep join ce on child = c)
+        select id "table", max(d)::INT layer from scc join deep on c = component where id in (select c_custkey from customer) group by id""",
     "edge_validity": f"with {N}, k as (select id from n where text <> 'BUILDING') select src, dst, type from e where src in (from k) and dst in (from k)",
     "undirected_edges": f"with {N} select src, dst from e union select dst, src from e",
     "components": f"with {N} select id, root from own",

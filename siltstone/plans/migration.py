@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import reconcile
 from siltstone.session import fresh_path, table
+from siltstone.sources import jdbc
 
 
 def source(spark, sf_dir):
@@ -64,6 +65,20 @@ def table_copy(spark, sf_dir):
     return sums.join(F.broadcast(whole), how="cross")  # one row
 
 
+def jdbc_copy(spark, sf_dir):
+    """Orders in a database, a third of them of one customer, copied out in even ranges; the database is an embedded one, so the master must be local."""
+    home = fresh_path(spark, "database").removeprefix("file:")
+    url, options = f"jdbc:derby:;databaseName={home};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{home}.log")
+    rows = source(spark, sf_dir).withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, 7).when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey")).cast("long"))
+    rows.write.format("jdbc").options(url=url, dbtable="orders_in", batchsize="5000", **options).save()
+    step = rows.count() // 12 + 1
+    copied = jdbc.copy(spark, url, "orders_in", options, fresh_path(spark, "jdbc-copy"), "o_custkey", "o_orderkey", step)
+    largest = copied.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") <= 2 * step).alias("even"))
+    sums = copied.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"), F.sum(F.col("o_orderkey") * 3 + F.coalesce("o_custkey", F.lit(-1))).alias("keys"))
+    return sums.join(F.broadcast(largest), how="cross")  # one row
+
+
 def changes(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("deleted"), "event_type", "value")
 
@@ -78,7 +93,7 @@ def cdc_merge(spark, sf_dir):
     return reconcile.present(reconcile.merge(start, changes(spark, sf_dir), "id", "seq", "deleted")).select("id", "seq", "event_type", "value")
 
 
-QUERIES = {f.__name__: f for f in (row_parity, except_diff, range_profile, recon_report, schema_diff, type_cast_copy, table_copy, cdc_latest, cdc_merge)}
+QUERIES = {f.__name__: f for f in (row_parity, except_diff, range_profile, recon_report, schema_diff, type_cast_copy, table_copy, jdbc_copy, cdc_latest, cdc_merge)}
 
 S = """s as (select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders),
 t as (select o_orderkey, o_custkey, o_orderstatus, case when o_orderstatus = 'P' and o_orderpriority = '5-LOW' then o_totalprice + 1 else o_totalprice end o_totalprice, o_orderpriority from s where not (o_orderstatus = 'F' and o_orderpriority = '1-URGENT'))"""

@@ -83,12 +83,6 @@ def patch_sets(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
     return spark.read.option("multiLine", multi_line).json(path).select("taskId", F.explode("results").alias("r")).select("taskId", "r.*")
 
 
-def jdbc_ranges(spark: SparkSession, url: str, name: str, column: str, low: int, high: int, rows: int = 50_000, readers: int = 8, **options: str) -> DataFrame:
-    """A full table over JDBC in key ranges read side by side."""
-    parts = max(readers, -(-(high - low + 1) // rows))
-    return spark.read.jdbc(url, name, column=column, lowerBound=low, upperBound=high + 1, numPartitions=parts, properties=options)
-
-
 def anchors_of(html: Column) -> Column:
     """Targets of the links of a page."""
     return F.regexp_extract_all(html, F.lit(r'<a href="([^"]*)"'), F.lit(1))
