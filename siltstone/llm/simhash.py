@@ -1,18 +1,19 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints are cut into two 32-bit segments. Two fingerprints that differ in at most 3 bits agree in one segment up to
-one bit, so every fingerprint asks the segment table for its own value and for the values one bit below it (a pair that
-differs in one bit is found from the side that has the bit set); matches are verified on all 64 bits. Only distinct
-fingerprints take part, so copies never meet in a join, and classes come from contraction of the links.
+For pairs up to 3 bits fingerprints are cut into two 32-bit segments. Two fingerprints that differ in at most 3 bits agree in
+one segment up to one bit, so every fingerprint asks the segment table for its own value and for the values one bit below it
+(a pair that differs in one bit is found from the side that has the bit set); matches are verified on all 64 bits. Only
+distinct fingerprints take part, so copies never meet in a join, and classes come from contraction of the links. Texts that
+are alike by their shingles lie further apart; for them fingerprints have 256 bits in twelve segments (see ``alike``).
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from siltstone.llm.common import map_texts
 from siltstone.operators.components import connected_components
@@ -20,10 +21,15 @@ from siltstone.session import materialize
 
 #: Two segments and radius 1 find every pair up to 3 bits; a larger distance would need more segments or a wider ball.
 MAX_BITS = 3
-#: Least Jaccard similarity of near copies for the pipeline's stage; one in so many texts is sampled for common shingles.
-LIKE, SAMPLED = 0.8, 16
-#: Rounds that link the members of large groups to neighbours in random orders, shingles that each member is ordered by, members of one order.
-RINGS, ORDERS, RING = 3, 4, 1024
+#: Least Jaccard similarity of near copies for the pipeline's stage, which takes fingerprints of four longs.
+LIKE, LONGS = 0.8, 4
+#: Segments of a long and their bits; flips of a ball (the bits of a segment that were decided by least); largest distance of candidates.
+PER_LONG, SEGMENT, FLIPS, RADIUS = 3, 21, 6, 48
+#: A class of several members goes on if one of them is within this distance; texts that have nothing in common are 128 bits apart, give or take 8.
+FAR = 96
+#: Rounds that link the members of a bucket to neighbours in random orders, and members of one order.
+RINGS, RING = 2, 1024
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
 def fingerprints_of(texts: list[str | None], width: int = 3) -> np.ndarray:
@@ -132,82 +138,106 @@ def shingles_of(text: str | None, width: int = 5) -> np.ndarray:
     return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
-def common_shingles(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """Shingles of many texts, by a sample of texts. They only order the prefixes of ``alike``: its result is the same for any list."""
-    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLED)) == 0).select(text_col).distinct()
+def mixed(hashes: np.ndarray, odd: int) -> np.ndarray:
+    """Other 64 bits of hash for each of the given ones."""
+    x = hashes * np.uint64(odd)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def make():
-        return lambda texts: {"sigs": [shingles_of(t, width).view(np.int64) for t in texts]}
 
-    made = map_texts(some, [], text_col, make, T.StructType([T.StructField("sigs", T.ArrayType(T.LongType()))]))
-    counts = made.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    often = counts.where(F.col("n") > 4 + some.count() // 4000).select("sig").collect()
-    return np.sort(np.array([r["sig"] for r in often], np.int64).view(np.uint64))
+def long_fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Four longs of SimHash bits of distinct shingles, and the probes of its segments: each row the segment's own key, then those with one unsure bit flipped."""
+    bits, sure = np.zeros((LONGS, 64), bool), np.zeros((LONGS, 64), np.int64)
+    for w in range(LONGS):
+        total = np.zeros(64, np.int64)
+        for j in range(0, len(hashes), 1 << 14):
+            total += np.unpackbits(mixed(hashes[j : j + (1 << 14)], MIX[w]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits[w], sure[w] = total * 2 > len(hashes), np.abs(total * 2 - len(hashes))
+    cut = lambda x: x[:, : PER_LONG * SEGMENT].reshape(-1, SEGMENT)
+    own = cut(bits) @ (1 << np.arange(SEGMENT, dtype=np.int64)) + (np.arange(LONGS * PER_LONG, dtype=np.int64) << SEGMENT)
+    flips = 1 << np.argsort(cut(sure), axis=1, kind="stable")[:, :FLIPS].astype(np.int64)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)[:, 0], np.concatenate((own[:, None], own[:, None] ^ flips), axis=1)
+
+
+def distance(a: str, b: str) -> Column:
+    """Bits in which the fingerprints of two structs differ."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.f{w}").bitwiseXOR(F.col(f"{b}.f{w}"))) for w in range(LONGS)])
 
 
 def alike(docs: DataFrame, text_col: str = "text", width: int = 5, like: float = LIKE) -> tuple[DataFrame, DataFrame]:
-    """``(h, set)`` of each row's text hash, and links ``(a, b)`` between all sets of Jaccard similarity ``like`` or more.
+    """``(h, set)`` of each row's text hash, and links ``(a, b)`` between sets of Jaccard similarity ``like`` or more.
 
-    Exact: two such sets share one of the ``n - ceil(like * n) + 1`` first members of each in any common order (rare
-    shingles first, then by hash). Of the pairs that share some, those go whose shared ones are too few for the likeness
-    even if all members behind the shorter prefix were shared; the others are compared in full. Sets are told apart by 64 bits.
+    Only distinct sets of shingles take part. Each has a fingerprint of 256 bits in 12 segments; the table holds every set
+    under the values of its segments, and a set asks for its own values and for those with one of the bits flipped that were
+    decided by the smallest margins, as these are the ones in which a near copy differs. What is met within RADIUS bits is
+    compared in full, so no link is false; a pair at a similarity of 0.82 is found with a chance of about 0.9, at 0.9 of
+    0.99. Sets are told apart by 64 bits.
 
-    Links between sets that are linked through others already are left out: the members of a shingle of many texts first
-    meet their neighbours in a few random orders (see ``rings``), and then only those of other components, so a large group
-    of copies does not meet in all its pairs.
+    Members of a bucket are first linked to neighbours in random orders, which makes one class of a group of copies; then only
+    sets of different classes meet, a class once in a bucket with all its members there as one.
     """
-    common = common_shingles(docs, text_col, width)
+    names = [f"f{w}" for w in range(LONGS)]
 
-    def prefixes():
+    def measure():
         def call(texts):
-            out = {"set": [], "n": [], "prefix": [], "late": [], "rare": [], "whole": []}
+            out = {c: [] for c in ("set", "n", *names, "probes")}
             for text in texts:
                 sigs = shingles_of(text, width)
-                often = np.isin(sigs, common)
-                n = len(sigs)
-                first = np.concatenate((sigs[~often], sigs[often]))[: n - math.ceil(like * n - 1e-9) + 1]
+                fp, probes = long_fingerprint(sigs)
                 out["set"].append(xxhash.xxh3_64_intdigest(sigs.tobytes()) - (1 << 63))
-                out["n"].append(n)
-                out["prefix"].append(first.view(np.int64))
-                rare = min(len(first), n - int(often.sum()))
-                out["late"].append(len(first) > rare)
-                out["rare"].append(rare)
-                out["whole"].append(sigs.view(np.int64) if len(first) > rare else None)
+                out["n"].append(len(sigs))
+                out["probes"].append(probes.ravel())
+                for c, v in zip(names, fp):
+                    out[c].append(int(v))
             return out
 
         return call
 
-    fields = [T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("late", T.BooleanType()), T.StructField("rare", T.IntegerType()), T.StructField("whole", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in names], T.StructField("probes", T.ArrayType(T.LongType()))]
     texts = docs.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("_text"))
-    sets = materialize(map_texts(texts, ["h"], "_text", prefixes, T.StructType(fields)), "alike-sets")
-    # the end of a prefix in the common order: late ones (shingles of many texts) after the others, then as unsigned longs
-    end = F.struct(F.col("late"), F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63))).alias("last"))
-    meta = sets.where("n > 0").select("set", "n", F.size("prefix").alias("p"), end.alias("end")).dropDuplicates(["set"])
-    late = materialize(sets.where("late").dropDuplicates(["set"]).select("set", F.slice("prefix", F.col("rare") + 1, F.size("prefix")).alias("often"), "whole"), "alike-late")
-    linked, member = rings(late, like)
-    # shingles of few texts: all pairs of their texts; of many: pairs of different components only
-    index = sets.where("rare > 0").dropDuplicates(["set"]).select("set", F.explode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("sig"))
-    side = lambda s: member.select("sig", F.col("comp").alias(f"comp_{s}"), F.col("set").alias(f"set_{s}"))
-    apart = [member.select("sig", F.col("comp").alias(f"comp_{s}")).distinct() for s in "xy"]
-    apart = materialize(apart[0].join(apart[1], "sig").where("comp_x < comp_y"), "alike-apart")
-    across = apart.join(side("x"), ["sig", "comp_x"]).join(side("y"), ["sig", "comp_y"]).select(F.least("set_x", "set_y").alias("a"), F.greatest("set_x", "set_y").alias("b"))
-    meet = index.groupBy("sig").agg(F.collect_list("set").alias("sets")).where(F.size("sets") > 1)
-    meet = meet.select("sets", F.explode("sets").alias("a")).select("a", F.explode("sets").alias("b")).where("a < b").unionByName(across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    for s in "ab":
-        meet = meet.join(meta.select(F.col("set").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "p", "end")]), s)
-    behind = F.when(F.col("end_a") <= F.col("end_b"), F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
-    needed = (F.col("n_a") + F.col("n_b")) * (like / (1 + like)) - 1e-6
-    pairs = materialize(meet.where((F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * like - 1e-6) & (F.col("shared") + behind >= needed)).select("a", "b"), "alike-pairs")
-
-    def whole():
-        return lambda texts: {"sigs": [shingles_of(t, width).view(np.int64) for t in texts]}
-
-    wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    wanted = sets.select("h", "set").dropDuplicates(["set"]).join(wanted, "set")
-    full = texts.join(wanted, "h").dropDuplicates(["set"])
-    full = materialize(map_texts(full, ["set"], "_text", whole, T.StructType([T.StructField("sigs", T.ArrayType(T.LongType()))])), "alike-full")
-    found = alike_pairs(pairs, full, like)
-    return sets.select("h", "set"), found if linked is None else found.unionByName(linked)
+    sets = materialize(map_texts(texts, ["h"], "_text", measure, T.StructType(fields)), "alike-sets")
+    one = materialize(sets.where("n > 0").select("set", F.struct("set", "n", *names).alias("m"), "probes").dropDuplicates(["set"]), "alike-distinct")
+    own = F.transform(F.sequence(F.lit(0), F.lit(LONGS * PER_LONG - 1)), lambda i: F.get("probes", i * (FLIPS + 1)))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of candidate pairs those that are alike, by their whole sets."""
+        pairs = materialize(pairs, "alike-pairs")
+
+        def whole():
+            return lambda texts: {"sigs": [shingles_of(t, width).view(np.int64) for t in texts]}
+
+        wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+        wanted = materialize(sets.select("h", "set").dropDuplicates(["set"]).join(wanted, "set"), "alike-wanted")
+        full = texts.join(wanted, "h").dropDuplicates(["set"])
+        full = materialize(map_texts(full, ["set"], "_text", whole, T.StructType([T.StructField("sigs", T.ArrayType(T.LongType()))])), "alike-full")
+        return materialize(alike_pairs(pairs, full, like), "alike-links")
+
+    table = one.select("set", "m", F.explode(own).alias("key"))
+    many = materialize(table.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "alike-buckets")
+    comp, links_of = one.select("set", F.col("set").alias("comp")), None
+    for turn in range(RINGS):
+        x = F.xxhash64("set", "key", F.lit(turn))
+        dealt = table.join(many, "key").join(comp, "set").withColumn("x", x).withColumn("part", F.pmod("x", F.ceil(F.col("k") / RING)))
+        order = Window.partitionBy("key", "part").orderBy("x", "set")
+        near = dealt.select("m", "comp", F.lead("m").over(order).alias("o"), F.lead("comp").over(order).alias("other")).where((F.col("comp") != F.col("other")) & (distance("m", "o") <= RADIUS))
+        found = linked(near.select(F.least("m.set", "o.set").alias("a"), F.greatest("m.set", "o.set").alias("b")).distinct())
+        links_of = found if links_of is None else links_of.unionByName(found)
+        if found.isEmpty():
+            break
+        classes = connected_components(links_of, "a", "b").withColumnRenamed("node", "set")
+        comp = materialize(one.select("set").join(classes, "set", "left").select("set", F.coalesce("component", "set").alias("comp")), "alike-comp")
+    # a class is met once in a bucket: by its only member, or by any one if it has several there
+    side = lambda keys, s: one.join(comp, "set").select("comp", "m", F.explode(keys).alias("key")).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.first("m").alias("m")).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "k", "m")])
+    single = (F.col("k_x") == 1) & (F.col("k_y") == 1)
+    bound = F.when(single, RADIUS).otherwise(FAR)
+    met = materialize(side(F.col("probes"), "x").join(side(own, "y"), "key").where((F.col("comp_x") != F.col("comp_y")) & (distance("m_x", "m_y") <= bound)), "alike-met")
+    pairs = met.where(single).select(F.col("m_x.set").alias("p"), F.col("m_y.set").alias("q"))
+    several = met.where(~single).select("key", "comp_x", "comp_y").distinct()
+    all_of = lambda keys, s: one.join(comp, "set").select(F.col("comp").alias(f"comp_{s}"), F.col("m").alias(f"m_{s}"), F.explode(keys).alias("key"))
+    across = several.join(all_of(F.col("probes"), "x"), ["key", "comp_x"]).join(all_of(own, "y"), ["key", "comp_y"]).where(distance("m_x", "m_y") <= RADIUS)
+    pairs = pairs.unionByName(across.select(F.col("m_x.set").alias("p"), F.col("m_y.set").alias("q")))
+    return sets.select("h", "set"), links_of.unionByName(linked(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()))
 
 
 def alike_pairs(pairs: DataFrame, full: DataFrame, like: float) -> DataFrame:
@@ -218,32 +248,6 @@ def alike_pairs(pairs: DataFrame, full: DataFrame, like: float) -> DataFrame:
     return met.withColumn("both", both).where(F.col("both") >= (F.size("sigs_a") + F.size("sigs_b") - F.col("both")) * like - 1e-6).select("a", "b")
 
 
-def rings(late: DataFrame, like: float) -> tuple[DataFrame | None, DataFrame]:
-    """Links found between neighbours, and ``(sig, set, comp)``: the members of shingles of many texts with their component so far.
-
-    In every round the members of a shingle, in parts of about RING, stand in an order of their own; each is compared with
-    the next, if that is of another component. In a group of near copies, where most pairs are alike, few orders make one
-    component; what is left apart is compared in full later, so nothing depends on luck but the number of pairs.
-    """
-    whole = late.select("set", F.col("whole").alias("sigs"))
-    every = materialize(late.select("set", F.explode("often").alias("sig")), "alike-often")
-    sizes = every.groupBy("sig").agg(F.count(F.lit(1)).alias("k"))
-    some = materialize(late.select("set", F.explode(F.slice("often", 1, ORDERS)).alias("sig")).join(sizes.where("k > 1"), "sig"), "alike-rings")
-    comp, linked = late.select("set", F.col("set").alias("comp")), None
-    for turn in range(RINGS):
-        dice = some.join(comp, "set").withColumn("x", F.xxhash64("set", "sig", F.lit(turn))).withColumn("part", F.pmod("x", F.ceil(F.col("k") / RING)))
-        order = Window.partitionBy("sig", "part").orderBy("x", "set")
-        pairs = dice.select("set", "comp", F.lead("set").over(order).alias("next"), F.lead("comp").over(order).alias("next_comp")).where("comp <> next_comp")
-        pairs = pairs.select(F.least("set", "next").alias("a"), F.greatest("set", "next").alias("b")).distinct()
-        found = materialize(alike_pairs(pairs, whole, like), "alike-links")
-        if found.isEmpty():
-            break
-        linked = found if linked is None else linked.unionByName(found)
-        classes = connected_components(linked, "a", "b").withColumnRenamed("node", "set")
-        comp = materialize(late.select("set").join(classes, "set", "left").select("set", F.coalesce("component", "set").alias("comp")), "alike-comp")
-    return linked, materialize(every.join(comp, "set"), "alike-member")
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, like: float = LIKE) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class of texts linked by a Jaccard similarity of ``like`` or more.
 

@@ -235,7 +235,13 @@ def test_pipeline_stages(spark, sf_dir):
     assert n <= tokens / 2048 + 2
 
 
-def test_near_dedup_finds_all_pairs_of_five_word_jaccard(spark):
+def holds(got, want, ids, recall):
+    """Nothing goes but what all pairs say, and of that nearly all."""
+    gone = set(ids) - set(want)
+    assert set(want) <= set(got) and len(gone - set(got)) >= recall * len(gone), (len(gone), len(gone - set(got)))
+
+
+def test_near_dedup_finds_pairs_of_five_word_jaccard(spark):
     rnd = random.Random(4)
     fixed = " ".join(f"f{i}" for i in range(40))
     base = [" ".join(f"w{rnd.randint(0, 3000)}" for _ in range(rnd.choice([6, 20, 90, 300]))) for _ in range(50)]
@@ -257,7 +263,8 @@ def test_near_dedup_finds_all_pairs_of_five_word_jaccard(spark):
             a, b = sorted((label[i], label[j]))
             label = [a if k == b else k for k in label]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert wide > 50 and {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(label)
+    assert wide > 50
+    holds({r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}, label, range(len(texts)), 0.97)
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").collect() == []
 
 
@@ -270,8 +277,7 @@ def test_near_dedup_with_repeated_and_null_ids(spark):
 
 
 def test_near_dedup_of_a_large_group_of_copies(spark, monkeypatch):
-    """Shingles of many texts: all classes as by all pairs, without all pairs."""
-    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    """Classes as by all pairs, without all pairs."""
     monkeypatch.setattr(simhash, "RING", 16)
     rnd, texts = random.Random(9), []
     for c, copies in (("a", 150), ("b", 60), ("c", 40)):
@@ -289,5 +295,19 @@ def test_near_dedup_of_a_large_group_of_copies(spark, monkeypatch):
     pairs, kept = [], simhash.materialize
     monkeypatch.setattr(simhash, "materialize", lambda df, name: pairs.append((name, (out := kept(df, name)).count())) or out)
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
-    assert got == brute_heads(rows)
-    assert dict(pairs)["alike-pairs"] < 150 * 149 / 4
+    holds(got, brute_heads(rows), range(len(rows)), 0.97)
+    assert max(n for name, n in pairs if name == "alike-pairs") < 150 * 149 / 4
+
+
+@pytest.mark.parametrize("edits, recall", [(6, 0.99), (10, 0.9)])
+def test_near_dedup_recall_by_likeness(spark, edits, recall):
+    """Pairs of texts of 400 words with some of them changed, about 0.86 and 0.78 to 0.83 alike; only those over 0.8 count."""
+    rnd, texts, want = random.Random(edits), [], 0
+    for i in range(300):
+        words = [f"w{rnd.randrange(9000)}" for _ in range(400)]
+        other = list(words)
+        for at in rnd.sample(range(400), edits):
+            other[at] = f"x{i}y{at}"
+        texts += [" ".join(words), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    holds({r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}, brute_heads(list(enumerate(texts))), range(len(texts)), recall)
