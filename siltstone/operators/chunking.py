@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.functions import text as tx, vectors as vec
+from siltstone.functions.embedder import Embedder
 
 MAX_CHARS, LEAST_CHARS, SAME_TOPIC = 1200, 80, 0.62
 WINDOW, OVERLAP = 600, 80
@@ -40,7 +41,7 @@ def pooled_chunks(docs: DataFrame, id_col: str, n_chars: Column, token_vectors:
     return part.select(id_col, F.col("w.index").alias("chunk_index"), F.size("p").alias("n_tokens"), F.array(*means).alias("embedding"))
 
 
-def by_strategy(docs: DataFrame, id_col: str, text_col: str, strategy: str | None, embed: Callable[[Column], Column] = tx.hash_vector) -> DataFrame:
+def by_strategy(docs: DataFrame, id_col: str, text_col: str, strategy: str | None, embed: Callable[[Column], Column] = tx.hash_vector, model: Embedder | None = None) -> DataFrame:
     """``(id, chunk_id, text)`` by strategy: late windows, none (whole documents), or semantic chunks, also for any other name.
 
     Late and semantic leave out documents without text; with none every document is a chunk.
@@ -50,20 +51,21 @@ def by_strategy(docs: DataFrame, id_col: str, text_col: str, strategy: str | Non
         return late_chunks(docs, id_col, text_col).select(id_col, "chunk_id", "text")
     if name == "none":
         return docs.select(id_col, F.col(id_col).cast("string").alias("chunk_id"), F.col(text_col).alias("text"))
-    chunks = semantic_chunks(docs, id_col, text_col, embed)
+    chunks = semantic_chunks(docs, id_col, text_col, embed, model=model)
     return chunks.select(id_col, F.concat_ws("::sc-", F.col(id_col).cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text")
 
 
-def semantic_chunks(docs: DataFrame, id_col: str, text_col: str, embed: Callable[[Column], Column] = tx.hash_vector, max_chars: int = MAX_CHARS, same: float = SAME_TOPIC, least: int = LEAST_CHARS) -> DataFrame:
+def semantic_chunks(docs: DataFrame, id_col: str, text_col: str, embed: Callable[[Column], Column] = tx.hash_vector, max_chars: int = MAX_CHARS, same: float = SAME_TOPIC, least: int = LEAST_CHARS, model: Embedder | None = None) -> DataFrame:
     """``(id, chunk_index, n_sentences, sim_to_next, text)``.
 
+    Sentences are embedded by ``embed``, an expression, or in batches by ``model`` where one is given.
     A text of one sentence or at most ``max_chars`` is one chunk. Else a chunk ends before the next sentence if that would
     make it too long or is about something else, and the chunk has ``least`` characters; lengths leave out joining spaces.
     ``sim_to_next`` is the similarity at the break behind a chunk. The fold keeps break positions only.
     """
     rows = docs.select(id_col, tx.sentences(F.col(text_col)).alias("s"), F.char_length(text_col).alias("n")).where(F.size("s") > 0)
     cut = (F.size("s") > 1) & (F.col("n") > max_chars)
-    rows = rows.withColumn("v", F.when(cut, F.transform("s", embed)))
+    rows = rows.withColumn("v", F.when(cut, F.transform("s", embed)) if model is None else model.many(F.when(cut, F.col("s"))))
     rows = rows.withColumn("sim", F.when(cut, F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: vec.cosine(F.get("v", i - 1), F.get("v", i)))))
     # similarities and lengths are arrays of one, so that they are worked out once and not for every sentence
     fold = """transform(array(named_struct('sim', sim, 'n', transform(s, x -> char_length(x)))), q -> aggregate(sequence(1, size(s) - 1), named_struct('len', q.n[0], 'at', array(0)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.functions import text as tx, vectors as vec
+from siltstone.functions import embedder, text as tx, vectors as vec
 from siltstone.operators import chunking, search
 from siltstone.session import materialize, table
 
@@ -52,6 +52,16 @@ def strip_count(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.size(tx.strips(F.col("text"))).cast("long").alias("n_strips"))
 
 
+def model_embed(spark, sf_dir):
+    """As ``hash_embed``, by a numpy model that each task loads once."""
+    model = embedder.Embedder(embedder.digest_model)
+    return documents(spark, sf_dir).select("doc_id", model.one(F.coalesce("text", F.lit(""))).alias("embedding"))
+
+
+def model_chunks(spark, sf_dir):
+    return chunking.semantic_chunks(documents(spark, sf_dir), "doc_id", "text", model=embedder.Embedder(embedder.digest_model))
+
+
 def semantic_chunks(spark, sf_dir):
     return chunking.semantic_chunks(documents(spark, sf_dir), "doc_id", "text")
 
@@ -91,7 +101,7 @@ def label_centroids(spark, sf_dir):
     return means.select("label", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
 
 
-QUERIES = {f.__name__: f for f in (ingest_defaults, late_chunks, late_hash_vectors, late_pooling, hash_embed, point_ids, sentence_count, strip_count, semantic_chunks, ingest_dedup, vector_upsert, ingest_counts, ingest_strategies, label_centroids)}
+QUERIES = {f.__name__: f for f in (ingest_defaults, late_chunks, late_hash_vectors, late_pooling, hash_embed, model_embed, model_chunks, point_ids, sentence_count, strip_count, semantic_chunks, ingest_dedup, vector_upsert, ingest_counts, ingest_strategies, label_centroids)}
 
 SEP = tx.SEPARATORS.replace("'", "''")
 WINDOWS = """w as (select doc_id, text, length(text) n, unnest(range(0, case when length(text) <= 600 then 1 else ceil((length(text) - 600) / 520.0)::INT + 1 end)) i from documents where length(text) > 0),
@@ -131,3 +141,4 @@ ORACLES = {
     "ingest_counts": f"with {WINDOWS} select count(distinct doc_id) documents, count(*) chunks, count(distinct md5(text)) new_chunks from c",
     "label_centroids": "with e as (select label, unnest(embedding)::DOUBLE x, generate_subscripts(embedding, 1) i from embeddings), m as (select label, i, round(avg(x), 6) x from e group by all) select label, list(x order by i) mean from m group by label",
 }
+ORACLES |= {"model_embed": ORACLES["hash_embed"], "model_chunks": ORACLES["semantic_chunks"]}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import reconcile
+from siltstone.operators import narrowing, reconcile
 from siltstone.session import fresh_path, table
 from siltstone.sources import jdbc
 
@@ -65,6 +65,28 @@ def table_copy(spark, sf_dir):
     return sums.join(F.broadcast(whole), how="cross")  # one row
 
 
+def local_damage(spark, sf_dir):
+    """A copy in which some stretches of keys have lost, changed or more rows, stored in order of the keys next to its source."""
+    a, b = fresh_path(spark, "ordered-source"), fresh_path(spark, "ordered-target")
+    rows = source(spark, sf_dir)
+    rows.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(a)
+    hurt, k = F.col("o_orderkey") % 10007 < 40, F.col("o_orderkey")
+    kept = rows.where(~hurt | (k % 3 != 0)).withColumn("o_totalprice", F.when(hurt & (k % 3 == 1), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    more = rows.where(hurt & (k % 3 == 2)).withColumn("o_orderkey", -k - 1)
+    kept.unionByName(more).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(b)
+    return spark.read.parquet(a), spark.read.parquet(b)
+
+
+def except_by_ranges(spark, sf_dir):
+    a, b = local_damage(spark, sf_dir)
+    return narrowing.except_diff(b, a, "o_orderkey", ["o_orderkey"])
+
+
+def recon_by_ranges(spark, sf_dir):
+    a, b = local_damage(spark, sf_dir)
+    return narrowing.difference(a, b, "o_orderkey")
+
+
 def jdbc_copy(spark, sf_dir):
     """Orders in a database, a third of them of one customer, copied out in even ranges; the database is an embedded one, so the master must be local."""
     home = fresh_path(spark, "database").removeprefix("file:")
@@ -93,13 +115,22 @@ def cdc_merge(spark, sf_dir):
     return reconcile.present(reconcile.merge(start, changes(spark, sf_dir), "id", "seq", "deleted")).select("id", "seq", "event_type", "value")
 
 
-QUERIES = {f.__name__: f for f in (row_parity, except_diff, range_profile, recon_report, schema_diff, type_cast_copy, table_copy, jdbc_copy, cdc_latest, cdc_merge)}
+QUERIES = {f.__name__: f for f in (except_by_ranges, recon_by_ranges, row_parity, except_diff, range_profile, recon_report, schema_diff, type_cast_copy, table_copy, jdbc_copy, cdc_latest, cdc_merge)}
 
 S = """s as (select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders),
 t as (select o_orderkey, o_custkey, o_orderstatus, case when o_orderstatus = 'P' and o_orderpriority = '5-LOW' then o_totalprice + 1 else o_totalprice end o_totalprice, o_orderpriority from s where not (o_orderstatus = 'F' and o_orderpriority = '1-URGENT'))"""
 LATEST = "c as (select user_id id, event_id seq, event_type = 'error' deleted, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1)"
 PROFILE = " union all ".join(f"select '{c}' column_name, min({c})::DOUBLE low, max({c})::DOUBLE high, round(avg({c}::DOUBLE), 6) mean from lineitem" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+HURT = """s as (select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders),
+t as (select o_orderkey, o_custkey, o_orderstatus, case when o_orderkey % 10007 < 40 and o_orderkey % 3 = 1 then o_totalprice + 1 else o_totalprice end o_totalprice, o_orderpriority from s where not (o_orderkey % 10007 < 40 and o_orderkey % 3 = 0)
+ union all select -o_orderkey - 1, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from s where o_orderkey % 10007 < 40 and o_orderkey % 3 = 2)"""
 ORACLES = {
+    "except_by_ranges": f"with {HURT} select * from (select * from t except select * from s) order by o_orderkey limit 100",
+    "recon_by_ranges": f"""with {HURT}, b as (select s.o_orderkey sk, t.o_orderkey tk, (s.o_custkey, s.o_orderstatus, s.o_totalprice, s.o_orderpriority) is distinct from (t.o_custkey, t.o_orderstatus, t.o_totalprice, t.o_orderpriority) d from s full join t using (o_orderkey)),
+        n as (select count(sk) source_rows, count(tk) target_rows, count(*) filter (where tk is null) missing, count(*) filter (where sk is null) extra, count(*) filter (where sk is not null and tk is not null and d) changed from b)
+        select *, round(abs(source_rows - target_rows) / greatest(source_rows, 1), 6) row_delta, abs(source_rows - target_rows) / greatest(source_rows, 1) < 0.05 "within" from n""",
+    "jdbc_copy": """with k as (select o_orderstatus, o_totalprice, o_orderkey, case when o_orderkey % 3 = 0 then 7 when o_orderkey % 11 <> 0 then o_custkey end c from orders)
+        select o_orderstatus, count(*) n, round(sum(o_totalprice), 2) price, sum(o_orderkey * 3 + coalesce(c, -1))::BIGINT keys, true "even" from k group by o_orderstatus""",
     "row_parity": f"with {S} select 'source' side, count(*) n from s union all select 'target', count(*) from t",
     "except_diff": f"with {S} select * from (select * from t except select * from s) order by o_orderkey limit 100",
     "range_profile": PROFILE,
