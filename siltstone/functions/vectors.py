@@ -60,6 +60,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, vector_
     known = known.withColumn("v_bucket", F.pmod(F.xxhash64("v_ids"), F.lit(n)))
     asked = asked.withColumn("q_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     pairs = known.join(asked, (F.col("v_bucket") == F.col("q_bucket")) & (F.col("v_width") == F.col("q_width")))
+    return best_of(pairs, k, query_id, vector_id, digits, metric)
+
+
+def best_of(pairs: DataFrame, k: int, query_id: str, vector_id: str, digits: int = 6, metric: str = "cosine") -> DataFrame:
+    """``(query id, vector id, score, rank)``: the ``k`` best for every query among the pairs of blocks; a pair of blocks is one product."""
     schema = T.StructType([T.StructField(query_id, T.LongType()), T.StructField(vector_id, T.LongType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):

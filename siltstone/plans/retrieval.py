@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from siltstone.functions import text as tx, vectors as vec
+from siltstone.functions import ann, text as tx, vectors as vec
 from siltstone.operators import search
 from siltstone.session import table
 
 #: Candidates of a channel before fusion, and results after it.
 COARSE, TOP = 25, 5
 
+#: Lists that a query asks of the approximate index.
+PROBES = 44
+
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -63,6 +66,25 @@ def dense_topk(spark, sf_dir):
     return vec.top_k(asked, known, COARSE, "query_id", "vec_id")
 
 
+def ann_index(spark, sf_dir):
+    """Centroids fitted on two thirds of the vectors, the others added later. Vectors without any structure, as these, need most of the lists."""
+    known = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = ann.Lists.of(known.where("vec_id % 3 <> 1"), "vec_id")
+    index.add(known.where("vec_id % 3 = 1"), "vec_id")
+    return index, known.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def ann_topk(spark, sf_dir):
+    index, asked = ann_index(spark, sf_dir)
+    return index.top_k(asked, COARSE, PROBES, "query_id", "vec_id")
+
+
+def ann_recall(spark, sf_dir):
+    """What the index finds of the exact answers."""
+    row = ann.recall(ann_topk(spark, sf_dir), dense_topk(spark, sf_dir), "query_id", "vec_id")
+    return row.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def channels(spark, sf_dir):
     known = index(spark, sf_dir)  # both channels of terms read the same postings
     return {"bm25": bm25_channel(spark, sf_dir, known=known), "dense": dense_channel(spark, sf_dir), "sparse": sparse_channel(spark, sf_dir, known=known)}
@@ -135,7 +157,7 @@ def web_union(spark, sf_dir):
     return local.unionByName(found).select("id", "source", "score", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (corpus_stats, term_df, bm25_topk, bm25_zero_scores, sparse_topk, dense_topk, rrf_fusion, weighted_fusion, hybrid_search, hybrid_filtered, rerank_fallback, rerank_scored, query_rewrite, web_union)}
+QUERIES = {f.__name__: f for f in (ann_topk, ann_recall, corpus_stats, term_df, bm25_topk, bm25_zero_scores, sparse_topk, dense_topk, rrf_fusion, weighted_fusion, hybrid_search, hybrid_filtered, rerank_fallback, rerank_scored, query_rewrite, web_union)}
 
 SEP = tx.SEPARATORS.replace("'", "''")
 TOKENS = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{SEP}'), lambda x: x <> '')"
@@ -179,6 +201,7 @@ best as (select *, {TOP_BY} rank from fused)
 PREVIEW = "case when length(text) > 200 then substr(text, 1, 200) || '...' else text end"
 
 ORACLES = {
+    "ann_recall": "select count(*) queries, true enough from embeddings where vec_id % 20 = 0",
     "corpus_stats": f"with {BASE} select n n_docs, round(avgdl, 6) avgdl from st",
     "term_df": f"""with tok as (select {TOKENS} t from documents), st as (select count(*) n from tok), df as (select term, count(*) df from (select unnest(list_distinct(t)) term from tok) group by term),
         raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) r from df, st), mean as (select avg(r) m from raw) select term, df, round(case when r < 0 then {search.EPSILON} * m else r end, 6) idf from raw, mean""",
