@@ -24,11 +24,11 @@ MAX_BITS = 3
 #: Least Jaccard similarity of near copies for the pipeline's stage, which takes fingerprints of four longs.
 LIKE, LONGS = 0.8, 4
 #: Segments of a long and their bits; flips of a ball (the bits of a segment that were decided by least); largest distance of candidates.
-PER_LONG, SEGMENT, FLIPS, RADIUS = 3, 21, 6, 48
+PER_LONG, SEGMENT, FLIPS, RADIUS = 3, 21, 4, 45
 #: A class of several members goes on if one of them is within this distance; texts that have nothing in common are 128 bits apart, give or take 8.
 FAR = 96
-#: Rounds that link the members of a bucket to neighbours in random orders, and members of one order.
-RINGS, RING = 2, 1024
+#: Rounds that link the members of large buckets to neighbours in random orders, members of one order, and of a bucket that is large.
+RINGS, RING, LARGE = 2, 1024, 4
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -147,22 +147,31 @@ def mixed(hashes: np.ndarray, odd: int) -> np.ndarray:
 
 
 def long_fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Four longs of SimHash bits of distinct shingles, and the probes of its segments: each row the segment's own key, then those with one unsure bit flipped."""
+    """Four longs of SimHash bits of distinct shingles, and for each segment the places of its FLIPS least sure bits, five bits each."""
     bits, sure = np.zeros((LONGS, 64), bool), np.zeros((LONGS, 64), np.int64)
     for w in range(LONGS):
         total = np.zeros(64, np.int64)
         for j in range(0, len(hashes), 1 << 14):
             total += np.unpackbits(mixed(hashes[j : j + (1 << 14)], MIX[w]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         bits[w], sure[w] = total * 2 > len(hashes), np.abs(total * 2 - len(hashes))
-    cut = lambda x: x[:, : PER_LONG * SEGMENT].reshape(-1, SEGMENT)
-    own = cut(bits) @ (1 << np.arange(SEGMENT, dtype=np.int64)) + (np.arange(LONGS * PER_LONG, dtype=np.int64) << SEGMENT)
-    flips = 1 << np.argsort(cut(sure), axis=1, kind="stable")[:, :FLIPS].astype(np.int64)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)[:, 0], np.concatenate((own[:, None], own[:, None] ^ flips), axis=1)
+    least = np.argsort(sure[:, : PER_LONG * SEGMENT].reshape(-1, SEGMENT), axis=1, kind="stable")[:, :FLIPS]
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)[:, 0], (least << 5 * np.arange(FLIPS)).sum(axis=1)
+
+
+def own_keys() -> list[str]:
+    """SQL of the number and value of each segment of a fingerprint ``f0`` to ``f3``."""
+    return [f"((shiftrightunsigned(f{w}, {SEGMENT * j}) & {(1 << SEGMENT) - 1}L) + {(w * PER_LONG + j) << SEGMENT}L)" for w in range(LONGS) for j in range(PER_LONG)]
+
+
+def ball_keys() -> list[str]:
+    """SQL of all probes: each segment as it is, and with one of its unsure bits flipped."""
+    flip = "({} ^ shiftleft(1L, cast(shiftright(unsure[{}], {}) & 31 as int)))"
+    return [x for i, key in enumerate(own_keys()) for x in (key, *(flip.format(key, i, 5 * t) for t in range(FLIPS)))]
 
 
 def distance(a: str, b: str) -> Column:
-    """Bits in which the fingerprints of two structs differ."""
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.f{w}").bitwiseXOR(F.col(f"{b}.f{w}"))) for w in range(LONGS)])
+    """Bits in which two fingerprints differ, whose columns begin with ``a`` and ``b``."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}f{w}").bitwiseXOR(F.col(f"{b}f{w}"))) for w in range(LONGS)])
 
 
 def alike(docs: DataFrame, text_col: str = "text", width: int = 5, like: float = LIKE) -> tuple[DataFrame, DataFrame]:
@@ -181,24 +190,24 @@ def alike(docs: DataFrame, text_col: str = "text", width: int = 5, like: float =
 
     def measure():
         def call(texts):
-            out = {c: [] for c in ("set", "n", *names, "probes")}
+            out = {c: [] for c in ("set", "n", *names, "unsure")}
             for text in texts:
                 sigs = shingles_of(text, width)
-                fp, probes = long_fingerprint(sigs)
+                fp, unsure = long_fingerprint(sigs)
                 out["set"].append(xxhash.xxh3_64_intdigest(sigs.tobytes()) - (1 << 63))
                 out["n"].append(len(sigs))
-                out["probes"].append(probes.ravel())
+                out["unsure"].append(unsure.astype(np.int32))
                 for c, v in zip(names, fp):
                     out[c].append(int(v))
             return out
 
         return call
 
-    fields = [T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in names], T.StructField("probes", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in names], T.StructField("unsure", T.ArrayType(T.IntegerType()))]
     texts = docs.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("_text"))
     sets = materialize(map_texts(texts, ["h"], "_text", measure, T.StructType(fields)), "alike-sets")
-    one = materialize(sets.where("n > 0").select("set", F.struct("set", "n", *names).alias("m"), "probes").dropDuplicates(["set"]), "alike-distinct")
-    own = F.transform(F.sequence(F.lit(0), F.lit(LONGS * PER_LONG - 1)), lambda i: F.get("probes", i * (FLIPS + 1)))
+    one = materialize(sets.where("n > 0").drop("h", "n").dropDuplicates(["set"]), "alike-distinct")
+    own, ball = (F.explode(F.array(*map(F.expr, keys))).alias("key") for keys in (own_keys(), ball_keys()))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs those that are alike, by their whole sets."""
@@ -213,31 +222,34 @@ def alike(docs: DataFrame, text_col: str = "text", width: int = 5, like: float =
         full = materialize(map_texts(full, ["set"], "_text", whole, T.StructType([T.StructField("sigs", T.ArrayType(T.LongType()))])), "alike-full")
         return materialize(alike_pairs(pairs, full, like), "alike-links")
 
-    table = one.select("set", "m", F.explode(own).alias("key"))
-    many = materialize(table.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "alike-buckets")
+    table = one.select("set", *names, own)
+    large = materialize(table.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > LARGE), "alike-buckets")
+    table = materialize(table.join(large, "key"), "alike-large")
     comp, links_of = one.select("set", F.col("set").alias("comp")), None
     for turn in range(RINGS):
-        x = F.xxhash64("set", "key", F.lit(turn))
-        dealt = table.join(many, "key").join(comp, "set").withColumn("x", x).withColumn("part", F.pmod("x", F.ceil(F.col("k") / RING)))
+        dealt = table.join(comp, "set").withColumn("x", F.xxhash64("set", "key", F.lit(turn))).withColumn("part", F.pmod("x", F.ceil(F.col("k") / RING)))
         order = Window.partitionBy("key", "part").orderBy("x", "set")
-        near = dealt.select("m", "comp", F.lead("m").over(order).alias("o"), F.lead("comp").over(order).alias("other")).where((F.col("comp") != F.col("other")) & (distance("m", "o") <= RADIUS))
-        found = linked(near.select(F.least("m.set", "o.set").alias("a"), F.greatest("m.set", "o.set").alias("b")).distinct())
+        near = dealt.withColumns({f"o_{c}": F.lead(c).over(order) for c in ("set", "comp", *names)}).where((F.col("comp") != F.col("o_comp")) & (distance("", "o_") <= RADIUS))
+        found = linked(near.select(F.least("set", "o_set").alias("a"), F.greatest("set", "o_set").alias("b")).distinct())
         links_of = found if links_of is None else links_of.unionByName(found)
         if found.isEmpty():
             break
         classes = connected_components(links_of, "a", "b").withColumnRenamed("node", "set")
         comp = materialize(one.select("set").join(classes, "set", "left").select("set", F.coalesce("component", "set").alias("comp")), "alike-comp")
     # a class is met once in a bucket: by its only member, or by any one if it has several there
-    side = lambda keys, s: one.join(comp, "set").select("comp", "m", F.explode(keys).alias("key")).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.first("m").alias("m")).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "k", "m")])
-    single = (F.col("k_x") == 1) & (F.col("k_y") == 1)
-    bound = F.when(single, RADIUS).otherwise(FAR)
-    met = materialize(side(F.col("probes"), "x").join(side(own, "y"), "key").where((F.col("comp_x") != F.col("comp_y")) & (distance("m_x", "m_y") <= bound)), "alike-met")
-    pairs = met.where(single).select(F.col("m_x.set").alias("p"), F.col("m_y.set").alias("q"))
-    several = met.where(~single).select("key", "comp_x", "comp_y").distinct()
-    all_of = lambda keys, s: one.join(comp, "set").select(F.col("comp").alias(f"comp_{s}"), F.col("m").alias(f"m_{s}"), F.explode(keys).alias("key"))
-    across = several.join(all_of(F.col("probes"), "x"), ["key", "comp_x"]).join(all_of(own, "y"), ["key", "comp_y"]).where(distance("m_x", "m_y") <= RADIUS)
-    pairs = pairs.unionByName(across.select(F.col("m_x.set").alias("p"), F.col("m_y.set").alias("q")))
-    return sets.select("h", "set"), links_of.unionByName(linked(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()))
+    known = materialize(one.join(comp, "set"), "alike-known")
+    asks = known.select(ball, F.col("comp").alias("comp_x"), F.col("set").alias("set_x"), *[F.col(c).alias(f"x_{c}") for c in names])
+    held = known.select(own, "comp", "set", *names)
+    classes = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), *[F.min_by(c, "set").alias(c) for c in names], F.min("set").alias("set"))
+    classes = classes.select("key", F.col("comp").alias("comp_y"), F.col("set").alias("set_y"), "k", *[F.col(c).alias(f"y_{c}") for c in names])
+    bound = F.when(F.col("k") == 1, RADIUS).otherwise(FAR)
+    met = asks.join(classes, "key").where((F.col("comp_x") != F.col("comp_y")) & (distance("x_", "y_") <= bound))
+    met = materialize(met.select("key", "k", "comp_y", "set_x", "set_y", *[f"x_{c}" for c in names]), "alike-met")
+    pairs = met.where("k = 1").select(F.col("set_x").alias("p"), F.col("set_y").alias("q"))
+    members = held.select("key", F.col("comp").alias("comp_y"), F.col("set").alias("q"), *[F.col(c).alias(f"y_{c}") for c in names])
+    across = met.where("k > 1").join(members, ["key", "comp_y"]).where(distance("x_", "y_") <= RADIUS).select(F.col("set_x").alias("p"), "q")
+    pairs = pairs.unionByName(across).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    return sets.select("h", "set"), links_of.unionByName(linked(pairs))
 
 
 def alike_pairs(pairs: DataFrame, full: DataFrame, like: float) -> DataFrame:
