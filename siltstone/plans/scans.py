@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import mysql, text as tx
-from siltstone.operators import projects, tasks
-from siltstone.session import table
+from siltstone.operators import projects, records, tasks
+from siltstone.session import fresh_path, table
 
 STATEMENT = """case o_orderpriority when '1-URGENT' then concat('SELECT NVL(a,0), SYSDATE FROM t', o_custkey, ' WHERE ROWNUM <= ', o_orderkey)
  when '2-HIGH' then concat('SELECT TOP 5 [a] FROM t', o_custkey) when '3-MEDIUM' then concat('select id from dual where k = ', o_orderkey)
@@ -148,6 +148,17 @@ def record_check(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(found, ",").alias("errors"), (F.size(found) == 0).alias("valid"))
 
 
+def record_quarantine(spark, sf_dir):
+    """Events that break a rule are set aside; then errors become a known kind and what was set aside is looked at again."""
+    first, second = fresh_path(spark, "quarantine"), fresh_path(spark, "quarantine-again")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    rules = lambda *kinds: projects.errors(event_type=F.col("event_type").isin(*kinds), value=F.col("value").between(0, 100))
+    good = records.quarantine(rows, rules("view", "click", "purchase", "signup"), first)
+    more = records.retry(records.held(spark, first), "event_id long, event_type string, value double", rules("view", "click", "purchase", "signup", "error"), second, 1)
+    passed = records.together([good.withColumn("state", F.lit("good")), more.withColumn("state", F.lit("later"))]).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return passed.unionByName(records.summary(records.held(spark, second)).select(F.col("error").alias("state"), "n"))
+
+
 def payload_check(spark, sf_dir):
     """Requests of a task with its suggestions: at least one, each with category and target."""
     rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
@@ -192,7 +203,7 @@ def group_concat(spark, sf_dir):
     return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(mysql.group_concat(F.col("n_name"), F.col("n_nationkey")).alias("names"))
 
 
-QUERIES = {f.__name__: f for f in (dialect_features, dialect_alias, mysql_notes, oracle_rewrite, config_flags, config_rewrite, import_rename, unified_diff, risk_dependency, dependency_replacement, code_graph, project_profile, patch_generate, patch_dispatch, patch_unhandled, record_check, payload_check, payload_errors, payload_strip, text_preview, mysql_functions, group_concat)}
+QUERIES = {f.__name__: f for f in (dialect_features, dialect_alias, mysql_notes, oracle_rewrite, config_flags, config_rewrite, import_rename, unified_diff, risk_dependency, dependency_replacement, code_graph, project_profile, patch_generate, patch_dispatch, patch_unhandled, record_check, record_quarantine, payload_check, payload_errors, payload_strip, text_preview, mysql_functions, group_concat)}
 
 S = f"s as (select o_orderkey n, {STATEMENT} text, 'src/T' || o_custkey || '.java' origin from orders)"
 C = """k as (select s_suppkey, s_acctbal, unnest(['spring.datasource.url', 'spring.datasource.password', 'spring.datasource.driver-class-name']) key from supplier),
@@ -245,6 +256,9 @@ ORACLES = {
     "patch_unhandled": "select 'EVENT' category, count(*) n from events",
     "record_check": """with e as (select event_id, concat_ws(',', case when event_type not in ('view', 'click', 'purchase', 'signup') then 'event_type' end, case when not (value between 0 and 100) then 'value' end, case when (props->>'$.k') is null then 'payload' end) errors from events)
         select event_id, errors, errors = '' valid from e""",
+    "record_quarantine": """with e as (select event_type in ('view', 'click', 'purchase', 'signup') k, event_type = 'error' x, value between 0 and 100 v from events)
+        select case when k and v then 'good' else 'later' end state, count(*) n from e where v and (k or x) group by all
+        union all select 'value', count(*) from e where not v having count(*) > 0 union all select 'event_type', count(*) from e where not k and not x having count(*) > 0""",
     "payload_check": """with r as (select c_custkey, count(o_orderkey) n, count(*) filter (o_orderkey is not null and o_orderpriority = '5-LOW') bad from customer left join orders on c_custkey = o_custkey group by c_custkey)
         select c_custkey, concat_ws('; ', case when n = 0 then 'suggestions must be a non-empty list' end, case when bad > 0 then bad || ' suggestions miss category or target' end) errors from r""",
     "payload_errors": """with o as (select o_custkey c_custkey, o_orderpriority p, row_number() over (partition by o_custkey order by o_orderkey) - 1 i from orders),

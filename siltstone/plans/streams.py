@@ -125,6 +125,20 @@ def config_scan(spark, sf_dir):
     return files.properties(files.whole_files(spark, path, "*.txt")).select("key", "value")
 
 
+def application_scan(spark, sf_dir):
+    """Configuration files of a project by their names, among others that are left alone."""
+    path = fresh_path(spark, "project")
+    rows = scans.config(spark, sf_dir).where("key not like '%url'")
+    for name, some in (("application", rows.where("key like '%password'")), ("bootstrap", rows)):
+        lines = some.select(F.concat("file", F.lit("."), "key", F.lit("="), "value").alias("value"))
+        lines.write.text(f"{path}/{name}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for i, part in enumerate(s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")):
+            fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(folder, f"{name}-{i}.{('properties', 'yml')[i % 2]}"))
+    return files.properties(files.application_files(spark, path)).select("key", "value")
+
+
 def mapper_sql(spark, sf_dir):
     """Statements wrapped as mapper files."""
     tag = F.when(F.col("text").contains("t1"), "update").otherwise("select")
@@ -142,7 +156,7 @@ def page_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(files.anchors_of(F.col("html"))).alias("href")).groupBy("href").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (cdc_apply, cdc_dead_letter, cdc_tables, golden_records, patch_sets, project_scan, task_progress, stream_ingest, json_flatten, config_scan, mapper_sql, annotation_sql, page_links)}
+QUERIES = {f.__name__: f for f in (cdc_apply, cdc_dead_letter, cdc_tables, golden_records, patch_sets, project_scan, task_progress, stream_ingest, json_flatten, config_scan, application_scan, mapper_sql, annotation_sql, page_links)}
 
 ORACLES = {
     "cdc_tables": f"""with {migration.LATEST}, e as (select id, seq, event_type from c where not deleted), o as (select o_custkey id, arg_max(o_orderkey, o_orderkey) seq, arg_max(o_orderpriority, o_orderkey) p, arg_max(o_orderstatus, o_orderkey) st from orders group by o_custkey)
@@ -157,6 +171,7 @@ ORACLES = {
     "json_flatten": """select event_id, 'user.id' path, user_id::VARCHAR as value from events union all select event_id, 'user.tags[0]', event_type from events union all select event_id, 'user.tags[1]', '' from events
         union all select event_id, 'props.k', props->>'$.k' from events""",
     "config_scan": f"with {scans.C} select file || '.' || key \"key\", value from c where key not like '%url'",
+    "application_scan": f"with {scans.C} select file || '.' || key \"key\", value from c where key like '%password'",
     "mapper_sql": f"with {scans.S} select n, case when contains(text, 't1') then 'update' else 'select' end kind, text || ' ${{x}}' text, true \"dynamic\" from s",
     "annotation_sql": f"with {scans.S} select n, 'Select' kind, regexp_replace(text, '[()]', ' ', 'g') text from s",
     "page_links": "with l as (select unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) href from pages) select href, count(*) n from l group by href",

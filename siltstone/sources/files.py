@@ -21,6 +21,15 @@ def whole_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("file"), "value")
 
 
+#: Fixed value: names of configuration files.
+APPLICATION = "application*.{yml,yaml,properties}"
+
+
+def application_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(file, value)`` of the configuration files of a project, in whichever folder below ``root``, by their names."""
+    return whole_files(spark, root, APPLICATION)
+
+
 def properties(files: DataFrame) -> DataFrame:
     """``(file, key, value)`` of properties files: ``key=value`` or ``key: value`` lines, comments left out."""
     lines = files.select("file", F.explode(F.split("value", r"\r?\n")).alias("line")).where(~F.col("line").rlike(r"^\s*([#!]|$)"))
