@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from siltstone.functions.evolution import json_schemas
 from siltstone.operators import tasks
 from siltstone.session import drop_path
-from siltstone.streaming.buckets import Buckets, versions
+from siltstone.streaming.buckets import Buckets
+from siltstone.streaming.seen import SeenKeys
 
 CHANGE = "id long, seq long, deleted boolean, event_type string, value double"
 
@@ -82,21 +83,13 @@ def apply_topics(stream: DataFrame, path: str, dead: str, checkpoint: str, patte
 
 
 def ingest_stream(stream: DataFrame, path: str, checkpoint: str, key: str):
-    """Append rows whose key the sink has not seen; each batch is a folder of its own."""
-
-    def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        first = rows.dropDuplicates([key])
-        known = [v for v in versions(spark, path) if v < number]
-        if known:  # all earlier batches as one table
-            first = first.join(spark.read.parquet(*[f"{path}/v={v}" for v in known]).select(key), key, "left_anti")
-        first.write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Append rows whose key the sink has not seen (see ``SeenKeys``); runs what is there and ends."""
+    sink = SeenKeys(stream.sparkSession, path, key)
+    return stream.writeStream.foreachBatch(sink.put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def ingested(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(*[f"{path}/v={v}" for v in versions(spark, path)])
+    return SeenKeys(spark, path, "").read()
 
 
 def progress(steps: DataFrame, task: str = "id", stages: int = tasks.STAGES) -> DataFrame:

@@ -11,6 +11,7 @@ from siltstone.operators import reconcile
 from siltstone.session import fresh_path
 from siltstone.streaming import cdc, handover, stages
 from siltstone.streaming.buckets import Buckets, bytes_of, folders, versions
+from siltstone.streaming.seen import SeenKeys
 
 CHANGES = "id long, seq long, deleted boolean, value string"
 
@@ -85,6 +86,24 @@ def test_topics_with_types_that_change(spark):
     assert sorted(r.line for r in spark.read.parquet(dead).select("line").collect()) == sorted(["{broken", '{"seq": 3}', "{}", "{}"])
 
 
+def test_seen_keys_open_few_old_files(spark):
+    sink = SeenKeys(spark, fresh_path(spark, "seen"), "k", buckets=4)
+    of = lambda keys: spark.createDataFrame([(k, f"v{k}") for k in keys], "k long, t string")
+    assert sink.read() is None
+    for number in range(5):
+        sink.put(of(range(number * 1000, number * 1000 + 1000)), number)
+    sink.put(of([50_001]), 5)
+    assert sink.opened <= 2  # none, but for the odd key that a filter takes for its own
+    sink.put(of([3, 3, 4, 2003, 60_000]), 6)
+    assert 2 <= sink.opened <= 8 and sink.read().count() == 5002 == sink.read().select("k").distinct().count()
+    sink.put(of([3, 3, 4, 2003, 60_000]), 6)  # again
+    sink.put(spark.createDataFrame([(None, "n"), (None, "n"), (60_000, "late")], "k long, t string"), 7)
+    sink.put(spark.createDataFrame([(None, "m")], "k long, t string"), 8)
+    sink.put(of([]), 9)
+    got = {r.k: r.t for r in sink.read().collect()}
+    assert len(got) == sink.read().count() == 5003 and got[None] == "n" and got[60_000] == "v60000"
+
+
 def replayed(steps, stages_of=6):
     out, by = [], {}
     for task, ts, i, stage, status in sorted(steps, key=lambda s: (s[0], s[1], s[2])):
