@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siltstone.functions import ann, text as tx, vectors as vec
 from siltstone.operators import search
+from siltstone.operators.segments import Segments
 from siltstone.session import table
 
 #: Candidates of a channel before fusion, and results after it.
@@ -55,6 +56,25 @@ def bm25_topk(spark, sf_dir):
     return bm25_channel(spark, sf_dir)
 
 
+def grown_index(spark, sf_dir):
+    """The corpus in three batches, the first of half the documents, merged two at a time."""
+    docs, known = corpus(spark, sf_dir), Segments(spark, block=16, tier=2)
+    for batch in ("doc_id % 4 < 2", "doc_id % 4 = 2", "doc_id % 4 = 3"):
+        known.add(docs.where(batch), "doc_id")
+    return known
+
+
+def bm25_grown(spark, sf_dir):
+    """From the stored index that grew, the same as from a fresh one."""
+    return grown_index(spark, sf_dir).top_k(questions(spark, sf_dir), COARSE, "item_id", "doc_id")
+
+
+def bm25_postings_read(spark, sf_dir):
+    """Postings of the questions' terms, and whether fewer had to be scored for the best five."""
+    told = grown_index(spark, sf_dir).searched(questions(spark, sf_dir), TOP, "item_id", "doc_id")[1]
+    return told.agg(F.count_distinct("item_id").alias("questions"), F.sum("hits").alias("postings"), (F.sum(F.when(F.col("scored"), F.col("hits"))) < F.sum("hits")).alias("fewer"))
+
+
 def sparse_topk(spark, sf_dir):
     return sparse_channel(spark, sf_dir)
 
@@ -157,7 +177,7 @@ def web_union(spark, sf_dir):
     return local.unionByName(found).select("id", "source", "score", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (ann_topk, ann_recall, corpus_stats, term_df, bm25_topk, bm25_zero_scores, sparse_topk, dense_topk, rrf_fusion, weighted_fusion, hybrid_search, hybrid_filtered, rerank_fallback, rerank_scored, query_rewrite, web_union)}
+QUERIES = {f.__name__: f for f in (ann_topk, ann_recall, corpus_stats, term_df, bm25_topk, bm25_grown, bm25_postings_read, bm25_zero_scores, sparse_topk, dense_topk, rrf_fusion, weighted_fusion, hybrid_search, hybrid_filtered, rerank_fallback, rerank_scored, query_rewrite, web_union)}
 
 SEP = tx.SEPARATORS.replace("'", "''")
 TOKENS = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{SEP}'), lambda x: x <> '')"
@@ -209,6 +229,8 @@ ORACLES = {
         every as (select item_id, doc_id, coalesce(score, 0.0) score from benchmark cross join sd left join bm using (item_id, doc_id))
         select item_id, doc_id, score, rank::INT rank from (select *, {TOP_BY} rank from every) where rank <= {TOP}""",
     "bm25_topk": f"with {BASE} select item_id, doc_id, score, rank::INT rank from bm25",
+    "bm25_grown": f"with {BASE} select item_id, doc_id, score, rank::INT rank from bm25",
+    "bm25_postings_read": f"with {BASE} select count(distinct item_id) questions, sum(df)::BIGINT postings, true fewer from qt join df using (term)",
     "sparse_topk": f"with {BASE} select item_id, doc_id, score, rank::INT rank from sparse",
     "dense_topk": f"""select query_id, vec_id, score, rank::INT rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from (
         select q.vec_id query_id, v.vec_id vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) score from embeddings q, embeddings v where q.vec_id % 20 = 0)) where rank <= {COARSE}""",
