@@ -41,20 +41,30 @@ def route(score: Column) -> Column:
     return F.when(score >= CORRECT, "correct").when(score <= INCORRECT, "incorrect").otherwise("ambiguous")
 
 
-def refine(questions: DataFrame, hits: DataFrame, query_id: str, question: str = "question", rank: str = "rank", text: str = "text") -> DataFrame:
+def refine(questions: DataFrame, hits: DataFrame, query_id: str, question: str = "question", rank: str = "rank", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """``(query, place, overlap, strip)``: the sentences of the hits that share most with the question, STRIPS at most.
 
-    Ties keep the order of hits and sentences. A question without terms gets the first 500 characters of its first 5 hits.
+    ``also`` names columns of the hits that stay beside the strip. Ties keep the order of hits and sentences. A question without terms gets the first 500 characters of its first 5 hits.
     """
     asked = questions.select(query_id, tx.term_set(F.col(question)).alias("_q"))
-    known = asked.join(hits.select(query_id, rank, text), query_id)
-    cut = known.where(F.size("_q") > 0).select(query_id, "_q", rank, F.posexplode(tx.strips(F.col(text))).alias("_at", "strip"))
+    known = asked.join(hits.select(query_id, rank, text, *also), query_id)
+    cut = known.where(F.size("_q") > 0).select(query_id, "_q", rank, *also, F.posexplode(tx.strips(F.col(text))).alias("_at", "strip"))
     cut = cut.where(F.char_length("strip") >= STRIP_CHARS).withColumn("_o", tx.overlap(F.col("_q"), tx.term_set(F.col("strip")))).where(F.col("_o") >= STRIP_OVERLAP)
     first = F.row_number().over(Window.partitionBy(query_id).orderBy(rank))
-    plain = known.where(F.size("_q") == 0).withColumn("_n", first).where("_n <= 5").select(query_id, rank, F.lit(0).alias("_at"), F.lit(0.0).alias("_o"), F.substring(text, 1, 500).alias("strip"))
-    every = cut.select(query_id, rank, "_at", "_o", "strip").unionByName(plain)
+    plain = known.where(F.size("_q") == 0).withColumn("_n", first).where("_n <= 5").select(query_id, rank, *also, F.lit(0).alias("_at"), F.lit(0.0).alias("_o"), F.substring(text, 1, 500).alias("strip"))
+    every = cut.select(query_id, rank, *also, "_at", "_o", "strip").unionByName(plain)
     best = Window.partitionBy(query_id).orderBy(F.desc("_o"), rank, "_at")
-    return every.withColumn("place", F.row_number().over(best)).where(F.col("place") <= STRIPS).select(query_id, "place", F.round("_o", 6).alias("overlap"), "strip")
+    return every.withColumn("place", F.row_number().over(best)).where(F.col("place") <= STRIPS).select(query_id, "place", F.round("_o", 6).alias("overlap"), "strip", *also)
+
+
+def refined_ranks(questions: DataFrame, hits: DataFrame, query_id: str, doc_id: str, k: int) -> DataFrame:
+    """``(query, doc, score, rank)``: what corrective retrieval keeps of the hits: documents by the place of their best strip.
+
+    The score is that strip's overlap with the question; documents none of whose strips is kept are out.
+    """
+    kept = refine(questions, hits, query_id, also=(doc_id,)).groupBy(query_id, doc_id).agg(F.min("place").alias("place"), F.max("overlap").alias("score"))
+    best = Window.partitionBy(query_id).orderBy("place")
+    return kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query_id, doc_id, "score", "rank")
 
 
 def answers(questions: DataFrame, strips: DataFrame, query_id: str, question: str = "question") -> DataFrame:

@@ -12,6 +12,8 @@ from siltstone.functions import text as tx
 from siltstone.session import materialize
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+#: Terms in at least and at most so many documents link them; documents a search goes on from, and what a further step is worth.
+LINK, SEEDS, DECAY = (2, 20), 3, 0.5
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -102,6 +104,26 @@ def sparse(docs: DataFrame | Index, queries: DataFrame, k: int, doc_id: str, que
     return ranked(scores, query_id, doc_id, k)
 
 
+def linked(known: Index, queries: DataFrame, k: int, doc_id: str, query_id: str, query_text: str = "text", link: tuple[int, int] = LINK, seeds: int = SEEDS, decay: float = DECAY, digits: int = 6) -> DataFrame:
+    """``(query, doc, score, rank)`` by two steps in the graph whose nodes are documents and the rare terms that stand in them.
+
+    The first step goes from the question's terms to their documents, each term being worth 1 / df. The ``seeds`` best hand
+    ``decay`` times their score on to the documents that share further rare terms with them, by the share of the seed's terms.
+    A term in more than ``link[1]`` documents is no node, so no node is hot and a seed reaches that many documents a term at most.
+    """
+    rare = known.df.where(F.col("df").between(*link)).select("term", (1.0 / F.col("df")).alias("w"))
+    edges = materialize(known.postings.select(doc_id, "term").join(rare, "term"), "rare-terms")
+    asked = queries.select(query_id, F.explode(F.array_distinct(tx.tokens(F.col(query_text)))).alias("term"))
+    near = materialize(edges.join(asked, "term").groupBy(query_id, doc_id).agg(F.round(F.sum("w"), digits).alias("near")), "near")
+    first = ranked(near.withColumnRenamed("near", "score"), query_id, doc_id, seeds).select(query_id, F.col(doc_id).alias("_seed"), "score")
+    around = materialize(edges.withColumnRenamed(doc_id, "_seed").join(first, "_seed"), "seed-terms")
+    whole = around.groupBy(query_id, "_seed").agg(F.sum("w").alias("all"))
+    steps = around.join(whole, [query_id, "_seed"]).select(query_id, "_seed", "term", (F.col("score") * F.col("w") / F.col("all")).alias("step"))
+    far = edges.join(steps, "term").where(F.col(doc_id) != F.col("_seed")).groupBy(query_id, doc_id).agg(F.sum("step").alias("far"))
+    total = F.round(F.coalesce("near", F.lit(0.0)) + decay * F.coalesce("far", F.lit(0.0)), digits)
+    return ranked(near.join(far, [query_id, doc_id], "full").select(query_id, doc_id, total.alias("score")), query_id, doc_id, k)
+
+
 def rrf(channels: dict[str, DataFrame], query_id: str, doc_id: str, k: int = RRF_K, top_n: int | None = None, digits: int = 6) -> DataFrame:
     """Reciprocal rank fusion of ranked lists; ``channels`` keeps the rank in each of them."""
     rows = reduce(DataFrame.unionByName, [c.select(query_id, doc_id, F.lit(n).alias("channel"), "rank") for n, c in channels.items()])

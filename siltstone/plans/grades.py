@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from siltstone.functions import text as tx
 from siltstone.operators import grading, search
@@ -66,13 +68,18 @@ def recall_at_k(spark, sf_dir):
 
 
 def channel_ablation(spark, sf_dir):
-    known, found = truth(spark, sf_dir), rt.channels(spark, sf_dir)
-    found["fused"] = search.rrf(found, "item_id", "doc_id", top_n=TOP)
-    out = None
-    for name, ranked in found.items():
-        row = grading.recall(ranked, known, "item_id", "doc_id", TOP).withColumn("variant", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Recall of seven ways to search: each channel, their fusion, BM25 reranked, corrected by strips, and steps over shared rare terms."""
+    ask, index = asked(spark, sf_dir), rt.index(spark, sf_dir)
+    found = {n: materialize(c.select("item_id", "doc_id", "score", "rank"), n) for n, c in rt.channels(spark, sf_dir, index).items()}
+    known, texts = materialize(truth(spark, sf_dir), "truth"), rt.corpus(spark, sf_dir).select("doc_id", "text")
+    found |= {
+        "fused": search.rrf(found, "item_id", "doc_id", top_n=TOP),
+        "reranked": rt.rerank_scored(spark, sf_dir, found["bm25"]).select("item_id", "doc_id", F.col("rerank_rank").alias("rank")),
+        "corrected": grading.refined_ranks(ask, found["bm25"].join(texts, "doc_id"), "item_id", "doc_id", TOP),
+        "linked": search.linked(index, rt.questions(spark, sf_dir), TOP, "doc_id", "item_id"),
+    }
+    rows = [grading.recall(ranked, known, "item_id", "doc_id", TOP).withColumn("variant", F.lit(name)) for name, ranked in found.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def keyword_faithfulness(spark, sf_dir):
@@ -129,7 +136,7 @@ def refine_sql(source: str, name: str) -> str:
     return f"""{name}_s as (select item_id, rank, {STRIPS} s from {source}),
 {name}_e as (select item_id, rank, unnest(s) strip, generate_subscripts(s, 1) nth from {name}_s),
 {name}_o as (select item_id, rank, nth, strip, {OVER('q', SET('strip'))} o from {name}_e join q using (item_id) where length(strip) >= 8),
-{name} as (select * from (select item_id, strip, o, row_number() over (partition by item_id order by o desc, rank, nth) place from {name}_o where o >= 0.1) where place <= 20)"""
+{name} as (select * from (select item_id, rank, strip, o, row_number() over (partition by item_id order by o desc, rank, nth) place from {name}_o where o >= 0.1) where place <= 20)"""
 
 
 CONTAINED = "tr as (select item_id, doc_id from benchmark b, documents d where contains(d.text, b.text))"
@@ -159,7 +166,9 @@ ORACLES = {
         select item_id, confidence, route, coalesce(n, 0) n_strips, coalesce('Points found for ''' || coalesce(question, '') || ''':' || chr(10) || '- ' || s, 'Nothing conclusive in the context.') answer
         from routed join q using (item_id) left join a using (item_id)""",
     "recall_at_k": f"with {rt.BASE}, {CONTAINED} select * from {recall_sql('bm25')}",
-    "channel_ablation": f"with {rt.BASE}, {CONTAINED} " + " union all ".join(f"select *, '{n}' variant from {recall_sql(t)}" for n, t in (("bm25", "bm25"), ("dense", "dense"), ("sparse", "sparse"), ("fused", "best"))),
+    "channel_ablation": f"""with {HITS}, {CONTAINED}, {rt.LINKED}, {rt.RERANKED}, h25 as (select item_id, doc_id, rank, text from bm25 join documents using (doc_id)), {refine_sql('h25', 'f')},
+        corrected as (select item_id, doc_id, row_number() over (partition by item_id order by min(place)) rank from f join bm25 using (item_id, rank) group by item_id, doc_id) """
+    + " union all ".join(f"select *, '{n}' variant from {recall_sql(t)}" for n, t in (("bm25", "bm25"), ("dense", "dense"), ("sparse", "sparse"), ("fused", "best"), ("reranked", "reranked"), ("corrected", "corrected"), ("linked", "linked"))),
     "keyword_faithfulness": f"""with {HITS}, {refine_sql('h', 'f')}, a as (select item_id, string_agg(strip, ' ') answer from f where place <= 5 group by item_id)
         select item_id, coalesce(len(list_filter(list_slice(list_sort(q), 1, 5), lambda k: contains(upper(answer), upper(k)))) >= 2, false) faithful from q left join a using (item_id)""",
 }

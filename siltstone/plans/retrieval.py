@@ -105,8 +105,8 @@ def ann_recall(spark, sf_dir):
     return row.select("queries", (F.col("recall") >= 0.9).alias("enough"))
 
 
-def channels(spark, sf_dir):
-    known = index(spark, sf_dir)  # both channels of terms read the same postings
+def channels(spark, sf_dir, known=None):
+    known = known or index(spark, sf_dir)  # both channels of terms read the same postings
     return {"bm25": bm25_channel(spark, sf_dir, known=known), "dense": dense_channel(spark, sf_dir), "sparse": sparse_channel(spark, sf_dir, known=known)}
 
 
@@ -150,7 +150,12 @@ def rerank_fallback(spark, sf_dir):
     return best.select("item_id", "doc_id", "score", "rerank_score", "rerank_rank")
 
 
-def rerank_scored(spark, sf_dir):
+def linked_topk(spark, sf_dir):
+    """Documents by two steps over shared rare terms."""
+    return search.linked(index(spark, sf_dir), questions(spark, sf_dir), COARSE, "doc_id", "item_id")
+
+
+def rerank_scored(spark, sf_dir, hits=None):
     """A scorer in columns: share of the question's terms in the document."""
     ask, docs = questions(spark, sf_dir), corpus(spark, sf_dir)
 
@@ -158,7 +163,7 @@ def rerank_scored(spark, sf_dir):
         full = hits.join(ask.withColumnRenamed("text", "question"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
         return full.withColumn("rerank_score", F.round(tx.overlap(tx.term_set(F.col("question")), tx.term_set(F.col("text"))), 6))
 
-    best = search.rerank(bm25_channel(spark, sf_dir), "item_id", scorer=scorer, top_n=TOP)
+    best = search.rerank(bm25_channel(spark, sf_dir) if hits is None else hits, "item_id", scorer=scorer, top_n=TOP)
     return best.select("item_id", "doc_id", "rank", "rerank_score", "rerank_rank")
 
 
@@ -177,7 +182,7 @@ def web_union(spark, sf_dir):
     return local.unionByName(found).select("id", "source", "score", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (ann_topk, ann_recall, corpus_stats, term_df, bm25_topk, bm25_grown, bm25_postings_read, bm25_zero_scores, sparse_topk, dense_topk, rrf_fusion, weighted_fusion, hybrid_search, hybrid_filtered, rerank_fallback, rerank_scored, query_rewrite, web_union)}
+QUERIES = {f.__name__: f for f in (ann_topk, ann_recall, corpus_stats, term_df, bm25_topk, bm25_grown, bm25_postings_read, bm25_zero_scores, sparse_topk, dense_topk, rrf_fusion, weighted_fusion, hybrid_search, hybrid_filtered, linked_topk, rerank_fallback, rerank_scored, query_rewrite, web_union)}
 
 SEP = tx.SEPARATORS.replace("'", "''")
 TOKENS = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{SEP}'), lambda x: x <> '')"
@@ -218,6 +223,18 @@ fused as (select item_id, doc_id, round(sum(1.0 / ({search.RRF_K} + rank)), 6) s
 best as (select *, {TOP_BY} rank from fused)
 """
 
+LINKED = f"""ge as (select doc_id, term, 1.0::DOUBLE / df w from post join df using (term) where df between {search.LINK[0]} and {search.LINK[1]}),
+gn as (select item_id, doc_id, round(sum(w), 6) near from ge join (select distinct item_id, term from qt) using (term) group by all),
+gs as (select item_id, doc_id seed, near from (select *, row_number() over (partition by item_id order by near desc, doc_id) r from gn) where r <= {search.SEEDS}),
+ga as (select item_id, seed, near, term, w, sum(w) over (partition by item_id, seed) al from gs join ge on ge.doc_id = seed),
+gf as (select item_id, ge.doc_id, sum(near * ga.w / al) far from ga join ge on ge.term = ga.term and ge.doc_id <> seed group by all),
+gt as (select item_id, doc_id, round(coalesce(near, 0) + {search.DECAY} * coalesce(far, 0), 6) score from gn full join gf using (item_id, doc_id)),
+linked as (select * from (select *, {TOP_BY} rank from gt) where rank <= {COARSE})"""
+
+RERANKED = f"""rs as (select item_id, doc_id, rank, {term_set_sql("b.text")} q, {term_set_sql("d.text")} d from bm25 join benchmark b using (item_id) join documents d using (doc_id)),
+ro as (select item_id, doc_id, rank, case when len(q) > 0 then round(len(list_intersect(q, d)) / len(q), 6) else 0.0 end rerank_score from rs),
+reranked as (select item_id, doc_id, rank old, rerank_score, rerank_rank rank from (select *, row_number() over (partition by item_id order by rerank_score desc, rank) rerank_rank from ro) where rerank_rank <= {TOP})"""
+
 PREVIEW = "case when length(text) > 200 then substr(text, 1, 200) || '...' else text end"
 
 ORACLES = {
@@ -243,9 +260,8 @@ ORACLES = {
     "hybrid_filtered": f"""with {BASE}, f as (select item_id, doc_id, score, lang from best join documents using (doc_id) where rank <= {COARSE} and lang = 'en')
         select item_id, doc_id, score, rank::INT rank, lang from (select *, {TOP_BY} rank from f) where rank <= {TOP}""",
     "rerank_fallback": f"with {BASE} select item_id, doc_id, score, round(1.0 - 0.01 * (rank - 1), 2)::DOUBLE rerank_score, rank::INT rerank_rank from bm25 where rank <= {TOP}",
-    "rerank_scored": f"""with {BASE}, s as (select item_id, doc_id, rank, {term_set_sql("b.text")} q, {term_set_sql("d.text")} d from bm25 join benchmark b using (item_id) join documents d using (doc_id)),
-        o as (select item_id, doc_id, rank, case when len(q) > 0 then round(len(list_intersect(q, d)) / len(q), 6) else 0.0 end rerank_score from s)
-        select item_id, doc_id, rank::INT rank, rerank_score, rerank_rank::INT rerank_rank from (select *, row_number() over (partition by item_id order by rerank_score desc, rank) rerank_rank from o) where rerank_rank <= {TOP}""",
+    "rerank_scored": f"with {BASE}, {RERANKED} select item_id, doc_id, old::INT rank, rerank_score, rank::INT rerank_rank from reranked",
+    "linked_topk": f"with {BASE}, {LINKED} select item_id, doc_id, score, rank::INT rank from linked",
     "query_rewrite": """with q as (select item_id, trim(regexp_replace(coalesce(text, ''), '[\\t-\\r ]+', ' ', 'g')) q from benchmark)
         select item_id, case when q = '' then q else concat_ws(' ', q, case when regexp_matches(q, '(?i)the') and not contains(q, 'THE') then 'THE' end, case when regexp_matches(q, '(?i)tion') and not contains(q, 'Tion') then 'Tion' end, case when regexp_matches(q, 'que') and not contains(q, 'que') then 'que' end) end rewritten from q""",
     "web_union": """select doc_id::VARCHAR id, source, 1.0::DOUBLE score, md5(text) text_md5 from documents union all

@@ -182,3 +182,20 @@ def test_strategies(spark):
     count = lambda name: chunking.by_strategy(docs, "d", "text", name).groupBy("d").count().orderBy("d").collect()
     assert [tuple(r) for r in count("late")] == [(1, 1), (2, 2)] and [tuple(r) for r in count("none")] == [(1, 1), (2, 1), (3, 1)]
     assert count("Semantic") == count("unknown") == count(None) == count("")
+
+
+def test_linked_reaches_documents_without_a_term_of_the_question(spark):
+    rows = [(1, "alpha common"), (2, "alpha beta common"), (3, "beta gamma common"), (4, "gamma common"), (5, "common"), (6, None)] + [(10 + i, "common") for i in range(20)]
+    index = search.Index.of(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id")
+    ask = spark.createDataFrame([(1, "alpha"), (2, "common"), (3, None)], "q long, text string")
+    got = {r.doc_id: (r.score, r["rank"]) for r in search.linked(index, ask, 9, "doc_id", "q").where("q = 1").collect()}
+    # by hand: alpha is worth 1/2 to documents 1 and 2; 1 hands 1/2 * 1/2 to 2; of 2's two terms alpha hands 1/8 to 1, beta 1/8 to 3
+    assert got == {2: (0.75, 1), 1: (0.625, 2), 3: (0.125, 3)}
+    assert search.linked(index, ask, 9, "doc_id", "q").where("q > 1").isEmpty()  # a term of most documents is no node
+
+
+def test_refined_ranks_follow_the_best_strip(spark):
+    ask = spark.createDataFrame([(1, "red green blue"), (2, "nothing")], "q long, question string")
+    hits = spark.createDataFrame([(1, 7, 1, "Only red here now. Nothing of it."), (1, 8, 2, "All red green blue words. And red again."), (1, 9, 3, "No colour whatever."), (2, 7, 1, "Something else.")], "q long, doc_id long, rank int, text string")
+    got = grading.refined_ranks(ask, hits, "q", "doc_id", 5).collect()
+    assert sorted((r.q, r.doc_id, r.score, r["rank"]) for r in got) == [(1, 7, 0.333333, 2), (1, 8, 1.0, 1)]
