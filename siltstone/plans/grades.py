@@ -139,6 +139,13 @@ def refine_sql(source: str, name: str) -> str:
 {name} as (select * from (select item_id, rank, strip, o, row_number() over (partition by item_id order by o desc, rank, nth) place from {name}_o where o >= 0.1) where place <= 20)"""
 
 
+SHORTER = "regexp_replace({}, '^\\S+\\s+', '')"
+#: The questions of all three passes, whichever are asked: four times the id, and the pass.
+PASSES = "benchmark as (" + " union all ".join(f"select item_id * 4 + {n} item_id, {t} text from benchmark" for n, t in enumerate(("text", SHORTER.format("text"), SHORTER.format(SHORTER.format("text"))))) + ")"
+GRADED = """graded as (select item_id // 4 item_id, (item_id % 4)::INT loop, question, confidence, confidence >= 0.9 sufficient, item_id p from q join conf using (item_id)),
+run as (select *, sufficient or loop = 2 "last" from graded g where not exists (select 1 from graded e where e.item_id = g.item_id and e.loop < g.loop and e.sufficient))"""
+WEIGHT = "case rank when 1 then 1.0 when 2 then 0.7 else 0.5 end"
+
 CONTAINED = "tr as (select item_id, doc_id from benchmark b, documents d where contains(d.text, b.text))"
 
 
@@ -171,4 +178,10 @@ ORACLES = {
     + " union all ".join(f"select *, '{n}' variant from {recall_sql(t)}" for n, t in (("bm25", "bm25"), ("dense", "dense"), ("sparse", "sparse"), ("fused", "best"), ("reranked", "reranked"), ("corrected", "corrected"), ("linked", "linked"))),
     "keyword_faithfulness": f"""with {HITS}, {refine_sql('h', 'f')}, a as (select item_id, string_agg(strip, ' ') answer from f where place <= 5 group by item_id)
         select item_id, coalesce(len(list_filter(list_slice(list_sort(q), 1, 5), lambda k: contains(upper(answer), upper(k)))) >= 2, false) faithful from q left join a using (item_id)""",
+    "self_rag_loop": f"""with {PASSES}, {HITS}, {GRADED} select item_id, loop, confidence, sufficient, question from run where "last\"""",
+    "self_rag_history": f"""with {PASSES}, {rt.bm25_ctes(k=50)}, {rt.RERANKED}, q as (select item_id, text question from benchmark),
+        ov as (select item_id, reranked.rank rank, {OVER('q', 'd')} o from reranked join rs using (item_id, doc_id) where reranked.rank <= 3),
+        conf as (select item_id, coalesce(round(sum({WEIGHT} * o) / sum({WEIGHT}), 4), 0.0)::DOUBLE confidence from q left join ov using (item_id) group by all), {GRADED},
+        ch as (select item_id p, string_agg(doc_id::VARCHAR, ',' order by rank) chunks from reranked group by item_id)
+        select item_id, loop, confidence score, sufficient, "last", "last" and not sufficient fallback, coalesce(chunks, '') chunks from run left join ch using (p)""",
 }

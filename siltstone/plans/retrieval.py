@@ -240,8 +240,8 @@ PREVIEW = "case when length(text) > 200 then substr(text, 1, 200) || '...' else
 ORACLES = {
     "ann_recall": "select count(*) queries, true enough from embeddings where vec_id % 20 = 0",
     "corpus_stats": f"with {BASE} select n n_docs, round(avgdl, 6) avgdl from st",
-    "term_df": f"""with tok as (select {TOKENS} t from documents), st as (select count(*) n from tok), df as (select term, count(*) df from (select unnest(list_distinct(t)) term from tok) group by term),
-        raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) r from df, st), mean as (select avg(r) m from raw) select term, df, round(case when r < 0 then {search.EPSILON} * m else r end, 6) idf from raw, mean""",
+    "term_df": f"""with word as (select distinct doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '{SEP}')) term from documents), df as (select term, count(*) df from word where term <> '' group by term),
+        raw as (select term, df, ln((select count(*) from documents) - df + 0.5) - ln(df + 0.5) r from df) select term, df, round(case when r < 0 then {search.EPSILON} * (select avg(r) from raw) else r end, 6) idf from raw""",
     "bm25_zero_scores": f"""with sd as (select doc_id, text from documents where length(text) < 60), benchmark as (select item_id, regexp_extract(text, '(\\S+\\s+\\S+)\\s*$', 1) text from benchmark), {bm25_ctes("sd", "doc_id", "", 1000000000)},
         every as (select item_id, doc_id, coalesce(score, 0.0) score from benchmark cross join sd left join bm using (item_id, doc_id))
         select item_id, doc_id, score, rank::INT rank from (select *, {TOP_BY} rank from every) where rank <= {TOP}""",
