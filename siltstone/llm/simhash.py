@@ -112,8 +112,9 @@ def rows_with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def only(docs: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose key ``(id, h)`` is in ``heads``; of rows with equal id and text one."""
-    heads = heads.select(F.col("id").alias("head"), F.col("h").alias("head_h"))
-    kept = rows.join(heads, (rows["h"] == F.col("head_h")) & rows["id"].eqNullSafe(F.col("head")), "left_semi").dropDuplicates(["id", "h"])
+    # one key for both, of one type down to what may be null, so that rows are dealt once
+    key = F.struct(F.isnull("id").alias("none"), "id", F.coalesce("h", F.lit(0).cast("long")).alias("h")).alias("key")
+    kept = rows.select(key, "row").join(heads.select(key), "key", "left_semi").dropDuplicates(["key"])
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
@@ -158,6 +159,14 @@ def long_fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(bits, axis=1, bitorder="little").view(np.int64)[:, 0], (least << 5 * np.arange(FLIPS)).sum(axis=1)
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Four longs: for each of 256 parts of the shingles whether their number is odd.
+
+    Two sets differ in at least as many shingles as their sketches in bits.
+    """
+    return np.packbits(np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1, bitorder="little").view(np.int64)
+
+
 def own_keys() -> list[str]:
     """SQL of the number and value of each segment of a fingerprint ``f0`` to ``f3``."""
     return [f"((shiftrightunsigned(f{w}, {SEGMENT * j}) & {(1 << SEGMENT) - 1}L) + {(w * PER_LONG + j) << SEGMENT}L)" for w in range(LONGS) for j in range(PER_LONG)]
@@ -169,9 +178,25 @@ def ball_keys() -> list[str]:
     return [x for i, key in enumerate(own_keys()) for x in (key, *(flip.format(key, i, 5 * t) for t in range(FLIPS)))]
 
 
-def distance(a: str, b: str) -> Column:
-    """Bits in which two fingerprints differ, whose columns begin with ``a`` and ``b``."""
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}f{w}").bitwiseXOR(F.col(f"{b}f{w}"))) for w in range(LONGS)])
+def distance(a: str, b: str, of: str = "f") -> Column:
+    """Bits in which two fingerprints, or sketches, differ, whose columns begin with ``a`` and ``b``."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{of}{w}").bitwiseXOR(F.col(f"{b}{of}{w}"))) for w in range(LONGS)])
+
+
+def may_be_alike(a: str, b: str, like: float) -> Column:
+    """False only for sets below ``like``: these differ in more shingles than their sizes allow, by the sizes alone or by the sketches."""
+    x, y = F.col(f"{a}n"), F.col(f"{b}n")
+    return (F.least(x, y) >= F.greatest(x, y) * like - 1e-3) & (distance(a, b, "g") <= (x + y) * ((1 - like) / (1 + like)) + 1e-3)
+
+
+def asked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose hash ``h`` may be in ``wanted``: all that are and few others, told by a bitmap of 4 MB at most, so the rest is not shuffled."""
+    place = F.pmod("h", F.lit(1 << 25))
+    maps = wanted.select(F.bitmap_bucket_number(place).alias("_b"), F.bitmap_bit_position(place).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_map"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = texts.withColumn("_b", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_b")
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*texts.columns)
 
 
 def alike(docs: DataFrame, text_col: str = "text", width: int = 5, like: float = LIKE) -> tuple[DataFrame, DataFrame]:
@@ -181,36 +206,38 @@ def alike(docs: DataFrame, text_col: str = "text", width: int = 5, like: float =
     under the values of its segments, and a set asks for its own values and for those with one of the bits flipped that were
     decided by the smallest margins, as these are the ones in which a near copy differs. What is met within RADIUS bits is
     compared in full, so no link is false; a pair at a similarity just over 0.8 is found with a chance of about 0.8, at 0.86 of 0.96, at 0.9 of
-    0.99. Sets are told apart by 64 bits.
+    0.99. Sets are told apart by 64 bits. Before the texts are read again, sizes and sketches of 256 bits take off pairs that can't be alike.
 
     Members of a bucket are first linked to neighbours in random orders, which makes one class of a group of copies; then only
     sets of different classes meet, a class once in a bucket with all its members there as one.
     """
-    names = [f"f{w}" for w in range(LONGS)]
+    names, odd = ([f"{c}{w}" for w in range(LONGS)] for c in "fg")
 
     def measure():
         def call(texts):
-            out = {c: [] for c in ("set", "n", *names, "unsure")}
+            out = {c: [] for c in ("set", "n", *names, *odd, "unsure")}
             for text in texts:
                 sigs = shingles_of(text, width)
                 fp, unsure = long_fingerprint(sigs)
                 out["set"].append(xxhash.xxh3_64_intdigest(sigs.tobytes()) - (1 << 63))
                 out["n"].append(len(sigs))
                 out["unsure"].append(unsure.astype(np.int32))
-                for c, v in zip(names, fp):
+                for c, v in zip(names + odd, [*fp, *odd_sketch(sigs)]):
                     out[c].append(int(v))
             return out
 
         return call
 
-    fields = [T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in names], T.StructField("unsure", T.ArrayType(T.IntegerType()))]
+    fields = [T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in names + odd], T.StructField("unsure", T.ArrayType(T.IntegerType()))]
     texts = docs.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("_text"))
     sets = materialize(map_texts(texts, ["h"], "_text", measure, T.StructType(fields)), "alike-sets")
-    one = materialize(sets.where("n > 0").drop("h", "n").dropDuplicates(["set"]), "alike-distinct")
+    one = materialize(sets.where("n > 0").drop("h").dropDuplicates(["set"]), "alike-distinct")
+    sketch = lambda name, to: one.select(F.col("set").alias(name), *[F.col(c).alias(f"{to}{c}") for c in ("n", *odd)])
     own, ball = (F.explode(F.array(*map(F.expr, keys))).alias("key") for keys in (own_keys(), ball_keys()))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs those that are alike, by their whole sets."""
+        pairs = pairs.join(sketch("a", "x_"), "a").join(sketch("b", "y_"), "b").where(may_be_alike("x_", "y_", like)).select("a", "b")
         pairs = materialize(pairs, "alike-pairs")
 
         def whole():
@@ -218,16 +245,17 @@ def alike(docs: DataFrame, text_col: str = "text", width: int = 5, like: float =
 
         wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
         wanted = materialize(sets.select("h", "set").dropDuplicates(["set"]).join(wanted, "set"), "alike-wanted")
-        full = texts.join(wanted, "h").dropDuplicates(["set"])
+        full = asked(texts, wanted).join(wanted, "h").dropDuplicates(["set"])
         full = materialize(map_texts(full, ["set"], "_text", whole, T.StructType([T.StructField("sigs", T.ArrayType(T.LongType()))])), "alike-full")
         return materialize(alike_pairs(pairs, full, like), "alike-links")
 
     table = one.select("set", *names, own)
     large = materialize(table.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > LARGE), "alike-buckets")
     table = materialize(table.join(large, "key"), "alike-large")
-    comp, links_of = one.select("set", F.col("set").alias("comp")), None
+    # many: whether others are in its class
+    comp, links_of = one.select("set", F.col("set").alias("comp"), F.lit(False).alias("many")), None
     for turn in range(RINGS):
-        dealt = table.join(comp, "set").withColumn("x", F.xxhash64("set", "key", F.lit(turn))).withColumn("part", F.pmod("x", F.ceil(F.col("k") / RING)))
+        dealt = table.join(comp.drop("many"), "set").withColumn("x", F.xxhash64("set", "key", F.lit(turn))).withColumn("part", F.pmod("x", F.ceil(F.col("k") / RING)))
         order = Window.partitionBy("key", "part").orderBy("x", "set")
         near = dealt.withColumns({f"o_{c}": F.lead(c).over(order) for c in ("set", "comp", *names)}).where((F.col("comp") != F.col("o_comp")) & (distance("", "o_") <= RADIUS))
         found = linked(near.select(F.least("set", "o_set").alias("a"), F.greatest("set", "o_set").alias("b")).distinct())
@@ -235,19 +263,21 @@ def alike(docs: DataFrame, text_col: str = "text", width: int = 5, like: float =
         if found.isEmpty():
             break
         classes = connected_components(links_of, "a", "b").withColumnRenamed("node", "set")
-        comp = materialize(one.select("set").join(classes, "set", "left").select("set", F.coalesce("component", "set").alias("comp")), "alike-comp")
+        comp = materialize(one.select("set").join(classes, "set", "left").select("set", F.coalesce("component", "set").alias("comp"), F.isnotnull("component").alias("many")), "alike-comp")
     # a class is met once in a bucket: by its only member, or by any one if it has several there
     known = materialize(one.join(comp, "set"), "alike-known")
     asks = known.select(ball, F.col("comp").alias("comp_x"), F.col("set").alias("set_x"), *[F.col(c).alias(f"x_{c}") for c in names])
-    held = known.select(own, "comp", "set", *names)
+    held = known.where("many").select(own, "comp", "set", "n", *names, *odd)
     classes = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), *[F.min_by(c, "set").alias(c) for c in names], F.min("set").alias("set"))
+    classes = classes.unionByName(known.where("not many").select(own, "comp", F.lit(1).cast("long").alias("k"), *names, "set"))
     classes = classes.select("key", F.col("comp").alias("comp_y"), F.col("set").alias("set_y"), "k", *[F.col(c).alias(f"y_{c}") for c in names])
     bound = F.when(F.col("k") == 1, RADIUS).otherwise(FAR)
     met = asks.join(classes, "key").where((F.col("comp_x") != F.col("comp_y")) & (distance("x_", "y_") <= bound))
     met = materialize(met.select("key", "k", "comp_y", "set_x", "set_y", *[f"x_{c}" for c in names]), "alike-met")
     pairs = met.where("k = 1").select(F.col("set_x").alias("p"), F.col("set_y").alias("q"))
-    members = held.select("key", F.col("comp").alias("comp_y"), F.col("set").alias("q"), *[F.col(c).alias(f"y_{c}") for c in names])
-    across = met.where("k > 1").join(members, ["key", "comp_y"]).where(distance("x_", "y_") <= RADIUS).select(F.col("set_x").alias("p"), "q")
+    members = held.select("key", F.col("comp").alias("comp_y"), F.col("set").alias("q"), *[F.col(c).alias(f"y_{c}") for c in ("n", *names, *odd)])
+    across = met.where("k > 1").join(sketch("set_x", "x_"), "set_x").join(members, ["key", "comp_y"])
+    across = across.where((distance("x_", "y_") <= RADIUS) & may_be_alike("x_", "y_", like)).select(F.col("set_x").alias("p"), "q")
     pairs = pairs.unionByName(across).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     return sets.select("h", "set"), links_of.unionByName(linked(pairs))
 

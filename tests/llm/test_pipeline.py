@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -311,3 +312,63 @@ def test_near_dedup_recall_by_likeness(spark, edits, recall):
         texts += [" ".join(words), " ".join(other)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     holds({r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}, brute_heads(list(enumerate(texts))), range(len(texts)), recall)
+
+
+def test_near_dedup_of_a_large_group_just_below_the_limit(spark, monkeypatch):
+    """Copies with many changes, around a class of copies with few: links as by all pairs of what is met, and few pairs read in full."""
+    rnd, texts = random.Random(12), []
+    base = [f"w{i}" for i in range(160)]
+    for i in range(120):
+        words = list(base)
+        for at in rnd.sample(range(160), rnd.choice([1, 2]) if i % 2 else 8):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, kept = Counter(), simhash.materialize
+
+    def counted(df, name):
+        out = kept(df, name)
+        pairs[name] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    holds(got, brute_heads(rows), range(len(rows)), 0.97)
+    assert len(got) > 40 and pairs["alike-pairs"] < 1.5 * pairs["alike-links"]
+
+
+def test_sketches_and_sizes_take_off_no_pair_that_is_alike(spark):
+    rnd, rows, want = random.Random(5), [], []
+    for i in range(400):
+        size = rnd.choice([1, 2, 9, 40, 200, 2000])
+        x = [rnd.getrandbits(64) for _ in range(size)]
+        y = [h for h in x if rnd.random() > 0.1] + [rnd.getrandbits(64) for _ in range(rnd.randint(0, 1 + size // 9))]
+        row = []
+        for part in (x, y):
+            row += [len(part), *simhash.odd_sketch(np.array(part, np.uint64)).tolist()]
+        rows.append((i, *row))
+        want += [i] if 5 * len(set(x) & set(y)) >= 4 * len(set(x) | set(y)) else []
+    names = [f"{s}{c}" for s in "xy" for c in ("n", "g0", "g1", "g2", "g3")]
+    table = spark.createDataFrame(rows, "i int, " + ", ".join(f"{c} long" for c in names))
+    got = {r.i for r in table.where(simhash.may_be_alike("x", "y", 0.8)).collect()}
+    assert 50 < len(want) <= len(got) < 400 and set(want) <= got
+
+
+def test_near_dedup_deals_whole_rows_once(spark, tmp_path, monkeypatch):
+    """Rows that stay are found and told apart by one shuffle; texts that nobody asks for are not shuffled to be read again."""
+    spark.createDataFrame([(i, f"text {i}") for i in range(2000)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    rows = simhash.rows_with_key(docs, "doc_id", "text")
+    rows.where("id % 2 = 0").select("id", "h").write.parquet(f"{tmp_path}/heads")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = simhash.only(docs, rows, spark.read.parquet(f"{tmp_path}/heads"))
+        assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert kept.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    wanted = rows.where("id % 100 = 0").select("h")
+    got = {r.h for r in simhash.asked(rows.select("h", "text"), wanted).collect()}
+    assert {r.h for r in wanted.collect()} <= got and len(got) < 30
