@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from siltstone.llm import packing
+from siltstone.llm import packing, wordtok
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -100,3 +100,21 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, length int, piece int")
     check(rows, packing.op9(docs).collect())
     assert packing.op9(docs.limit(0)).collect() == []
+
+
+def test_plain_words_skip_the_steps_of_the_file(monkeypatch):
+    """Ids as by the library on whole texts, though most words don't go through the file's normalizer and cuts."""
+    rnd, library = random.Random(3), Tokenizer.from_file(PATH)
+    letters = "abcdefgzABCZ" + "éÉßÿÀÖØøñ"
+    words = ["".join(rnd.choices(letters, k=rnd.randint(1, 12))) + "".join(rnd.choices(".,;:!?)#$%&*", k=rnd.choice([0, 0, 1, 3]))) for _ in range(4000)]
+    odd = ["it's", "we'll,", "e\u0301a", "É\u0301", "µm", "×", "a×b", "İx", "ŒŒ", "ªº", "a1b2", "a|b", "|", "<|endoftext|>", "a.b", ".a", "ſt", "ﬁn", "жук,", "漢字", "a\u00a0b", "a\u2003b", "x\u0300", "\u200b", "ΣΑΣ"]
+    words += odd * 3
+    rnd.shuffle(words)
+    texts = [" ".join(words[k : k + 40]) for k in range(0, len(words), 40)] + ["", None]
+    encoder, long = wordtok.WordEncoder(PATH), []
+    encode = encoder.encode_long
+    monkeypatch.setattr(encoder, "encode_long", lambda w: long.extend(w) or encode(w))
+    ids, counts = encoder.encode(texts)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert 0 < len(long) < 100
