@@ -16,7 +16,6 @@ depend on the cluster.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -215,18 +214,26 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
 
     def count(batches):
-        out, counts = to_arrow_schema(schema), Counter()
+        # counts of batches wait until they are COUNTED more than what is merged; then they become one table, which is handed on if it is large
+        out, waiting, size, most = to_arrow_schema(schema), [], 0, COUNTED
 
-        def hand_on():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=out)
+        def merged():
+            sums = pa.concat_tables(waiting).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return pa.table([sums.column("word"), sums.column("n_sum")], schema=out)
 
         for batch in batches:
             found = words_in(batch.column(0))[0].value_counts()
-            counts.update(dict(zip(found.field("values").to_pylist(), found.field("counts").to_pylist())))
-            if len(counts) > COUNTED:
-                yield hand_on()
-                counts = Counter()
-        yield hand_on()
+            waiting.append(pa.table([found.field("values"), found.field("counts")], schema=out))
+            size += len(found)
+            if size > most:
+                table = merged()
+                if table.num_rows > COUNTED:
+                    yield from table.to_batches()
+                    waiting, size, most = [], 0, COUNTED
+                else:
+                    waiting, size, most = [table], table.num_rows, table.num_rows + COUNTED
+        if waiting:
+            yield from merged().to_batches()
 
     limit_batches(docs.sparkSession)
     return docs.select(text_col).mapInArrow(count, schema).groupBy("word").agg(F.sum("n").alias("n"))

@@ -188,3 +188,20 @@ def test_words_are_those_of_bytes():
     want = [(t or "").encode().lower().split() for t in texts]
     assert counts.tolist() == [len(w) for w in want] and found.to_pylist() == [w for ws in want for w in ws]
     assert lm.words_in(pa.array([], pa.string()))[1].tolist() == []
+
+
+def test_words_are_counted_in_bounded_tables(spark, monkeypatch):
+    """Counts are those of all words, however often a task merges and hands on; no words are turned into Python objects for it."""
+    texts = [" ".join(f"W{(i * j) % 97} é{j % 5}" for j in range(1, 30)) for i in range(200)] + ["", None, "  "]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    want = Counter(w for t in texts for w in (t or "").lower().encode().split())
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        for most in (20, 150, 100_000):
+            monkeypatch.setattr(lm, "COUNTED", most)
+            assert {bytes(r.word): r.n for r in lm.word_counts(docs).collect()} == want
+        assert lm.word_counts(docs.limit(0)).collect() == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "Counter" not in vars(lm)
