@@ -209,7 +209,8 @@ def alike(docs: DataFrame, text_col: str = "text", width: int = 5, like: float =
     0.99. Sets are told apart by 64 bits. Before the texts are read again, sizes and sketches of 256 bits take off pairs that can't be alike.
 
     Members of a bucket are first linked to neighbours in random orders, which makes one class of a group of copies; then only
-    sets of different classes meet, a class once in a bucket with all its members there as one.
+    sets of different classes meet, a class once in a bucket with all its members there as one. Sizes, and sketches of the sets
+    of large buckets, go along, so that single sets which can't be alike don't meet in a large group of near copies either.
     """
     names, odd = ([f"{c}{w}" for w in range(LONGS)] for c in "fg")
 
@@ -264,15 +265,18 @@ def alike(docs: DataFrame, text_col: str = "text", width: int = 5, like: float =
             break
         classes = connected_components(links_of, "a", "b").withColumnRenamed("node", "set")
         comp = materialize(one.select("set").join(classes, "set", "left").select("set", F.coalesce("component", "set").alias("comp"), F.isnotnull("component").alias("many")), "alike-comp")
-    # a class is met once in a bucket: by its only member, or by any one if it has several there
-    known = materialize(one.join(comp, "set"), "alike-known")
-    asks = known.select(ball, F.col("comp").alias("comp_x"), F.col("set").alias("set_x"), *[F.col(c).alias(f"x_{c}") for c in names])
-    held = known.where("many").select(own, "comp", "set", "n", *names, *odd)
-    classes = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), *[F.min_by(c, "set").alias(c) for c in names], F.min("set").alias("set"))
-    classes = classes.unionByName(known.where("not many").select(own, "comp", F.lit(1).cast("long").alias("k"), *names, "set"))
-    classes = classes.select("key", F.col("comp").alias("comp_y"), F.col("set").alias("set_y"), "k", *[F.col(c).alias(f"y_{c}") for c in names])
-    bound = F.when(F.col("k") == 1, RADIUS).otherwise(FAR)
-    met = asks.join(classes, "key").where((F.col("comp_x") != F.col("comp_y")) & (distance("x_", "y_") <= bound))
+    # a class is met once in a bucket: by its only member, or by any one if it has several there; only sets of large buckets send sketches
+    crowd = table.select("set").distinct().withColumn("crowd", F.lit(True))
+    known = materialize(one.join(comp, "set").join(crowd, "set", "left"), "alike-known")
+    told = ("n", *names, *odd)
+    sent = known.select("set", "comp", "many", "unsure", "n", *names, *[F.when(F.col("crowd"), F.col(c)).alias(c) for c in odd])
+    asks = sent.select(ball, F.col("comp").alias("comp_x"), F.col("set").alias("set_x"), *[F.col(c).alias(f"x_{c}") for c in told])
+    held = known.where("many").select(own, "comp", "set", *told)
+    classes = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), *[F.min_by(c, "set").alias(c) for c in told], F.min("set").alias("set"))
+    classes = classes.unionByName(sent.where("not many").select(own, "comp", F.lit(1).cast("long").alias("k"), *told, "set"))
+    classes = classes.select("key", F.col("comp").alias("comp_y"), F.col("set").alias("set_y"), "k", *[F.col(c).alias(f"y_{c}") for c in told])
+    single = (distance("x_", "y_") <= RADIUS) & F.coalesce(may_be_alike("x_", "y_", like), F.lit(True))
+    met = asks.join(classes, "key").where((F.col("comp_x") != F.col("comp_y")) & F.when(F.col("k") == 1, single).otherwise(distance("x_", "y_") <= FAR))
     met = materialize(met.select("key", "k", "comp_y", "set_x", "set_y", *[f"x_{c}" for c in names]), "alike-met")
     pairs = met.where("k = 1").select(F.col("set_x").alias("p"), F.col("set_y").alias("q"))
     members = held.select("key", F.col("comp").alias("comp_y"), F.col("set").alias("q"), *[F.col(c).alias(f"y_{c}") for c in ("n", *names, *odd)])

@@ -338,6 +338,28 @@ def test_near_dedup_of_a_large_group_just_below_the_limit(spark, monkeypatch):
     assert len(got) > 40 and pairs["alike-pairs"] < 1.5 * pairs["alike-links"]
 
 
+def test_near_copies_that_cannot_be_alike_do_not_meet(spark, monkeypatch):
+    """In a large group around a class of copies, single sets meet only those that sizes and sketches allow; classes as by all pairs."""
+    rnd, texts = random.Random(12), []
+    base = [f"w{i}" for i in range(160)]
+    for i in range(200):
+        words = list(base)
+        for at in rnd.sample(range(160), rnd.choice([1, 2]) if i % 2 else rnd.choice([4, 5, 6, 7])):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tables, kept = {}, simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: tables.update({name: (out := kept(df, name))}) or out)
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    holds(got, brute_heads(rows), range(len(rows)), 0.97)
+    sets = tables["alike-distinct"].join(tables["alike-large"].select("set").distinct(), "set")
+    x, y = (sets.select(F.col("set").alias(f"set_{s}"), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "g0", "g1", "g2", "g3")]) for s in "xy")
+    met = tables["alike-met"].where("k = 1").select("set_x", "set_y").join(x, "set_x").join(y, "set_y")
+    told = met.agg(F.count(F.lit(1)).alias("n"), F.count_if(simhash.may_be_alike("x_", "y_", 0.8)).alias("may")).first()
+    assert told.n == told.may > 50
+
+
 def test_sketches_and_sizes_take_off_no_pair_that_is_alike(spark):
     rnd, rows, want = random.Random(5), [], []
     for i in range(400):
