@@ -13,6 +13,8 @@ STOPS = ["the", "and", "or", "of", "to", "in", "for", "on", "is", "a", "an", "
 SENTENCE_END = r"([\x{3002}\x{ff01}\x{ff1f}\x{ff1b}]|[.!?;](?=\s|$)|\n{2,})"
 #: Stands between parts while they are worked out; one in a text is taken for a blank.
 MARK = "\u0001"
+#: The spaces of Unicode (category Zs), which the ends of strips lose, as SQL's trim takes them off.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def tokens(text: Column) -> Column:
@@ -52,11 +54,16 @@ def glue_short(parts: Column, min_chars: int) -> Column:
     return F.filter(F.split(F.array_join(marked, ""), MARK), lambda s: s != "")
 
 
-def strips(text: Column) -> Column:
-    """Sentences for refinement: cut behind any of the six end marks, white space collapsed."""
-    flat = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARK, " "), r"\s+", " "))
+def strips(text: Column, marks_cut: bool = False) -> Column:
+    """Sentences for refinement: cut behind any of the six end marks, white space collapsed, no spaces of any kind at the ends.
+
+    ``marks_cut``: a MARK in the text cuts too, and is no blank.
+    """
+    bare = lambda s: F.trim(s, F.lit(SPACES))
+    whole = F.coalesce(text, F.lit(""))
+    flat = bare(F.regexp_replace(whole if marks_cut else F.translate(whole, MARK, " "), r"\s+", " "))
     cut = F.split(F.regexp_replace(flat, r"([\x{3002}\x{ff01}\x{ff1f}.!?]) *", "$1" + MARK), MARK)
-    return F.filter(F.transform(cut, F.trim), lambda s: s != "")
+    return F.filter(F.transform(cut, bare), lambda s: s != "")
 
 
 def hash_vector(text: Column) -> Column:
