@@ -19,7 +19,8 @@ SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2
 
 def tokens(text: Column) -> Column:
     """Retrieval tokens in order: lower case, split at SEPARATORS, no empty ones; null has none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda x: x != "")
+    # most characters are letters, which the look ahead tells apart at once
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "(?![a-z0-9])" + SEPARATORS), lambda x: x != "")
 
 
 def terms(text: Column) -> Column:
