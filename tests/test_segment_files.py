@@ -18,3 +18,15 @@ def test_segments_hold_the_postings_and_blocks_stand_in_one_file(spark):
     assert got == sorted(map(tuple, want.collect()))
     assert kept.where("n <> size(ids) or tf_max <> array_max(tfs) or dl_min <> array_min(dls)").isEmpty()
     assert kept.select("block", F.input_file_name().alias("file")).distinct().groupBy("block").count().where("count > 1").isEmpty()
+
+
+def test_blocks_to_score_go_64_questions_a_row(spark, monkeypatch):
+    rows, index, kept = corpus(300), segments.Segments(spark, block=8), []
+    index.add(spark.createDataFrame(rows, SCHEMA), "doc_id")
+    asked = spark.createDataFrame([(10 * i, f"w{i % 30} w0 rare{i % 100}") for i in range(150)], "q long, text string").coalesce(1)
+    write = segments.materialize
+    monkeypatch.setattr(segments, "materialize", lambda df, name, *a: kept.append((name, write(df, name, *a))) or kept[-1][1])
+    assert found(index.top_k(asked, 4, "q", "doc_id")) == fresh(spark, rows, asked, 4)
+    blocks = index._postings([0]).select("block").distinct().count()
+    wanted = [df.count() for name, df in kept if name == "segment-wanted"]
+    assert len(wanted) == 2 and all(n <= 3 * blocks for n in wanted)  # before, a row a question, block and term
